@@ -18,6 +18,7 @@ def local_session(cores: int | str = 8, app: str = "plumbline", **conf: str) ->
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.streaming.stopTimeout", "60s")
     )
