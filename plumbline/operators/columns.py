@@ -220,7 +220,7 @@ def _unpivot(row: DataFrame, columns: list[str], measures: list[str], keys: tupl
 
 def _measure(df: DataFrame, columns: list[str], measures: Mapping[str, str], keys: tuple[str, ...] = ()) -> DataFrame:
     """Evaluate SQL aggregates with ``{c}`` for each column in one pass."""
-    aggs = [F.expr(sql.format(c=f"`{c}`")).alias(f"{m}__{i}")
+    aggs = [F.expr(sql.replace("{c}", f"`{c}`")).alias(f"{m}__{i}")
             for i, c in enumerate(columns) for m, sql in measures.items()]
     grouped = df.groupBy(*keys).agg(*aggs) if keys else df.agg(*aggs)
     return _unpivot(grouped, columns, list(measures), keys)
