@@ -80,24 +80,22 @@ def partition_rewrite(df: DataFrame, bucket: Column, name: str, path: str, max_r
     write_copy(df.withColumn(name, bucket).hint("rebalance", name), path, [name], max_records)
 
 
-def quantile_bucket(df: DataFrame, column: str, bits: int, error: float = 0.002) -> Column:
-    """Bucket 0 .. 2^bits - 1 of a numeric column by approximate quantiles.
+def with_quantile_bucket(df: DataFrame, column: str, name: str, bits: int, error: float = 0.002) -> DataFrame:
+    """Adds bucket 0 .. 2^bits - 1 of a numeric column by approximate quantiles.
 
-    The split points are a fixed-size list; the search takes ``bits`` steps per row.
+    The split points are a list of fixed size; each row searches them in ``bits``
+    steps, one projection per step, all inside generated code.
     """
     n = 1 << bits
     splits = df.approxQuantile(column, [i / n for i in range(1, n)], error)
-    if not splits:
-        return F.lit(0)
-    points = "array(" + ", ".join(f"{s!r}D" for s in splits) + ")"
-    value = f"cast(`{column}` as double)"
-    step = "0"
-    body = "acc"
-    for b in reversed(range(bits)):
-        body = f"aggregate(array({body}), 0, (z, a) -> a + if({points}[a + {(1 << b) - 1}] <= {value}, {1 << b}, 0))"
-        if b == bits - 1:
-            body = body.replace("acc", step)
-    return F.expr(f"coalesce({body}, 0)")
+    out = df.withColumn(name, F.lit(0))
+    if splits:
+        points = "array(" + ", ".join(f"{s!r}D" for s in splits) + ")"
+        for b in reversed(range(bits)):
+            half = 1 << b
+            out = out.withColumn(name, F.expr(
+                f"`{name}` + if({points}[`{name}` + {half - 1}] <= cast(`{column}` as double), {half}, 0)"))
+    return out
 
 
 def interleave(buckets: list[Column], bits: int) -> Column:
@@ -111,9 +109,11 @@ def interleave(buckets: list[Column], bits: int) -> Column:
 
 
 def zorder(df: DataFrame, columns: list[str], partitions: int, bits: int = 6) -> DataFrame:
-    """Rows clustered by the interleaved bits of ``columns``; same rows, new order and partitions."""
+    """Rows clustered by the interleaved bits of numeric ``columns``; same rows, new order and partitions."""
     names = [f"_b{i}" for i in range(len(columns))]
-    bucketed = df.withColumns({n: quantile_bucket(df, c, bits) for n, c in zip(names, columns)})
+    bucketed = df
+    for n, c in zip(names, columns):
+        bucketed = with_quantile_bucket(bucketed, c, n, bits)
     z = interleave([F.col(n) for n in names], bits)
     return (bucketed.withColumn("_z", z).repartitionByRange(partitions, "_z")
             .sortWithinPartitions("_z").drop("_z", *names))

@@ -20,10 +20,9 @@ def since(df: DataFrame, ts: str, as_of: str, days: int) -> DataFrame:
     return df.filter(F.col(ts) > start)
 
 
-def exact_mean(column: str, digits: int = 2) -> Column:
+def exact_mean(column: str) -> Column:
     """Mean over an exact decimal sum, so the result does not depend on the order of rows."""
-    total = F.sum(F.col(column).cast("decimal(18,4)")).cast("double")
-    return F.round(total / F.count(column), digits)
+    return F.sum(F.col(column).cast("decimal(18,4)")).cast("double") / F.count(column)
 
 
 def succeeded(log: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ def node_degree(t):
     return G.node_degree(edges, above=35)
 
 
-FLAGGED = STEPS + """, flagged AS (SELECT CASE WHEN src < dst THEN 'both' ELSE 'single' END AS cross_filter,
+FLAGGED = STEPS + """, flagged AS (SELECT src, dst, CASE WHEN src < dst THEN 'both' ELSE 'single' END AS cross_filter,
   n % 2 = 0 AS is_active, CASE WHEN src = dst THEN 'sum' ELSE 'none' END AS summarize_by FROM edges)
 """
 

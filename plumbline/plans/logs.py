@@ -17,7 +17,7 @@ LOG = """WITH log AS (
          'db' || CAST(user_id % 3 AS VARCHAR) AS database, ts AS start_time, value AS elapsed_ms,
          CASE WHEN event_type = 'error' THEN 'Failed' ELSE 'Succeeded' END AS status FROM events)
 """
-MEAN = "round(sum(elapsed_ms::DECIMAL(18,4))::DOUBLE / count(elapsed_ms), 2)"
+MEAN = "(sum(elapsed_ms::DECIMAL(18,4))::DOUBLE / count(elapsed_ms))"
 
 
 def log(t):
