@@ -14,76 +14,97 @@ from plumbline.functions import predicates as P
 from plumbline.operators.spread import exact_percentile
 
 # ---- rules over a profile: one row per column, so the window per table is small ----
+# Each rule is a condition, so an audit can evaluate all of them in one pass.
 
 
-def _with_table_max(profile: DataFrame) -> DataFrame:
+def with_table_max(profile: DataFrame) -> DataFrame:
     return profile.withColumn("max_distinct", F.max("n_distinct").over(W.partitionBy("table_name")))
 
 
-def high_card_text(profile: DataFrame, min_len: int = 100, min_distinct: int = 10_000, share: float = 0.7) -> DataFrame:
-    return _with_table_max(profile).filter(
-        (F.col("max_len") > min_len) & (F.col("n_distinct") > min_distinct)
-        & (F.col("n_distinct") > F.col("max_distinct") * share)
-    ).select("table_name", "column_name", "n_distinct", "max_distinct", "max_len")
+def is_high_card_text(min_len: int = 100, min_distinct: int = 10_000, share: float = 0.7) -> Column:
+    return F.expr(f"max_len > {min_len} and n_distinct > {min_distinct} and n_distinct > max_distinct * {share}D")
 
 
-def free_text_columns(profile: DataFrame, min_len: int = 200, min_distinct: int = 100) -> DataFrame:
-    return profile.filter(
-        (F.col("max_len") > min_len) & (F.col("n_distinct") > min_distinct)
-        & P.free_text_name(F.col("column_name"))
-    ).select("table_name", "column_name", "n_distinct", "max_len")
+def high_card_text(profile: DataFrame, **limits) -> DataFrame:
+    return with_table_max(profile).filter(is_high_card_text(**limits)).select(
+        "table_name", "column_name", "n_distinct", "max_distinct", "max_len")
 
 
-def guid_columns(profile: DataFrame, lengths: tuple[int, int] = (32, 40), min_distinct: int = 1000) -> DataFrame:
-    return profile.filter(
-        F.col("max_len").between(*lengths) & (F.col("n_distinct") > min_distinct)
-        & P.guid_name(F.col("column_name"))
-    ).select("table_name", "column_name", "n_distinct", "max_len")
+def is_free_text(min_len: int = 200, min_distinct: int = 100) -> Column:
+    return F.expr(f"max_len > {min_len} and n_distinct > {min_distinct}") & P.free_text_name(F.col("column_name"))
+
+
+def free_text_columns(profile: DataFrame, **limits) -> DataFrame:
+    return profile.filter(is_free_text(**limits)).select("table_name", "column_name", "n_distinct", "max_len")
+
+
+def is_guid(lengths: tuple[int, int] = (32, 40), min_distinct: int = 1000) -> Column:
+    return F.expr(f"max_len between {lengths[0]} and {lengths[1]} and n_distinct > {min_distinct}") & P.guid_name(
+        F.col("column_name"))
+
+
+def guid_columns(profile: DataFrame, **limits) -> DataFrame:
+    return profile.filter(is_guid(**limits)).select("table_name", "column_name", "n_distinct", "max_len")
+
+
+def is_constant() -> Column:
+    return F.expr("n_distinct = 1 and not contains(lower(column_name), 'rownum')")
 
 
 def constant_columns(profile: DataFrame) -> DataFrame:
-    return profile.filter(
-        (F.col("n_distinct") == 1) & ~F.lower("column_name").contains("rownum")
-    ).select("table_name", "column_name", F.col("min_value").alias("only_value"))
+    return profile.filter(is_constant()).select("table_name", "column_name", F.col("min_value").alias("only_value"))
 
 
-def bool_as_text(profile: DataFrame, words: Iterable[str] = V.BOOLEAN_WORDS, max_len: int = 10) -> DataFrame:
+def is_bool_as_text(words: Iterable[str] = V.BOOLEAN_WORDS, max_len: int = 10) -> Column:
     words = list(words)
-    return profile.filter(
-        (F.col("n_distinct") == 2) & (F.col("max_len") > 0) & (F.col("max_len") <= max_len)
-        & (F.lower("min_value").isin(words) | F.lower("max_value").isin(words))
-    ).select("table_name", "column_name", "min_value", "max_value")
+    return F.expr(f"n_distinct = 2 and max_len > 0 and max_len <= {max_len}") & (
+        F.lower("min_value").isin(words) | F.lower("max_value").isin(words))
+
+
+def bool_as_text(profile: DataFrame, words: Iterable[str] = V.BOOLEAN_WORDS, max_len: int = 10) -> DataFrame:
+    return profile.filter(is_bool_as_text(words, max_len)).select("table_name", "column_name", "min_value", "max_value")
+
+
+def is_date_as_text(lengths: tuple[int, int] = (8, 30)) -> Column:
+    return F.expr(f"kind = 'string' and max_len between {lengths[0]} and {lengths[1]}") & P.date_like(F.col("column_name"))
+
+
+def date_as_text(profile: DataFrame, **limits) -> DataFrame:
+    return profile.filter(is_date_as_text(**limits)).select(
+        "table_name", "column_name", "min_value", "max_value", "max_len")
+
+
+def is_number_as_text(max_len: int = 20) -> Column:
+    return F.expr(
+        f"kind = 'string' and max_len > 0 and max_len <= {max_len} "
+        "and try_cast(min_value as double) is not null and try_cast(max_value as double) is not null"
+    ) & P.number_prefix(F.col("column_name"))
+
+
+def number_as_text(profile: DataFrame, **limits) -> DataFrame:
+    return profile.filter(is_number_as_text(**limits)).select("table_name", "column_name", "min_value", "max_value")
 
 
-def date_as_text(profile: DataFrame, lengths: tuple[int, int] = (8, 30)) -> DataFrame:
-    return profile.filter(
-        F.col("max_len").between(*lengths) & (F.col("kind") == "string") & P.date_like(F.col("column_name"))
-    ).select("table_name", "column_name", "min_value", "max_value", "max_len")
+def is_precise_time(min_distinct: int = 10_000, lengths: tuple[int, int] = (15, 30)) -> Column:
+    """Real timestamps, or text of timestamp length, with too many distinct values."""
+    timed = f"(kind = 'date' or (kind = 'string' and max_len between {lengths[0]} and {lengths[1]}))"
+    return F.expr(f"n_distinct > {min_distinct} and {timed}") & (
+        P.timestamp_name(F.col("column_name")) | (F.col("column_name") == "ts"))
 
 
-def number_as_text(profile: DataFrame, max_len: int = 20) -> DataFrame:
-    return profile.filter(
-        (F.col("kind") == "string") & (F.col("max_len") > 0) & (F.col("max_len") <= max_len)
-        & P.number_prefix(F.col("column_name"))
-        & F.col("min_value").try_cast("double").isNotNull() & F.col("max_value").try_cast("double").isNotNull()
-    ).select("table_name", "column_name", "min_value", "max_value")
+def high_precision_ts(profile: DataFrame, **limits) -> DataFrame:
+    return profile.filter(is_precise_time(**limits)).select("table_name", "column_name", "kind", "n_distinct")
 
 
-def high_precision_ts(profile: DataFrame, min_distinct: int = 10_000, lengths: tuple[int, int] = (15, 30)) -> DataFrame:
-    """Time columns with too many distinct values: real timestamps, or text of timestamp length."""
-    timed = (F.col("kind") == "date") | ((F.col("kind") == "string") & F.col("max_len").between(*lengths))
-    named = P.timestamp_name(F.col("column_name")) | (F.col("column_name") == "ts")
-    return profile.filter((F.col("n_distinct") > min_distinct) & timed & named).select(
-        "table_name", "column_name", "kind", "n_distinct")
+def is_low_card_in_fact(values: tuple[int, int] = (2, 20), table_above: int = 10_000, max_len: int = 50) -> Column:
+    return F.expr(
+        f"n_distinct > {values[0]} and n_distinct <= {values[1]} and max_distinct > {table_above} "
+        f"and max_len > 0 and max_len <= {max_len}")
 
 
-def low_card_in_fact(
-    profile: DataFrame, values: tuple[int, int] = (2, 20), table_above: int = 10_000, max_len: int = 50,
-) -> DataFrame:
-    return _with_table_max(profile).filter(
-        (F.col("n_distinct") > values[0]) & (F.col("n_distinct") <= values[1])
-        & (F.col("max_distinct") > table_above) & (F.col("max_len") > 0) & (F.col("max_len") <= max_len)
-    ).select("table_name", "column_name", "n_distinct", "max_distinct")
+def low_card_in_fact(profile: DataFrame, **limits) -> DataFrame:
+    return with_table_max(profile).filter(is_low_card_in_fact(**limits)).select(
+        "table_name", "column_name", "n_distinct", "max_distinct")
 
 
 def string_keys(profile: DataFrame, table_above: int = 1000) -> DataFrame:
@@ -105,9 +126,9 @@ def many_high_card(profile: DataFrame, min_distinct: int = 50_000, columns: int
 
 
 def near_unique_numeric(profile: DataFrame, share: float = 0.95, min_distinct: int = 1000) -> DataFrame:
-    return _with_table_max(profile).filter(
-        (F.col("kind") == "number") & (F.col("n_distinct") > F.col("max_distinct") * share)
-        & (F.col("n_distinct") > min_distinct) & ~F.lower("column_name").rlike("key|id|pk")
+    return with_table_max(profile).filter(F.expr(
+        f"kind = 'number' and n_distinct > max_distinct * {share}D and n_distinct > {min_distinct} "
+        "and not lower(column_name) rlike 'key|id|pk'")
     ).select("table_name", "column_name", "n_distinct", "max_distinct",
              F.round(F.col("n_distinct") / F.col("max_distinct"), 5).alias("unique_share"))
 

@@ -13,13 +13,13 @@ from plumbline.operators.spread import top_per_group
 FINDING_COLUMNS = ("rule_id", "table_name", "column_name", "target", "detail")
 
 
-def findings(df: DataFrame, rule_id: str, target: Column | None = None, detail: Column | None = None) -> DataFrame:
+def findings(df: DataFrame, rule_id: str | Column, target: Column | None = None, detail: Column | None = None) -> DataFrame:
     """Shape the rows of any audit operator into findings."""
     table = F.col("table_name") if "table_name" in df.columns else F.lit(None).cast("string")
     column = F.col("column_name") if "column_name" in df.columns else F.lit(None).cast("string")
     name = F.concat(table, F.when(column.isNotNull(), F.concat(F.lit("["), column, F.lit("]"))).otherwise(F.lit("")))
     return df.select(
-        F.lit(rule_id).alias("rule_id"), table.alias("table_name"), column.alias("column_name"),
+        (F.lit(rule_id) if isinstance(rule_id, str) else rule_id).alias("rule_id"), table.alias("table_name"), column.alias("column_name"),
         (name if target is None else target).cast("string").alias("target"),
         (F.lit(None).cast("string") if detail is None else detail.cast("string")).alias("detail"))
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -24,6 +24,7 @@ from plumbline.operators import report as R
 from plumbline.operators import storage as S
 from plumbline.operators import text as X
 from plumbline.plans.catalog import RULES, rules_frame, setting_rules_frame
+from plumbline.session import cut_lineage
 from plumbline.sources.facts import column_facts, falsy
 
 Reference = tuple[str, str, str, str]
@@ -60,55 +61,90 @@ def _label(*parts: str):
     return F.concat_ws(" ", *[F.col(p).cast("string") for p in parts])
 
 
-def _name(table: str = "table_name", column: str = "column_name"):
-    return F.concat(F.col(table), F.lit("["), F.col(column), F.lit("]"))
+def _hits(frame: DataFrame, conditions: Mapping[str, Column], keep: list[str]) -> DataFrame:
+    """(rule_id, keep...) for every condition that holds: all rules in one pass over the frame."""
+    fired = F.array_compact(F.array(*[F.when(cond, F.lit(rule)) for rule, cond in conditions.items()]))
+    return frame.select(*keep, F.explode(fired).alias("rule_id"))
 
 
-def profile_rules(profile: DataFrame, facts: DataFrame) -> dict[str, Callable[[], DataFrame]]:
-    """Rules that only need the profile and the declared columns. All inputs are one row per column."""
-    counts = profile.groupBy("table_name").agg(F.max("n_rows").alias("n_rows"))
-    classes = PR.row_count_classes(counts)
-    wide = facts.groupBy("table_name").agg(F.count(F.lit(1)).alias("n_columns"))
-    name = F.col("column_name")
-    text_long = profile.filter((F.col("kind") == "string") & (F.col("max_len") > 500))
-    floats = facts.filter(F.col("data_type").isin("float", "double"))
-    mixed = C.mixed_declared_types(facts)
+def column_conditions() -> dict[str, Column]:
+    """Rules about one column; the frame is the profile joined with the declared columns."""
+    name, sql = F.col("column_name"), F.expr
+    key_with_nulls = P.key_like(name) & sql("n_nulls > 0")
+    long_text = sql("kind = 'string' and max_len > 500")
+    inexact = sql("data_type in ('float', 'double')")
+    deprecated = F.col("data_type").isin(*V.DEPRECATED_TYPES)
+    bad_name = P.bad_identifier(name)
     return {
-        "LH-005": lambda: classes.filter("row_class = 'empty'"),
-        "LH-006": lambda: text_long, "WH-004": lambda: text_long, "WH-033": lambda: text_long,
-        "LH-007": lambda: I.nullable_keys(profile), "WH-010": lambda: I.nullable_keys(profile),
-        "LH-008": lambda: floats, "WH-003": lambda: floats,
-        "LH-009": lambda: facts.filter(P.bad_identifier(name)), "WH-005": lambda: facts.filter(P.bad_identifier(name)),
-        "WH-006": lambda: wide.filter(P.bad_identifier(F.col("table_name"))),
-        "LH-010": lambda: facts.filter((F.col("kind") == "string") & P.date_like(name)),
-        "LH-011": lambda: profile.filter((F.col("kind") == "string") & (F.col("max_len") <= 20) & P.number_like(name)),
-        "LH-012": lambda: wide.filter("n_columns > 30"), "WH-012": lambda: wide.filter("n_columns > 50"),
-        "LH-013": lambda: profile.groupBy("table_name").agg(
-            F.count(F.lit(1)).alias("n"), F.count_if(F.col("n_nulls") > 0).alias("k")).filter("n > 5 and k > 0.9 * n"),
-        "LH-014": lambda: C.audit_columns(facts), "WH-016": lambda: C.audit_columns(facts),
-        "LH-015": lambda: mixed.filter("family = 'date'"), "WH-013": lambda: mixed.filter("family = 'date'"),
-        "WH-037": lambda: mixed.filter("family = 'text'"),
-        "LH-031": lambda: C.nested_types(facts),
-        "LH-S01": lambda: C.sensitive_names(facts),
-        "LH-S02": lambda: classes.filter("row_class = 'large'"),
-        "LH-S03": lambda: C.legacy_types(facts), "WH-002": lambda: C.legacy_types(facts),
-        "LH-S04": lambda: I.tables_without_key(facts),
-        "WH-001": lambda: wide.join(I.key_candidates(profile).filter("is_unique").select("table_name"), "table_name", "left_anti"),
-        "WH-011": lambda: classes.filter("row_class = 'empty'"),
-        "WH-015": lambda: profile.filter((F.col("kind") == "string") & (F.col("max_len") > 8000)),
-        "WH-034": lambda: classes.filter("row_class = 'near-empty'"),
-        "SM-009": lambda: counts.filter("false"),
-        "SM-018": lambda: wide.agg(F.count(F.lit(1)).alias("n")).filter("n > 20").select(F.lit("all tables").alias("table_name")),
-        "SM-B01": lambda: C.high_card_text(profile), "SM-B02": lambda: C.free_text_columns(profile),
-        "SM-B03": lambda: C.guid_columns(profile), "SM-B04": lambda: C.constant_columns(profile),
-        "SM-B05": lambda: C.bool_as_text(profile), "SM-B06": lambda: C.date_as_text(profile),
-        "SM-B07": lambda: C.number_as_text(profile), "SM-B08": lambda: C.string_keys(profile),
-        "SM-B09": lambda: wide.filter("n_columns > 30"), "SM-B10": lambda: wide.filter("n_columns > 100"),
-        "SM-B11": lambda: C.many_high_card(profile), "SM-B12": lambda: wide.filter("n_columns = 1"),
-        "SM-B13": lambda: C.high_precision_ts(profile), "SM-B14": lambda: C.low_card_in_fact(profile),
+        "LH-006": long_text, "WH-004": long_text, "WH-033": long_text,
+        "LH-007": key_with_nulls, "WH-010": key_with_nulls,
+        "LH-008": inexact, "WH-003": inexact,
+        "LH-009": bad_name, "WH-005": bad_name,
+        "LH-010": sql("kind = 'string'") & P.date_like(name),
+        "LH-011": sql("kind = 'string' and max_len <= 20") & P.number_like(name),
+        "LH-031": sql("data_type rlike '^(array|map|struct)<'"),
+        "LH-S01": P.sensitive_name(name),
+        "LH-S03": deprecated, "WH-002": deprecated,
+        "WH-015": sql("kind = 'string' and max_len > 8000"),
+        "SM-B01": C.is_high_card_text(), "SM-B02": C.is_free_text(), "SM-B03": C.is_guid(), "SM-B04": C.is_constant(),
+        "SM-B05": C.is_bool_as_text(), "SM-B06": C.is_date_as_text(), "SM-B07": C.is_number_as_text(),
+        "SM-B13": C.is_precise_time(), "SM-B14": C.is_low_card_in_fact(),
     }
 
 
+def table_frame(columns: DataFrame) -> DataFrame:
+    """One row per table with the counts its rules need."""
+    name, sql = F.col("column_name"), F.expr
+    model_key = P.model_key_like(name)
+    dates = sql("case when data_type in ('date', 'timestamp', 'timestamp_ntz') then data_type end")
+    texts = sql("case when data_type rlike '^(string|varchar|char)' then regexp_extract(data_type, '^([a-z]+)', 1) end")
+    return columns.groupBy("table_name").agg(
+        F.count(F.lit(1)).alias("n_columns"), F.max("n_rows").alias("n_rows"), F.max("n_distinct").alias("max_distinct"),
+        F.count_if(sql("n_nulls > 0")).alias("n_with_nulls"),
+        F.count_if(P.key_like(name)).alias("n_keys"),
+        F.count_if(P.key_like(name) & sql("n_nulls = 0 and n_distinct = n_rows")).alias("n_unique_keys"),
+        F.count_if(P.audit_column(name)).alias("n_audit"),
+        F.count_if(model_key & sql("kind = 'number'")).alias("n_number_keys"),
+        F.count_if(model_key & sql("kind = 'string' and max_len > 0")).alias("n_text_keys"),
+        F.count_if(sql("n_distinct > 50000 and max_len > 0")).alias("n_high_card"),
+        F.count_distinct(dates).alias("n_date_types"), F.count_distinct(texts).alias("n_text_types"))
+
+
+def table_conditions() -> dict[str, Column]:
+    sql = F.expr
+    return {
+        "LH-005": sql("n_rows = 0"), "WH-011": sql("n_rows = 0"), "WH-034": sql("n_rows between 1 and 10"),
+        "LH-S02": sql("n_rows > 1000000"),
+        "LH-012": sql("n_columns > 30"), "SM-B09": sql("n_columns > 30"), "WH-012": sql("n_columns > 50"),
+        "SM-B10": sql("n_columns > 100"), "SM-B12": sql("n_columns = 1"),
+        "LH-013": sql("n_columns > 5 and n_with_nulls > 0.9 * n_columns"),
+        "LH-014": sql("n_audit = 0"), "WH-016": sql("n_audit = 0"),
+        "LH-015": sql("n_date_types > 1"), "WH-013": sql("n_date_types > 1"), "WH-037": sql("n_text_types > 1"),
+        "LH-S04": sql("n_keys = 0"), "WH-001": sql("n_unique_keys = 0"),
+        "WH-006": P.bad_identifier(F.col("table_name")),
+        "SM-B08": sql("n_number_keys = 0 and n_text_keys > 0 and max_distinct > 1000"),
+        "SM-B11": sql("n_high_card > 5"),
+    }
+
+
+def profile_findings(profile: DataFrame, facts: DataFrame) -> tuple[DataFrame, set[str]]:
+    """Findings of every rule that needs only the profile and the declared columns."""
+    columns = C.with_table_max(facts.drop("kind").join(
+        profile.withColumnRenamed("kind", "_kind"), ["table_name", "column_name"], "left")
+        .withColumn("kind", F.coalesce("_kind", F.lit("other"))))
+    by_column, by_table = column_conditions(), table_conditions()
+    found = [
+        R.findings(_hits(columns, by_column, ["table_name", "column_name"]), F.col("rule_id")),
+        R.findings(_hits(table_frame(columns), by_table, ["table_name"]), F.col("rule_id")),
+    ]
+    tables = facts.select("table_name").distinct().agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(P.date_table_name(F.col("table_name"))).alias("n_date"))
+    crowd = _hits(tables.withColumn("table_name", F.lit("all tables")), {
+        "SM-009": F.expr("n = 0"), "SM-010": F.expr("n_date = 0"), "SM-018": F.expr("n > 20")}, ["table_name"])
+    found.append(R.findings(crowd, F.col("rule_id")))
+    return R.union_findings(found), set(by_column) | set(by_table) | {"SM-009", "SM-010", "SM-018"}
+
+
 def input_rules(inp: Inputs) -> dict[str, Callable[[], DataFrame]]:
     """Rules over logs, settings, graphs and inventories, for the inputs at hand."""
     out: dict[str, Callable[[], DataFrame]] = {}
@@ -225,19 +261,20 @@ def input_rules(inp: Inputs) -> dict[str, Callable[[], DataFrame]]:
 def collect_findings(inp: Inputs, mode: str = "exact") -> tuple[DataFrame, tuple[str, ...], dict[str, str]]:
     """(findings, rules without input, rules whose input failed). A rule that cannot be
     planned becomes an ERROR and does not stop the others."""
-    rules: dict[str, Callable[[], DataFrame]] = {}
+    frames, errors, known = [], {}, set()
     if inp.tables:
-        # one row per column, used by some fifty rules
-        profile = PR.column_profile(inp.tables, mode).persist()
-        rules.update(profile_rules(profile, column_facts(inp.tables).persist()))
-    rules.update(input_rules(inp))
-    frames, errors = [], {}
+        # One row per column, read by every rule below: written to the shared folder, so
+        # neither the rules nor a lost executor scan the tables again.
+        profile = cut_lineage(PR.column_profile(inp.tables, mode), "profile")
+        found, known = profile_findings(profile, column_facts(inp.tables))
+        frames.append(found)
+    rules = input_rules(inp)
     for rule, build in rules.items():
         try:
             frames.append(R.findings(build(), rule))
         except AnalysisException as problem:
             errors[rule] = str(problem).splitlines()[0][:200]
-    absent = tuple(r for r, *_ in RULES if r not in rules)
+    absent = tuple(r for r, *_ in RULES if r not in rules and r not in known)
     return R.union_findings(frames), absent, errors
 
 
