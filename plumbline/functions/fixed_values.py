@@ -68,19 +68,19 @@ OCCURRENCE_PATTERNS = (
     ("SM-013", r"calculate\s*\(", 1),
     ("SM-025", r"userelationship\s*\(", 3),
 )
-# text rewrites: (fix, pattern, replacement)
+# text rewrites: (fix, pattern, replacement); possessive quantifiers keep long texts linear
 EXPRESSION_REWRITES = (
     ("SM-FIX-IFERROR",
-     r"(?i)IFERROR\s*\(\s*((?:[^(),]+|\((?:[^()]*|\([^()]*\))*\))*)\s*,"
-     r"\s*((?:[^(),]+|\((?:[^()]*|\([^()]*\))*\))*)\s*\)",
+     r"(?i)IFERROR\s*\(\s*((?:[^(),]++|\((?:[^()]++|\([^()]*+\))*+\))*+)\s*,"
+     r"\s*((?:[^(),]++|\((?:[^()]++|\([^()]*+\))*+\))*+)\s*\)",
      "IF(ISERROR($1), $2, $1)"),
-    ("SM-FIX-ADDZERO", r"^\s*0\s*\+\s*|\s*\+\s*0\s*$", ""),
+    ("SM-FIX-ADDZERO", r"^\s*0\s*\+\s*(?=\S)|(?<=\S)\s*\+\s*0\s*$", ""),
     ("SM-FIX-SUMX",
      r"(?i)SUMX\s*\(\s*'?([^',\)]+)'?\s*,\s*'?\1'?\s*\[([^\]]+)\]\s*\)", "SUM('$1'[$2])"),
     ("SM-FIX-REMOVEFILTERS", r"(?i)\bALL\s*\(", "REMOVEFILTERS("),
 )
 LOG_CALL = r"(?i)EVALUATEANDLOG\s*\(\s*"
-LOG_CALL_END = r"\)\s*$"
+LOG_CALL_END = r"(?is)^(.*EVALUATEANDLOG\s*\(.*)\)\s*$"
 
 # failure message classes, first match wins
 FAILURE_CLASSES = (

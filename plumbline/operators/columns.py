@@ -211,11 +211,21 @@ def nested_types(facts: DataFrame) -> DataFrame:
         "table_name", "column_name", "data_type")
 
 
-def nested_load(df: DataFrame, column: str) -> DataFrame:
-    """What a nested column really holds: rows, elements, longest."""
-    n = F.size(column)
-    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.greatest(n, F.lit(0)).cast("bigint")).alias("n_elements"),
-                  F.max(n).alias("max_elements"))
+def nested_load(tables: Mapping[str, DataFrame]) -> DataFrame | None:
+    """What each array or map column really holds: rows, elements, longest; one scan per table."""
+    frames = []
+    for table, df in tables.items():
+        fields = [f for f in df.schema.fields if f.dataType.simpleString().startswith(("array<", "map<"))]
+        if not fields:
+            continue
+        row = df.agg(F.count(F.lit(1)).alias("n"), *[
+            c for i, f in enumerate(fields) for c in (
+                F.sum(F.greatest(F.size(f.name), F.lit(0)).cast("bigint")).alias(f"s{i}"), F.max(F.size(f.name)).alias(f"m{i}"))])
+        frames.append(row.select(F.inline(F.array(*[F.struct(
+            F.lit(table).alias("table_name"), F.lit(f.name).alias("column_name"), F.lit(f.dataType.simpleString()).alias("data_type"),
+            F.col("n").alias("n_rows"), F.col(f"s{i}").alias("n_elements"), F.col(f"m{i}").alias("max_elements"))
+            for i, f in enumerate(fields)]))))
+    return reduce(DataFrame.unionByName, frames) if frames else None
 
 
 def naming_audit(names: DataFrame) -> DataFrame:

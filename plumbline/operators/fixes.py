@@ -15,7 +15,6 @@ from plumbline.functions import predicates as P
 from plumbline.operators import columns as C
 from plumbline.operators.profile import column_profile
 from plumbline.operators.spread import chunked_running_sum, first_per_group, keyed_filter, top_per_group
-from plumbline.operators.storage import hours_between
 from plumbline.sources.facts import falsy, kind_of
 
 # ---- plans ----
@@ -177,15 +176,17 @@ def fill_defaults(df: DataFrame, defaults: dict[str, object] | None = None) -> D
 
 
 def rewrite_expressions(df: DataFrame, text: str, fixes: list[str] | None = None) -> DataFrame:
-    """``rewritten`` and ``is_changed`` next to the text; a rewrite that would leave nothing is not applied."""
+    """``rewritten`` and ``is_changed`` next to the text.
+
+    Every step uses the step before once, so the expression grows by one call per
+    rewrite even when filters are pushed through it.
+    """
     out = F.col(text)
     for fix, pattern, replacement in V.EXPRESSION_REWRITES:
         if fixes is None or fix in fixes:
-            changed = F.regexp_replace(out, pattern, replacement)
-            out = F.when(F.trim(changed) != "", changed).otherwise(out)
+            out = F.regexp_replace(out, pattern, replacement)
     if fixes is None or "SM-FIX-EVALLOG" in fixes:
-        opened = F.regexp_replace(F.regexp_replace(out, V.LOG_CALL, ""), V.LOG_CALL_END, "")
-        out = F.when(out.rlike(V.LOG_CALL), opened).otherwise(out)
+        out = F.regexp_replace(F.regexp_replace(out, V.LOG_CALL_END, "$1"), V.LOG_CALL, "")
     return df.withColumn("rewritten", out).withColumn("is_changed", F.col("rewritten") != F.col(text))
 
 
@@ -274,12 +275,14 @@ def mark_date_table(tables: DataFrame, name: str) -> DataFrame:
 
 def single_direction(edges: DataFrame) -> DataFrame:
     both = F.lower(F.col("cross_filter")).isin("2", "both", "bothdirections")
-    return edges.withColumn("cross_filter", F.when(both, "single").otherwise(F.col("cross_filter"))).withColumn("is_changed", both)
+    return edges.withColumns({
+        "cross_filter": F.when(both, "single").otherwise(F.col("cross_filter")), "is_changed": F.coalesce(both, F.lit(False))})
 
 
 def no_implicit_summary(columns: DataFrame) -> DataFrame:
     implicit = ~F.coalesce(F.lower("summarize_by"), F.lit("")).isin("none", "", "0")
-    return columns.withColumn("summarize_by", F.when(implicit, "none").otherwise(F.col("summarize_by"))).withColumn("is_changed", implicit)
+    return columns.withColumns({
+        "summarize_by": F.when(implicit, "none").otherwise(F.col("summarize_by")), "is_changed": implicit})
 
 
 def view_triage(views: DataFrame, tables: DataFrame, name: str = "name", source: str = "source_table") -> DataFrame:
@@ -306,11 +309,6 @@ def repair_view_source(triaged: DataFrame, matches: DataFrame, view: str = "name
     return joined.withColumn("action", action).withColumn("new_query", text)
 
 
-def stale_views(views: DataFrame, as_of: str, hours: float = 24.0) -> DataFrame:
-    """Views to refresh: never run, or last run too long ago."""
-    return views.filter(F.col("last_run").isNull() | (hours_between("last_run", as_of) > hours))
-
-
 def surrogate_keys(df: DataFrame, column: str, key: str) -> tuple[DataFrame, DataFrame]:
     """(dimension, table with the integer key in place of ``column``).
 

@@ -106,9 +106,9 @@ def reciprocal_edges(edges: DataFrame, src: str = "src", dst: str = "dst", n: st
 def fk_skew(df: DataFrame, column: str) -> DataFrame:
     """Rows per reference value: how uneven a join on it would be."""
     counted = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    named = counted.select(F.lit(column).alias("column_name"), "n")
-    median = exact_percentile(named, ["column_name"], "n", 0.5, "median_rows")
-    spread = named.groupBy("column_name").agg(
-        F.count(F.lit(1)).alias("n_keys"), F.sum("n").alias("n_rows"), F.max("n").alias("max_rows"))
-    return spread.join(median, "column_name").withColumn(
-        "top_share", F.round(F.col("max_rows") / F.col("n_rows"), 6))
+    spread = counted.agg(F.count(F.lit(1)).alias("n_keys"), F.sum("n").alias("n_rows"), F.max("n").alias("max_rows"))
+    # two one-row results side by side
+    both = spread.unionByName(exact_percentile(counted, [], "n", 0.5, "median_rows"), allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in ("n_keys", "n_rows", "max_rows", "median_rows")]).select(
+        F.lit(column).alias("column_name"), "*",
+        F.round(F.col("max_rows") / F.col("n_rows"), 6).alias("top_share"))

@@ -125,6 +125,11 @@ def view_freshness(views: DataFrame, as_of: str, hours: float = 24.0) -> DataFra
     return views.select("name", state.alias("state"), F.round(age, 3).alias("hours_old"))
 
 
+def stale_views(views: DataFrame, as_of: str, hours: float = 24.0) -> DataFrame:
+    """Views to refresh, healthy or not: never run, or last run too long ago."""
+    return views.filter(F.col("last_run").isNull() | (hours_between("last_run", as_of) > hours))
+
+
 def stream_candidates(df: DataFrame, entity: str, streamed: DataFrame, min_rows: int = 1_000_000) -> DataFrame:
     """High-volume entities that are not in ``streamed`` (one column named like the entity)."""
     big = df.groupBy(entity).agg(F.count(F.lit(1)).alias("n_rows")).filter(F.col("n_rows") >= min_rows)

@@ -57,65 +57,55 @@ def chunked_running_sum(
 def chunked_pairs(
     df: DataFrame, key: str, order: list[str], value: str, chunk: Column,
 ) -> DataFrame:
-    """(key, value, next value) for neighbouring rows of each key, counted.
+    """(src, dst, n): neighbouring values of each key in ``order``, counted.
 
-    Neighbours inside a chunk come from a window over (key, chunk); the pair
-    that crosses a chunk border comes from the first and last row of each chunk.
+    One window over (key, chunk) finds the neighbours inside a chunk. Only the first
+    and last row of each chunk go on to the window over the whole key, which links
+    one chunk to the next. ``chunk`` must not decrease along ``order``.
     """
-    rows = df.select(key, value, *order, chunk.alias("_chunk"))
     inner = W.partitionBy(key, "_chunk").orderBy(*order)
-    inside = (
-        rows.select(F.col(value).alias("src"), F.lead(value).over(inner).alias("dst"))
-        .filter("dst is not null").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
-    )
-    at = F.struct(*order, value)
-    edges = rows.groupBy(key, "_chunk").agg(F.min(at).alias("_first"), F.max(at).alias("_last"))
-    along = W.partitionBy(key).orderBy("_chunk")
-    across = (
-        edges.select(F.col(f"_last.{value}").alias("src"),
-                     F.lead("_first").over(along)[value].alias("dst"))
-        .filter("dst is not null").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
-    )
-    return inside.unionByName(across).groupBy("src", "dst").agg(F.sum("n").alias("n"))
+    rows = df.select(key, value, *order, chunk.alias("_chunk")).withColumns({
+        "_next": F.lead(value).over(inner), "_more": F.lead(F.lit(1)).over(inner), "_n": F.row_number().over(inner)})
+    inside = rows.filter("_next is not null").select(F.col(value).alias("src"), F.col("_next").alias("dst"))
+    along = W.partitionBy(key).orderBy("_chunk", *order)
+    ends = rows.filter("_n = 1 or _more is null").withColumns({
+        "_then": F.lead(value).over(along), "_then_chunk": F.lead("_chunk").over(along)})
+    across = ends.filter("_then_chunk > _chunk and _then is not null").select(F.col(value).alias("src"), F.col("_then").alias("dst"))
+    return inside.unionByName(across).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def exact_percentile(
-    df: DataFrame, keys: list[str], value: str, p: float, name: str, buckets: int = 1000,
-) -> DataFrame:
+def exact_percentile(df: DataFrame, keys: list[str], value: str, p: float, name: str) -> DataFrame:
     """Interpolated percentile per group without gathering a group in one task.
 
-    Equal values are counted before the shuffle; a histogram of at most
-    ``buckets`` + 1 cells per group finds the cell that holds the wanted ranks,
-    and only the values of that cell are ordered.
+    Equal values are counted before the shuffle. Values fall into cells of a
+    logarithmic scale (64 per doubling), so a group has few cells whatever its size;
+    the running count over cells finds those that hold the wanted ranks, and only
+    their values are ordered. With no ``keys`` the result is one row.
     """
+    v = F.col(value).cast("double")
+    cell = F.signum(v) * F.floor(F.log2(1 + F.abs(v)) * 64)
     counted = (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    )
-    spans = counted.groupBy(*keys).agg(
-        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_c").alias("_rows"))
-    celled = counted.join(spans, keys).withColumn(
-        "_cell",
-        F.when(F.col("_hi") == F.col("_lo"), F.lit(0))
-        .otherwise(F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * buckets)),
+        df.filter(v.isNotNull() & ~F.isnan(v)).groupBy(*keys, v.alias("_v"), cell.cast("bigint").alias("_cell"))
+        .agg(F.count(F.lit(1)).alias("_c"))
     )
+    cells = counted.groupBy(*keys, "_cell").agg(F.sum("_c").alias("_in_cell"))
+    group = W.partitionBy(*keys)
+    before = group.orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
     # 0-based ranks of the two values to interpolate between
     rank = (F.col("_rows") - 1) * F.lit(float(p))
-    cells = celled.groupBy(*keys, "_cell").agg(
-        F.sum("_c").alias("_cell_rows"), F.first("_rows").alias("_rows"))
-    before = W.partitionBy(*keys).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
+    lo, hi = F.floor(rank), F.ceil(rank)
     wanted = (
-        cells.withColumn("_before", F.coalesce(F.sum("_cell_rows").over(before), F.lit(0)))
-        .filter((F.ceil(rank) >= F.col("_before")) & (F.floor(rank) < F.col("_before") + F.col("_cell_rows")))
-        .select(*keys, "_cell", "_before")
+        cells.withColumns({"_before": F.coalesce(F.sum("_in_cell").over(before), F.lit(0)),
+                           "_rows": F.sum("_in_cell").over(group)})
+        .filter((hi >= F.col("_before")) & (lo < F.col("_before") + F.col("_in_cell")))
+        .select(*keys, "_cell", "_before", "_rows")
     )
     upto = W.partitionBy(*keys, "_cell").orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)
     ranked = (
-        celled.join(wanted, [*keys, "_cell"])
+        counted.join(wanted, [*keys, "_cell"])
         .withColumn("_end", F.col("_before") + F.sum("_c").over(upto))
         .withColumn("_start", F.col("_end") - F.col("_c"))
     )
-    lo, hi = F.floor(rank), F.ceil(rank)
 
     def holds(r: Column) -> Column:
         return (r >= F.col("_start")) & (r < F.col("_end"))

@@ -134,8 +134,8 @@ def overlap_pairs(
         F.size("text_tokens") > 0)
     held = candidates.select(F.col(candidate_id).alias("candidate_id"), tokens(F.col(text)).alias("tokens"))
     text_words = wanted.select("text_id", F.size("text_tokens").alias("n"), F.explode("text_tokens").alias("token"))
-    words = held.select("candidate_id", F.explode("tokens").alias("token")).join(
-        text_words.select("token").distinct(), "token", "left_semi")
+    words = held.select("candidate_id", F.explode("tokens").alias("token"))
+    # counted before the shuffle: each task ships its vocabulary, not its words
     frequency = words.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     need = F.ceil(F.col("n") * F.lit(min_score) - F.lit(1e-9))
     ranked = text_words.join(frequency, "token", "left").withColumn("df", F.coalesce("df", F.lit(0)))

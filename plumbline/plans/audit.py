@@ -206,7 +206,7 @@ def input_rules(inp: Inputs) -> dict[str, Callable[[], DataFrame]]:
         out["EH-027"] = lambda: table(L.ingestion_latency(inp.ingest, "entity", "ts", inp.as_of), "entity")
     if inp.views is not None and inp.as_of:
         out["EH-006"] = lambda: table(inp.views.filter(falsy(F.col("is_healthy"))), "name")
-        out["EH-025"] = lambda: table(L.view_freshness(inp.views, inp.as_of).filter("state in ('stale', 'never run')"), "name")
+        out["EH-025"] = lambda: table(L.stale_views(inp.views, inp.as_of), "name")
     if inp.edges is not None:
         flags = G.edge_flags(inp.edges)
         out["SM-021"] = lambda: table(flags.filter("check = 'bidirectional' and n_hits > 0"), "check")

@@ -306,11 +306,9 @@ def mixed_types(t):
 SELECT 'embeddings' AS table_name, 'embedding' AS column_name, 'array<float>' AS data_type, count(*) AS n_rows,
        CAST(sum(len(embedding)) AS BIGINT) AS n_elements, CAST(max(len(embedding)) AS INTEGER) AS max_elements FROM embeddings""")
 def legacy_or_nested_types(t):
-    facts = column_facts(t.pick())
-    odd = C.nested_types(facts).unionByName(C.legacy_types(facts))
-    load = C.nested_load(t.embeddings, "embedding").select(
-        F.lit("embeddings").alias("table_name"), F.lit("embedding").alias("column_name"), "*")
-    return odd.join(load, ["table_name", "column_name"])
+    tables = t.pick()
+    legacy = C.legacy_types(column_facts(tables))
+    return C.nested_load(tables).unionByName(legacy, allowMissingColumns=True)
 
 
 @query("naming_audit", f"""

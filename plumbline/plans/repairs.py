@@ -302,7 +302,7 @@ stale AS (SELECT user_id FROM v WHERE last_run IS NULL OR date_diff('microsecond
 SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n_events, sum(value::DECIMAL(18,4))::DOUBLE / count(value) AS avg_value
 FROM events JOIN stale USING (user_id) GROUP BY ALL""")
 def refresh_view(t):
-    stale = X.stale_views(event_views(t), AS_OF).select(
+    stale = L.stale_views(event_views(t), AS_OF).select(
         F.regexp_extract("name", r"(\d+)$", 1).cast("bigint").alias("user_id"))
     rows = X.drop_orphans(t.events, stale, [("user_id", "user_id")])
     return rows.groupBy("user_id", F.to_date("ts").alias("day")).agg(

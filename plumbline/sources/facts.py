@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,9 +41,11 @@ def column_facts(tables: Mapping[str, DataFrame], spark: SparkSession | None = N
     for table, df in tables.items():
         for i, field in enumerate(df.schema.fields, start=1):
             dt = field.dataType
+            # a scan shows char and varchar columns as string and keeps the declaration here
+            declared = field.metadata.get("__CHAR_VARCHAR_TYPE_STRING", dt.simpleString())
+            length = re.match(r"(?:var)?char\((\d+)\)", declared)
             rows.append((
-                table, i, field.name, dt.simpleString(), kind_of(dt),
-                dt.length if isinstance(dt, (T.VarcharType, T.CharType)) else None,
+                table, i, field.name, declared, kind_of(dt), int(length.group(1)) if length else None,
                 dt.precision if isinstance(dt, T.DecimalType) else None,
                 dt.scale if isinstance(dt, T.DecimalType) else None,
                 field.nullable,

@@ -57,12 +57,16 @@ def failure_counts(
 
 
 def silence_alarms(events: DataFrame, ts: str, entity: str, gap: str = "1 day", lateness: str = "10 minutes") -> DataFrame:
-    """One row per entity and silence longer than ``gap``: the end of a session is the start of silence."""
+    """One row per entity and silence longer than ``gap``: the end of a session is the start of silence.
+
+    Both bounds are aggregates and not fields of the session key: the optimizer moves a
+    filter on the key below the merging of sessions, where it would cut them apart.
+    """
     return (
         events.withWatermark(ts, lateness).groupBy(F.session_window(ts, gap), entity)
-        .agg(F.count(F.lit(1)).alias("n_events"))
-        .select(entity, F.col("session_window.start").alias("active_from"),
-                F.col("session_window.end").alias("silent_since"), "n_events")
+        .agg(F.min(ts).alias("active_from"), (F.max(ts) + F.expr(f"interval {gap}")).alias("silent_since"),
+             F.count(F.lit(1)).alias("n_events"))
+        .select(entity, "active_from", "silent_since", "n_events")
     )
 
 
@@ -78,7 +82,8 @@ def merge_view(state: str, keys: list[str], sums: list[str], summarize):
         if batch_id > 0:
             before = batch.sparkSession.read.schema(fresh.schema).parquet(f"{state}/gen={batch_id - 1}")
             fresh = fresh.unionByName(before)
-        merged = fresh.groupBy(*keys).agg(*[F.sum(s).alias(s) for s in sums])
+        # sums keep their declared type, so every generation has the same schema
+        merged = fresh.groupBy(*keys).agg(*[F.sum(s).cast(fresh.schema[s].dataType).alias(s) for s in sums])
         merged.write.mode("overwrite").parquet(f"{state}/gen={batch_id}")
     return handle
 
