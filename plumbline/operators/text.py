@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import fixed_values as V
 from plumbline.functions import predicates as P
 from plumbline.operators.spread import first_per_group, keyed_filter, top_per_group
+from plumbline.session import cut_lineage
 
 PatternRule = tuple[str, str, str | None]
 
@@ -125,31 +126,43 @@ def overlap_pairs(
 ) -> DataFrame:
     """All (text, candidate) pairs whose candidate holds at least ``min_score`` of the text's tokens.
 
-    Exact, without comparing every pair. A pair that reaches the score must share one of
-    the text's n - ceil(min_score * n) + 1 rarest tokens, so only those are joined: words
-    that fill most candidates hardly ever enter. Pairs found that way are then checked on
-    all tokens.
+    Exact, without comparing every pair. Say a text has n tokens and needs ``need`` of
+    them. Of its n - need + k rarest tokens a matching candidate holds at least k, so
+    only those are joined and only pairs with k hits go on; the frequent words, which
+    fill most candidates, are looked up for those pairs alone.
+
+    Candidates are tokenised once: their words that occur in any text are written to
+    the shared folder and read by the three steps that need them.
     """
-    wanted = texts.select(F.col(text_id).alias("text_id"), tokens(F.col(text)).alias("text_tokens")).filter(
-        F.size("text_tokens") > 0)
-    held = candidates.select(F.col(candidate_id).alias("candidate_id"), tokens(F.col(text)).alias("tokens"))
-    text_words = wanted.select("text_id", F.size("text_tokens").alias("n"), F.explode("text_tokens").alias("token"))
-    words = held.select("candidate_id", F.explode("tokens").alias("token"))
-    # counted before the shuffle: each task ships its vocabulary, not its words
+    wanted = texts.select(F.col(text_id).alias("text_id"), tokens(F.col(text)).alias("_tokens"))
+    text_words = wanted.select("text_id", F.size("_tokens").alias("n"), F.explode("_tokens").alias("token"))
+    words = cut_lineage(
+        candidates.select(F.col(candidate_id).alias("candidate_id"), F.explode(tokens(F.col(text))).alias("token"))
+        .join(text_words.select("token").distinct(), "token", "left_semi"), "words")
     frequency = words.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    need = F.ceil(F.col("n") * F.lit(min_score) - F.lit(1e-9))
-    ranked = text_words.join(frequency, "token", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    # at most as many rows per text as the text has tokens
-    by_rarity = W.partitionBy("text_id").orderBy("df", "token")
-    rarest = (ranked.withColumn("_n", F.row_number().over(by_rarity))
-              .filter(F.col("_n") <= F.col("n") - need + 1).select("text_id", "token"))
-    pairs = rarest.join(words, "token").select("text_id", "candidate_id").distinct()
-    shared = F.size(F.array_intersect("text_tokens", "tokens"))
+    by_rarity = W.partitionBy("text_id").orderBy(F.coalesce("df", F.lit(0)), "token")
+    # one text's own tokens per window group
+    ranked = (
+        text_words.join(frequency, "token", "left")
+        .withColumn("need", F.ceil(F.col("n") * F.lit(min_score) - F.lit(1e-9)))
+        .withColumn("k", F.greatest(F.ceil(F.col("need") * 0.25), F.lit(1)))
+        .withColumn("_rare", F.row_number().over(by_rarity) <= F.col("n") - F.col("need") + F.col("k"))
+        .select("text_id", "token", "n", "need", "k", "_rare")
+    )
+    found = (
+        ranked.filter("_rare").join(words, "token").groupBy("text_id", "candidate_id", "n", "need", "k")
+        .agg(F.count(F.lit(1)).alias("hits")).filter("hits >= k").drop("k")
+    )
+    common = ranked.filter("not _rare").select("text_id", "token")
+    more = (
+        found.join(common, "text_id").join(words, ["candidate_id", "token"])
+        .select("text_id", "candidate_id", "n", "need", F.lit(1).cast("bigint").alias("hits"))
+    )
     return (
-        pairs.join(wanted, "text_id").join(held, "candidate_id")
-        .select("text_id", "candidate_id", shared.alias("n_shared"), F.size("text_tokens").alias("n_tokens"))
-        .filter(F.col("n_shared") >= F.col("n_tokens") * F.lit(min_score) - F.lit(1e-9))
-        .withColumn("score", F.round(F.col("n_shared") / F.col("n_tokens"), 4))
+        found.unionByName(more).groupBy("text_id", "candidate_id", "n", "need").agg(F.sum("hits").alias("_shared"))
+        .filter("_shared >= need")
+        .select("text_id", "candidate_id", F.col("_shared").cast("int").alias("n_shared"), F.col("n").alias("n_tokens"),
+                F.round(F.col("_shared") / F.col("n"), 4).alias("score"))
     )
 
 

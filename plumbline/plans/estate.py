@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from plumbline.functions import fixed_values as V
 from plumbline.plans.audit import run_audit
+from plumbline.plans.catalog import RULES
 from plumbline.plans.registry import query
+from plumbline.plans.sample_sql import facts_sql, profile_sql
 
 REFERENCES = [
     ("orders", "o_custkey", "customer", "c_custkey"), ("lineitem", "l_orderkey", "orders", "o_orderkey"),
@@ -13,7 +16,72 @@ REFERENCES = [
 ]
 
 
-@query("full_audit")
+def _like(pattern: str, column: str = "lower(column_name)") -> str:
+    return f"regexp_matches({column}, '{pattern}')"
+
+
+KEY = _like(V.KEY_NAME, "column_name")
+WORDS = ", ".join(f"'{w}'" for w in V.BOOLEAN_WORDS)
+AUDIT = ", ".join(f"'{n}'" for n in V.CREATED_NAMES + V.UPDATED_NAMES)
+BAD = _like(V.BAD_IDENTIFIER, "column_name")
+LONG = "kind = 'string' AND max_len > 500"
+FLOATS = "data_type IN ('float', 'double')"
+OLD = "data_type IN ('text', 'ntext', 'image')"
+COLUMN_RULES = {
+    "LH-006": LONG, "WH-004": LONG, "WH-033": LONG, "LH-007": f"{KEY} AND n_nulls > 0", "WH-010": f"{KEY} AND n_nulls > 0",
+    "LH-008": FLOATS, "WH-003": FLOATS, "LH-009": BAD, "WH-005": BAD, "LH-S03": OLD, "WH-002": OLD,
+    "LH-010": f"kind = 'string' AND {_like(V.DATE_NAME)}",
+    "LH-011": f"kind = 'string' AND max_len <= 20 AND {_like(V.NUMBER_NAME)} AND NOT {_like(V.NUMBER_NAME_EXCEPT)}",
+    "LH-031": "data_type LIKE 'array<%'", "LH-S01": _like(V.SENSITIVE_NAME), "WH-015": "kind = 'string' AND max_len > 8000",
+    "SM-B01": "max_len > 100 AND n_distinct > 10000 AND n_distinct > max_distinct * 0.7",
+    "SM-B02": f"max_len > 200 AND n_distinct > 100 AND {_like(V.FREE_TEXT_NAME)}",
+    "SM-B03": f"max_len BETWEEN 32 AND 40 AND n_distinct > 1000 AND {_like(V.GUID_NAME)}",
+    "SM-B04": "n_distinct = 1 AND lower(column_name) NOT LIKE '%rownum%'",
+    "SM-B05": f"n_distinct = 2 AND max_len BETWEEN 1 AND 10 AND (lower(min_value) IN ({WORDS}) OR lower(max_value) IN ({WORDS}))",
+    "SM-B06": f"kind = 'string' AND max_len BETWEEN 8 AND 30 AND {_like(V.DATE_NAME)}",
+    "SM-B07": f"kind = 'string' AND max_len BETWEEN 1 AND 20 AND {_like(V.NUMBER_PREFIX)} "
+              "AND try_cast(min_value AS DOUBLE) IS NOT NULL AND try_cast(max_value AS DOUBLE) IS NOT NULL",
+    "SM-B13": f"n_distinct > 10000 AND (kind = 'date' OR (kind = 'string' AND max_len BETWEEN 15 AND 30)) "
+              f"AND ({_like(V.TIMESTAMP_NAME)} OR column_name = 'ts')",
+    "SM-B14": "n_distinct > 2 AND n_distinct <= 20 AND max_distinct > 10000 AND max_len BETWEEN 1 AND 50",
+}
+TABLE_RULES = {
+    "LH-005": "n_rows = 0", "WH-011": "n_rows = 0", "WH-034": "n_rows BETWEEN 1 AND 10", "LH-S02": "n_rows > 1000000",
+    "LH-012": "n_columns > 30", "SM-B09": "n_columns > 30", "WH-012": "n_columns > 50", "SM-B10": "n_columns > 100",
+    "SM-B12": "n_columns = 1", "LH-013": "n_columns > 5 AND n_with_nulls > 0.9 * n_columns",
+    "LH-014": "n_audit = 0", "WH-016": "n_audit = 0", "LH-015": "n_date_types > 1", "WH-013": "n_date_types > 1",
+    "WH-037": "false", "LH-S04": "n_keys = 0", "WH-001": "n_unique_keys = 0", "WH-006": _like(V.BAD_IDENTIFIER, "table_name"),
+    "SM-B08": "n_number_keys = 0 AND n_text_keys > 0 AND max_distinct > 1000", "SM-B11": "n_high_card > 5",
+    "WH-014": "table_name NOT IN (" + ", ".join(f"'{n}'" for r in REFERENCES for n in (r[0], r[2])) + ")",
+}
+AUDIT_SQL = f"""WITH profile AS ({profile_sql()}),
+cols AS (SELECT facts.table_name, facts.column_name, facts.data_type, coalesce(kind, 'other') AS kind, n_rows, n_nulls, n_distinct, min_value, max_value, max_len,
+         max(n_distinct) OVER (PARTITION BY facts.table_name) AS max_distinct
+         FROM {facts_sql()} LEFT JOIN profile p ON p.table_name = facts.table_name AND p.column_name = facts.column_name),
+tabs AS (SELECT table_name, count(*) AS n_columns, max(n_rows) AS n_rows, max(n_distinct) AS max_distinct,
+         count(*) FILTER (WHERE n_nulls > 0) AS n_with_nulls, count(*) FILTER (WHERE {KEY}) AS n_keys,
+         count(*) FILTER (WHERE {KEY} AND n_nulls = 0 AND n_distinct = n_rows) AS n_unique_keys,
+         count(*) FILTER (WHERE lower(column_name) IN ({AUDIT})) AS n_audit,
+         count(*) FILTER (WHERE {_like(V.MODEL_KEY_SUFFIX)} AND kind = 'number') AS n_number_keys,
+         count(*) FILTER (WHERE {_like(V.MODEL_KEY_SUFFIX)} AND kind = 'string' AND max_len > 0) AS n_text_keys,
+         count(*) FILTER (WHERE n_distinct > 50000 AND max_len > 0) AS n_high_card,
+         count(DISTINCT data_type) FILTER (WHERE data_type = 'timestamp_ntz') AS n_date_types FROM cols GROUP BY table_name),
+hits AS (
+""" + " UNION ALL ".join(
+    [f"SELECT '{r}' AS rule_id, count(*) AS n_issues FROM cols WHERE {c}" for r, c in COLUMN_RULES.items()]
+    + [f"SELECT '{r}', count(*) FROM tabs WHERE {c}" for r, c in TABLE_RULES.items()]
+    + ["SELECT 'SM-009', count(*) FROM (SELECT count(*) AS n FROM tabs) WHERE n = 0",
+       "SELECT 'SM-018', count(*) FROM (SELECT count(*) AS n FROM tabs) WHERE n > 20",
+       f"SELECT 'SM-010', count(*) FROM (SELECT count(*) AS n FROM tabs WHERE {_like(V.DATE_TABLE_NAME, 'lower(table_name)')}) WHERE n = 0"]
+    + ["SELECT 'WH-009', CAST(sum(n) AS BIGINT) FROM (" + " UNION ALL ".join(
+        f"SELECT CASE WHEN count(*) > 0 THEN 1 ELSE 0 END AS n FROM {c} WHERE {ck} IS NOT NULL AND {ck} NOT IN (SELECT {pk} FROM {p})"
+        for c, ck, p, pk in REFERENCES) + ")"]) + """),
+rules AS (SELECT * FROM (VALUES """ + ", ".join(f"('{r}', '{s}', '{h}')" for r, s, h, _ in RULES) + """) r(rule_id, severity, on_hit))
+SELECT rule_id, severity, CASE WHEN n_issues IS NULL THEN 'N/A' WHEN n_issues = 0 THEN 'PASS' ELSE on_hit END AS status,
+       coalesce(n_issues, 0) AS n_issues FROM rules LEFT JOIN hits USING (rule_id)"""
+
+
+@query("full_audit", AUDIT_SQL)
 def full_audit(t):
     """Every rule of the catalog over the sample tables."""
-    return run_audit(t.pick(), REFERENCES)
+    return run_audit(t.pick(), REFERENCES).select("rule_id", "severity", "status", "n_issues")

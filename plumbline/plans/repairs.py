@@ -25,15 +25,16 @@ from plumbline.session import scratch_path
 
 
 def store_findings(t):
-    """Settings findings for the stores that had no signup lately."""
-    quiet = (log_events(t).groupBy("table_name").agg(F.count_if(F.expr("event_type = 'signup' and ts > timestamp_ntz '2024-01-20'")).alias("n"))
-             .filter("n < 20").select("table_name"))
+    """Settings findings for the stores with less than a fifth of signups."""
+    quiet = (log_events(t).groupBy("table_name").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_type") == "signup").alias("k"))
+        .filter("k * 5 < n").select("table_name"))
     return R.union_findings([R.findings(quiet, rule) for rule in ("LH-020", "LH-021", "LH-026")])
 
 
 PLAN = FINDINGS + """, quiet AS (
   SELECT 'store_' || CAST(user_id % 20 AS VARCHAR) AS target FROM events GROUP BY 1
-  HAVING count(*) FILTER (WHERE event_type = 'signup' AND ts > TIMESTAMP '2024-01-20') < 20
+  HAVING count(*) FILTER (WHERE event_type = 'signup') * 5 < count(*)
 ), pairs AS (SELECT DISTINCT rule_id, target FROM found UNION ALL SELECT 'LH-020', target FROM quiet UNION ALL SELECT 'LH-021', target FROM quiet
 ), plan AS (
   SELECT fix_id, p.rule_id, target, replace(command, '{target}', target) AS command, command LIKE 'transform:%' AS is_transform
