@@ -38,5 +38,5 @@ def test_approximate_profile_has_no_wide_shuffle(t):
 
 
 def test_string_minima_do_not_sort(t):
-    plan = plan_of(P.column_profile({"orders": t.orders}, mode="exact"))
-    assert "Sort [" not in plan.split("BroadcastHashJoin")[0]
+    plan = plan_of(P._stats("orders", t.orders, P.scalar_fields(t.orders), None))
+    assert "SortAggregate" in plan and "Sort [" not in plan and "hashpartitioning" not in plan
