@@ -337,7 +337,13 @@ def mixed_formats(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def pii_flags(text: Column, patterns=V.PII_PATTERNS) -> list[tuple[str, Column]]:
-    return [(label, text.rlike(pattern)) for label, pattern in patterns]
+    flags = []
+    for label, pattern in patterns:
+        # a caller's own pattern need not hold the literal
+        literal = V.PII_LITERALS.get(label) if (label, pattern) in V.PII_PATTERNS else None
+        found = text.rlike(pattern)
+        flags.append((label, found if literal is None else text.contains(literal) & found))
+    return flags
 
 
 def sensitive_content(df: DataFrame, text: str, group: str, patterns=V.PII_PATTERNS) -> DataFrame:

@@ -48,12 +48,15 @@ def occurrence_audit(df: DataFrame, text: str, rules: Iterable[tuple[str, str, i
 
 
 # what counts as white space, beyond ASCII too
-WHITE_SPACE = r"[\s\x{0B}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+"
+WHITE_SPACE = (
+    " \t\n\r\f\v\u00A0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200A"
+    "\u2028\u2029\u202F\u205F\u3000\uFEFF"
+)
 
 
 def normalized(text: Column) -> Column:
-    """Lower case without white space."""
-    return F.regexp_replace(F.lower(text), WHITE_SPACE, "")
+    """Lower case without white space; a character table is several times faster here than a pattern."""
+    return F.translate(F.lower(text), WHITE_SPACE, "")
 
 
 def normalized_duplicates(df: DataFrame, record: str, text: str, min_len: int = 5) -> DataFrame:

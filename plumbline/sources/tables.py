@@ -25,9 +25,13 @@ class Tables:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
+        self._schemas: dict[str, T.StructType] = {}
 
     def __getitem__(self, name: str) -> DataFrame:
-        return scan(self.spark, f"{self.root}/{name}.parquet")
+        # file footers are read for the schema once per table, not once per use
+        df = scan(self.spark, f"{self.root}/{name}.parquet", self._schemas.get(name))
+        self._schemas.setdefault(name, df.schema)
+        return df
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
