@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import language, pii, quality, token_store
+from plumbline.llm import decontaminate, language, pii, quality, token_store
 from plumbline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,3 +39,8 @@ def op6_language_id(spark, root):
 @query
 def op7_quality_rules(spark, root):
     return quality.judge(table(spark, root, "documents"))
+
+
+@query
+def op9_decontamination(spark, root):
+    return decontaminate.digests(decontaminate.find(table(spark, root, "documents"), table(spark, root, "benchmark")))
