@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, language, pii, quality, token_store
+from plumbline.llm import decontaminate, language, pii, quality, simhash, token_store
 from plumbline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,3 +44,8 @@ def op7_quality_rules(spark, root):
 @query
 def op9_decontamination(spark, root):
     return decontaminate.digests(decontaminate.find(table(spark, root, "documents"), table(spark, root, "benchmark")))
+
+
+@query
+def op4_simhash(spark, root):
+    return simhash.near_duplicates(table(spark, root, "documents"))
