@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -19,14 +20,19 @@ from plumbline.session import scratch_path
 
 #: Written file format: rows to an index entry and bytes to a stripe.
 INDEX_ROWS, STRIPE_BYTES = 1000, 16 << 20
-#: Chunks of text whose ids a task remembers; beyond, it starts anew.
-REMEMBERED = 1_000_000
+#: Chunks of text whose ids a task remembers, and as many older ones.
+REMEMBERED = 300_000
 
 STORED = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("local_start", T.LongType()),
     T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
-_CLOSED = re.compile(r"([a-zà-öø-ÿ]+)([.,;:!?]+)")
+_LETTERS = re.compile("[a-zß-öø-ÿ]+")
+_CLOSED = re.compile("([a-zß-öø-ÿ]+)([!-&(-/:;=?@[-`{-~]+)")  # no apostrophe, no angle bracket
+
+
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class ChunkEncoder:
@@ -34,49 +40,61 @@ class ChunkEncoder:
 
     The tokenizer's words never reach across a blank or a line feed, and its normaliser works
     inside them, so a text's ids are those of its chunks in order. The end of a sentence is
-    split off by the same rule: letters and other characters are different words. Special
-    tokens hold no blank, so they are found inside a chunk as in the text.
+    split off by the same rule: letters and other characters are different words. A chunk of
+    small letters is one word, so it goes to the merges at once, as byte-level letters.
+    Special tokens hold no blank, so they are found inside a chunk as in the text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.remembered = Tokenizer.from_file(path), remembered
+        self.tokenize = self.tokenizer.model.tokenize
         self.known: dict[str, bytes] = {"": b""}
-
-    def _encode(self, chunks: list[str]) -> None:
-        for chunk, e in zip(chunks, self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)):
-            self.known[chunk] = np.array(e.ids, "<u4").tobytes()
-
-    def _learn(self, chunks: set[str]) -> None:
-        parts: dict[str, tuple[str, str]] = {}
-        plain: set[str] = set()
-        for c in chunks:
-            m = _CLOSED.fullmatch(c)
+        self.older: dict[str, bytes] = {}
+        # bytes as letters, by the byte-level rule: printable ones stand for themselves, others follow 255
+        plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        others = iter(range(256, 512))
+        self.letters = {b: chr(b if b in plain else next(others)) for b in range(256)}
+
+    def _word(self, word: str) -> bytes:
+        found = self.known.get(word) or self.older.get(word)
+        if found is None:
+            level = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
+            found = _packed([t.id for t in self.tokenize(level)])
+        self.known[word] = found
+        return found
+
+    def _chunk(self, chunk: str) -> bytes:
+        """The ids of a chunk that isn't among the newer ones."""
+        found = self.older.get(chunk)
+        if found is None:
+            if _LETTERS.fullmatch(chunk):
+                return self._word(chunk)
+            m = _CLOSED.fullmatch(chunk)
             if m:
-                parts[c] = (m[1], m[2])
-                plain.update(m.groups())
+                found = self._word(m[1]) + (self.known.get(m[2]) or self._chunk(m[2]))
             else:
-                plain.add(c)
-        self._encode([c for c in plain if c not in self.known])
-        for c, (a, b) in parts.items():
-            self.known[c] = self.known[a] + self.known[b]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.known) > REMEMBERED:
-            self.known = {"": b""}
-        split = []
-        for t in texts:
-            # lower case comes first where that commutes with the tokenizer's own steps
-            if t.isascii() or ("Σ" not in t and "İ" not in t and unicodedata.is_normalized("NFC", t)):
-                t = t.lower()
-            split.append(t.replace("\n", " ").split(" "))
-        known = self.known
-        new = {c for chunks in split for c in chunks if c not in known}
-        if new:
-            self._learn(new)
-        return [b"".join(map(known.__getitem__, chunks)) for chunks in split]
+                found = _packed(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
+        self.known[chunk] = found
+        return found
+
+    def encode(self, text: str) -> bytes:
+        """Little-endian unsigned 32-bit ids of a text."""
+        # lower case comes first where that commutes with the tokenizer's own steps
+        if text.isascii() or ("Σ" not in text and "İ" not in text and unicodedata.is_normalized("NFC", text)):
+            text = text.lower()
+        chunks = text.replace("\n", " ").split(" ")
+        ids = list(map(self.known.get, chunks))
+        if None in ids:
+            known = self.known
+            i = ids.index(None)
+            for _ in range(ids.count(None)):
+                i = ids.index(None, i)
+                ids[i] = known.get(chunks[i]) or self._chunk(chunks[i])
+            if len(known) > self.remembered:  # what was not used since the last time goes
+                self.known, self.older = {"": b""}, known
+        return b"".join(ids)
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -106,7 +124,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id", te
         for batch in batches:
             texts = batch.column("text").fill_null("")
             for a, b in slices(text_bytes(texts)):
-                ids = [x + tail for x in encoder.encode(texts[a:b].to_pylist())]
+                ids = [encoder.encode(x) + tail for x in texts[a:b].to_pylist()]
                 ends = np.cumsum([0] + [len(x) // 4 for x in ids])
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), "<u4").view(np.int32)))
                 yield pa.RecordBatch.from_arrays([
