@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, language, pii, quality, simhash, token_store
+from plumbline.llm import decontaminate, language, pieces, pii, quality, simhash, token_store
 from plumbline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,3 +49,8 @@ def op9_decontamination(spark, root):
 @query
 def op4_simhash(spark, root):
     return simhash.near_duplicates(table(spark, root, "documents"))
+
+
+@query
+def op10_sentencepiece(spark, root):
+    return pieces.digests(table(spark, root, "documents"))
