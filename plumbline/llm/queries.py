@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, language, pieces, pii, quality, simhash, token_store
+from plumbline.llm import decontaminate, language, pieces, pii, quality, simhash, token_store, url_filter
 from plumbline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,44 @@ def query(fn: Callable[[SparkSession, str], DataFrame]):
     return fn
 
 
+RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+@query
+def op1_url_filter(spark, root):
+    """The list: canonical URLs that at least two pages have."""
+    pages = table(spark, root, "pages")
+    same = url_filter.canonical(F.col("url"))
+    listed = pages.groupBy(same.alias("c")).agg(F.count(F.lit(1)).alias("n"), F.min("url").alias("url")).filter("n > 1")
+    return url_filter.judge(pages, RULES, listed)
+
+
+ORACLES["op1_url_filter"] = r"""
+WITH rests AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
+parts AS (
+  SELECT page_id, rest IS NOT NULL AS whole,
+    coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path,
+    regexp_replace(regexp_replace(coalesce(regexp_extract(rest, '^[^?#]*[?]([^#]*)', 1), ''), '(^|&)utm_[^&=]*=[^&]*', '', 'g'), '^&', '') AS query
+  FROM rests),
+named AS (
+  SELECT page_id, host, path,
+    CASE WHEN whole THEN host || regexp_replace(path, '/+$', '') || CASE WHEN query <> '' THEN '?' || query ELSE '' END ELSE '' END AS canonical,
+    CASE WHEN (host = 'www.example.com' OR host LIKE '%.www.example.com') AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+         WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/en/') THEN 'example.com/en/'
+         WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/es/') THEN 'net/es/'
+         WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/fr/') THEN 'net/fr/'
+         WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/') THEN 'com/' END AS rule
+  FROM parts),
+listed AS (SELECT canonical FROM named WHERE canonical <> '' GROUP BY canonical HAVING count(*) > 1),
+judged AS (
+  SELECT n.*, n.rule IS NULL AND l.canonical IS NOT NULL AS listed FROM named n LEFT JOIN listed l USING (canonical))
+SELECT page_id, host, path, rule, listed,
+  CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL OR listed THEN 'block' ELSE 'allow' END AS verdict
+FROM judged"""
+
+
 @query
 def op2_pii(spark, root):
     return pii.digests(table(spark, root, "documents"))
