@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, language, pieces, pii, quality, simhash, token_store, url_filter
+from plumbline.llm import decontaminate, language, pieces, pii, quality, secret_scan, simhash, token_store, url_filter
 from plumbline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,6 +67,14 @@ def op3_token_store(spark, root):
     return token_store.round_trip(table(spark, root, "documents"))
 
 
+@query
+def op5_secret_scan(spark, root):
+    """Labels: what is its own proof, in the documents that aren't held out."""
+    docs = table(spark, root, "documents")
+    found = secret_scan.candidates(docs.filter(~language.held_out()))
+    return secret_scan.scan(docs, found.withColumn("label", secret_scan.evidence(found)))
+
+
 @query
 def op6_language_id(spark, root):
     docs = table(spark, root, "documents")
