@@ -193,7 +193,7 @@ def disguises(text: str) -> list[Callable[[Tape], Tape]]:
 
 
 def all_spans(text: str, base: list[Span] | None = None) -> list[Span]:
-    """The base spans, and those of disguised identifiers that overlap no base span of their kind."""
+    """The base spans, and those of disguised identifiers that don't lie inside a base span of their kind."""
     base = base_spans(text) if base is None else base
     steps = disguises(text)
     if not steps:
@@ -203,14 +203,13 @@ def all_spans(text: str, base: list[Span] | None = None) -> list[Span]:
         tape = step(tape)
     if tape.text == text:
         return base
-    ends: dict[str, list[Span]] = {k: [s for s in base if s[0] == k] for k in KINDS}
-    added = []
+    added, waiting = [], {k: [s for s in base if s[0] == k][::-1] for k in KINDS}
     for kind, start, end in base_spans(tape.text):
         a, b = tape.source(start, end)
-        same = ends[kind]
-        while same and same[0][2] <= a:
-            same.pop(0)
-        if not same or same[0][1] >= b:
+        same = waiting[kind]  # those of a kind don't overlap, so the next that ends behind a is the only one that can hold it
+        while same and same[-1][2] <= a:
+            same.pop()
+        if not (same and same[-1][1] <= a and b <= same[-1][2]):
             added.append((kind, a, b))
     return sorted([*base, *added], key=_order)
 
