@@ -361,4 +361,4 @@ def sensitive_names(facts: DataFrame) -> DataFrame:
 
 def unmasked(sensitive: DataFrame, masked: DataFrame, on: list[str]) -> DataFrame:
     """Sensitive entries without a masking entry."""
-    return sensitive.join(masked.select(*on).distinct(), on, "left_anti")
+    return sensitive.join(masked.select(*on), on, "left_anti")

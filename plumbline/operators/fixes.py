@@ -14,7 +14,8 @@ from plumbline.functions import fixed_values as V
 from plumbline.functions import predicates as P
 from plumbline.operators import columns as C
 from plumbline.operators.profile import column_profile
-from plumbline.operators.spread import chunked_running_sum, first_per_group, keyed_filter, top_per_group
+from plumbline.operators.spread import chunked_running_sum, first_per_group, keyed_filter, range_chunks, top_per_group
+from plumbline.session import cut_lineage
 from plumbline.sources.facts import falsy, kind_of
 
 # ---- plans ----
@@ -46,12 +47,13 @@ def compact_plan(
     """Bins of small files to merge: (table_name, bin, n_files, total_bytes).
 
     Small files are laid end to end in path order and cut every ``target_bytes``.
-    The running sum works per ``chunk`` (a prefix of the path unless given), so a
-    table with very many files is not ordered in one task.
+    The running sum works per ``chunk`` (ranges of about equally many paths unless given), so a
+    table with very many files is not ordered in one task, whatever its files are called.
     """
     small = files.filter(F.col("size") < small_below).select("table_name", "path", "size")
-    placed = chunked_running_sum(
-        small, ["table_name"], ["path"], "size", F.substring("path", 1, 7) if chunk is None else chunk, "_end")
+    if chunk is None:
+        small, chunk = range_chunks(small, ["table_name", "path"])
+    placed = chunked_running_sum(small, ["table_name"], ["path"], "size", chunk, "_end")
     cut = F.floor((F.col("_end") - F.col("size")) / F.lit(target_bytes)).cast("bigint")
     return placed.withColumn("bin", cut).groupBy("table_name", "bin").agg(
         F.count(F.lit(1)).alias("n_files"), F.sum("size").alias("total_bytes"))
@@ -201,19 +203,18 @@ def clean_names(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn("cleaned", cleaned).withColumn("is_changed", F.col("cleaned") != F.col(column))
 
 
-def fill_formats(df: DataFrame, name: str, fmt: str, visible: Column | None = None) -> DataFrame:
+def fill_formats(df: DataFrame, name: str, fmt: str, visible: Column | None = None, expression: str | None = None) -> DataFrame:
     from plumbline.operators.text import format_inference
-    inferred = format_inference(df, name, "_inferred")
+    inferred = format_inference(df, name, "_inferred", expression)
     fill = P.blank(F.col(fmt)) if visible is None else P.blank(F.col(fmt)) & visible
     return inferred.withColumn(fmt, F.when(fill, F.col("_inferred")).otherwise(F.col(fmt))).drop("_inferred")
 
 
 def fill_descriptions(df: DataFrame, name: str, description: str, expression: str | None = None, label: str = "Table") -> DataFrame:
-    """Blank descriptions become "label: name", for expressions with their first 100 characters."""
+    """Blank descriptions become "label: name", for expressions with the whole expression."""
     text = F.concat(F.lit(f"{label}: "), F.col(name))
     if expression is not None:
-        shown = F.when(F.length(expression) > 100, F.concat(F.left(expression, F.lit(100)), F.lit("..."))).otherwise(F.col(expression))
-        text = F.concat(text, F.lit(" = "), shown)
+        text = F.concat(text, F.lit(" = "), F.col(expression))
     return df.withColumn(description, F.when(P.blank(F.col(description)), text).otherwise(F.col(description)))
 
 
@@ -243,18 +244,24 @@ def drop_alias_records(df: DataFrame, record: str, aliases: DataFrame) -> DataFr
 
 
 def dedup_records(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """First record per key; each task ships one row per key."""
-    return first_per_group(df, keys, [F.asc(order)])
+    """First record per key; each task ships one row per key. Ties go by the other columns."""
+    return first_per_group(df, keys, _whole_order(df, order))
+
+
+def _whole_order(df: DataFrame, order: str) -> list[Column]:
+    """``order``, then every other column that can be ordered, so that a repeated run keeps the same rows."""
+    rest = [f.name for f in df.schema.fields if f.name != order and not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    return [F.asc(order), *[F.asc(f"`{c}`") for c in rest]]
 
 
 def trim_members(df: DataFrame, groups: list[str], order: str, keep: int = 5) -> DataFrame:
-    return top_per_group(df, groups, [F.asc(order)], keep)
+    """The first ``keep`` rows of each group; ties go by the other columns."""
+    return top_per_group(df, groups, _whole_order(df, order), keep)
 
 
 def excess_rows(df: DataFrame, groups: list[str], order: str, keep: int = 5) -> DataFrame:
-    """The members ``trim_members`` would drop: everything not among the kept."""
-    kept = trim_members(df.select(*groups, order), groups, order, keep)
-    return keyed_filter(df, kept, [(order, order)], keep=False)
+    """The rows ``trim_members`` would drop, each as often as it is dropped; counted, so no group meets in one task."""
+    return df.exceptAll(trim_members(df, groups, order, keep))
 
 
 def drop_orphans(child: DataFrame, parent: DataFrame, on: list[tuple[str, str]]) -> DataFrame:
@@ -305,7 +312,10 @@ def repair_view_source(triaged: DataFrame, matches: DataFrame, view: str = "name
     action = (F.when(state == "healthy", "none").when(state == "disabled", "enable")
               .when(state == "broken", "investigate").when(F.col("new_source").isNull(), "no match")
               .otherwise("recreate"))
-    text = F.when(action == "recreate", F.replace(F.col("query"), F.col("source_table"), F.col("new_source")))
+    # whole names only: d1 is no part of d10
+    name = F.concat(F.lit(r"(?<!\w)\Q"), F.col("source_table"), F.lit(r"\E(?!\w)"))
+    new = F.regexp_replace("new_source", r"([\\$])", r"\\$1")
+    text = F.when(action == "recreate", F.regexp_replace(F.col("query"), name, new))
     return joined.withColumn("action", action).withColumn("new_query", text)
 
 
@@ -330,19 +340,17 @@ def surrogate_keys(df: DataFrame, column: str, key: str) -> tuple[DataFrame, Dat
     return dimension, df.join(dimension, column, "left").drop(column)
 
 
-def extract_dimension(df: DataFrame, column: str, key: str, max_values: int = 1000) -> tuple[DataFrame, DataFrame]:
-    """(dimension, fact) for a low-cardinality column; the key follows the order of the values.
+def extract_dimension(df: DataFrame, column: str, key: str) -> tuple[DataFrame, DataFrame]:
+    """(dimension, fact); the key follows the order of the values, however many there are.
 
-    The number of values is checked first; more than ``max_values`` need surrogate_keys.
+    Values are numbered in ranges and the ranges are shifted by the sizes of those before.
+    The dimension is written, so that Spark knows its size when it joins.
     """
-    values = [r[0] for r in df.filter(F.col(column).isNotNull()).select(column).distinct().limit(max_values + 1).collect()]
-    if len(values) > max_values:
-        raise ValueError(f"{column} has more than {max_values} values; use surrogate_keys")
-    rows = [(i, v) for i, v in enumerate(sorted(values), start=1)]
-    schema = T.StructType([T.StructField(key, T.LongType()), T.StructField(column, df.schema[column].dataType)])
-    dimension = df.sparkSession.createDataFrame(rows, schema)
-    # bounded by max_values
-    return dimension, df.join(F.broadcast(dimension), column, "left").drop(column)
+    values, chunk = range_chunks(df.filter(F.col(column).isNotNull()).select(column).distinct(), [column])
+    ones = values.withColumn("_one", F.lit(1))
+    numbered = chunked_running_sum(ones, [], [column], "_one", chunk, key).select(F.col(key).cast("bigint"), column)
+    dimension = cut_lineage(numbered, "dimension")
+    return dimension, df.join(dimension, column, "left").drop(column)
 
 
 def retype_columns(df: DataFrame, types: dict[str, str], reject: str = "rejected") -> DataFrame:

@@ -78,7 +78,9 @@ def version_parts(version: Column) -> Column:
 
 def version_check(df: DataFrame, version: str, floor: tuple[int, ...]) -> DataFrame:
     """Rows whose dotted version is below ``floor``; blank versions are skipped."""
-    return df.filter(~P.blank(F.col(version)) & (version_parts(F.col(version)) < F.array(*[F.lit(n) for n in floor])))
+    parts = version_parts(F.col(version))
+    padded = F.concat(parts, F.array_repeat(F.lit(0), F.greatest(F.lit(len(floor)) - F.size(parts), F.lit(0))))
+    return df.filter(~P.blank(F.col(version)) & (padded < F.array(*[F.lit(n) for n in floor])))
 
 
 def inventory_counts(items: DataFrame, keys: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions import predicates as P
 from plumbline.operators.spread import chunked_pairs, exact_percentile, keyed_filter, top_per_group
@@ -60,6 +61,16 @@ def unused_parents(parent: DataFrame, child: DataFrame, on: list[tuple[str, str]
     return keyed_filter(parent, child, on, keep=False)
 
 
+def _common_type(a: T.DataType, b: T.DataType) -> str:
+    if a == b:
+        return a.simpleString()
+    if isinstance(a, T.NumericType) and isinstance(b, T.NumericType):
+        whole = isinstance(a, T.IntegralType) and isinstance(b, T.IntegralType)
+        return "bigint" if whole else "double"
+    times = (T.DateType, T.TimestampType, T.TimestampNTZType)
+    return "timestamp_ntz" if isinstance(a, times) and isinstance(b, times) else "string"
+
+
 def fk_discovery(
     pairs: Iterable[tuple[str, DataFrame, str, str, DataFrame, str]], threshold: float = 0.0,
 ) -> DataFrame:
@@ -67,14 +78,16 @@ def fk_discovery(
 
     ``pairs`` holds (child name, child, column, parent name, parent, column). Both
     sides are reduced to distinct values and meet in one grouping, so a hot
-    reference value costs one row per task and no join is needed.
+    reference value costs one row per task and no join is needed. Values are compared in
+    the pair's common type: whole numbers as such, other numbers as doubles, else as text.
     """
     frames = []
     for child_name, child, c, parent_name, parent, p in pairs:
         pair = f"{child_name}.{c} -> {parent_name}.{p}"
+        common = _common_type(child.schema[c].dataType, parent.schema[p].dataType)
         for side, df, col in (("c", child, c), ("p", parent, p)):
             frames.append(df.filter(f"`{col}` is not null").selectExpr(
-                f"'{pair}' as pair", f"cast(`{col}` as string) as value", f"{int(side == 'c')} as c", f"{int(side == 'p')} as p"))
+                f"'{pair}' as pair", f"cast(cast(`{col}` as {common}) as string) as value", f"{int(side == 'c')} as c", f"{int(side == 'p')} as p"))
     tagged = reduce(DataFrame.unionByName, frames)
     return (
         tagged.groupBy("pair", "value").agg(F.max("c").alias("c"), F.max("p").alias("p"))

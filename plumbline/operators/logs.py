@@ -21,8 +21,10 @@ def since(df: DataFrame, ts: str, as_of: str, days: int) -> DataFrame:
 
 
 def exact_mean(column: str) -> Column:
-    """Mean over an exact decimal sum, so the result does not depend on the order of rows."""
-    return F.sum(F.col(column).cast("decimal(18,4)")).cast("double") / F.count(column)
+    """Mean that doesn't depend on the order of rows where twelve decimals hold every value; else the mean of doubles."""
+    value, exact = F.col(column), F.col(column).try_cast("decimal(38,12)")
+    held = F.bool_and(value.isNull() | (exact.cast("double") == value.cast("double")))
+    return F.coalesce(F.when(held, F.try_sum(exact).cast("double") / F.count(column)), F.avg(value.cast("double")))
 
 
 def succeeded(log: DataFrame) -> DataFrame:
@@ -42,16 +44,19 @@ def slow_total(log: DataFrame, slow_ms: float = 60 * SECOND) -> DataFrame:
 
 
 def query_templates(log: DataFrame) -> DataFrame:
-    """Runs per text template (first 300 characters, cut before the shuffle)."""
-    return succeeded(log).groupBy(F.left("query_text", F.lit(300)).alias("query_text")).agg(
-        F.count(F.lit(1)).alias("n_runs"), exact_mean("elapsed_ms").alias("avg_ms"), F.max("elapsed_ms").alias("max_ms"))
+    """Runs per text: grouped by a digest of the whole text, shown by its first 300 characters."""
+    digest = F.sha2(F.col("query_text").cast("binary"), 256).alias("digest")
+    return succeeded(log).groupBy(digest).agg(
+        F.min(F.left("query_text", F.lit(300))).alias("query_text"), F.count(F.lit(1)).alias("n_runs"),
+        exact_mean("elapsed_ms").alias("avg_ms"), F.max("elapsed_ms").alias("max_ms"))
 
 
 def frequent_queries(log: DataFrame, k: int | None = 15, min_runs: int = 10, slow_ms: float = 10 * SECOND) -> DataFrame:
     """Templates by number of runs; flagged when both frequent and slow."""
     flagged = query_templates(log).withColumn(
         "is_hot", (F.col("n_runs") > min_runs) & (F.col("avg_ms") > slow_ms))
-    return flagged if k is None else flagged.orderBy(F.desc("n_runs"), "query_text").limit(k)
+    top = flagged if k is None else flagged.orderBy(F.desc("n_runs"), "query_text", "digest").limit(k)
+    return top.drop("digest")
 
 
 def failed_queries(log: DataFrame, k: int = 10) -> DataFrame:

@@ -21,9 +21,10 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 
 
 def _as_text(value: str, data_type: T.DataType) -> str:
-    """One spelling per value across types: fractions with six digits, times with microseconds."""
+    """One spelling per value across types: fractions with six digits where that is exact, times with microseconds."""
     if isinstance(data_type, (T.DoubleType, T.FloatType)):
-        return f"coalesce(cast(try_cast({value} as decimal(38,6)) as string), cast({value} as string))"
+        plain = f"try_cast({value} as decimal(38,6))"
+        return f"if(cast({plain} as double) = cast({value} as double), cast({plain} as string), cast({value} as string))"
     if isinstance(data_type, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         return f"date_format({value}, '{TIME_TEXT}')"
     return f"cast({value} as string)"
@@ -61,7 +62,7 @@ def _stats(table: str, df: DataFrame, fields: list[T.StructField], sketch: int |
         distinct = f"nd{i}" if sketch is not None else "cast(null as bigint)"
         cells.append(
             f"named_struct('table_name', {_literal(table)}, 'column_name', {_literal(f.name)}, 'kind', '{kind}', "
-            f"'n_rows', n, 'n_nulls', n - c{i}, 'n_distinct', {distinct}, "
+            f"'n_rows', n, 'n_nulls', n - c{i}, 'approx_distinct', {distinct}, "
             f"'min_value', {_as_text(f'lo{i}', f.dataType)}, 'max_value', {_as_text(f'hi{i}', f.dataType)}, "
             f"'max_len', cast(coalesce(len{i}, 0) as bigint))")
     return df.selectExpr(*aggs).selectExpr(f"inline(array({', '.join(cells)}))")
@@ -113,14 +114,12 @@ def _distinct_counts(tables: Mapping[str, DataFrame], fields: Mapping[str, list[
 
 def column_profile(
     tables: Mapping[str, DataFrame], mode: str = "exact", columns: list[str] | None = None,
-    sketch_bits: int = 12, exact_below: int = 100_000,
+    sketch_bits: int = 12,
 ) -> DataFrame:
     """One row per scalar column: kind, rows, nulls, distinct, min, max, longest text.
 
-    ``exact`` counts distinct values exactly. ``approx`` is a single scan with
-    sketches. ``hybrid`` sketches first and recounts exactly only the columns
-    whose sketch is below ``exact_below``; those shuffle little, and small
-    counts are where the audit thresholds sit.
+    ``exact`` gives ``n_distinct``, counted exactly. ``approx`` is a single scan and gives
+    ``approx_distinct`` from sketches instead; no rule reads that column. ``hybrid`` gives both.
     """
     if mode not in ("exact", "approx", "hybrid"):
         raise ValueError(f"unknown mode {mode!r}")
@@ -130,20 +129,8 @@ def column_profile(
     stats = _union([_stats(t, df, fields[t], sketch) for t, df in tables.items()])
     if mode == "approx":
         return stats
-    if mode == "hybrid":
-        stats = stats.persist()
-        small = {(r.table_name, r.column_name)
-                 for r in stats.filter(F.col("n_distinct") < exact_below)
-                 .select("table_name", "column_name").collect()}
-        fields = {t: [f for f in fs if (t, f.name) in small] for t, fs in fields.items()}
-        tables = {t: df for t, df in tables.items() if fields[t]}
-        if not tables:
-            return stats
-    exact = _distinct_counts(tables, fields).withColumnRenamed("n_distinct", "_exact")
-    return (
-        stats.join(exact, ["table_name", "column_name"], "left")
-        .withColumn("n_distinct", F.coalesce("_exact", "n_distinct")).drop("_exact")
-    )
+    counted = stats.join(_distinct_counts(tables, fields), ["table_name", "column_name"], "left")
+    return counted if mode == "hybrid" else counted.drop("approx_distinct")
 
 
 # ---- reports over a profile (one row per column, so everything below is small) ----
@@ -158,15 +145,14 @@ def table_overview(profile: DataFrame, large: int = 5000, medium: int = 1000) ->
         .when(F.col("total_max_len") > medium, "medium").otherwise("small"))
 
 
-def memory_hotspots(profile: DataFrame, k: int = 20) -> DataFrame:
+def memory_hotspots(profile: DataFrame, k: int | None = 20) -> DataFrame:
+    """The ``k`` costliest columns, or all with None."""
     cost = F.col("n_distinct") * F.col("max_len")
     weight = (F.when(cost > 1_000_000, "very high").when(cost > 100_000, "high")
               .when(cost > 10_000, "medium").otherwise("low"))
-    return (
-        profile.filter("max_len > 0 and n_distinct > 0")
-        .select("table_name", "column_name", "n_distinct", "max_len", cost.alias("memory_cost"), weight.alias("weight"))
-        .orderBy(F.desc("memory_cost"), "table_name", "column_name").limit(k)
-    )
+    spots = profile.filter("max_len > 0 and n_distinct > 0").select(
+        "table_name", "column_name", "n_distinct", "max_len", cost.alias("memory_cost"), weight.alias("weight"))
+    return spots if k is None else spots.orderBy(F.desc("memory_cost"), "table_name", "column_name").limit(k)
 
 
 def cardinality_histogram(profile: DataFrame) -> DataFrame:

@@ -10,18 +10,22 @@ from pyspark.sql import functions as F
 from plumbline.functions import fixed_values as V
 from plumbline.operators.spread import top_per_group
 
-FINDING_COLUMNS = ("rule_id", "table_name", "column_name", "target", "detail")
+FINDING_COLUMNS = ("rule_id", "table_name", "column_name", "target", "detail", "level")
 
 
 def findings(df: DataFrame, rule_id: str | Column, target: Column | None = None, detail: Column | None = None) -> DataFrame:
-    """Shape the rows of any audit operator into findings."""
+    """Shape the rows of any audit operator into findings.
+
+    A column ``level`` that says FAIL raises the rule's status; a finding with a level and no target is no issue of its own.
+    """
     table = F.col("table_name") if "table_name" in df.columns else F.lit(None).cast("string")
     column = F.col("column_name") if "column_name" in df.columns else F.lit(None).cast("string")
     name = F.concat(table, F.when(column.isNotNull(), F.concat(F.lit("["), column, F.lit("]"))).otherwise(F.lit("")))
     return df.select(
         (F.lit(rule_id) if isinstance(rule_id, str) else rule_id).alias("rule_id"), table.alias("table_name"), column.alias("column_name"),
         (name if target is None else target).cast("string").alias("target"),
-        (F.lit(None).cast("string") if detail is None else detail.cast("string")).alias("detail"))
+        (F.lit(None).cast("string") if detail is None else detail.cast("string")).alias("detail"),
+        (F.col("level") if "level" in df.columns else F.lit(None)).cast("string").alias("level"))
 
 
 def union_findings(frames: list[DataFrame]) -> DataFrame:
@@ -33,12 +37,15 @@ def offender_sample(found: DataFrame, k: int = 5) -> DataFrame:
 
     Counting is map-side; the sample ships at most ``k`` rows of a rule per task.
     """
-    counts = found.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n_issues"))
-    shown = top_per_group(found.select("rule_id", "target"), ["rule_id"], [F.asc("target")], k)
+    found = found if "level" in found.columns else found.withColumn("level", F.lit(None).cast("string"))
+    issue = F.col("target").isNotNull() | F.col("level").isNull()
+    counts = found.groupBy("rule_id").agg(
+        F.count_if(issue).alias("n_issues"), F.max(F.col("level") == "FAIL").alias("raised"))
+    shown = top_per_group(found.filter(issue).select("rule_id", "target"), ["rule_id"], [F.asc("target")], k)
     lists = shown.groupBy("rule_id").agg(F.sort_array(F.collect_list("target")).alias("sample"))
     more = F.when(F.col("n_issues") > k, F.concat(F.lit(" +"), (F.col("n_issues") - k).cast("string"), F.lit(" more")))
     return counts.join(lists, "rule_id", "left").select(
-        "rule_id", "n_issues",
+        "rule_id", "n_issues", F.coalesce("raised", F.lit(False)).alias("raised"),
         F.concat(F.array_join(F.coalesce("sample", F.array()), ", "), F.coalesce(more, F.lit(""))).alias("sample"))
 
 
@@ -55,7 +62,8 @@ def findings_to_rules(
     n = F.coalesce("n_issues", F.lit(0))
     failed = F.col("rule_id").isin(list(errors)) if errors else F.lit(False)
     missing = F.col("rule_id").isin(list(absent)) if absent else F.lit(False)
-    status = (F.when(failed, "ERROR").when(missing, "N/A").when(n == 0, "PASS").otherwise(F.col("on_hit")))
+    status = (F.when(failed, "ERROR").when(missing, "N/A").when(n == 0, "PASS")
+              .when(F.col("raised"), "FAIL").otherwise(F.col("on_hit")))
     text = F.when(n == 0, "No issues found.").otherwise(
         F.concat(n.cast("string"), F.lit(" issue(s): "), F.coalesce("sample", F.lit(""))))
     if errors:

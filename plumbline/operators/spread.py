@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from plumbline.session import cut_lineage
+
 
 def top_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
     """The first ``k`` rows of each group.
@@ -24,10 +26,10 @@ def first_per_group(df: DataFrame, keys: list[str], order: list[Column]) -> Data
 def keyed_filter(df: DataFrame, members: DataFrame, on: list[tuple[str, str]], keep: bool = True) -> DataFrame:
     """Rows of ``df`` whose key is (or is not) in ``members``.
 
-    ``members`` is reduced to distinct keys first, so each key meets one row
-    there and adaptive execution may split a skewed partition of ``df`` freely.
+    Both sides reach the join straight from their shuffles, so adaptive execution can split a
+    skewed partition of ``df``. (A distinct on the members would stand between and prevent that.)
     """
-    keys = members.select(*[F.col(m).alias(f"_k{i}") for i, (_, m) in enumerate(on)]).distinct()
+    keys = members.select(*[F.col(m).alias(f"_k{i}") for i, (_, m) in enumerate(on)])
     cond = [df[d] == keys[f"_k{i}"] for i, (d, _) in enumerate(on)]
     return df.join(keys, cond, "left_semi" if keep else "left_anti")
 
@@ -54,6 +56,12 @@ def chunked_running_sum(
     )
 
 
+def range_chunks(df: DataFrame, order: list[str]) -> tuple[DataFrame, Column]:
+    """``df`` and a chunk of it that rises along ``order``: ranges of about equally many rows, written once."""
+    dealt = df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    return cut_lineage(dealt, "ranges"), F.col("_range")
+
+
 def chunked_pairs(
     df: DataFrame, key: str, order: list[str], value: str, chunk: Column,
 ) -> DataFrame:

@@ -133,10 +133,11 @@ def compression_ratio(parts: DataFrame, below: float = 40.0, min_bytes: int = 10
         (F.col("saved_pct") < below) & (F.col("original_bytes") > min_bytes))
 
 
-def storage_by_table(df: DataFrame, table: str, size: str, k: int = 20) -> DataFrame:
-    return (df.groupBy(F.col(table).alias("table_name"))
-            .agg(F.count(F.lit(1)).alias("n_rows"), F.sum(size).alias("total_bytes"))
-            .orderBy(F.desc("total_bytes"), "table_name").limit(k))
+def storage_by_table(df: DataFrame, table: str, size: str, k: int | None = 20) -> DataFrame:
+    """The ``k`` largest tables, or all with None."""
+    sums = df.groupBy(F.col(table).alias("table_name")).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum(size).alias("total_bytes"))
+    return sums if k is None else sums.orderBy(F.desc("total_bytes"), "table_name").limit(k)
 
 
 def hot_cold(df: DataFrame, entity: str, is_hot: Column, below: float = 0.5) -> DataFrame:

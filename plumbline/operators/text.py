@@ -80,10 +80,11 @@ def alias_records(df: DataFrame, record: str, name: str, reference: Column | Non
     alias when it names another record; without it, when an earlier record has its name.
     """
     if reference is not None:
-        names = df.groupBy(F.col(name).alias("_target")).agg(F.min(record).alias("target_record"))
+        # written, so that the join meets a plain table and a hot name can be split
+        names = cut_lineage(df.groupBy(F.col(name).alias("_target")).agg(F.min(record).alias("target_record")), "names")
         pointed = df.withColumn("_target", reference).filter(F.col("_target").isNotNull() & (F.col("_target") != F.col(name)))
         return pointed.join(names, "_target").drop("_target")
-    first = df.groupBy(name).agg(F.min(record).alias("target_record"))
+    first = cut_lineage(df.groupBy(name).agg(F.min(record).alias("target_record")), "names")
     return df.join(first, name).filter(F.col(record) > F.col("target_record"))
 
 
@@ -177,9 +178,13 @@ def best_source_match(
     return first_per_group(pairs, ["text_id"], [F.desc("n_shared"), F.asc("candidate_id")])
 
 
-def format_inference(df: DataFrame, name: str, out: str = "format") -> DataFrame:
+def format_inference(df: DataFrame, name: str, out: str = "format", expression: str | None = None) -> DataFrame:
+    """Format from the name; a division with a percent sign in the name or percent in the expression is a percentage too."""
     low = F.lower(name)
     picks = [F.when(low.rlike(pattern), F.lit(fmt)) for pattern, fmt in V.FORMAT_CLASSES]
+    if expression is not None:
+        text = F.lower(expression)
+        picks.insert(0, F.when(text.contains("divide") & (low.contains("%") | text.contains("percent")), F.lit(V.FORMAT_CLASSES[0][1])))
     return df.withColumn(out, F.coalesce(*picks, F.lit(V.FORMAT_DEFAULT)))
 
 

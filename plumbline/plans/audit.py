@@ -145,9 +145,9 @@ def profile_findings(profile: DataFrame, facts: DataFrame) -> tuple[DataFrame, s
     return R.union_findings(found), set(by_column) | set(by_table) | {"SM-009", "SM-010", "SM-018"}
 
 
-def input_rules(inp: Inputs) -> dict[str, Callable[[], DataFrame]]:
-    """Rules over logs, settings, graphs and inventories, for the inputs at hand."""
-    out: dict[str, Callable[[], DataFrame]] = {}
+def input_rules(inp: Inputs) -> dict[str | tuple[str, ...], Callable[[], DataFrame]]:
+    """Rules over logs, settings, graphs and inventories, for the inputs at hand. Several rules of one frame have its rule_id."""
+    out: dict[str | tuple[str, ...], Callable[[], DataFrame]] = {}
 
     def table(df: DataFrame, column: str) -> DataFrame:
         return df.select(F.col(column).cast("string").alias("table_name"))
@@ -155,12 +155,16 @@ def input_rules(inp: Inputs) -> dict[str, Callable[[], DataFrame]]:
     refs = list(inp.references)
     if refs:
         def broken() -> DataFrame:
+            # one row a reference, with its missing keys and their rows
             return R.union_findings([
-                I.orphan_summary(inp.tables[c], inp.tables[p], (ck, pk)).select(
-                    F.lit(c).alias("table_name"), F.lit(ck).alias("column_name")).limit(1)
+                I.orphan_summary(inp.tables[c], inp.tables[p], (ck, pk)).agg(
+                    F.count(F.lit(1)).alias("n_keys"), F.sum("n_rows").alias("n_rows")).filter("n_keys > 0").select(
+                    F.lit(c).alias("table_name"), F.lit(ck).alias("column_name"),
+                    F.format_string("%d rows of %d keys without a parent", "n_rows", "n_keys").alias("note"))
                 for c, ck, p, pk in refs])
         out["WH-009"] = broken
-        out["WH-014"] = lambda: column_facts(inp.tables).select("table_name").distinct().filter(
+        if len(inp.tables) > 3:  # too few tables tell nothing
+            out["WH-014"] = lambda: column_facts(inp.tables).select("table_name").distinct().filter(
             ~F.col("table_name").isin([c for c, *_ in refs] + [p for *_, p, _ in refs]))
     if inp.commits is not None and inp.as_of:
         history = S.maintenance_history(inp.commits, inp.as_of)
@@ -184,10 +188,10 @@ def input_rules(inp: Inputs) -> dict[str, Callable[[], DataFrame]]:
     if inp.settings is not None:
         spark = inp.settings.sparkSession
         from plumbline.plans.catalog import SETTING_RULES
-        for rule in sorted({r[0] for r in SETTING_RULES} - {"LH-027"}):
-            only = [r for r in SETTING_RULES if r[0] == rule]
-            out[rule] = lambda only=only: table(
-                S.property_audit(inp.settings, setting_rules_frame(spark, only)), "entity")
+        # all setting rules in one scan of the settings
+        rules = [r for r in SETTING_RULES if r[0] != "LH-027"]
+        out[tuple(sorted({r[0] for r in rules}))] = lambda: S.property_audit(inp.settings, setting_rules_frame(spark, rules)).select(
+            "rule_id", F.col("entity").cast("string").alias("table_name"))
     if inp.extents is not None:
         out["EH-002"] = lambda: S.extent_fragmentation(inp.extents)
         out["EH-003"] = lambda: S.compression_ratio(inp.extents)
@@ -198,7 +202,8 @@ def input_rules(inp: Inputs) -> dict[str, Callable[[], DataFrame]]:
         out["WH-025"] = lambda: table(log.filter("status = 'Failed'"), "query_id")
         out["EH-009"] = out["WH-025"]
         if inp.as_of:
-            out["WH-039"] = lambda: table(L.recent_health(log, inp.as_of).filter("status in ('WARN', 'FAIL')"), "status")
+            out["WH-039"] = lambda: L.recent_health(log, inp.as_of).filter("status in ('WARN', 'FAIL')").select(
+                F.col("status").alias("table_name"), F.when(F.col("status") == "FAIL", "FAIL").alias("level"))
             out["EH-008"] = lambda: table(L.command_profile(log, inp.as_of, exact=False).filter("is_slow"), "command_type")
             out["EH-026"] = lambda: table(L.command_profile(log, inp.as_of, exact=False), "command_type")
     if inp.ingest is not None and inp.as_of:
@@ -209,7 +214,11 @@ def input_rules(inp: Inputs) -> dict[str, Callable[[], DataFrame]]:
         out["EH-025"] = lambda: table(L.stale_views(inp.views, inp.as_of), "name")
     if inp.edges is not None:
         flags = G.edge_flags(inp.edges)
-        out["SM-021"] = lambda: table(flags.filter("check = 'bidirectional' and n_hits > 0"), "check")
+        bidirectional = inp.edges.filter(F.lower(F.col("cross_filter")).isin("2", "both", "bothdirections"))
+        level = G.edge_flags(inp.edges).filter("check = 'bidirectional'").select(F.col("status").alias("level"))
+        # every such edge is an issue; one row says whether they are too many
+        out["SM-021"] = lambda: bidirectional.select(_label("src", "dst").alias("table_name"), F.lit(None).cast("string").alias("level")).unionByName(
+            level.filter("level = 'FAIL'").select(F.lit(None).cast("string").alias("table_name"), "level"))
         out["SM-022"] = lambda: table(flags.filter("check = 'implicit_summary' and n_hits > 0"), "check")
         out["SM-027"] = lambda: table(flags.filter("check = 'inactive' and n_hits > 0"), "check")
         out["SM-026"] = lambda: table(G.node_degree(inp.edges, 5), "node")
@@ -219,10 +228,12 @@ def input_rules(inp: Inputs) -> dict[str, Callable[[], DataFrame]]:
             out["SM-023"] = lambda: table(G.disconnected_nodes(inp.nodes, "node", inp.edges, exempt="date|calendar"), "node")
     if inp.expressions is not None:
         ex = inp.expressions
-        for rule, pattern, negated in V.EXPRESSION_PATTERNS:
-            out[rule] = lambda r=(rule, pattern, negated): table(X.pattern_audit(ex.select("name", "text"), "text", [r]), "name")
-        for rule, pattern, limit in V.OCCURRENCE_PATTERNS:
-            out[rule] = lambda r=(rule, pattern, limit): table(X.occurrence_audit(ex.select("name", "text"), "text", [r]), "name")
+        # all patterns of a kind in one scan of the expressions
+        named = ex.select("name", "text")
+        out[tuple(r[0] for r in V.EXPRESSION_PATTERNS)] = lambda: X.pattern_audit(named, "text", V.EXPRESSION_PATTERNS).select(
+            "rule_id", F.col("name").cast("string").alias("table_name"))
+        out[tuple(r[0] for r in V.OCCURRENCE_PATTERNS)] = lambda: X.occurrence_audit(named, "text", V.OCCURRENCE_PATTERNS).select(
+            "rule_id", F.col("name").cast("string").alias("table_name"))
         out["SM-005"] = lambda: table(X.normalized_duplicates(ex, "name", "text"), "first_record")
         out["SM-012"] = lambda: table(X.alias_records(ex.select("id", "name", "text"), "id", "name", X.bracket_reference(F.col("text"))), "name")
         out["SM-015"] = lambda: table(X.missing_metadata(ex, "name", ["format"], F.col("is_visible")), "name")
@@ -268,14 +279,16 @@ def collect_findings(inp: Inputs, mode: str = "exact") -> tuple[DataFrame, tuple
         profile = cut_lineage(PR.column_profile(inp.tables, mode), "profile")
         found, known = profile_findings(profile, column_facts(inp.tables))
         frames.append(found)
-    rules = input_rules(inp)
-    for rule, build in rules.items():
+    for rule, build in input_rules(inp).items():
+        several = isinstance(rule, tuple)
+        known = known | (set(rule) if several else {rule})
         try:
-            frames.append(R.findings(build(), rule))
+            frames.append(R.findings(build(), F.col("rule_id") if several else rule))
         except AnalysisException as problem:
-            errors[rule] = str(problem).splitlines()[0][:200]
-    absent = tuple(r for r, *_ in RULES if r not in rules and r not in known)
-    return R.union_findings(frames), absent, errors
+            errors.update(dict.fromkeys(rule if several else [rule], str(problem)))
+    absent = tuple(r for r, *_ in RULES if r not in known)
+    # counted and sampled from what is written, so every input is read once
+    return cut_lineage(R.union_findings(frames), "findings"), absent, errors
 
 
 def run_audit(

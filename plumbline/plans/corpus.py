@@ -178,3 +178,12 @@ def named_parts(t):
     stems = F.array(*[F.lit(s) for s in ("Conversion Rate ", "Unit PRICE ", "average ", "Sales pct ", "mean cost ", "rows ")])
     return t.part.select("p_partkey", F.concat(
         F.element_at(stems, (F.col("p_partkey") % 6).cast("int") + 1), "p_name").alias("name"))
+
+
+@query("format_inference_expression", """
+SELECT p_partkey, CASE WHEN p_partkey % 3 < 2 THEN '0.0%' ELSE '#,0' END AS format FROM part""")
+def format_inference_expression(t):
+    kind = F.col("p_partkey") % 3
+    name = F.when(kind == 0, "% done").otherwise("rows done")
+    text = F.when(kind == 0, "DIVIDE(a, b)").when(kind == 1, "Divide([percent of all], b)").otherwise("SUM(percent)")
+    return X.format_inference(t.part.select("p_partkey", name.alias("name"), text.alias("text")), "name", expression="text").select("p_partkey", "format")

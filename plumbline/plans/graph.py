@@ -140,3 +140,12 @@ FROM b JOIN n USING (source, lang)""")
 def estate_report(t):
     from plumbline.operators.report import estate_report as report
     return report(t.documents, "source", "lang", name="doc_id")
+
+
+@query("version_check_short", """
+SELECT p_partkey, version FROM (SELECT p_partkey, CASE CAST(p_size % 3 AS INTEGER) WHEN 0 THEN '10' WHEN 1 THEN '9.12' ELSE '10.0.1' END AS version FROM part)
+WHERE version = '9.12'""")
+def version_check_short(t):
+    size = F.col("p_size") % 3
+    version = F.when(size == 0, "10").when(size == 1, "9.12").otherwise("10.0.1")
+    return G.version_check(t.part.select("p_partkey", version.alias("version")), "version", (10, 0))

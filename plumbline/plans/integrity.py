@@ -123,3 +123,8 @@ def fk_skew(t):
             .unionByName(I.fk_skew(t.events, "user_id")))
 
 
+@query("fk_discovery_types", _pair_sql("orders", "o_custkey", "customer", "c_custkey"))
+def fk_discovery_types(t):
+    """A reference kept as double against a whole-number key."""
+    orders = t.orders.withColumn("o_custkey", F.col("o_custkey").cast("double"))
+    return I.fk_discovery([("orders", orders, "o_custkey", "customer", t.customer, "c_custkey")])

@@ -163,3 +163,15 @@ UNION ALL SELECT c_custkey, 'missing', NULL FROM customer c WHERE NOT EXISTS (SE
 def stale_statistics(t):
     orders = t.orders.filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"), "o_orderdate")
     return L.stale_statistics(t.customer, orders, "c_custkey", "o_orderdate", ORDERS_AS_OF)
+
+
+@query("long_templates", LOG + """
+SELECT left(query_text, 300) AS query_text, n_runs, avg_ms, max_ms, n_runs > 10 AND avg_ms > 0.00002 AS is_hot FROM (
+  SELECT repeat('x', 300) || command_type AS query_text, count(*) AS n_runs, max(ms) AS max_ms,
+         sum(ms::DECIMAL(38,12))::DOUBLE / count(ms) AS avg_ms
+  FROM (SELECT *, (query_id % 7) / 100000.0::DOUBLE AS ms FROM log) WHERE status = 'Succeeded' GROUP BY 1)""")
+def long_templates(t):
+    """Texts that differ only behind 300 characters, with very short times."""
+    rows = log(t).withColumns({
+        "query_text": F.concat(F.repeat(F.lit("x"), 300), "command_type"), "elapsed_ms": (F.col("query_id") % 7) / F.lit(100000.0)})
+    return L.frequent_queries(rows, k=None, slow_ms=0.00002)

@@ -350,3 +350,8 @@ def split_timestamp(t):
     return X.split_timestamp(t.events, "ts").select("event_id", "ts_date", "ts_second")
 
 
+@query("excess_shared", """
+SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) > 2""")
+def excess_shared(t):
+    """The order column repeats from group to group."""
+    return X.excess_rows(t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey"), ["l_orderkey"], "l_linenumber", keep=2)

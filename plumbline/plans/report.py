@@ -96,4 +96,4 @@ def issue_table(t):
 
 @query("offender_sample", FINDINGS + "SELECT rule_id, n_issues, sample FROM sampled")
 def offender_sample(t):
-    return R.offender_sample(sample_findings(t))
+    return R.offender_sample(sample_findings(t)).drop("raised")

@@ -36,7 +36,7 @@ def profile_cell(table: str, column: str, code: str, source: str | None = None,
     c = expr or column
     shown = {
         "i": "cast({}({}) as varchar)",
-        "d": "cast(cast({}({}) as decimal(38,6)) as varchar)",
+        "d": "(SELECT CASE WHEN v::decimal(38,6)::double = v THEN v::decimal(38,6)::varchar ELSE v::varchar END FROM (SELECT {}({}) AS v))",
         "s": "{}({})",
         "t": "strftime({}({}), '%Y-%m-%d %H:%M:%S.%f')",
     }[code]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.operators.logs import exact_mean
 from plumbline.session import scratch_path
 
 EVENT_SCHEMA = T.StructType([
@@ -38,7 +39,7 @@ def windowed_metrics(
     return (
         events.withWatermark(ts, lateness).groupBy(frame, *keys).agg(
             F.count(F.lit(1)).alias("n_events"),
-            (F.sum(F.col(value).cast("decimal(18,4)")).cast("double") / F.count(value)).alias("avg_value"),
+            exact_mean(value).alias("avg_value"),
             F.max(value).alias("max_value"), F.count_if(failed).alias("n_failed"))
         .select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"),
                 *keys, "n_events", "avg_value", "max_value", "n_failed")
@@ -97,7 +98,7 @@ def newest_view(spark: SparkSession, state: str) -> DataFrame:
 
 def daily_sums(events: DataFrame) -> DataFrame:
     return events.groupBy(F.to_date("ts").alias("day"), "event_type").agg(
-        F.count(F.lit(1)).alias("n_events"), F.sum(F.col("value").cast("decimal(18,4)")).cast("decimal(28,4)").alias("sum_value"))
+        F.count(F.lit(1)).alias("n_events"), F.try_sum(F.col("value").try_cast("decimal(38,12)")).alias("sum_value"))
 
 
 def drain(job: DataFrame, label: str, sink: str | None = None, checkpoint: str | None = None) -> str:

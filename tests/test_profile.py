@@ -55,12 +55,12 @@ def test_quotes_and_spaces_in_names(spark):
 def test_modes_agree(t):
     tables = t.pick(["orders", "events"])
     exact = {(r.table_name, r.column_name): r.n_distinct for r in P.column_profile(tables).collect()}
-    approx = {(r.table_name, r.column_name): r.n_distinct for r in P.column_profile(tables, "approx").collect()}
-    hybrid = {(r.table_name, r.column_name): r.n_distinct for r in P.column_profile(tables, "hybrid", exact_below=200).collect()}
+    approx = {(r.table_name, r.column_name): r.approx_distinct for r in P.column_profile(tables, "approx").collect()}
+    hybrid = {(r.table_name, r.column_name): r.n_distinct for r in P.column_profile(tables, "hybrid").collect()}
     for key, n in exact.items():
         assert approx[key] == pytest.approx(n, rel=0.06)
-        if n < 150:
-            assert hybrid[key] == n
+    assert hybrid == exact
+    assert "n_distinct" not in P.column_profile(tables, "approx").columns
     with pytest.raises(ValueError):
         P.column_profile(tables, "guess")
 
