@@ -5,6 +5,9 @@ Nothing is changed in place; ``write_copy`` refuses a path that already exists.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,6 +16,7 @@ from pyspark.sql import types as T
 from plumbline.functions import fixed_values as V
 from plumbline.functions import predicates as P
 from plumbline.operators import columns as C
+from plumbline.operators.logs import stale_statistics
 from plumbline.operators.profile import column_profile
 from plumbline.operators.spread import chunked_running_sum, first_per_group, keyed_filter, range_chunks, top_per_group
 from plumbline.session import cut_lineage
@@ -370,3 +374,17 @@ def split_timestamp(df: DataFrame, column: str) -> DataFrame:
     c = F.col(column)
     seconds = F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c)
     return df.withColumns({f"{column}_date": F.to_date(c), f"{column}_second": seconds.cast("int")}).drop(column)
+
+
+def compute_stats(tables: Mapping[str, DataFrame], newest: Mapping[str, str], as_of: str, days: int = 30) -> DataFrame:
+    """Profile of the tables whose newest row (by the column in ``newest``) is older than ``days``; one row a table reaches the driver."""
+    dates = reduce(DataFrame.unionByName, [
+        tables[name].agg(F.max(column).alias("ts")).select(F.lit(name).alias("name"), "ts") for name, column in newest.items()])
+    stale = {r.name for r in stale_statistics(dates.select("name"), dates, "name", "ts", as_of, days).collect()}
+    chosen = {name: df for name, df in tables.items() if name in stale}
+    return column_profile(chosen or {name: df.limit(0) for name, df in tables.items()}).filter(F.lit(bool(chosen)))
+
+
+def refresh_view(rows: DataFrame, stale: DataFrame, key: str, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The view built anew for the stale keys alone."""
+    return build(keyed_filter(rows, stale, [(key, key)]))

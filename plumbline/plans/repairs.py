@@ -12,6 +12,8 @@ from plumbline.operators import profile as P
 from plumbline.operators import report as R
 from plumbline.operators import storage as S
 from plumbline.operators import text as TX
+from plumbline.plans.apply import apply_plan as run_plan
+from plumbline.plans.apply import transforms
 from plumbline.plans.catalog import fixes_frame
 from plumbline.plans.corpus import EXPRESSIONS, OVERLAP, _expression, named_parts
 from plumbline.plans.graph import FLAGGED, flagged_edges
@@ -111,11 +113,7 @@ def retention_filter(t):
 @query("compute_stats", profile_sql(["orders"]))
 def compute_stats(t):
     """Profile only the tables whose newest row is too old."""
-    newest = (t.orders.agg(F.max("o_orderdate").alias("ts")).select(F.lit("orders").alias("name"), "ts")
-              .unionByName(t.events.agg(F.max("ts").alias("ts")).select(F.lit("events").alias("name"), "ts")))
-    tables = newest.select("name")
-    stale = [r.name for r in L.stale_statistics(tables, newest, "name", "ts", "2024-01-31", 30).collect()]
-    return P.column_profile(t.pick(stale))
+    return X.compute_stats(t.pick(["orders", "events"]), {"orders": "o_orderdate", "events": "ts"}, "2024-01-31", 30)
 
 
 @query("add_audit_columns", """
@@ -305,9 +303,8 @@ FROM events JOIN stale USING (user_id) GROUP BY ALL""")
 def refresh_view(t):
     stale = L.stale_views(event_views(t), AS_OF).select(
         F.regexp_extract("name", r"(\d+)$", 1).cast("bigint").alias("user_id"))
-    rows = X.drop_orphans(t.events, stale, [("user_id", "user_id")])
-    return rows.groupBy("user_id", F.to_date("ts").alias("day")).agg(
-        F.count(F.lit(1)).alias("n_events"), L.exact_mean("value").alias("avg_value"))
+    return X.refresh_view(t.events, stale, "user_id", lambda rows: rows.groupBy("user_id", F.to_date("ts").alias("day")).agg(
+        F.count(F.lit(1)).alias("n_events"), L.exact_mean("value").alias("avg_value")))
 
 
 @query("extract_dimension", """
@@ -355,3 +352,38 @@ SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem QUALIFY row_number() OV
 def excess_shared(t):
     """The order column repeats from group to group."""
     return X.excess_rows(t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey"), ["l_orderkey"], "l_linenumber", keep=2)
+
+
+@query("apply_plan", """
+WITH lost AS (SELECT count(*) AS n FROM labels l WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = l.doc_id)),
+twins AS (SELECT count(*) AS n FROM (SELECT DISTINCT p_name, p_brand, p_type FROM part))
+SELECT 'GW-010' AS fix_id, 'part[p_name,p_brand,p_type]' AS target, 'fixed' AS outcome, (SELECT n FROM twins) AS n_rows
+UNION ALL SELECT 'WH-009', 'labels[doc_id]', 'fixed', (SELECT count(*) FROM labels) - (SELECT n FROM lost)
+UNION ALL SELECT 'WH-009', 'nowhere[x]', 'skipped', NULL UNION ALL SELECT 'retention', 'labels', 'skipped', NULL""")
+def apply_plan(t):
+    """Orphans and repeated records repaired as planned, into the shared folder; what became of each target."""
+    found = t.spark.createDataFrame(
+        [("WH-009", "labels[doc_id]"), ("WH-009", "nowhere[x]"), ("GW-010", "part[p_name,p_brand,p_type]"), ("LH-021", "labels")],
+        "rule_id string, target string")
+    plan = X.fix_plan(found, fixes_frame(t.spark))
+    known = transforms(parents={"doc_id": (t.documents, "doc_id")}, order={"part": "p_partkey"})
+    done = run_plan(t.spark, plan, {"labels": t.labels, "part": t.part}, scratch_path(t.spark, "fixes"), known)
+    copies = [t.spark.read.parquet(r.path).agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(r.path).alias("path"), "n_rows")
+              for r in done.filter("path is not null").collect()]
+    counted = copies[0]
+    for c in copies[1:]:
+        counted = counted.unionByName(c)
+    return done.join(counted, "path", "left").select("fix_id", "target", "outcome", "n_rows")
+
+
+@query("apply_plan_summary", """
+SELECT * FROM (VALUES ('GW-010', 1, 1, 0, 0), ('WH-009', 3, 1, 1, 1)) AS s(fix_id, n_targets, n_fixed, n_failed, n_skipped)""")
+def apply_plan_summary(t):
+    """Outcomes of a plan that was applied: one target fixed, one failed (no such column), one skipped."""
+    found = t.spark.createDataFrame(
+        [("WH-009", "labels[doc_id]"), ("WH-009", "labels[no_column]"), ("WH-009", "nowhere[x]"), ("GW-010", "part[p_name,p_brand,p_type]")],
+        "rule_id string, target string")
+    plan = X.fix_plan(found, fixes_frame(t.spark))
+    known = transforms(parents={"doc_id": (t.documents, "doc_id")}, order={"part": "p_partkey"})
+    done = run_plan(t.spark, plan, {"labels": t.labels, "part": t.part}, scratch_path(t.spark, "fixes"), known)
+    return X.fix_summary(done)

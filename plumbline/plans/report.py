@@ -9,6 +9,7 @@ from plumbline.operators import integrity as I
 from plumbline.operators import report as R
 from plumbline.plans.catalog import ADVICE, RULES, rules_frame
 from plumbline.plans.registry import query
+from plumbline.session import scratch_path
 
 RULE_IDS = ["EH-007", "GW-002", "GW-010", "LH-S04", "SM-018", "WH-009", "WH-020", "WH-023"]
 ABSENT = ("SM-018",)
@@ -97,3 +98,20 @@ def issue_table(t):
 @query("offender_sample", FINDINGS + "SELECT rule_id, n_issues, sample FROM sampled")
 def offender_sample(t):
     return R.offender_sample(sample_findings(t)).drop("raised")
+
+
+@query("findings_sink", FINDINGS + "SELECT '2024-01-31' AS scanned, rule_id, target FROM found")
+def findings_sink(t):
+    """Findings appended to the shared folder by scan date and read back."""
+    out = scratch_path(t.spark, "findings")
+    R.write_findings(sample_findings(t), out, "2024-01-31")
+    return t.spark.read.parquet(out).select(F.date_format("scan_date", "yyyy-MM-dd").alias("scanned"), "rule_id", "target")
+
+
+@query("report_text", RESULTS + """
+SELECT '| ' || rule_id || ' ' || operator || ' | ' || status || ' | ' || severity || ' | ' || replace(details, '|', '\\|') || ' | ' || recommendation || ' |' AS line
+FROM results WHERE status IN ('FAIL', 'ERROR', 'WARN')""")
+def report_text(t):
+    """The issue lines of the rendered report."""
+    lines = R.render(sample_results(t), "Audit", "2024-01-31").splitlines()
+    return t.spark.createDataFrame([(x,) for x in lines if x.startswith("| ") and not x.startswith("| Rule")], "line string")
