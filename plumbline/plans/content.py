@@ -8,11 +8,10 @@ from plumbline.functions import fixed_values as V
 from plumbline.operators import columns as C
 from plumbline.operators import profile as P
 from plumbline.plans.registry import query
-from plumbline.plans.sample_sql import counts_sql, profile_cell, with_profile
+from plumbline.plans.sample_sql import SAMPLE_COLUMNS, counts_sql, profile_cell, with_profile
 from plumbline.sources.facts import column_facts
 
-TEXTY = ["documents", "pages", "conversations", "benchmark"]
-FACTS = ["orders", "lineitem", "customer", "events", "part"]
+ALL = list(SAMPLE_COLUMNS)
 
 MAXED = """, maxed AS (
   SELECT *, max(n_distinct) OVER (PARTITION BY table_name) AS max_distinct FROM profile)"""
@@ -25,16 +24,16 @@ def _sql(body: str, tables, extra: str = "", maxed: bool = False) -> str:
 
 @query("high_card_text", _sql("""
 SELECT table_name, column_name, n_distinct, max_distinct, max_len FROM maxed
-WHERE max_len > 100 AND n_distinct > 100 AND n_distinct > max_distinct * 0.7""", TEXTY, maxed=True))
+WHERE max_len > 100 AND n_distinct > 100 AND n_distinct > max_distinct * 0.7""", ALL, maxed=True))
 def high_card_text(t):
-    return C.high_card_text(P.column_profile(t.pick(TEXTY)), min_distinct=100)
+    return C.high_card_text(P.column_profile(t.pick()), min_distinct=100)
 
 
 @query("free_text_columns", _sql(f"""
 SELECT table_name, column_name, n_distinct, max_len FROM profile
-WHERE max_len > 200 AND n_distinct > 30 AND regexp_matches(lower(column_name), '{V.FREE_TEXT_NAME}')""", TEXTY))
+WHERE max_len > 200 AND n_distinct > 30 AND regexp_matches(lower(column_name), '{V.FREE_TEXT_NAME}')""", ALL))
 def free_text_columns(t):
-    return C.free_text_columns(P.column_profile(t.pick(TEXTY)), min_distinct=30)
+    return C.free_text_columns(P.column_profile(t.pick()), min_distinct=30)
 
 
 UUID_SQL = ("lower(substr(md5(CAST(event_id AS VARCHAR)),1,8) || '-' || substr(md5(CAST(event_id AS VARCHAR)),9,4) || '-' || "
@@ -85,10 +84,10 @@ def constant_columns(t):
 @query("bool_as_text", _sql("""
 SELECT table_name, column_name, min_value, max_value FROM profile
 WHERE n_distinct = 2 AND max_len > 0 AND max_len <= 10
-  AND (lower(min_value) IN ('yes','no','f','o') OR lower(max_value) IN ('yes','no','f','o'))""", ["lineitem"]))
+  AND (lower(min_value) IN ('yes','no','f','o') OR lower(max_value) IN ('yes','no','f','o'))""", ALL))
 def bool_as_text(t):
     words = V.BOOLEAN_WORDS + ("f", "o")
-    return C.bool_as_text(P.column_profile(t.pick(["lineitem"]), columns=["l_linestatus", "l_returnflag"]), words)
+    return C.bool_as_text(P.column_profile(t.pick()), words)
 
 
 ORDER_TEXT = """(SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS order_date_text,
@@ -178,9 +177,9 @@ def blob_columns(t):
 @query("high_precision_ts", _sql("""
 SELECT table_name, column_name, kind, n_distinct FROM profile
 WHERE kind = 'date' AND n_distinct > 500 AND (column_name = 'ts' OR regexp_matches(lower(column_name), 'timestamp|datetime|_ts$|_at$'))
-""", ["events", "orders"]))
+""", ALL))
 def high_precision_ts(t):
-    return C.high_precision_ts(P.column_profile(t.pick(["events", "orders"])), min_distinct=500)
+    return C.high_precision_ts(P.column_profile(t.pick()), min_distinct=500)
 
 
 @query("time_grains", """
@@ -194,9 +193,9 @@ def time_grains(t):
 
 @query("low_card_in_fact", _sql("""
 SELECT table_name, column_name, n_distinct, max_distinct FROM maxed
-WHERE n_distinct > 2 AND n_distinct <= 20 AND max_distinct > 1000 AND max_len > 0 AND max_len <= 50""", FACTS, maxed=True))
+WHERE n_distinct > 2 AND n_distinct <= 20 AND max_distinct > 1000 AND max_len > 0 AND max_len <= 50""", ALL, maxed=True))
 def low_card_in_fact(t):
-    return C.low_card_in_fact(P.column_profile(t.pick(FACTS)), table_above=1000)
+    return C.low_card_in_fact(P.column_profile(t.pick()), table_above=1000)
 
 
 @query("string_keys", f"""
@@ -213,17 +212,17 @@ def string_keys(t):
 
 @query("many_high_card", _sql("""
 SELECT table_name, count(*) AS n_columns FROM profile WHERE n_distinct > 20 AND max_len > 0
-GROUP BY table_name HAVING count(*) > 1""", TEXTY + ["customer", "part"]))
+GROUP BY table_name HAVING count(*) > 1""", ALL))
 def many_high_card(t):
-    return C.many_high_card(P.column_profile(t.pick(TEXTY + ["customer", "part"])), min_distinct=20, columns=1)
+    return C.many_high_card(P.column_profile(t.pick()), min_distinct=20, columns=1)
 
 
 @query("near_unique_numeric", _sql("""
 SELECT table_name, column_name, n_distinct, max_distinct, round(n_distinct::DOUBLE / max_distinct, 5) AS unique_share FROM maxed
 WHERE kind = 'number' AND n_distinct > max_distinct * 0.95 AND n_distinct > 1000
-  AND NOT regexp_matches(lower(column_name), 'key|id|pk')""", ["orders", "customer", "part", "lineitem"], maxed=True))
+  AND NOT regexp_matches(lower(column_name), 'key|id|pk')""", ALL, maxed=True))
 def near_unique_numeric(t):
-    return C.near_unique_numeric(P.column_profile(t.pick(["orders", "customer", "part", "lineitem"])))
+    return C.near_unique_numeric(P.column_profile(t.pick()))
 
 
 LABELS = "(SELECT *, quality * 2 + 1 AS grade FROM labels)"
