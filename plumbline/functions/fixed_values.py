@@ -111,3 +111,7 @@ GB = 1024 * MB
 SMALL_FILE = 25 * MB
 LARGE_FILE = 1 * GB
 LARGE_TABLE = 10 * GB
+
+# ---- columns a query text refers to: inside aggregate calls, and in lists behind "by" ----
+AGGREGATE_CALL = r"(?i)\b(?:avg|sum|count|dcount|stdev|min|max|percentile)\s*\(\s*(\w+)\s*\)"
+BY_LIST = r"(?i)\bby\s+([^|\n]+)"

@@ -107,14 +107,10 @@ def without_part(df: DataFrame, record: str, parts: DataFrame, part_record: str)
     return keyed_filter(df, parts, [(record, part_record)], keep=False)
 
 
-AGGREGATE_CALL = r"(?i)\b(?:avg|sum|count|dcount|stdev|min|max|percentile)\s*\(\s*(\w+)\s*\)"
-BY_LIST = r"(?i)\bby\s+([^|\n]+)"
-
-
 def referenced_columns(df: DataFrame, record: str, text: str) -> DataFrame:
     """(record, column_name) for identifiers inside aggregate calls and ``by`` lists."""
-    called = F.regexp_extract_all(F.col(text), F.lit(AGGREGATE_CALL), F.lit(1))
-    lists = F.flatten(F.transform(F.regexp_extract_all(F.col(text), F.lit(BY_LIST), F.lit(1)), lambda x: F.split(x, ",")))
+    called = F.regexp_extract_all(F.col(text), F.lit(V.AGGREGATE_CALL), F.lit(1))
+    lists = F.flatten(F.transform(F.regexp_extract_all(F.col(text), F.lit(V.BY_LIST), F.lit(1)), lambda x: F.split(x, ",")))
     listed = F.transform(lists, lambda x: F.split(F.trim(x), r"\s")[0])
     names = F.filter(F.array_distinct(F.concat(called, listed)), lambda x: x.rlike(r"^\w+$"))
     return df.select(record, F.explode(names).alias("column_name"))

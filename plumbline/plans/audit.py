@@ -25,7 +25,7 @@ from plumbline.operators import storage as S
 from plumbline.operators import text as X
 from plumbline.plans.catalog import RULES, rules_frame, setting_rules_frame
 from plumbline.session import cut_lineage
-from plumbline.sources.facts import column_facts, falsy
+from plumbline.sources.facts import column_facts, falsy, truthy
 
 Reference = tuple[str, str, str, str]
 
@@ -54,6 +54,22 @@ class Inputs:
     connections: DataFrame | None = None    # id, gateway_id, display_name, privacy_level, credential_type
     gateways: DataFrame | None = None       # id, type, display_name, vnet fields
     datasources: DataFrame | None = None    # id, gateway_id, type, details
+    masked: DataFrame | None = None         # table_name, column_name
+    failures: DataFrame | None = None       # entity, ts: failed ingests
+    catalog: DataFrame | None = None        # table_name, format
+    statistics: DataFrame | None = None     # table_name, updated
+    dependencies: DataFrame | None = None   # src, dst, src_schema, dst_schema: a view and what it reads
+    documented: DataFrame | None = None     # kind (procedure, schema, measure), name, description
+    defaults: DataFrame | None = None       # table_name, column_name, is_nullable, default_value
+    computed: DataFrame | None = None       # table_name, column_name
+    indexed: DataFrame | None = None        # table_name, column_name
+    streamed: DataFrame | None = None       # table_name
+    volumes: DataFrame | None = None        # table_name, n_rows, n_hot
+    exports: DataFrame | None = None        # name, is_running, is_disabled
+    encoded: DataFrame | None = None        # table_name
+    functions: DataFrame | None = None      # name
+    levels: DataFrame | None = None         # hierarchy: one row a level
+    store_name: str | None = None
     as_of: str | None = None
 
 
@@ -264,11 +280,68 @@ def input_rules(inp: Inputs) -> dict[str | tuple[str, ...], Callable[[], DataFra
     if inp.connections is not None:
         out["GW-007"] = lambda: table(X.missing_metadata(inp.connections, "id", ["credential_type"]), "id")
         out["GW-011"] = lambda: table(X.missing_metadata(inp.connections, "id", ["privacy_level"]), "id")
+    out.update(catalog_rules(inp))
     if inp.datasources is not None:
         out["GW-010"] = lambda: table(G.duplicate_records(inp.datasources, ["gateway_id", "type", "details"], "id"), "keep_id")
     return out
 
 
+def catalog_rules(inp: Inputs) -> dict[str, Callable[[], DataFrame]]:
+    """Rules over what a store's catalog lists: masks, statistics, dependencies, documentation, policies."""
+    out: dict[str, Callable[[], DataFrame]] = {}
+    pair = ["table_name", "column_name"]
+    facts = column_facts(inp.tables) if inp.tables else None
+
+    def named(df: DataFrame, column: str) -> DataFrame:
+        return df.select(F.col(column).cast("string").alias("table_name"))
+
+    if inp.masked is not None and facts is not None:
+        out["WH-018"] = lambda: C.unmasked(C.sensitive_names(facts), inp.masked, pair)
+    if inp.failures is not None and inp.as_of:
+        out["EH-010"] = lambda: named(L.ingestion_failures(inp.failures, ["entity"], "ts", inp.as_of), "entity")
+    if inp.catalog is not None:
+        out["LH-003"] = lambda: inp.catalog.filter(F.coalesce(F.lower("format") != "delta", F.lit(True))).select("table_name")
+    if inp.store_name is not None:
+        spark = next(iter(inp.tables.values())).sparkSession
+        store = spark.createDataFrame([(inp.store_name,)], "table_name string")
+        out["LH-002"] = lambda: store.filter(P.layer(F.col("table_name")).isNull())
+    if inp.statistics is not None and inp.as_of and facts is not None:
+        state = L.stale_statistics(facts.select("table_name"), inp.statistics, "table_name", "updated", inp.as_of)
+        out["WH-008"] = lambda: state.filter("reason = 'stale'").select("table_name")
+        out["WH-032"] = lambda: state.filter("reason = 'missing'").select("table_name")
+    if inp.dependencies is not None:
+        deps = inp.dependencies
+        out["WH-021"] = lambda: named(deps.groupBy("src").agg(F.count_distinct("dst").alias("n")).filter("n > 10"), "src")
+        out["WH-022"] = lambda: G.cross_group_edges(deps, "src_schema", "dst_schema", ["src", "dst"]).select(_label("src", "dst").alias("table_name"))
+    if inp.documented is not None:
+        for rule, kind in (("WH-035", "procedure"), ("WH-038", "schema"), ("SM-008", "measure")):
+            out[rule] = lambda kind=kind: named(X.missing_metadata(
+                inp.documented.filter(F.col("kind") == kind), "name", ["description"]), "name")
+    if inp.defaults is not None:
+        out["WH-036"] = lambda: inp.defaults.filter(falsy(F.col("is_nullable")) & P.blank(F.col("default_value"))).select(*pair)
+    if inp.computed is not None and facts is not None:
+        out["WH-042"] = lambda: G.computed_share(facts, inp.computed).select("table_name")
+    if inp.indexed is not None and inp.references:
+        spark = inp.indexed.sparkSession
+        keys = spark.createDataFrame([(c, ck) for c, ck, *_ in inp.references], "table_name string, column_name string")
+        out["WH-044"] = lambda: keys.join(inp.indexed.select(*pair), pair, "left_anti")
+    if inp.streamed is not None:
+        out["EH-011"] = lambda: inp.streamed.select("table_name")
+        if inp.volumes is not None:
+            out["EH-024"] = lambda: inp.volumes.filter("n_rows >= 1000000").join(inp.streamed.select("table_name"), "table_name", "left_anti").select("table_name")
+    if inp.volumes is not None:
+        out["EH-013"] = lambda: inp.volumes.filter("n_rows > 0 and n_hot < n_rows * 0.5").select("table_name")
+    if inp.exports is not None:
+        out["EH-012"] = lambda: named(inp.exports.filter(falsy(F.col("is_running")) | truthy(F.col("is_disabled"))), "name")
+    if inp.encoded is not None and inp.extents is not None:
+        out["EH-018"] = lambda: S.compression_ratio(inp.extents).join(inp.encoded.select("table_name"), "table_name", "left_anti").select("table_name")
+    if inp.functions is not None:
+        out["EH-020"] = lambda: named(inp.functions, "name")
+    if inp.levels is not None:
+        out["SM-029"] = lambda: named(G.pseudo_hierarchies(inp.levels, "hierarchy"), "hierarchy")
+    return out
+
+
 def collect_findings(inp: Inputs, mode: str = "exact") -> tuple[DataFrame, tuple[str, ...], dict[str, str]]:
     """(findings, rules without input, rules whose input failed). A rule that cannot be
     planned becomes an ERROR and does not stop the others."""

@@ -112,3 +112,33 @@ def test_findings_are_read_from_what_was_written(spark):
     found, _, _ = collect_findings(Inputs(tables={"t": spark.range(3)}))
     plan = R.offender_sample(found)._jdf.queryExecution().optimizedPlan().toString()
     assert "Range" not in plan
+
+
+def test_catalog_rules_fire_and_pass(spark):
+    made = lambda rows_, schema: spark.createDataFrame(rows_, schema)
+    day = F.lit("2024-01-30 00:00:00").cast("timestamp_ntz")
+    inp = Inputs(
+        tables={"t": made([(1, "x@y.z", 2)], "id int, email string, c_id int"), "u": made([(1,)], "id int")}, references=[("t", "c_id", "u", "id")],
+        masked=made([("u", "email")], "table_name string, column_name string"),
+        failures=made([("store",)], "entity string").withColumn("ts", day),
+        catalog=made([("t", "Delta"), ("u", "csv"), ("v", None)], "table_name string, format string"),
+        statistics=made([("t",)], "table_name string").withColumn("updated", F.lit("2023-11-01").cast("timestamp_ntz")),
+        dependencies=made([("v", f"t{i}", "a", "b" if i == 3 else "a") for i in range(12)], "src string, dst string, src_schema string, dst_schema string"),
+        documented=made([("procedure", "p", " "), ("schema", "s", "has one"), ("measure", "m", None)], "kind string, name string, description string"),
+        defaults=made([("t", "id", "false", None), ("t", "email", "true", None)], "table_name string, column_name string, is_nullable string, default_value string"),
+        computed=made([("t", "c_id")], "table_name string, column_name string"), indexed=made([("t", "id")], "table_name string, column_name string"),
+        streamed=made([("t",)], "table_name string"), volumes=made([("t", 5, 1), ("big", 2_000_000, 2_000_000)], "table_name string, n_rows long, n_hot long"),
+        exports=made([("e", "true", "true"), ("f", "true", "false")], "name string, is_running string, is_disabled string"),
+        extents=made([("w", 10, 10**9, 9 * 10**8), ("z", 10, 10**9, 9 * 10**8)], "table_name string, n_rows long, original_bytes long, compressed_bytes long"),
+        encoded=made([("z",)], "table_name string"), functions=made([("f",)], "name string"), levels=made([("h",), ("h",), ("k",)] + [("l",)] * 3, "hierarchy string"),
+        store_name="sales", as_of="2024-01-31 00:00:00")
+    found, absent, errors = collect_findings(inp)
+    targets = {}
+    for r in found.collect():
+        targets.setdefault(r.rule_id, set()).add(r.target)
+    want = {
+        "WH-018": {"t[email]"}, "EH-010": {"store"}, "LH-003": {"u", "v"}, "LH-002": {"sales"}, "WH-008": {"t"}, "WH-032": {"u"},
+        "WH-021": {"v"}, "WH-022": {"v t3"}, "WH-035": {"p"}, "WH-036": {"t[id]"}, "SM-008": {"m"}, "WH-042": {"t"}, "WH-044": {"t[c_id]"},
+        "EH-011": {"t"}, "EH-024": {"big"}, "EH-013": {"t"}, "EH-012": {"e"}, "EH-018": {"w"}, "EH-020": {"f"}, "SM-029": {"h", "k"}}
+    assert {k: targets.get(k) for k in want} == want
+    assert errors == {} and "WH-038" not in targets and not set(want) & set(absent)
