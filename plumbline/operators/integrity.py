@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions import predicates as P
-from plumbline.operators.spread import chunked_pairs, exact_percentile, keyed_filter, top_per_group
+from plumbline.operators.spread import chunked_pairs, exact_percentile, keyed_filter, range_chunks, top_per_group
 
 
 def key_candidates(profile: DataFrame) -> DataFrame:
@@ -98,8 +98,13 @@ def fk_discovery(
     )
 
 
-def transitions(df: DataFrame, key: str, order: list[str], value: str, chunk: Column) -> DataFrame:
-    """Directed edges between neighbouring values of each key, with counts."""
+def transitions(df: DataFrame, key: str, order: list[str], value: str, chunk: Column | None = None) -> DataFrame:
+    """Directed edges between neighbouring values of each key, with counts.
+
+    Works per ``chunk``: ranges of about equally many rows unless given, so no busy key or day is one task.
+    """
+    if chunk is None:
+        df, chunk = range_chunks(df.select(key, value, *order), [key, *order])
     return chunked_pairs(df, key, order, value, chunk)
 
 

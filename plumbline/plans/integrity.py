@@ -95,7 +95,7 @@ STEPS = """WITH steps AS (
 
 
 def event_edges(t):
-    return I.transitions(t.events, "user_id", ["ts", "event_id"], "event_type", F.to_date("ts"))
+    return I.transitions(t.events, "user_id", ["ts", "event_id"], "event_type")
 
 
 @query("transitions", STEPS + "SELECT src, dst, n FROM edges")
