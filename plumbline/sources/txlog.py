@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.utils import AnalysisException
 
 _STRINGS = T.MapType(T.StringType(), T.StringType())
 
@@ -61,6 +62,36 @@ def read_log(spark: SparkSession, glob: str) -> DataFrame:
     )
 
 
+def read_checkpoints(spark: SparkSession, glob: str) -> DataFrame:
+    """The state that checkpoint files hold, shaped like ``read_log``: parquet, whole or in parts.
+
+    Rows carry the checkpoint's version, so united with the commits behind it a replay is whole even
+    where the early commits are gone.
+    """
+    schema = T.StructType([f for f in LOG_SCHEMA.fields if f.name not in ("commitInfo", "_corrupt_record")])
+    where = F.col("_metadata.file_path")
+    name = r"([^/]+)/_delta_log/(\d+)\.checkpoint[^/]*\.parquet$"
+    return (
+        spark.read.schema(schema).parquet(glob)
+        .withColumn("table_name", F.regexp_extract(where, name, 1))
+        .withColumn("version", F.regexp_extract(where, name, 2).try_cast("bigint"))
+        .filter(F.col("version").isNotNull())
+        .select("table_name", "version", F.lit(None).cast(LOG_SCHEMA["commitInfo"].dataType).alias("commitInfo"), "metaData", "add", "remove", "protocol")
+    )
+
+
+def read_whole_log(spark: SparkSession, root: str) -> DataFrame:
+    """Commits and checkpoints of every table below ``root``; either kind may be missing."""
+    parts = []
+    for read, pattern in ((read_log, "*.json"), (read_checkpoints, "*.parquet")):
+        try:
+            parts.append(read(spark, f"{root.rstrip('/')}/*/_delta_log/{pattern}"))
+        except AnalysisException:
+            if pattern == "*.parquet" and not parts:
+                raise
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
 def file_actions(log: DataFrame) -> DataFrame:
     """(table_name, version, path, action, size, modified) for every add and remove line."""
     adds = log.filter("add is not null").select(

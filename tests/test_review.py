@@ -142,3 +142,24 @@ def test_catalog_rules_fire_and_pass(spark):
         "EH-011": {"t"}, "EH-024": {"big"}, "EH-013": {"t"}, "EH-012": {"e"}, "EH-018": {"w"}, "EH-020": {"f"}, "SM-029": {"h", "k"}}
     assert {k: targets.get(k) for k in want} == want
     assert errors == {} and "WH-038" not in targets and not set(want) & set(absent)
+
+
+def test_replay_from_a_checkpoint(spark, tmp_path):
+    """Commits 0 to 2 are gone; the checkpoint of version 2 holds what they left."""
+    import json
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from plumbline.operators.storage import active_files
+    from plumbline.sources import txlog
+
+    log = tmp_path / "sales" / "_delta_log"
+    log.mkdir(parents=True)
+    state = [{"add": {"path": p, "size": 10, "modificationTime": 0}} for p in ("a", "b", "c")]
+    pq.write_table(pa.Table.from_pylist(state), log / "00000000000000000002.checkpoint.parquet")
+    (log / "00000000000000000003.json").write_text(json.dumps({"remove": {"path": "b", "deletionTimestamp": 1}}) + "\n" + json.dumps({"add": {"path": "d", "size": 5, "modificationTime": 2}}))
+    whole = txlog.read_whole_log(spark, str(tmp_path))
+    assert rows(active_files(txlog.file_actions(whole)), "path", "size") == [("a", 10), ("c", 10), ("d", 5)]
+    commits_only = txlog.read_log(spark, f"{tmp_path}/*/_delta_log/*.json")
+    assert rows(active_files(txlog.file_actions(commits_only)), "path") == [("d",)]
