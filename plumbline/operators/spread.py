@@ -82,13 +82,14 @@ def chunked_pairs(
     return inside.unionByName(across).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def exact_percentile(df: DataFrame, keys: list[str], value: str, p: float, name: str) -> DataFrame:
+def exact_percentile(df: DataFrame, keys: list[str], value: str, p: float, name: str, fine: int = 4096) -> DataFrame:
     """Interpolated percentile per group without gathering a group in one task.
 
-    Equal values are counted before the shuffle. Values fall into cells of a
-    logarithmic scale (64 per doubling), so a group has few cells whatever its size;
-    the running count over cells finds those that hold the wanted ranks, and only
-    their values are ordered. With no ``keys`` the result is one row.
+    Equal values are counted before the shuffle. Values fall into cells of a logarithmic scale
+    (64 per doubling), so a group has few cells whatever its size; the running count over cells finds
+    those that hold the wanted ranks. These are cut into ``fine`` equal parts between their least and
+    greatest value, found in the same way, and only the values of the wanted parts are ordered. With
+    no ``keys`` the result is one row.
     """
     v = F.col(value).cast("double")
     cell = F.signum(v) * F.floor(F.log2(1 + F.abs(v)) * 64)
@@ -96,21 +97,27 @@ def exact_percentile(df: DataFrame, keys: list[str], value: str, p: float, name:
         df.filter(v.isNotNull() & ~F.isnan(v)).groupBy(*keys, v.alias("_v"), cell.cast("bigint").alias("_cell"))
         .agg(F.count(F.lit(1)).alias("_c"))
     )
-    cells = counted.groupBy(*keys, "_cell").agg(F.sum("_c").alias("_in_cell"))
-    group = W.partitionBy(*keys)
-    before = group.orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
     # 0-based ranks of the two values to interpolate between
     rank = (F.col("_rows") - 1) * F.lit(float(p))
     lo, hi = F.floor(rank), F.ceil(rank)
-    wanted = (
-        cells.withColumns({"_before": F.coalesce(F.sum("_in_cell").over(before), F.lit(0)),
-                           "_rows": F.sum("_in_cell").over(group)})
-        .filter((hi >= F.col("_before")) & (lo < F.col("_before") + F.col("_in_cell")))
-        .select(*keys, "_cell", "_before", "_rows")
-    )
-    upto = W.partitionBy(*keys, "_cell").orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)
+
+    def wanted(cells: DataFrame, within: list[str], by: str, so_far: Column, rows: Column) -> DataFrame:
+        """Cells that hold a wanted rank, with the number of rows before them and in the whole group."""
+        before = W.partitionBy(*within).orderBy(by).rowsBetween(W.unboundedPreceding, -1)
+        placed = cells.withColumns({"_before": so_far + F.coalesce(F.sum("_in").over(before), F.lit(0)), "_rows": rows})
+        return placed.filter((hi >= F.col("_before")) & (lo < F.col("_before") + F.col("_in"))).drop("_in")
+
+    cells = counted.groupBy(*keys, "_cell").agg(F.sum("_c").alias("_in"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+    coarse = wanted(cells, keys, "_cell", F.lit(0), F.sum("_in").over(W.partitionBy(*keys)))
+    width = F.col("_high") - F.col("_low")
+    part = F.when(width > 0, F.floor((F.col("_v") - F.col("_low")) / width * fine)).otherwise(F.lit(0)).cast("bigint")
+    inside = counted.join(coarse.withColumnRenamed("_before", "_cell_before"), [*keys, "_cell"]).withColumn("_part", part)
+    parts = inside.groupBy(*keys, "_cell", "_part").agg(
+        F.sum("_c").alias("_in"), F.first("_cell_before").alias("_cell_before"), F.first("_rows").alias("_rows"))
+    narrow = wanted(parts, [*keys, "_cell"], "_part", F.col("_cell_before"), F.col("_rows")).select(*keys, "_cell", "_part", "_before")
+    upto = W.partitionBy(*keys, "_cell", "_part").orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)
     ranked = (
-        counted.join(wanted, [*keys, "_cell"])
+        inside.join(narrow, [*keys, "_cell", "_part"])
         .withColumn("_end", F.col("_before") + F.sum("_c").over(upto))
         .withColumn("_start", F.col("_end") - F.col("_c"))
     )

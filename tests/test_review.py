@@ -163,3 +163,14 @@ def test_replay_from_a_checkpoint(spark, tmp_path):
     assert rows(active_files(txlog.file_actions(whole)), "path", "size") == [("a", 10), ("c", 10), ("d", 5)]
     commits_only = txlog.read_log(spark, f"{tmp_path}/*/_delta_log/*.json")
     assert rows(active_files(txlog.file_actions(commits_only)), "path") == [("d",)]
+
+
+@pytest.mark.parametrize("fine", [1, 7, 4096])
+def test_percentile_of_a_narrow_range(spark, fine):
+    import numpy as np
+
+    values = np.random.default_rng(3).random(3000) / 1000 + 1
+    df = spark.createDataFrame([(int(i % 3 == 0), float(v)) for i, v in enumerate(values)], "g int, v double")
+    got = {r.g: r.q for r in S.exact_percentile(df, ["g"], "v", 0.95, "q", fine).collect()}
+    for g in (0, 1):
+        assert got[g] == pytest.approx(np.percentile([v for i, v in enumerate(values) if int(i % 3 == 0) == g], 95), abs=1e-12)
