@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.operators.logs import exact_mean
-from plumbline.session import scratch_path
+from plumbline.session import remove, scratch_path
 
 EVENT_SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()),
@@ -76,7 +76,7 @@ def merge_view(state: str, keys: list[str], sums: list[str], summarize):
 
     Each batch adds its partial sums to the generation of the batch before and
     writes its own. A repeated batch overwrites its own generation from the same
-    base, so retries change nothing.
+    base, so retries change nothing. Generations before the last two are removed.
     """
     def handle(batch: DataFrame, batch_id: int) -> None:
         fresh = summarize(batch)
@@ -86,6 +86,8 @@ def merge_view(state: str, keys: list[str], sums: list[str], summarize):
         # sums keep their declared type, so every generation has the same schema
         merged = fresh.groupBy(*keys).agg(*[F.sum(s).cast(fresh.schema[s].dataType).alias(s) for s in sums])
         merged.write.mode("overwrite").parquet(f"{state}/gen={batch_id}")
+        if batch_id > 1:
+            remove(batch.sparkSession, f"{state}/gen={batch_id - 2}")
     return handle
 
 

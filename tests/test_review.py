@@ -174,3 +174,16 @@ def test_percentile_of_a_narrow_range(spark, fine):
     got = {r.g: r.q for r in S.exact_percentile(df, ["g"], "v", 0.95, "q", fine).collect()}
     for g in (0, 1):
         assert got[g] == pytest.approx(np.percentile([v for i, v in enumerate(values) if int(i % 3 == 0) == g], 95), abs=1e-12)
+
+
+def test_view_keeps_two_generations(spark, tmp_path):
+    import os
+
+    from plumbline.streaming import jobs as J
+
+    handle = J.merge_view(str(tmp_path / "view"), ["k"], ["n"], lambda b: b.groupBy("k").agg(F.count(F.lit(1)).alias("n")))
+    for batch in range(4):
+        handle(spark.createDataFrame([("a",), ("b",)], "k string"), batch)
+        handle(spark.createDataFrame([("a",), ("b",)], "k string"), batch)  # a retry changes nothing
+    assert sorted(x for x in os.listdir(tmp_path / "view") if x.startswith("gen")) == ["gen=2", "gen=3"]
+    assert rows(J.newest_view(spark, str(tmp_path / "view"))) == [("a", 4), ("b", 4)]
