@@ -104,14 +104,22 @@ def _batch(**columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v) for v in columns.values()], list(columns))
 
 
-_READS = "kind int, anchor bigint, read bigint, d bigint, h bigint, at int, low int, high int"
+#: A read in few bytes for the shuffle. place: kind, anchor's place, bytes of window starts before it, and of all of them.
+_READS = "anchor bigint, read bigint, d bigint, h bigint, place bigint"
 
 
 def _reads(kind: int, rows: dict[str, np.ndarray], chosen: np.ndarray, anchor: np.ndarray | None = None) -> pa.RecordBatch:
-    get = lambda c: rows[c][chosen]
+    at, low, high = (rows[c][chosen].astype(np.int64) for c in ("at", "low", "high"))
     return _batch(
-        kind=np.full(len(chosen), kind, np.int32), anchor=get("anchor") if anchor is None else anchor, read=get("read"),
-        d=get("d"), h=get("h"), at=get("at").astype(np.int32), low=get("low").astype(np.int32), high=get("high").astype(np.int32))
+        anchor=rows["anchor"][chosen] if anchor is None else anchor, read=rows["read"][chosen], d=rows["d"][chosen], h=rows["h"][chosen],
+        place=(kind << 56) | (at << 20) | ((at - low) << 10) | (high - low))
+
+
+def _unpacked(rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    place = rows.pop("place")
+    at = (place >> 20) & ((1 << 36) - 1)
+    low = at - ((place >> 10) & 1023)
+    return rows | {"kind": place >> 56, "at": at, "low": low, "high": low + (place & 1023)}
 
 
 def _classes(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -165,7 +173,7 @@ def _whole_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.n
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Repeats (kind 1), and the earliest of each different read of an anchor that has several (kind 2)."""
-    for every in _whole_anchors(batches):
+    for every in map(_unpacked, _whole_anchors(batches)):
         known = every["kind"] == 1
         if known.any():
             yield _reads(1, every, np.flatnonzero(known))
@@ -266,10 +274,15 @@ def _extracted(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Re
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(d, h, first, end): byte ranges of the texts that repeated windows cover; ranges may overlap.
 
-    ``docs``: d (id), h (digest of the text), text.
+    ``docs``: d (id), h (digest of the text, or any constant where the id alone tells), text.
     """
+    if length - gram > 1000:
+        raise ValueError("windows of over a thousand bytes more than the gram don't fit a read's place")
     reads = docs.mapInArrow(lambda it: _collect(it, length, gram), _READS).repartition("anchor").sortWithinPartitions("anchor")
     settled = cut_lineage(reads.mapInArrow(_compare, _READS), "reads")
+    part = lambda low, n: F.shiftrightunsigned("place", low).bitwiseAND((1 << n) - 1).cast("int")
+    at, before, span = part(20, 31), part(10, 10), part(0, 10)
+    settled = settled.select("d", "h", "anchor", part(56, 2).alias("kind"), at.alias("at"), (at - before).alias("low"), (at - before + span).alias("high"))
     whole = settled.filter("kind = 1").select("d", "h", F.col("low").alias("first"), (F.col("high") + length).alias("end"))
     listed = settled.filter("kind = 2").groupBy("d", "h").agg(F.collect_list(F.struct("anchor", "at", "low", "high")).alias("reads"))
     with_bytes = docs.join(listed, ["d", "h"])
@@ -298,7 +311,10 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: i
     one document, and each gets its result; different texts of one id follow in order of their digests. A null
     text is empty; texts of under ``length`` bytes have no windows.
     """
-    own = picked(docs, doc_id=doc_id, text=text).withColumn("d", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NO_ID))).withColumn("h", F.xxhash64("text"))
+    own = picked(docs, doc_id=doc_id, text=text).withColumn("d", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NO_ID)))
+    # only where an id repeats do its rows need a digest; written, so that Spark sees how few such ids there are
+    again = cut_lineage(own.groupBy("d").count().filter("count > 1").select("d", F.lit(True).alias("again")), "repeated-ids")
+    own = own.join(again, "d", "left").select("doc_id", "text", "d", F.when(F.col("again"), F.xxhash64("text")).otherwise(F.lit(0)).alias("h"))
     found = repeats(own.select("d", "h", "text"), length, gram)
     by_text = cut_lineage(found.groupBy("d", "h").agg(F.array_sort(F.collect_set(F.struct("first", "end"))).alias("ranges")), "ranges")
     return own.join(by_text, ["d", "h"], "left").select("doc_id", "text", "ranges")
