@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +32,8 @@ LENGTH, GRAM = 100, 24
 HELD = 1 << 20
 #: Bytes of text whose windows are hashed at a time.
 READ_BYTES = 1 << 20
+#: Different reads of an anchor above which they are compared in narrower shards, and window starts to one of these.
+SHARD_READS, BLOCK = 2048, 8
 
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _CODES = np.random.default_rng(19).integers(1, 1 << 63, 256, np.uint64)
@@ -256,22 +259,38 @@ def _shards(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterat
             yield _batch(d=rows["d"][read], h=rows["h"][read], first=(begin + shift).astype(np.int32), end=(end - 1 + shift + length).astype(np.int32))
 
 
+def _narrowed(data: bytes, anchor: int, at: int, low: int, high: int, length: int) -> Iterator[tuple[int, int, int, int]]:
+    """A read of an anchor with very many, cut by blocks of window starts: (shard, at, low, high) of each part.
+
+    All windows of a block have some bytes in common, all but ``BLOCK - 1`` of them, so reads that differ
+    there share none of its windows, and those bytes name the shard.
+    """
+    for block in range((at - high) // BLOCK, (at - low) // BLOCK + 1):
+        start = at - block * BLOCK
+        shared = data[start:start - BLOCK + 1 + length]
+        shard = xxhash.xxh64_intdigest(shared + anchor.to_bytes(8, "little", signed=True), block)
+        yield shard - (1 << 63), at, max(low, start - BLOCK + 1), min(high, start)
+
+
 def _extracted(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """The bytes of the reads listed for each text."""
+    """The bytes of the reads listed for each text, in the shards where they are compared."""
     for batch in batches:
         texts = text_bytes(batch.column("text"))
         for k, (text, reads) in enumerate(zip(texts, batch.column("reads"))):
-            data, each = text.as_py(), reads.values
-            cols = {c: each.field(c).to_numpy() for c in ("anchor", "at", "low", "high")}
-            n = len(each)
+            data, rows = text.as_py(), []
+            for r in reads.as_py():
+                own = (r["anchor"], r["at"], r["low"], r["high"])
+                rows += _narrowed(data, *own, length) if r["crowded"] else [own]
+            anchor, at, low, high = (list(c) for c in zip(*rows))
+            n = len(rows)
             yield pa.RecordBatch.from_arrays([
-                pa.array(cols["anchor"]), pa.array(np.full(n, batch.column("d")[k].as_py())), pa.array(np.full(n, batch.column("h")[k].as_py())),
-                pa.array(cols["at"]), pa.array(cols["low"]), pa.array(cols["high"]),
-                pa.array([data[a:b + length] for a, b in zip(cols["low"].tolist(), cols["high"].tolist())], pa.binary())],
+                pa.array(anchor, pa.int64()), pa.array(np.full(n, batch.column("d")[k].as_py())), pa.array(np.full(n, batch.column("h")[k].as_py())),
+                pa.array(at, pa.int32()), pa.array(low, pa.int32()), pa.array(high, pa.int32()),
+                pa.array([data[a:b + length] for a, b in zip(low, high)], pa.binary())],
                 ["anchor", "d", "h", "at", "low", "high", "bytes"])
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_reads: int = SHARD_READS) -> DataFrame:
     """(d, h, first, end): byte ranges of the texts that repeated windows cover; ranges may overlap.
 
     ``docs``: d (id), h (digest of the text, or any constant where the id alone tells), text.
@@ -284,7 +303,10 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     at, before, span = part(20, 31), part(10, 10), part(0, 10)
     settled = settled.select("d", "h", "anchor", part(56, 2).alias("kind"), at.alias("at"), (at - before).alias("low"), (at - before + span).alias("high"))
     whole = settled.filter("kind = 1").select("d", "h", F.col("low").alias("first"), (F.col("high") + length).alias("end"))
-    listed = settled.filter("kind = 2").groupBy("d", "h").agg(F.collect_list(F.struct("anchor", "at", "low", "high")).alias("reads"))
+    different = settled.filter("kind = 2")
+    crowded = different.groupBy("anchor").count().filter(F.col("count") > shard_reads).select("anchor", F.lit(True).alias("crowded"))
+    different = different.join(cut_lineage(crowded, "crowded"), "anchor", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False)))
+    listed = different.groupBy("d", "h").agg(F.collect_list(F.struct("anchor", "at", "low", "high", "crowded")).alias("reads"))
     with_bytes = docs.join(listed, ["d", "h"])
     with_bytes = with_bytes.mapInArrow(lambda it: _extracted(it, length), "anchor bigint, d bigint, h bigint, at int, low int, high int, bytes binary")
     sharded = with_bytes.repartition("anchor").sortWithinPartitions("anchor")
@@ -304,7 +326,9 @@ def kept(text: bytes, ranges: list[tuple[int, int]]) -> tuple[bytes, int, int]:
     return left, len(text) - len(left), runs
 
 
-def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def dedup(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, shard_reads: int = SHARD_READS,
+) -> DataFrame:
     """(doc_id, text, ranges): each row's bytes as they are, and the ranges to remove in order of start.
 
     Earlier is a smaller id, then a smaller place; a null id comes first. Rows equal in id and text count as
@@ -315,7 +339,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: i
     # only where an id repeats do its rows need a digest; written, so that Spark sees how few such ids there are
     again = cut_lineage(own.groupBy("d").count().filter("count > 1").select("d", F.lit(True).alias("again")), "repeated-ids")
     own = own.join(again, "d", "left").select("doc_id", "text", "d", F.when(F.col("again"), F.xxhash64("text")).otherwise(F.lit(0)).alias("h"))
-    found = repeats(own.select("d", "h", "text"), length, gram)
+    found = repeats(own.select("d", "h", "text"), length, gram, shard_reads)
     by_text = cut_lineage(found.groupBy("d", "h").agg(F.array_sort(F.collect_set(F.struct("first", "end"))).alias("ranges")), "ranges")
     return own.join(by_text, ["d", "h"], "left").select("doc_id", "text", "ranges")
 

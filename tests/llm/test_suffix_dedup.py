@@ -12,8 +12,8 @@ from plumbline.llm import suffix_dedup as S
 from corpus_fixtures import make_docs, odd_docs, rows, texts  # noqa: F401
 
 
-def check(docs, rows, length=100, gram=24):
-    out = {r.doc_id: r for r in S.digests(S.dedup(docs, length=length, gram=gram)).collect()}
+def check(docs, rows, length=100, gram=24, shard_reads=S.SHARD_READS):
+    out = {r.doc_id: r for r in S.digests(S.dedup(docs, length=length, gram=gram, shard_reads=shard_reads)).collect()}
     assert len(out) == len(rows)
     for (i, _), (data, mark) in zip(rows, brute.repeated([t for _, t in rows], length)):
         left = bytes(b for b, m in zip(data, mark) if not m)
@@ -26,14 +26,19 @@ def test_sample_by_brute_force(make_docs, texts):
     check(make_docs(rows), rows)
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_few_letters_short_windows(make_docs, seed):
+def test_sample_in_narrow_shards(make_docs, texts):
+    rows = sorted((i, t) for i, t, *_ in texts)
+    check(make_docs(rows), rows, shard_reads=0)
+
+
+@pytest.mark.parametrize("seed,shard_reads", [(0, 2048), (1, 2048), (2, 1), (3, 0)])
+def test_few_letters_short_windows(make_docs, seed, shard_reads):
     """Periods, overlaps and many different reads of one anchor."""
     r = random.Random(seed)
     pool = ["".join(r.choice("ab é") for _ in range(40)) for _ in range(6)]
     rows = [(i, "".join(r.choice(pool)[r.randrange(10):] for _ in range(r.randrange(6)))) for i in range(60)]
     rows += [(100, "a" * 300), (101, "a" * 40), (102, "ab" * 100), (103, "")]
-    check(make_docs(r.sample(rows, len(rows))).repartition(5), rows, 20, 6)
+    check(make_docs(r.sample(rows, len(rows))).repartition(5), rows, 20, 6, shard_reads)
 
 
 @settings(max_examples=100, deadline=None)
