@@ -22,7 +22,7 @@ from plumbline.llm.common import fresh, picked, slices, text_bytes
 
 SEED, THETA = 11, 1.0
 #: Bytes of text whose lattices are held at a time.
-LATTICE_BYTES = 2 << 20
+LATTICE_BYTES = 1 << 20
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _RUN = re.compile(" *[^ ]+| +")
 
