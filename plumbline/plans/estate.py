@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from plumbline.functions import fixed_values as V
+from plumbline.functions import predicates as PR
 from plumbline.plans.audit import run_audit
 from plumbline.plans.catalog import RULES
 from plumbline.plans.registry import query
@@ -85,3 +88,36 @@ SELECT rule_id, severity, CASE WHEN n_issues IS NULL THEN 'N/A' WHEN n_issues =
 def full_audit(t):
     """Every rule of the catalog over the sample tables."""
     return run_audit(t.pick(), REFERENCES).select("rule_id", "severity", "status", "n_issues")
+
+
+@query("boolean_names", f"""
+WITH named AS (SELECT CASE CAST(event_id % 4 AS INTEGER) WHEN 0 THEN 'is_' WHEN 1 THEN 'Has_' WHEN 2 THEN 'n_' ELSE 'the_' END || event_type AS name FROM events)
+SELECT name, count(*) AS n_rows FROM named WHERE regexp_matches(lower(name), '{V.BOOLEAN_NAME}') GROUP BY name""")
+def boolean_names(t):
+    """Names that announce a yes or no."""
+    stems = F.array(*map(F.lit, ("is_", "Has_", "n_", "the_")))
+    named = t.events.select(F.concat(F.element_at(stems, (F.col("event_id") % 4 + 1).cast("int")), "event_type").alias("name"))
+    return named.filter(PR.boolean_like(F.col("name"))).groupBy("name").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@query("user_schemas", """
+SELECT schema_name, count(*) AS n_orders FROM (
+  SELECT CASE o_orderstatus WHEN 'F' THEN 'sys' WHEN 'O' THEN 'sales' ELSE 'INFORMATION_SCHEMA' END AS schema_name FROM orders)
+WHERE schema_name = 'sales' GROUP BY 1""")
+def user_schemas(t):
+    """Objects outside the schemas of the system."""
+    status = F.col("o_orderstatus")
+    named = t.orders.select(F.when(status == "F", "sys").when(status == "O", "sales").otherwise("INFORMATION_SCHEMA").alias("schema_name"))
+    return named.filter(PR.user_schema(F.col("schema_name"))).groupBy("schema_name").agg(F.count(F.lit(1)).alias("n_orders"))
+
+
+@query("size_text", """
+WITH sums AS (SELECT event_type, CAST(sum(floor(value) * 1000) AS BIGINT) AS size FROM events GROUP BY 1
+  UNION ALL SELECT 'row ' || CAST(r_regionkey AS VARCHAR), CAST(r_regionkey * 500 AS BIGINT) FROM region)
+SELECT event_type, CASE WHEN size >= 1073741824 THEN format('{:,.1f}', size / 1073741824.0) || ' GB' WHEN size >= 1048576 THEN format('{:,.1f}', size / 1048576.0) || ' MB'
+  WHEN size >= 1024 THEN format('{:,.1f}', size / 1024.0) || ' KB' ELSE format('{:,}', size) || ' B' END AS size_text FROM sums""")
+def size_text(t):
+    """Byte counts as people read them."""
+    sums = t.events.groupBy("event_type").agg(F.sum(F.floor("value") * 1000).cast("bigint").alias("size"))
+    rows = t.region.select(F.concat(F.lit("row "), "r_regionkey").alias("event_type"), (F.col("r_regionkey") * 500).cast("bigint").alias("size"))
+    return sums.unionByName(rows).select("event_type", PR.whole_word_size(F.col("size")).alias("size_text"))
