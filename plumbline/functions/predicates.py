@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -74,7 +73,3 @@ def whole_word_size(value: Column) -> Column:
     shown = [F.when(value >= size, F.concat(F.format_number(value / size, 1), F.lit(f" {unit}")))
              for size, unit in units]
     return F.coalesce(*shown, F.concat(F.format_number(value, 0), F.lit(" B")))
-
-
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)

@@ -130,10 +130,6 @@ def retention_filter(df: DataFrame, ts: str, as_of: str, days: int = 365) -> Dat
     return df.filter(F.col(ts) >= F.lit(as_of).cast("timestamp_ntz") - F.expr(f"interval {int(days)} days"))
 
 
-def hot_period(df: DataFrame, ts: str, as_of: str, days: int = 30) -> DataFrame:
-    return retention_filter(df, ts, as_of, days)
-
-
 def add_audit_columns(df: DataFrame, created: Column, updated: Column | None = None) -> DataFrame:
     """created_at and updated_at, each only when no column of that name exists."""
     have = {c.lower() for c in df.columns}

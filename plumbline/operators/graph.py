@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import predicates as P
-from plumbline.operators.spread import keyed_filter, top_per_group
+from plumbline.operators.spread import keyed_filter
 
 
 def endpoints(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -112,7 +112,3 @@ def computed_columns(df: DataFrame, guesses: dict[str, Column]) -> DataFrame:
 
 def pseudo_hierarchies(levels: DataFrame, hierarchy: str, at_most: int = 2) -> DataFrame:
     return levels.groupBy(hierarchy).agg(F.count(F.lit(1)).alias("n_levels")).filter(F.col("n_levels") <= at_most)
-
-
-def keep_first_members(members: DataFrame, groups: list[str], order: str, k: int) -> DataFrame:
-    return top_per_group(members, groups, [F.asc(order)], k)

@@ -20,16 +20,6 @@ def key_candidates(profile: DataFrame) -> DataFrame:
         ((F.col("n_nulls") == 0) & (F.col("n_distinct") == F.col("n_rows"))).alias("is_unique"))
 
 
-def tables_without_key(facts: DataFrame) -> DataFrame:
-    keyed = facts.filter(P.key_like(F.col("column_name"))).select("table_name")
-    return facts.select("table_name").distinct().join(keyed, "table_name", "left_anti")
-
-
-def nullable_keys(profile: DataFrame) -> DataFrame:
-    """Key-like columns that do hold nulls."""
-    return key_candidates(profile).filter("n_nulls > 0")
-
-
 def propose_primary_key(candidates: DataFrame, facts: DataFrame) -> DataFrame:
     """First unique key-like column of each table by position."""
     placed = candidates.filter("is_unique").join(
