@@ -338,8 +338,10 @@ def dedup(
     own = picked(docs, doc_id=doc_id, text=text).withColumn("d", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NO_ID)))
     # only where an id repeats do its rows need a digest; written, so that Spark sees how few such ids there are
     again = cut_lineage(own.groupBy("d").count().filter("count > 1").select("d", F.lit(True).alias("again")), "repeated-ids")
-    own = own.join(again, "d", "left").select("doc_id", "text", "d", F.when(F.col("again"), F.xxhash64("text")).otherwise(F.lit(0)).alias("h"))
-    found = repeats(own.select("d", "h", "text"), length, gram, shard_reads)
+    own = own.join(again, "d", "left").select("doc_id", "text", "d", "again", F.when(F.col("again"), F.xxhash64("text")).otherwise(F.lit(0)).alias("h"))
+    # rows equal in id and text are one document, or each would be a repeat of the others
+    once = cut_lineage(own.filter("again").groupBy("d", "h").agg(F.min("text").alias("text")), "documents-of-repeated-ids")
+    found = repeats(own.filter("again is null").select("d", "h", "text").unionByName(once), length, gram, shard_reads)
     by_text = cut_lineage(found.groupBy("d", "h").agg(F.array_sort(F.collect_set(F.struct("first", "end"))).alias("ranges")), "ranges")
     return own.join(by_text, ["d", "h"], "left").select("doc_id", "text", "ranges")
 
