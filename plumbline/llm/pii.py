@@ -126,20 +126,22 @@ def homoglyphs(tape: Tape) -> Tape:
 
 
 _NUMBER = "(?:" + "|".join(sorted(_SPELLED, key=len, reverse=True)) + "|[0-9]+)"
-_SPOKEN = re.compile(rf"(?<!\w)(?:(?:plus[\s-]++(?={_NUMBER}))?{_NUMBER}(?:(?:[\s,-]|\.(?=\s))++{_NUMBER})++)(?!\w)", re.IGNORECASE)
+_DOTS = "dot|point|punkt|punto"
+# numbers apart by blanks and the like, or by a word for a dot
+_SPOKEN = re.compile(
+    rf"(?<!\w)(?:(?:plus[\s-]++(?={_NUMBER}))?{_NUMBER}(?:(?:\s++(?:{_DOTS})\s++|(?:[\s,-]|\.(?=\s))++){_NUMBER})++)(?!\w)", re.IGNORECASE)
 _WORD = re.compile(r"[^\W\d_]+|[0-9]+")
-_DOT_WORD = re.compile(r"\s+dot\s+|\s+point\s+|\s+punkt\s+|\s+punto\s+", re.IGNORECASE)
 
 
 def spelled_digits(tape: Tape) -> Tape:
-    """A run of at least two numbers, one of them in words, becomes a run of digits; ``plus`` before it a sign."""
+    """A run of at least two numbers, one of them in words, becomes a run of digits; ``plus`` before it a sign, ``dot`` in it a dot."""
     edits = []
     for m in _SPOKEN.finditer(tape.text):
         words = [w.group().lower() for w in _WORD.finditer(m.group())]
         if any(w in _SPELLED for w in words):
             for w in _WORD.finditer(tape.text, *m.span()):
                 word = w.group().lower()
-                new = "+" if word == "plus" else _SPELLED.get(word, word)
+                new = "+" if word == "plus" else "." if word in _DOTS.split("|") else _SPELLED.get(word, word)
                 edits.append((w.start(), w.end(), new))
     # what separates two numbers of a run goes
     closed, last = [], None
@@ -151,43 +153,80 @@ def spelled_digits(tape: Tape) -> Tape:
     return tape.rewrite(closed)
 
 
-_BRACKETED = re.compile(r"\s*[\[({<]\s*(at|dot|point|punkt|punto|arroba)\s*[\])}>]\s*", re.IGNORECASE)
+# Words for the at sign that are hardly ever anything else; ends of hosts that make ``point`` a dot after ``at``.
+_ATS = "arroba|arobase|arobas|klammeraffe|ät"
+_ENDS = frozenset("com net org edu gov info fr eu uk ch".split())
+_BRACKETED = re.compile(rf"[\[({{<]\s*+(at|@|{_ATS}|\.|{_DOTS})\s*+[\])}}>]", re.IGNORECASE)
+_WORDED = re.compile(rf"\s(?:{_DOTS}|{_ATS})\s", re.IGNORECASE)
+# a name whole with all its dots in words, so that no search begins inside one
 _BARE = re.compile(
-    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?P<in>(?:\s+dot\s+[A-Za-z0-9_%+-]+){0,4})(?P<at>\s+at\s+)"
-    r"(?P<host>[A-Za-z0-9-]+(?:(?:\s+dot\s+|\.)[A-Za-z0-9-]+){0,8}\s+dot\s+[A-Za-z]{2,})(?![A-Za-z0-9])", re.IGNORECASE)
-_DOT = re.compile(r"\s+dot\s+", re.IGNORECASE)
+    rf"(?P<name>[A-Za-z0-9._%+-]++(?:\s++(?i:{_DOTS})\s++[A-Za-z0-9._%+-]++)*+)"
+    rf"(?:(?P<at>@|\s++(?i:at|{_ATS})\s++)(?P<host>[A-Za-z0-9-]++(?:(?:\s++(?i:{_DOTS})\s++|\.)[A-Za-z0-9-]++)++))?+")
+_DOT = re.compile(rf"(?<!\s)\s++({_DOTS})\s++", re.IGNORECASE)
+_HOST_DOT = re.compile(rf"(?<!\s)\s++({_DOTS})\s++|\.", re.IGNORECASE)
+_DIGIT_DOT = re.compile(rf"(?<=[0-9])\s++(?:{_DOTS})\s++(?=[0-9])", re.IGNORECASE)
+
+
+def _bracketed(text: str) -> Iterator[tuple[int, int, str]]:
+    """Each bracketed sign with the blanks around it."""
+    done = 0
+    for m in _BRACKETED.finditer(text):
+        a, b = m.span()
+        while a > done and text[a - 1].isspace():
+            a -= 1
+        while b < len(text) and text[b].isspace():
+            b += 1
+        done = b
+        yield a, b, "." if m[1] == "." or m[1].lower() in _DOTS.split("|") else "@"
+
+
+def _address(text: str, m: re.Match[str]) -> list[tuple[int, int, str]]:
+    """What makes a name, a sign and a host an address, or nothing where they may be plain words."""
+    sign = m["at"].strip().lower()
+    name = [(*d.span(), d[1].lower()) for d in _DOT.finditer(text, *m.span("name"))]
+    host = [(*d.span(), (d[1] or ".").lower()) for d in _HOST_DOT.finditer(text, *m.span("host"))]
+    end = m.end()
+    if sign in ("at", "@"):  # "at some point in": the word stands for a dot only before an end that is no word
+        if text[host[-1][1]:end].lower() not in _ENDS:
+            plain = next((k for k, d in enumerate(host) if d[2] == "point"), len(host))
+            end = host[plain][0] if plain < len(host) else end
+            host = host[:plain]
+        if all(d[2] != "point" for d in host):
+            last = max((k for k, d in enumerate(name) if d[2] == "point"), default=-1)
+            name = name[last + 1:]
+    while host and not ((last := text[host[-1][1]:end]).isalpha() and len(last) > 1):
+        end = host.pop()[0]
+    worded = [d for d in host if d[2] != "."]
+    if not host or sign == "at" and not name and not worded:
+        return []
+    at = [] if sign == "@" else [(*m.span("at"), "@")]
+    return [*((a, b, ".") for a, b, _ in name), *at, *((a, b, ".") for a, b, _ in worded)]
 
 
 def at_and_dot(tape: Tape) -> Tape:
-    """``[at]``, ``(dot)`` and the like anywhere; bare ``at`` and ``dot`` where both make up an address."""
-    tape = tape.rewrite([(*m.span(), "@" if m[1].lower() in ("at", "arroba") else ".") for m in _BRACKETED.finditer(tape.text)])
-    edits = []
-    for m in _BARE.finditer(tape.text):
-        edits += [(*d.span(), ".") for d in _DOT.finditer(tape.text, *m.span("in"))]
-        edits.append((*m.span("at"), "@"))
-        edits += [(*d.span(), ".") for d in _DOT.finditer(tape.text, *m.span("host"))]
-    tape = tape.rewrite(edits)
-    # an address whose at sign is written may still have its dots in words
-    return tape.rewrite([(*d.span(), ".") for m in _HALF.finditer(tape.text) for d in _DOT.finditer(tape.text, *m.span("host"))])
-
+    """``[at]``, ``(dot)``, ``[.]`` and the like anywhere; bare words where they make up an address, or dots between digits."""
+    tape = tape.rewrite(list(_bracketed(tape.text)))
+    if not _WORDED.search(tape.text):
+        return tape
+    tape = tape.rewrite([(*m.span(), ".") for m in _DIGIT_DOT.finditer(tape.text)])
+    return tape.rewrite([e for m in _BARE.finditer(tape.text) if m["at"] for e in _address(tape.text, m)])
 
-_HALF = re.compile(r"@(?P<host>[A-Za-z0-9-]+(?:(?:\s+dot\s+|\.)[A-Za-z0-9-]+){0,8}\s+dot\s+[A-Za-z]{2,})(?![A-Za-z0-9])", re.IGNORECASE)
 
-
-def disguises(text: str) -> list[Callable[[Tape], Tape]]:
-    """The transducers that may change ``text``, in the order in which they run."""
-    steps: list[Callable[[Tape], Tape]] = []
+def _is_odd(text: str) -> bool:
     try:
         text.encode("latin-1")
-        odd = "­" in text
+        return "\u00ad" in text
     except UnicodeEncodeError:
-        odd = True
-    if odd:
-        steps.append(homoglyphs)
-    words = set(text.lower().replace("-", " ").replace(",", " ").replace(".", " ").split())
-    if odd or not _SPELLED.keys().isdisjoint(words):
+        return True
+
+
+def disguises(text: str) -> list[Callable[[Tape], Tape]]:
+    """The transducers that may change ``text``, in the order in which they run; each is told by its own pattern."""
+    odd = _is_odd(text)
+    steps: list[Callable[[Tape], Tape]] = [homoglyphs] if odd else []
+    if odd or _SPOKEN.search(text):
         steps.append(spelled_digits)
-    if odd or "dot" in words or _BRACKETED.search(text):
+    if odd or _WORDED.search(text) or _BRACKETED.search(text):
         steps.append(at_and_dot)
     return steps
 

@@ -28,6 +28,39 @@ def test_disguises_map_back_to_the_source(text, kind, span):
     assert (kind, at, at + len(span)) in pii.all_spans(text)
 
 
+@pytest.mark.parametrize("text,kind,span", [
+    ("host 192 dot 168 dot 1 dot 10 is up", "ip", "192 dot 168 dot 1 dot 10"),
+    ("host 192[.]168[.]1[.]10 is up", "ip", "192[.]168[.]1[.]10"),
+    ("host one nine two dot one six eight dot one dot one zero is up", "ip", "one nine two dot one six eight dot one dot one zero"),
+    ("escribe a juan arroba ejemplo punto com hoy", "email", "juan arroba ejemplo punto com"),
+    ("jean point petit arobase exemple point fr, merci", "email", "jean point petit arobase exemple point fr"),
+    ("an hans punkt klein at beispiel punkt de, danke", "email", "hans punkt klein at beispiel punkt de"),
+    ("to joe[@]example[.]com now", "email", "joe[@]example[.]com"),
+    ("ask john dot doe at example.com now", "email", "john dot doe at example.com"),
+    ("ask john dot doe@example.com now", "email", "john dot doe@example.com"),
+    ("see a dot b dot c dot d dot e dot f at x dot com, ok", "email", "a dot b dot c dot d dot e dot f at x dot com"),
+    ("see a at " + " dot ".join("bcdefghijklmnop") + " dot com, ok", "email", "a at " + " dot ".join("bcdefghijklmnop") + " dot com"),
+    ("pin (four zero six eight five one six eight nine two five zero five four six eight)", "card",
+     "four zero six eight five one six eight nine two five zero five four six eight"),
+    ("call:plus one;plus one two one two five five five one two three four", "phone", "plus one two one two five five five one two three four"),
+])
+def test_whole_disguises(text, kind, span):
+    at = text.index(span)
+    assert (kind, at, at + len(span)) in pii.all_spans(text)
+
+
+@pytest.mark.parametrize("text", [
+    "we were at some point in doubt", "look at example.com", "the point is at example.com", "un punto y otro punto", "1 point 5 and 2 dot 3",
+    "the point made at this point we know"])
+def test_words_that_are_no_disguise(text):
+    assert pii.all_spans(text) == []
+
+
+def test_long_disguises_take_linear_time():
+    for text in ("a dot " * 100_000, "a at b dot " * 50_000, "x " + " " * 200_000 + "[", "1 dot " * 100_000, "one dot " * 50_000, "( " * 100_000):
+        pii.all_spans(text)
+
+
 @pytest.mark.parametrize("text", ["see you at noon. A dot is small", "one two three", "meet at example dot", "", "null acht"])
 def test_ordinary_text_stays(text):
     assert pii.all_spans(text) == []
