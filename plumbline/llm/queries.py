@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, language, pieces, pii, quality, secret_scan, simhash, suffix_dedup, token_store, url_filter
+from plumbline.llm import alignment, decontaminate, language, pieces, pii, quality, secret_scan, simhash, suffix_dedup, token_store, url_filter
 from plumbline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,3 +105,8 @@ def op10_sentencepiece(spark, root):
 @query
 def op8_suffix_dedup(spark, root):
     return suffix_dedup.digests(suffix_dedup.dedup(table(spark, root, "documents")))
+
+
+@query
+def op13_alignment(spark, root):
+    return alignment.align(table(spark, root, "documents"))
