@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import alignment, decontaminate, language, pieces, pii, quality, secret_scan, simhash, suffix_dedup, token_store, url_filter
+from plumbline.llm import alignment, decontaminate, language, lexical, pieces, pii, quality, secret_scan, simhash, suffix_dedup, token_store, url_filter
 from plumbline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,3 +110,28 @@ def op8_suffix_dedup(spark, root):
 @query
 def op13_alignment(spark, root):
     return alignment.align(table(spark, root, "documents"))
+
+
+@query
+def op12_lexical_search(spark, root):
+    return lexical.rank(table(spark, root, "documents"), table(spark, root, "benchmark"))
+
+
+ORACLES["op12_lexical_search"] = r"""
+WITH words AS (
+  SELECT r, doc_id, translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM (
+    SELECT r, doc_id, unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t
+    FROM (SELECT row_number() OVER () AS r, doc_id, text FROM documents))),
+lengths AS (SELECT r, doc_id, count(*) AS n FROM words GROUP BY ALL),
+totals AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM lengths),
+asked AS (
+  SELECT item_id, translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t, count(*) AS q FROM (
+    SELECT item_id, unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM (SELECT DISTINCT item_id, text FROM benchmark))
+  GROUP BY ALL),
+tfs AS (SELECT r, t, count(*) AS tf FROM words WHERE t IN (SELECT t FROM asked) GROUP BY ALL),
+weights AS (SELECT t, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tfs, totals GROUP BY t, docs),
+scored AS (
+  SELECT item_id, r, doc_id, sum(q * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // terms))))::BIGINT AS score
+  FROM asked JOIN tfs USING (t) JOIN weights USING (t) JOIN lengths USING (r), totals GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 10"""
