@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import alignment, decontaminate, language, lexical, pieces, pii, quality, secret_scan, simhash, suffix_dedup, token_store, url_filter
+from plumbline.llm import alignment, archives, decontaminate, language, lexical, pieces, pii, quality, secret_scan, simhash, suffix_dedup, token_store, url_filter
 from plumbline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -135,3 +135,19 @@ scored AS (
   FROM asked JOIN tfs USING (t) JOIN weights USING (t) JOIN lengths USING (r), totals GROUP BY ALL)
 SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
 FROM scored WHERE score > 0 QUALIFY rank <= 10"""
+
+
+@query
+def op11_warc(spark, root):
+    return archives.round_trip(table(spark, root, "pages"))
+
+
+ORACLES["op11_warc"] = r"""
+WITH payloads AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+kept AS (SELECT html, max(page_id) AS last FROM payloads GROUP BY html)
+SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(h, (5 * (k // 4) + 1)::BIGINT, 5))::INTEGER >> (15 - 5 * (k % 4))::INTEGER) & 31) + 1)::BIGINT, 1)
+                   for k in range(32)], '') AS payload_digest,
+  CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> last THEN last END AS refers_to
+FROM payloads JOIN kept USING (html)"""
