@@ -63,3 +63,21 @@ def cut_lineage(df: DataFrame, label: str = "stage") -> DataFrame:
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Cut points that go when the work that needed them is written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def cut(self, df: DataFrame, label: str = "stage") -> DataFrame:
+        """As ``cut_lineage``, remembered."""
+        path = scratch_path(self.spark, label)
+        df.write.parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        while self.paths:
+            remove(self.spark, self.paths.pop())
