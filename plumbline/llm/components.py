@@ -13,29 +13,29 @@ def _mark(links: DataFrame):
     return tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % (1 << 40))).first())
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(links: DataFrame, a: str = "a", b: str = "b", cut=cut_lineage) -> DataFrame:
     """(node, root): the smallest node each linked node can reach; nodes without a link don't appear.
 
     Alternates two steps on links a > b until nothing changes: hang every larger neighbour on
     the smallest one, then every smaller neighbour. Each round at least halves the depth. Least
     neighbours are aggregated before they are shuffled, and the joins on a hot node have plain
     written tables on both sides, so that adaptive execution can split them. Every round is
-    written to the shared folder.
+    written to the shared folder by ``cut``.
     """
     now = links.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
-    now = cut_lineage(now, "links")
+    now = cut(now, "links")
     before = _mark(now)
     while before[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = cut_lineage(both.groupBy(F.col("a").alias("u")).agg(F.least(F.min("b"), F.col("u")).alias("m")), "least")
+        least = cut(both.groupBy(F.col("a").alias("u")).agg(F.least(F.min("b"), F.col("u")).alias("m")), "least")
         # larger neighbours of every node go to the least one; a link a > b is seen from b
         hung = now.join(least, now.b == least.u).select(F.col("a"), F.col("m").alias("b"))
-        hung = cut_lineage(hung.distinct(), "links")
+        hung = cut(hung.distinct(), "links")
         # smaller neighbours, and the node itself, go to the least of them
-        least = cut_lineage(hung.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")), "least")
+        least = cut(hung.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")), "least")
         moved = hung.join(least, hung.a == least.u).select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = moved.filter("a <> b").unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        now = cut_lineage(now.distinct(), "links")
+        now = cut(now.distinct(), "links")
         after = _mark(now)
         if after == before:
             break

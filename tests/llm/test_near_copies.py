@@ -53,10 +53,10 @@ def near_rows():
     return out
 
 
-@pytest.mark.parametrize("list_documents", [near_copies.LIST_DOCUMENTS, 1])
-def test_near_copies_by_brute_force(make_docs, list_documents):
+@pytest.mark.parametrize("limits", [{}, {"list_documents": 1}, {"list_documents": 2, "band_rows": 2, "sent_rows": 0}])
+def test_near_copies_by_brute_force(make_docs, limits):
     docs = near_rows()
-    assert ids(near_copies.distinct_documents(make_docs(docs).repartition(4), list_documents=list_documents)) == wanted(docs)
+    assert ids(near_copies.distinct_documents(make_docs(docs).repartition(4), **limits)) == wanted(docs)
 
 
 def test_stage_by_exact_similarity(make_docs, texts, spark, root):
@@ -71,8 +71,8 @@ def test_bands_find_pairs_of_the_similarity():
     r = np.random.default_rng(3)
     for _ in range(300):
         every = r.integers(0, 1 << 63, 100, np.uint64)
-        a, b = near_copies.bands([every[:90], every[10:]])  # 80 of 100 are shared
-        assert (a == b).any()
+        (a, b), (x, y) = near_copies.bands([every[:90], every[10:]])  # 80 of 100 are shared
+        assert (a == b).any() and (x == y).mean() >= near_copies.AGREEING
 
 
 def test_odd_rows(odd_docs):

@@ -8,6 +8,7 @@ from plumbline.llm import decontaminate, language, pieces, pii
 from plumbline.llm.queries import ORACLES, QUERIES
 
 from corpus_fixtures import make_docs, odd_docs, rows, texts  # noqa: F401
+from test_near_copies import wanted as near_wanted
 
 
 def test_every_operator_has_its_query():
@@ -28,8 +29,8 @@ def test_secret_query(spark, root):
 def test_run_by_brute_force(spark, root, make_docs, texts):
     model = language.Classifier(language.train(make_docs(texts)))
     kept = [(i, t) for i, t, *_ in texts if language.has_letter(t) and model.predict(t)[1] >= language.MARGIN]
-    prints = [(i, brute.fingerprint(t)) for i, t in kept]
-    kept = [x for x, root_id in zip(kept, brute.components(prints)) if x[0] == root_id]
+    first = set(near_wanted(kept))
+    kept = [x for x in kept if x[0] in first]
     items = [tuple(r) for r in spark.read.parquet(f"{root}/benchmark.parquet").select("item_id", "text").collect()]
     kept = [(i, t) for i, t in kept if not brute.contamination(t, items)[1]]
     want = {i: pii.redact(t, pii.all_spans(t)) for i, t in kept}
