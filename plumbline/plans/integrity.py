@@ -7,10 +7,12 @@ import re
 from pyspark.sql import functions as F
 
 from plumbline.functions import fixed_values as V
+from plumbline.operators import discovery as D
 from plumbline.operators import integrity as I
 from plumbline.operators import profile as P
 from plumbline.plans.registry import query
 from plumbline.plans.sample_sql import SAMPLE_COLUMNS, columns_of, profile_cell
+from plumbline.session import cut_lineage
 from plumbline.sources.facts import column_facts
 
 KEYS = [(t, c, k) for t in SAMPLE_COLUMNS for c, k in columns_of(t) if re.search(V.KEY_NAME, c)]
@@ -83,11 +85,91 @@ def _pair_sql(child: str, c: str, parent: str, p: str) -> str:
             f"FROM (SELECT DISTINCT {c} AS v FROM {child} WHERE {c} IS NOT NULL) c")
 
 
-@query("fk_discovery", " UNION ALL ".join(_pair_sql(*p) for p in PAIRS))
-def fk_discovery(t):
+@query("fk_containment", " UNION ALL ".join(_pair_sql(*p) for p in PAIRS))
+def fk_containment(t):
+    """Containment of given pairs, whole or not."""
     return I.fk_discovery([(a, t[a], c, b, t[b], p) for a, c, b, p in PAIRS])
 
 
+def _stem(column: str) -> str:
+    return re.sub("^[a-z]{1,2}_", "", column)
+
+
+def _reference_sql() -> str:
+    """Every pair of columns of two tables whose names agree, tried one by one."""
+    short = [(t, c, k) for t in SAMPLE_COLUMNS for c, k in columns_of(t)]
+    parts = []
+    for child, c, k in short:
+        for parent, p, kind in short:
+            if child != parent and _stem(c) == _stem(p) and k == kind:
+                clean = {"i": "true", "d": f"(SELECT bool_and({{0}} = floor({{0}})) FROM {{1}})", "s": "(SELECT max(length({0})) <= 64 FROM {1})", "t": "true"}[k]
+                parts.append(
+                    f"SELECT '{child}' AS child_table, '{c}' AS child_column, '{parent}' AS parent_table, '{p}' AS parent_column, n_child_values, n_contained, "
+                    f"(SELECT count({p}) FROM {parent}) AS n_parent_values, round(n_contained::DOUBLE / n_child_values, 4) AS containment FROM ("
+                    f"SELECT count(*) AS n_child_values, count(*) FILTER (WHERE c IN (SELECT {p} FROM {parent} WHERE {p} IS NOT NULL)) AS n_contained "
+                    f"FROM (SELECT DISTINCT {c} AS c FROM {child} WHERE {c} IS NOT NULL)) "
+                    f"WHERE n_contained >= 0.9 * n_child_values AND n_contained > 0 AND (SELECT count({p}) = count(DISTINCT {p}) FROM {parent}) "
+                    f"AND {clean.format(c, child)} AND {clean.format(p, parent)}")
+    return "\nUNION ALL ".join(parts)
+
+
+@query("fk_discovery", _reference_sql())
+def fk_discovery(t):
+    """References found in the data: no table, column or pair is named."""
+    return D.references(t.pick(), threshold=0.9)
+
+
+LINES = "(SELECT DISTINCT ON (l_orderkey, l_linenumber) * FROM lineitem ORDER BY ALL)"
+LINE_COLUMNS = [c for c, _ in columns_of("lineitem")]
+
+
+def _unique_sql() -> str:
+    """All columns and pairs of columns, counted one by one."""
+    def unique(*cols: str) -> str:
+        return f"(SELECT count(*) FROM (SELECT DISTINCT {', '.join(cols)} FROM lines)) = (SELECT count(*) FROM lines)"
+
+    parts = [f"SELECT '{c}' AS columns, 1 AS n_columns, (SELECT count(*) FROM lines) AS n_rows WHERE {unique(c)}" for c in LINE_COLUMNS]
+    parts += [f"SELECT '{a}, {b}', 2, (SELECT count(*) FROM lines) WHERE {unique(a, b)} AND NOT {unique(a)} AND NOT {unique(b)}"
+              for i, a in enumerate(LINE_COLUMNS) for b in LINE_COLUMNS[i + 1:]]
+    return f"WITH lines AS MATERIALIZED {LINES}\n" + "\nUNION ALL ".join(parts)
+
+
+def unique_lines(t):
+    """``lineitem`` with (l_orderkey, l_linenumber) made unique: of equal keys the least row."""
+    rest = [c for c in t.lineitem.columns if c not in ("l_orderkey", "l_linenumber")]
+    least = t.lineitem.groupBy("l_orderkey", "l_linenumber").agg(F.min(F.struct(*rest)).alias("x"))
+    return least.select("l_orderkey", "l_linenumber", "x.*").select(*t.lineitem.columns)
+
+
+@query("composite_keys", _unique_sql())
+def composite_keys(t):
+    """Minimal unique sets of one or two columns; none is named."""
+    return D.unique_column_sets(cut_lineage(unique_lines(t), "lines"), 2)
+
+
+KEYED = {"lineitem": LINES, "orders": "orders", "nation": "nation", "conversations": "conversations"}
+
+
+def _proposed_sql(table: str, source: str) -> str:
+    cols = [c for c, _ in columns_of(table)]
+    sets = [(c,) for c in cols] + [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
+
+    def order(s):
+        return len(s), -sum(bool(re.search(V.KEY_NAME, c)) for c in s), [cols.index(c) for c in s]
+
+    ranked = sorted(sets, key=order)
+    tried = " UNION ALL ".join(
+        f"SELECT {k} AS k, '{', '.join(s)}' AS columns, {len(s)} AS n_columns, count(*) AS n_rows, (SELECT count(*) FROM (SELECT DISTINCT {', '.join(s)} FROM x)) AS d FROM x"
+        for k, s in enumerate(ranked))
+    return f"(WITH x AS MATERIALIZED (SELECT * FROM {source}) SELECT '{table}' AS table_name, columns, n_columns, n_rows FROM ({tried}) WHERE d = n_rows ORDER BY k LIMIT 1)"
+
+
+@query("propose_composite_key", " UNION ALL ".join(_proposed_sql(*x) for x in KEYED.items()))
+def propose_composite_key(t):
+    tables = t.pick(KEYED) | {"lineitem": cut_lineage(unique_lines(t), "lines")}
+    return D.propose_keys(tables, key_name=V.KEY_NAME)
+
+
 STEPS = """WITH steps AS (
   SELECT event_type AS src, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events
 ), edges AS (SELECT src, dst, count(*) AS n FROM steps WHERE dst IS NOT NULL GROUP BY ALL)
