@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.plans.registry import query
+from plumbline.session import scratch_path
 from plumbline.streaming import jobs as J
+from plumbline.streaming import quantiles as Q
+from plumbline.streaming import silence as S
 
 
 def stream(t):
@@ -64,3 +67,58 @@ SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n_events, sum(value::DEC
 def stream_daily_view(t):
     state = J.drain_view(stream(t), "daily-view", ["day", "event_type"], ["n_events", "sum_value"], J.daily_sums)
     return J.newest_view(t.spark, state).withColumn("sum_value", F.col("sum_value").cast("double"))
+
+
+@query("stream_silences", """
+WITH final AS (SELECT user_id, epoch_ms(ts) AS ms FROM events WHERE epoch_ms(ts) < (SELECT max(epoch_ms(ts)) - 600000 FROM events)),
+gaps AS (SELECT user_id, ms, lead(ms) OVER (PARTITION BY user_id ORDER BY ms) AS next FROM final),
+told AS (
+  SELECT user_id, 'silent' AS state, ms + 86400000 AS due, ms FROM gaps
+  WHERE next >= ms + 86400000 OR next IS NULL AND ms + 86400000 <= (SELECT max(epoch_ms(ts)) - 600000 FROM events)
+  UNION ALL SELECT user_id, 'resumed', next, ms FROM gaps WHERE next >= ms + 86400000)
+SELECT user_id, state, strftime(make_timestamp(due * 1000), '%Y-%m-%d %H:%M:%S') AS "at", strftime(make_timestamp(ms * 1000), '%Y-%m-%d %H:%M:%S') AS last_seen FROM told""")
+def stream_silences(t):
+    """Alarms at the deadline and returns, in two runs from one checkpoint."""
+    job, sink, checkpoint = S.silences(stream(t), "ts", "user_id"), scratch_path(t.spark, "silences"), scratch_path(t.spark, "silences-checkpoint")
+    J.drain(job, "silences", sink, checkpoint)
+    return _shown(t.spark.read.parquet(J.drain(job, "silences", sink, checkpoint)), "at", "last_seen")
+
+
+@query("stream_quantiles", f"""
+SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(value) AS n_values, true AS median_within, true AS p95_within
+FROM (SELECT *, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '2024-01-01') AS w FROM events) WHERE w + INTERVAL 6 HOUR <= {CLOSED} GROUP BY w, event_type""")
+def stream_quantiles(t):
+    """Sketched quantiles of each window; whether their ranks among the window's values lie within the bound."""
+    job = Q.windowed_sketches(stream(t), "ts", ["event_type"], "value", "6 hours")
+    return _within(t, t.spark.read.parquet(J.drain(job, "quantiles")), "6 hours")
+
+
+@query("quantile_rollup", f"""
+SELECT strftime(date_trunc('week', w), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(value) AS n_values, true AS median_within, true AS p95_within
+FROM (SELECT *, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '2024-01-01') AS w FROM events) WHERE w + INTERVAL 6 HOUR <= {CLOSED}
+GROUP BY date_trunc('week', w), event_type""")
+def quantile_rollup(t):
+    """The windows' sketches merged to days and these to weeks, without the events."""
+    job = Q.windowed_sketches(stream(t), "ts", ["event_type"], "value", "6 hours")
+    windows = t.spark.read.parquet(J.drain(job, "rollup"))
+    days = Q.rolled_up(windows, "window_start", ["event_type"], "day")
+    return _within(t, Q.rolled_up(days, "window_start", ["event_type"], "week"), "week", windows.agg(F.max("window_end")).first()[0])
+
+
+def _within(t, sketched, frame, until=None):
+    """Exact ranks of the sketches' quantiles, by a join back to the events."""
+    told = sketched.withColumns({"median": Q.quantile("sketch", 0.5), "p95": Q.quantile("sketch", 0.95)})
+    events = t.events.withColumn("ts", F.col("ts").cast("timestamp"))
+    start = F.date_trunc(frame, "ts") if until is not None else F.window("ts", frame)["start"]
+    if until is not None:
+        events = events.filter(F.col("ts") < F.lit(until))
+    e = events.select(start.alias("window_start"), "event_type", "value").filter("value is not null")
+    ranks = e.join(told.select("window_start", "event_type", "median", "p95"), ["window_start", "event_type"]).groupBy("window_start", "event_type").agg(
+        *[F.avg((F.col("value") < F.col(q)).cast("double")).alias(f"{q}_low") for q in ("median", "p95")],
+        *[F.avg((F.col("value") <= F.col(q)).cast("double")).alias(f"{q}_high") for q in ("median", "p95")])
+    both = told.join(ranks, ["window_start", "event_type"], "left")
+
+    def within(q, p):  # the wanted rank lies between those of the values below and up to the quantile, give or take the bound
+        return F.coalesce((F.col(f"{q}_low") <= p + Q.RANK_ERROR) & (F.col(f"{q}_high") >= p - Q.RANK_ERROR), F.lit(True)).alias(f"{q}_within")
+
+    return _shown(both.select("window_start", "event_type", "n_values", within("median", 0.5), within("p95", 0.95)), "window_start")
