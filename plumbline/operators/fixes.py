@@ -177,18 +177,77 @@ def fill_defaults(df: DataFrame, defaults: dict[str, object] | None = None) -> D
     return df.withColumns(filled)
 
 
+#: What an expression consists of: quoted text, bracketed names, words, single characters. Only bare parentheses nest.
+_TOKENS = r"(?is)'[^']*'|\"[^\"]*\"|\[[^\]]*\]|{calls}\w+|."
+_FRAME = "struct<head:string,args:array<string>,cur:string>"
+
+
+def rewrite_calls(text: Column, calls: dict[str, Callable[[Column], Column]]) -> Column:
+    """Every call of the named functions, nested to any depth, replaced by what its function makes of the list of its arguments.
+
+    One pass over the expression's tokens with a stack of open parentheses: a comma parts arguments only in the call it
+    stands in, inner calls are rewritten before outer ones. Parentheses and commas in quotes or brackets are text. A
+    function may answer null to leave a call as it is; a call that is never closed stays.
+    """
+    names = "|".join(rf"(?<!\w){c}\s*\(\s*" for c in calls)
+    empty = F.slice(F.array(F.lit("")), 1, 0)
+
+    def frame(head: Column, args: Column, cur: Column) -> Column:
+        return F.struct(head.alias("head"), args.alias("args"), cur.alias("cur"))
+
+    def is_call(head: Column) -> Column:
+        return head.rlike(rf"(?is)^({names})$")
+
+    def whole(f: Column) -> Column:
+        """A frame as it was written, without its end."""
+        return F.concat(f["head"], F.array_join(F.concat(f["args"], F.array(f["cur"])), ","))
+
+    def closed(f: Column) -> Column:
+        args = F.transform(F.concat(f["args"], F.array(f["cur"])), lambda x: F.trim(x))
+        out = F.lit(None).cast("string")
+        for name, make in calls.items():
+            out = F.when(f["head"].rlike(rf"(?is)^{name}\s*\("), make(args)).otherwise(out)
+        return F.coalesce(out, F.concat(whole(f), F.lit(")")))
+
+    def step(stack: Column, token: Column) -> Column:
+        top, below = F.element_at(stack, -1), F.slice(stack, 1, F.size(stack) - 1)
+        under = F.element_at(below, -1)
+        opens = (token == "(") | is_call(token)
+        closes = (token == ")") & (F.size(stack) > 1)
+        parts = (token == ",") & is_call(top["head"])
+        return (
+            F.when(opens, F.concat(stack, F.array(frame(token, empty, F.lit("")))))
+            .when(closes, F.concat(F.slice(stack, 1, F.size(stack) - 2), F.array(frame(under["head"], under["args"], F.concat(under["cur"], closed(top))))))
+            .when(parts, F.concat(below, F.array(frame(top["head"], F.concat(top["args"], F.array(top["cur"])), F.lit("")))))
+            .otherwise(F.concat(below, F.array(frame(top["head"], top["args"], F.concat(top["cur"], token))))))
+
+    tokens = F.regexp_extract_all(text, F.lit(_TOKENS.format(calls=names + "|")), F.lit(0))
+    start = F.array(frame(F.lit(""), empty, F.lit(""))).cast(f"array<{_FRAME}>")
+    done = F.aggregate(tokens, start, lambda s, t: step(s, t).cast(f"array<{_FRAME}>"), lambda s: F.array_join(F.transform(s, whole), ""))
+    return F.when(text.rlike(f"(?is){names}"), done).otherwise(text)
+
+
+def _if_error(args: Column) -> Column:
+    one, two = F.element_at(args, 1), F.try_element_at(args, F.lit(2))
+    return F.when(F.size(args) == 2, F.concat(F.lit("IF(ISERROR("), one, F.lit("), "), two, F.lit(", "), one, F.lit(")")))
+
+
 def rewrite_expressions(df: DataFrame, text: str, fixes: list[str] | None = None) -> DataFrame:
     """``rewritten`` and ``is_changed`` next to the text.
 
-    Every step uses the step before once, so the expression grows by one call per
-    rewrite even when filters are pushed through it.
+    IFERROR calls and EVALUATEANDLOG calls are found by their parentheses, at any depth and with text behind them; of a log
+    call its first argument stays. Each step uses the step before once, so filters can be pushed through.
     """
-    out = F.col(text)
+    def wanted(fix: str) -> bool:
+        return fixes is None or fix in fixes
+
+    out = rewrite_calls(F.col(text), {"IFERROR": _if_error}) if wanted("SM-FIX-IFERROR") else F.col(text)
     for fix, pattern, replacement in V.EXPRESSION_REWRITES:
-        if fixes is None or fix in fixes:
+        if wanted(fix):
             out = F.regexp_replace(out, pattern, replacement)
-    if fixes is None or "SM-FIX-EVALLOG" in fixes:
-        out = F.regexp_replace(F.regexp_replace(out, V.LOG_CALL_END, "$1"), V.LOG_CALL, "")
+    if wanted("SM-FIX-EVALLOG"):
+        df = df.withColumn("rewritten", out)
+        out = rewrite_calls(F.col("rewritten"), {"EVALUATEANDLOG": lambda args: F.element_at(args, 1)})
     return df.withColumn("rewritten", out).withColumn("is_changed", F.col("rewritten") != F.col(text))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from plumbline.functions.fixed_values import MB
@@ -146,27 +148,40 @@ def fill_defaults(t):
     return X.fill_defaults(joined, {"quality": -1, "toxic": 0})
 
 
-SIMPLE = f"""WITH {EXPRESSIONS}, simple AS (SELECT * FROM expressions WHERE p_partkey % 8 <> 1),
-step1 AS (SELECT *, regexp_replace(expression, '(?i)IFERROR\\s*\\(\\s*(\\[[^\\]]*\\] / \\[[^\\]]*\\])\\s*,\\s*([^(),]+)\\)', 'IF(ISERROR(\\1), \\2, \\1)', 'g') AS r1 FROM simple),
-step2 AS (SELECT *, regexp_replace(r1, '^\\s*0\\s*\\+\\s*|\\s*\\+\\s*0\\s*$', '', 'g') AS r2 FROM step1),
-step3 AS (SELECT *, regexp_replace(r2, '(?i)\\bALL\\s*\\(', 'REMOVEFILTERS(', 'g') AS r3 FROM step2)
-"""
+# wrappings of the sample expressions: calls inside calls, text behind them, parentheses and commas in quotes and brackets
+WRAPPED = (
+    ("{}", "{}"), ("EVALUATEANDLOG({}) + 1", "{} + 1"), ("EVALUATEANDLOG(SUM([a(b]) + EVALUATEANDLOG({})) + SUM(x)", "SUM([a(b]) + {} + SUM(x)"),
+    ('IFERROR(IFERROR({}, (1 + (2 * (3)))), 0) & ")"', 'IF(ISERROR(IF(ISERROR({0}), (1 + (2 * (3))), {0})), 0, IF(ISERROR({0}), (1 + (2 * (3))), {0})) & ")"'),
+    ('((((EVALUATEANDLOG( {}, "log, (1" ) - 1))))', "(((({} - 1))))"),
+)
+
+
+def _wrapped_sql(form: str, inner: str) -> str:
+    return " || ".join(["'" + x.replace("'", "''") + "'" if k % 2 == 0 else inner for k, x in enumerate(re.split(r"(\{0?\})", form))])
 
 
-@query("rewrite_expressions", SIMPLE + """
-SELECT p_partkey, rewritten, rewritten <> expression AS is_changed FROM (
-  SELECT *, CASE WHEN regexp_matches(r3, '(?i)EVALUATEANDLOG\\s*\\(\\s*')
-    THEN regexp_replace(regexp_replace(r3, '(?i)EVALUATEANDLOG\\s*\\(\\s*', '', 'g'), '\\)\\s*$', '') ELSE r3 END AS rewritten FROM step3)""")
+@query("rewrite_expressions", f"""WITH {EXPRESSIONS}, parts AS (
+  SELECT e.p_partkey, expression, p.p_type, '[m' || CAST(e.p_partkey % 50 AS VARCHAR) || ']' AS m FROM expressions e JOIN part p USING (p_partkey)),
+inner_ AS (SELECT *, CASE CAST(p_partkey % 8 AS INTEGER)
+  WHEN 0 THEN 'IF(ISERROR(' || m || ' / [qty]), 0, ' || m || ' / [qty])' WHEN 1 THEN 'SUM(''part''[' || p_type || '])'
+  WHEN 2 THEN 'CALCULATE(CALCULATE(SUM(''part''[' || p_type || '])), REMOVEFILTERS(''part''))'
+  WHEN 4 THEN 'SUM(''part''[' || p_type || '])' ELSE trim(expression) END AS r FROM parts)
+SELECT p_partkey, wrapped AS expression, rewritten, rewritten <> wrapped AS is_changed FROM (
+  SELECT p_partkey, CASE CAST(p_partkey % 5 AS INTEGER) {' '.join(f"WHEN {k} THEN {_wrapped_sql(a, 'expression')}" for k, (a, _) in enumerate(WRAPPED))} END AS wrapped,
+    CASE CAST(p_partkey % 5 AS INTEGER) WHEN 0 THEN CASE WHEN p_partkey % 8 IN (3, 7) THEN 'SUM(''part''[' || p_type || '])' ELSE r END
+    {' '.join(f"WHEN {k} THEN {_wrapped_sql(b, 'r')}" for k, (_, b) in enumerate(WRAPPED) if k)} END AS rewritten FROM inner_)""")
 def rewrite_expressions(t):
-    return X.rewrite_expressions(_expression(t).filter("p_partkey % 8 <> 1"), "expression").select(
-        "p_partkey", "rewritten", "is_changed")
+    """All rewrites, over expressions that are nested in others."""
+    made = [F.concat(*[F.lit(x) if k % 2 == 0 else F.col("expression") for k, x in enumerate(re.split(r"(\{\})", form))]) for form, _ in WRAPPED]
+    wrapped = _expression(t).select("p_partkey", F.element_at(F.array(*made), (F.col("p_partkey") % len(made)).cast("int") + 1).alias("expression"))
+    return X.rewrite_expressions(wrapped, "expression").select("p_partkey", "expression", "rewritten", "is_changed")
 
 
-@query("rewrite_sumx", """
-SELECT p_partkey, 'SUM(''part''[' || p_type || '])' AS rewritten, true AS is_changed FROM part WHERE p_partkey % 8 = 1""")
+@query("rewrite_sumx", f"""WITH {EXPRESSIONS}
+SELECT p_partkey, CASE WHEN p_partkey % 8 = 1 THEN 'SUM(''part''[' || p_type || '])' ELSE expression END AS rewritten, p_partkey % 8 = 1 AS is_changed
+FROM expressions JOIN part USING (p_partkey)""")
 def rewrite_sumx(t):
-    return X.rewrite_expressions(_expression(t).filter("p_partkey % 8 = 1"), "expression", ["SM-FIX-SUMX"]).select(
-        "p_partkey", "rewritten", "is_changed")
+    return X.rewrite_expressions(_expression(t), "expression", ["SM-FIX-SUMX"]).select("p_partkey", "rewritten", "is_changed")
 
 
 @query("clean_names", r"""
