@@ -65,7 +65,7 @@ def stream_silence_alarms(t):
 @query("stream_daily_view", """
 SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n_events, sum(value::DECIMAL(18,4))::DOUBLE AS sum_value FROM events GROUP BY ALL""")
 def stream_daily_view(t):
-    state = J.drain_view(stream(t), "daily-view", ["day", "event_type"], ["n_events", "sum_value"], J.daily_sums)
+    state = J.drain_view(stream(t), "daily-view", "day", ["day", "event_type"], ["n_events", "sum_value"], J.daily_sums)
     return J.newest_view(t.spark, state).withColumn("sum_value", F.col("sum_value").cast("double"))
 
 

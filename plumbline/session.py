@@ -57,6 +57,42 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def _file_system(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def names(spark: SparkSession, folder: str) -> list[str]:
+    """Names of what lies in a folder of our own; none if it isn't there."""
+    files, target = _file_system(spark, folder)
+    return sorted(f.getPath().getName() for f in files.listStatus(target)) if files.exists(target) else []
+
+
+def read_small(spark: SparkSession, path: str) -> str:
+    """A small file as text."""
+    files, target = _file_system(spark, path)
+    stream = files.open(target)
+    try:
+        return bytearray(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def commit_small(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a small file whole or not at all: under another name first, then renamed. False if it is there already."""
+    files, target = _file_system(spark, path)
+    if files.exists(target):
+        return False
+    files, draft = _file_system(spark, f"{path}.{uuid.uuid4().hex}.draft")
+    stream = files.create(draft)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    if files.rename(draft, target):
+        return True
+    files.delete(draft, False)
+    return False
+
+
 def cut_lineage(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` to the shared folder and read it back, so a lost executor costs no recompute."""
     spark = df.sparkSession

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.operators.logs import exact_mean
-from plumbline.session import remove, scratch_path
+from plumbline.session import commit_small, cut_lineage, names, read_small, remove, scratch_path
 
 EVENT_SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()),
@@ -71,31 +74,56 @@ def silence_alarms(events: DataFrame, ts: str, entity: str, gap: str = "1 day",
     )
 
 
-def merge_view(state: str, keys: list[str], sums: list[str], summarize):
-    """foreachBatch handler that keeps an aggregated view as parquet generations below ``state``.
+def merge_view(state: str, part: str, keys: list[str], sums: list[str], summarize):
+    """foreachBatch handler that keeps an aggregated view below ``state``, in parts by the key ``part``.
 
-    Each batch adds its partial sums to the generation of the batch before and
-    writes its own. A repeated batch overwrites its own generation from the same
-    base, so retries change nothing. Generations before the last two are removed.
+    A batch reads and writes only the parts it touches, into a folder of its own. Its manifest, a small file that
+    names the newest folder of every part, is renamed into place when they are written: that commits the batch. So a
+    half-written batch isn't seen and is written again from the same base, and a repeated one changes nothing.
+    Folders that neither of the last two manifests names are removed. A null ``part`` is a part.
     """
+    label = F.coalesce(F.col(part).cast("string"), F.lit("null"))
+
     def handle(batch: DataFrame, batch_id: int) -> None:
-        fresh = summarize(batch)
-        if batch_id > 0:
-            before = batch.sparkSession.read.schema(fresh.schema).parquet(f"{state}/gen={batch_id - 1}")
-            fresh = fresh.unionByName(before)
-        # sums keep their declared type, so every generation has the same schema
+        spark = batch.sparkSession
+        done = manifests(spark, state)
+        if batch_id in done:
+            return
+        before = manifest(spark, state, max(done)) if done else {}
+        written = f"{state}/batch={batch_id}"
+        fresh = cut_lineage(summarize(batch), "batch")
+        touched = [r[0] for r in fresh.select(label).distinct().collect()]  # parts of a batch, not rows
+        base = [f"{state}/{before[p]}" for p in touched if p in before]
+        if base:
+            fresh = fresh.unionByName(spark.read.schema(fresh.schema).parquet(*base))
+        # sums keep their declared type, so every batch writes the same schema
         merged = fresh.groupBy(*keys).agg(*[F.sum(s).cast(fresh.schema[s].dataType).alias(s) for s in sums])
-        merged.write.mode("overwrite").parquet(f"{state}/gen={batch_id}")
-        if batch_id > 1:
-            remove(batch.sparkSession, f"{state}/gen={batch_id - 2}")
+        merged.withColumn("_part", F.md5(label)).write.mode("overwrite").partitionBy("_part").parquet(written)
+        now = before | {p: f"batch={batch_id}/_part={hashlib.md5(p.encode()).hexdigest()}" for p in touched}
+        commit_small(spark, f"{state}/manifests/{batch_id:012d}.json", json.dumps(now))
+        live = {*before.values(), *now.values()}
+        old = {f for k in done for f in manifest(spark, state, k).values()} - live
+        for folder in sorted(old):
+            remove(spark, f"{state}/{folder}")
+        for k in done[:-1]:
+            remove(spark, f"{state}/manifests/{k:012d}.json")
     return handle
 
 
+def manifests(spark: SparkSession, state: str) -> list[int]:
+    """Numbers of the committed batches whose manifests are kept, in order."""
+    return sorted(int(n.removesuffix(".json")) for n in names(spark, f"{state}/manifests") if n.endswith(".json"))
+
+
+def manifest(spark: SparkSession, state: str, batch_id: int) -> dict[str, str]:
+    """The folder of each part as of a committed batch."""
+    return json.loads(read_small(spark, f"{state}/manifests/{batch_id:012d}.json"))
+
+
 def newest_view(spark: SparkSession, state: str) -> DataFrame:
-    """The newest complete generation."""
-    view = spark.read.parquet(state)
-    newest = view.agg(F.max("gen").alias("gen")).first().gen
-    return view.filter(F.col("gen") == newest).drop("gen")
+    """The view as of the newest committed batch."""
+    folders = manifest(spark, state, manifests(spark, state)[-1])
+    return spark.read.parquet(*[f"{state}/{f}" for f in sorted(folders.values())])
 
 
 def daily_sums(events: DataFrame) -> DataFrame:
@@ -116,13 +144,13 @@ def drain(job: DataFrame, label: str, sink: str | None = None, checkpoint: str |
     return out
 
 
-def drain_view(events: DataFrame, label: str, keys: list[str], sums: list[str], summarize, state: str | None = None,
+def drain_view(events: DataFrame, label: str, part: str, keys: list[str], sums: list[str], summarize, state: str | None = None,
                checkpoint: str | None = None) -> str:
     """Run the incrementally maintained view over everything available; returns the state folder."""
     spark = events.sparkSession
     state = state or scratch_path(spark, label)
     query = (
-        events.writeStream.foreachBatch(merge_view(state, keys, sums, summarize))
+        events.writeStream.foreachBatch(merge_view(state, part, keys, sums, summarize))
         .option("checkpointLocation", checkpoint or scratch_path(spark, f"{label}-checkpoint"))
         .trigger(availableNow=True).start()
     )

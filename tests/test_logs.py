@@ -131,15 +131,15 @@ def test_silence_equals_batch(spark, t, folder):
 def test_daily_view_equals_batch_and_survives_a_repeated_batch(spark, t, folder, tmp_path):
     state, checkpoint = str(tmp_path / "state"), str(tmp_path / "checkpoint")
     keys, sums = ["day", "event_type"], ["n_events", "sum_value"]
-    J.drain_view(stream(spark, folder), "view", keys, sums, J.daily_sums, state, checkpoint)
+    J.drain_view(stream(spark, folder), "view", "day", keys, sums, J.daily_sums, state, checkpoint)
     want = rows(J.daily_sums(t.events))
     assert rows(J.newest_view(spark, state), "day", "event_type", "n_events", "sum_value") == want
     # the last batch runs again, as after a failure between its write and its commit
     last = spark.read.parquet(f"{folder}/5.parquet")
-    J.merge_view(state, keys, sums, J.daily_sums)(last, 5)
+    J.merge_view(state, "day", keys, sums, J.daily_sums)(last, 5)
     assert rows(J.newest_view(spark, state), "day", "event_type", "n_events", "sum_value") == want
     # nothing new: a second run changes nothing
-    J.drain_view(stream(spark, folder), "view", keys, sums, J.daily_sums, state, checkpoint)
+    J.drain_view(stream(spark, folder), "view", "day", keys, sums, J.daily_sums, state, checkpoint)
     assert rows(J.newest_view(spark, state), "day", "event_type", "n_events", "sum_value") == want
 
 

@@ -176,14 +176,44 @@ def test_percentile_of_a_narrow_range(spark, fine):
         assert got[g] == pytest.approx(np.percentile([v for i, v in enumerate(values) if int(i % 3 == 0) == g], 95), abs=1e-12)
 
 
-def test_view_keeps_two_generations(spark, tmp_path):
+def counted(batch):
+    return batch.groupBy("k", "day").agg(F.count(F.lit(1)).alias("n"))
+
+
+def test_view_writes_what_a_batch_touches(spark, tmp_path):
     import os
 
     from plumbline.streaming import jobs as J
 
-    handle = J.merge_view(str(tmp_path / "view"), ["k"], ["n"], lambda b: b.groupBy("k").agg(F.count(F.lit(1)).alias("n")))
-    for batch in range(4):
-        handle(spark.createDataFrame([("a",), ("b",)], "k string"), batch)
-        handle(spark.createDataFrame([("a",), ("b",)], "k string"), batch)  # a retry changes nothing
-    assert sorted(x for x in os.listdir(tmp_path / "view") if x.startswith("gen")) == ["gen=2", "gen=3"]
-    assert rows(J.newest_view(spark, str(tmp_path / "view"))) == [("a", 4), ("b", 4)]
+    state = str(tmp_path / "view")
+    handle = J.merge_view(state, "day", ["k", "day"], ["n"], counted)
+
+    def batch(*days):
+        return spark.createDataFrame([(k, d) for d in days for k in "ab"], "k string, day string")
+
+    handle(batch(*"uvwxyz", None), 0)
+    before = J.manifest(spark, state, 0)
+    handle(batch("x"), 1)
+    after = J.manifest(spark, state, 1)
+    assert [d for d in after if after[d] != before[d]] == ["x"] and len(after) == 7
+    assert sum(n.startswith("_part") for n in os.listdir(f"{state}/batch=1")) == 1  # one day was written
+    handle(batch("x"), 1)  # a repeated batch changes nothing
+    assert rows(J.newest_view(spark, state).filter("day = 'x'"), "k", "n") == [("a", 2), ("b", 2)]
+    # a batch that was half written: files without a manifest
+    spark.createDataFrame([("a", "y", 99)], "k string, day string, n bigint").withColumn("_part", F.lit("half")).write.partitionBy("_part").parquet(f"{state}/batch=2")
+    assert rows(J.newest_view(spark, state), "n") == [(1,)] * 12 + [(2,)] * 2
+    handle(batch("y", None), 2)
+    handle(batch("w"), 3)
+    assert J.manifests(spark, state) == [2, 3]
+    want = {None: 2, "u": 1, "v": 1, "w": 2, "x": 2, "y": 2, "z": 1}
+    assert rows(J.newest_view(spark, state)) == sorted([(k, d, n) for d, n in want.items() for k in "ab"], key=repr)
+
+
+def test_view_of_an_empty_batch(spark, tmp_path):
+    from plumbline.streaming import jobs as J
+
+    state = str(tmp_path / "view")
+    handle = J.merge_view(state, "day", ["k", "day"], ["n"], counted)
+    handle(spark.createDataFrame([("a", "x")], "k string, day string"), 0)
+    handle(spark.createDataFrame([], "k string, day string"), 1)
+    assert J.manifests(spark, state) == [0, 1] and rows(J.newest_view(spark, state)) == [("a", "x", 1)]
