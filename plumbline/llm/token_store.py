@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import unicodedata
@@ -42,7 +43,8 @@ class ChunkEncoder:
     inside them, so a text's ids are those of its chunks in order. The end of a sentence is
     split off by the same rule: letters and other characters are different words. A chunk of
     small letters is one word, so it goes to the merges at once, as byte-level letters.
-    Special tokens hold no blank, so they are found inside a chunk as in the text.
+    Special tokens are found in the raw text, before it is lower-cased, so a text that holds
+    one in any casing goes to the tokenizer whole.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
@@ -55,6 +57,9 @@ class ChunkEncoder:
         # bytes as letters, by the byte-level rule: printable ones stand for themselves, others follow 255
         plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
         others = iter(range(256, 512))
+        self.special = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # what all special tokens begin with, as far as casing doesn't touch it: few texts have it
+        self.sign = re.match(r"[!-@\[-`{-~]*", os.path.commonprefix(self.special))[0]
         self.letters = {b: chr(b if b in plain else next(others)) for b in range(256)}
 
     def _word(self, word: str) -> bytes:
@@ -81,6 +86,8 @@ class ChunkEncoder:
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids of a text."""
+        if self.special and self.sign in text and any(t in text.lower() for t in self.special):
+            return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
         # lower case comes first where that commutes with the tokenizer's own steps
         if text.isascii() or ("Σ" not in text and "İ" not in text and unicodedata.is_normalized("NFC", text)):
             text = text.lower()

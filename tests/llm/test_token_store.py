@@ -26,6 +26,16 @@ def test_chunks_give_the_ids_of_the_whole_text(text):
     assert np.frombuffer(CHUNKS.encode(text), "<u4").tolist() == plain(text)
 
 
+CASED = st.sampled_from(["<|endoftext|>", "<|startoftext|>"]).flatmap(
+    lambda t: st.lists(st.booleans(), min_size=len(t), max_size=len(t)).map(lambda up: "".join(c.upper() if u else c for c, u in zip(t, up))))
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.one_of(CASED, st.sampled_from(["a", "B", " ", "\n", "é", "İ", "Σ", "<|", "|>", "<", "e\u0301", "\u212a", "text|>", "<|endof", "<|endoftext|>"])), max_size=10).map("".join))
+def test_special_tokens_in_any_casing(text):
+    assert np.frombuffer(CHUNKS.encode(text), "<u4").tolist() == plain(text)
+
+
 @pytest.mark.parametrize("text", ["<|endoftext|> a<|startoftext|>b", "it's we'll THEY'RE 's", "a" * 5000, "Straße GRÖSSE ÀÉ"])
 def test_special_cases(text):
     assert np.frombuffer(CHUNKS.encode(text), "<u4").tolist() == plain(text)
