@@ -43,21 +43,23 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
           sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> dict[str, bytes]:
     """Raw-content dictionaries by language, from a bounded sample of the rows that are not held out.
 
-    Sampled are the ``sample_docs`` ids of each language that are first by hash; each gives
-    ``sample_chars`` characters. Rows with a null id, text or language teach nothing.
+    Sampled are the ``sample_docs`` ids of each language that are first by hash; each gives ``sample_chars`` characters
+    of one text, the first by digest if rows share the id. So no more than that comes to the driver, however often an id
+    occurs. Rows with a null id, text or language teach nothing.
     """
     ids = picked(docs, doc_id=doc_id, lang=lang, filled=text).select(
         "doc_id", "lang", (F.length("filled") > 0).alias("filled"))
-    ids = ids.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("filled") & ~held_out())
-    chosen = top_per_group(ids.select("doc_id", "lang"), ["lang"], [F.xxhash64("doc_id"), F.col("doc_id")], sample_docs)
-    rows = picked(docs, doc_id=doc_id, lang=lang, text=text).join(
-        F.broadcast(chosen.distinct()), ["doc_id", "lang"], "left_semi")  # sample_docs rows a language at most
-    parts = rows.select("lang", "doc_id", F.substring("text", 1, sample_chars).alias("text"))
+    ids = ids.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("filled") & ~held_out()).select("doc_id", "lang").distinct()
+    chosen = top_per_group(ids, ["lang"], [F.xxhash64("doc_id"), F.col("doc_id")], sample_docs)
+    rows = picked(docs, doc_id=doc_id, lang=lang, text=text).filter("length(text) > 0").join(
+        F.broadcast(chosen), ["doc_id", "lang"], "left_semi")  # sample_docs rows a language at most
+    start = F.substring("text", 1, sample_chars)
+    parts = rows.groupBy("lang", "doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), start.alias("text"))).alias("x")).select("lang", "doc_id", "x.text")
     out: dict[str, list[bytes]] = {}
-    for r in sorted(parts.filter("text is not null").collect(), key=lambda r: (r.lang, r.doc_id, r.text)):
+    for r in sorted(parts.collect(), key=lambda r: (r.lang, r.doc_id)):
         out.setdefault(r.lang, []).append(_plain(r.text))
     # a raw dictionary of under eight bytes is none
-    return {k: (b" ".join(v) + b" " * 8)[:sample_docs * sample_chars * 4] for k, v in out.items()}
+    return {k: b" ".join(v) + b" " * 8 for k, v in out.items()}
 
 
 class Classifier:

@@ -53,3 +53,36 @@ def test_clashing_names_and_columns_stay(make_docs, texts):
     assert kept.columns == docs.columns
     assert kept.select("language").distinct().collect()[0][0] == "mine"
     assert kept.count() >= 0.97 * docs.count()
+
+
+def test_a_common_id_gives_one_text(make_docs):
+    """An id of a hundred thousand rows, in a table of few others."""
+    spark = make_docs([]).sparkSession
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 4 != 2][:60]
+    few = make_docs([(i, f"word{i} " * 20, "en", "a") for i in ids[1:]])
+    many = spark.range(100_000).selectExpr(f"{ids[0]}L as doc_id", "concat('common', id % 7) as text", "'en' as lang", "'a' as source", "1L as n_chars")
+    model = language.train(few.unionByName(many))
+    assert model["en"].count(b"common") == 1 and len(model["en"]) < 60 * 250
+    assert model == language.train(many.unionByName(few).repartition(5))
+
+
+def plain_prediction(text, dictionaries):
+    """Sizes by zstandard piece by piece, without the operator's class."""
+    import zstandard
+    if not text or not any(c.isalpha() for c in text) or not dictionaries:
+        return "und", 0.0
+    data = " ".join("".join(c if c.isalpha() or ord(c) > 127 else " " for c in text.lower()).split()).encode()
+    sizes = []
+    for lang, content in dictionaries.items():
+        d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        c = zstandard.ZstdCompressor(level=language.LEVEL, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False)
+        sizes.append((sum(len(c.compress(data[k:k + language.PIECE])) for k in range(0, len(data), language.PIECE)), lang))
+    best, second = sorted(sizes)[:2]
+    return best[1], 1 - best[0] / second[0]
+
+
+def test_query_by_brute_force(spark, make_docs, texts, model):
+    some = [(i, t) for i, t, *_ in texts]
+    out = {r.doc_id: r for r in language.predict(make_docs(some), model).select("doc_id", "language.*").collect()}
+    wrong = [i for i, t in some if (out[i].lang_pred, round(out[i].score, 9)) != (plain_prediction(t, model)[0], round(plain_prediction(t, model)[1], 9))]
+    assert not wrong
