@@ -21,6 +21,15 @@ HOST_RATE = 0.8
 _SPACE = b" \t\n\r\x0b\x0c"
 _SYMBOLS = b"#*$%&|<>"
 FIELDS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+#: Rules by document whose failures are counted by host. Only the base decides on a document by itself.
+RULES = {
+    "base": lambda: F.col("base_failed"),
+    "few_words": lambda: F.col("n_words") < MIN_WORDS,
+    "repeated_words": lambda: 100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"),
+    "odd_words": lambda: (F.col("word_chars") < 2 * F.col("n_words")) | (F.col("word_chars") > 20 * F.col("n_words")),
+    "symbols": lambda: 10 * F.col("n_symbols") > 3 * F.col("n_words"),
+    "repeated_lines": lambda: 10 * F.col("n_dup_lines") > F.col("n_words"),
+}
 
 
 def repeat_words(words: list[bytes]) -> int:
@@ -69,42 +78,50 @@ class Prior:
     b: float
 
 
-def fit_prior(hosts: DataFrame) -> Prior:
-    """Method of moments over all hosts: mean and spread of their rates beyond what counting noise explains.
+def fit_priors(hosts: DataFrame) -> dict[str, Prior]:
+    """For each of ``RULES`` the prior of its failure rates, by the method of moments over all hosts.
 
-    One row comes to the driver. With no host the prior is (1, 1); with no extra spread it is the
-    overall rate with the weight of 1000 documents.
+    Mean and spread of the hosts' rates beyond what counting noise explains; one row comes to the driver. With no host a
+    prior is (1, 1); with no extra spread it is the overall rate with the weight of 1000 documents.
     """
-    r = hosts.agg(F.count(F.lit(1)).alias("k"), F.sum("failed").alias("f"), F.sum("n").alias("n"),
-                  F.avg(F.col("failed") / F.col("n")).alias("m"), F.var_pop(F.col("failed") / F.col("n")).alias("v"),
-                  F.avg(1 / F.col("n")).alias("w")).first()
-    if not r.k:
-        return Prior(1.0, 1.0)
-    mean = min(max(r.f / r.n, 1e-6), 1 - 1e-6)
-    extra = r.v - mean * (1 - mean) * r.w
-    weight = min(max(mean * (1 - mean) / extra - 1, 2.0), 1000.0) if extra > 0 else 1000.0
-    return Prior(mean * weight, (1 - mean) * weight)
+    aggs = [F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"), F.avg(1 / F.col("n")).alias("w")]
+    for rule in RULES:
+        aggs += [F.sum(rule).alias(f"{rule}_f"), F.var_pop(F.col(rule) / F.col("n")).alias(f"{rule}_v")]
+    r = hosts.agg(*aggs).first()
+    if not r["k"]:
+        return {rule: Prior(1.0, 1.0) for rule in RULES}
+    out = {}
+    for rule in RULES:
+        mean = min(max(r[f"{rule}_f"] / r["n"], 1e-6), 1 - 1e-6)
+        extra = r[f"{rule}_v"] - mean * (1 - mean) * r["w"]
+        weight = min(max(mean * (1 - mean) / extra - 1, 2.0), 1000.0) if extra > 0 else 1000.0
+        out[rule] = Prior(mean * weight, (1 - mean) * weight)
+    return out
 
 
 def host_verdicts(judged: DataFrame, host: str = "host", limit: float = HOST_RATE) -> DataFrame:
-    """(host, n, failed, rate, blocked) from ``base_failed`` by host; rows with a null host take no part."""
+    """(host, n, rates, blocked_by): each rule's shrunk failure rate, and the rules whose rate reaches the limit.
+
+    Failures are counted by host and rule, and each rule has a prior of its own. Rows with a null host take no part.
+    """
     hosts = judged.filter(F.col(host).isNotNull()).groupBy(host).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col("base_failed").cast("bigint")).alias("failed"))
+        F.count(F.lit(1)).alias("n"), *[F.count_if(test()).alias(rule) for rule, test in RULES.items()])
     hosts = cut_lineage(hosts, "hosts")
-    prior = fit_prior(hosts)
-    rate = (F.col("failed") + prior.a) / (F.col("n") + prior.a + prior.b)
-    return hosts.withColumn("rate", rate).withColumn("blocked", F.col("rate") >= limit)
+    priors = fit_priors(hosts)
+    rates = F.map_from_arrays(F.array(*map(F.lit, RULES)), F.array(*[(F.col(r) + p.a) / (F.col("n") + p.a + p.b) for r, p in priors.items()]))
+    blocked = F.map_keys(F.map_filter("rates", lambda rule, rate: rate >= limit))
+    return hosts.select(host, "n", rates.alias("rates")).withColumn("blocked_by", blocked)
 
 
 def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", limit: float = HOST_RATE) -> DataFrame:
-    """doc_id, host, the measures, base_failed, host_rate and ``kept``: one row per row of ``docs``.
+    """doc_id, host, the measures, base_failed, host_rates, blocked_by and ``kept``: one row per row of ``docs``.
 
-    The measures are taken once and written without the texts. A document is kept if it passes
-    and its host is not blocked; a document with a null host is judged on its own.
+    The measures are taken once and written without the texts. A document is kept if it passes and no rule
+    blocks its host; a document with a null host is judged on its own.
     """
     judged = cut_lineage(rules(docs, text, doc_id=doc_id, host=host), "rules")
-    verdicts = host_verdicts(judged, "host", limit).select("host", "rate", "blocked")
+    verdicts = host_verdicts(judged, "host", limit).select("host", F.col("rates").alias("host_rates"), "blocked_by")
     joined = judged.join(verdicts, "host", "left")
     return joined.select(
-        "doc_id", "host", *FIELDS, "base_failed", F.col("rate").alias("host_rate"),
-        (~F.col("base_failed") & ~F.coalesce("blocked", F.lit(False))).alias("kept"))
+        "doc_id", "host", *FIELDS, "base_failed", "host_rates", "blocked_by",
+        (~F.col("base_failed") & (F.coalesce(F.size("blocked_by"), F.lit(0)) <= 0)).alias("kept"))
