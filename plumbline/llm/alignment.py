@@ -1,7 +1,7 @@
 """Alignment of two tokenizations of the same text: a byte-level BPE (A) and SentencePiece pieces with byte fallback (B).
 
-Spans come from the tokenizers themselves: character offsets of A, spans of B's encoding proto. They
-are the coarse cuts. Where a span can't tell - a character that A cuts into several tokens, a byte
+Spans come from the tokenizers themselves: character offsets of A, byte spans of B (those of its encoding
+proto; the installed release gives them as an offset mapping and has no immutable proto any more). They are the coarse cuts. Where a span can't tell - a character that A cuts into several tokens, a byte
 that B writes as a token of its own - the bytes of the decoded token do.
 
 Neither tokenizer joins what a single blank between two other characters parts, so a text is aligned
@@ -15,7 +15,8 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,23 +29,24 @@ from plumbline.session import cut_lineage
 
 #: Bytes of text to a shard; a longer text is a shard of its own.
 SHARD_BYTES = 4 << 20
-#: Bytes of aligned chunks a task remembers from one shard to the next.
-REMEMBERED = 64 << 20
+#: Chunks a task remembers from one shard to the next, chunks encoded as one text, and characters of text cut into chunks at a time.
+REMEMBERED, ROW_CHUNKS, GROUP_CHARS = 250_000, 1000, 1 << 19
 
 # a blank with something else on both sides; other white space may lean on blanks, so it is no cut
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
-@dataclass(slots=True)
+@dataclass
 class Aligned:
-    """One aligned chunk. ``links``: pairs of overlapping tokens, each A id << 32 | B id."""
+    """Aligned chunks in a row. ``links``: pairs of overlapping tokens, each A id << 32 | B id, chunk after chunk."""
 
-    n_a: int
-    n_b: int
-    n_groups: int
-    groups: str
-    links: bytes
-    whole: bool  # both token rows join to the chunk's bytes
+    n_a: np.ndarray
+    n_b: np.ndarray
+    n_groups: np.ndarray
+    n_links: np.ndarray
+    whole: np.ndarray  # both token rows join to the chunk's bytes
+    links: np.ndarray
+    groups: list[str]
 
 
 def byte_level(token: str, letters: dict[str, int]) -> bytes:
@@ -79,6 +81,12 @@ class Aligner:
             else:
                 self.b_bytes.append(piece.replace("▁", " ").encode())
                 joins |= "▁" in piece[1:] and bool(piece.strip("▁"))
+        self.a_size = np.zeros(max(self.a_bytes) + 1, np.int64)
+        for i, t in self.a_bytes.items():
+            self.a_size[i] = len(t)
+        self.b_size, self.is_byte = np.array([len(t) for t in self.b_bytes]), np.array(self.is_byte)
+        self.text = [str(i) for i in range(max(len(self.a_size), len(self.b_size)))]
+        self.signed = [t + sign for sign in ",|;" for t in self.text]
         self.cuts = not joins  # else a piece could reach over a blank, and texts are aligned whole
 
     def chunks(self, text: str) -> list[str]:
@@ -92,49 +100,71 @@ class Aligner:
             return parts  # blanks only, each a cut
         return _CUT.split(text)
 
-    def align(self, chunks: list[str]) -> list[Aligned]:
-        """Both tokenizers put a blank before each chunk: A gets it written, B adds it."""
-        spaced = [" " + c for c in chunks]
-        return [self._one(s, e.ids, e.offsets, p.pieces) for s, e, p in zip(
-            spaced, self.a.encode_batch(spaced, add_special_tokens=False), self.b.encode(chunks, return_type="proto", num_threads=1))]
-
-    def a_ends(self, text: str, ids: list[int], spans: list[tuple[int, int]]) -> list[int]:
+    def align(self, chunks: list[str]) -> Aligned:
+        """The chunks are encoded as one text. If its tokens don't join to it, one chunk is to blame, and each is encoded alone."""
+        found = self._row(chunks)
+        if found is None and len(chunks) == 1:
+            none = np.zeros(1, np.int64)
+            return Aligned(none, none, none, none, np.zeros(1, bool), np.zeros(0, np.int64), [""])
+        if found is None:
+            each = [self.align([c]) for c in chunks]
+            arrays = [np.concatenate([getattr(x, f.name) for x in each]) for f in fields(Aligned)[:-1]]
+            return Aligned(*arrays, [g for x in each for g in x.groups])
+        return found
+
+    def a_ends(self, text: str, ids: np.ndarray, spans: np.ndarray) -> np.ndarray:
         """Byte end of each A token. A span ends cleanly if the next begins there or later; inside a character only the decoded bytes tell."""
         if text.isascii():
-            return [e for _, e in spans]
-        at = np.zeros(len(text) + 1, np.int64)
-        np.cumsum([len(c.encode()) for c in text], out=at[1:])
-        out, place = [], 0
-        for k, (i, (_, e)) in enumerate(zip(ids, spans)):
-            place = int(at[e]) if k + 1 == len(ids) or spans[k + 1][0] >= e else place + len(self.a_bytes[i])
-            out.append(place)
-        return out
-
-    def b_ends(self, pieces) -> tuple[list[int], list[int]]:
-        """Ids and byte ends of the pieces, behind the added blank. A byte token's span may be empty, so its one byte tells."""
-        ids, out, place = [], [], 0
-        for p in pieces:
-            place = place + 1 if self.is_byte[p.id] else p.end + 1
-            ids.append(p.id)
-            out.append(place)
-        return ids, out
-
-    def _one(self, text: str, a: list[int], spans: list[tuple[int, int]], pieces) -> Aligned:
-        source = text.encode()
-        b, b_ends = self.b_ends(pieces)
-        if b"".join(map(self.a_bytes.__getitem__, a)) != source or b"".join(map(self.b_bytes.__getitem__, b)) != source:
-            return Aligned(0, 0, 0, "", b"", False)
-        a_ends = self.a_ends(text, a, spans)
-        links, groups, i, j, first_i, first_j = [], [], 0, 0, 0, 0
-        while i < len(a) and j < len(b):
-            links.append(a[i] << 32 | b[j])
-            x, y = a_ends[i], b_ends[j]
-            i += x <= y
-            j += y <= x
-            if x == y:
-                groups.append(",".join(map(str, a[first_i:i])) + "|" + ",".join(map(str, b[first_j:j])))
-                first_i, first_j = i, j
-        return Aligned(len(a), len(b), len(groups), ";".join(groups), np.array(links, np.int64).tobytes(), True)
+            return spans[:, 1]
+        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        at = np.concatenate([[0], np.cumsum(1 + (points > 0x7F) + (points > 0x7FF).astype(np.int64) + (points > 0xFFFF))])
+        clean = np.concatenate([spans[1:, 0] >= spans[:-1, 1], [True]])
+        return self._refined(np.where(clean, at[spans[:, 1]], 0), clean, self.a_size[ids])
+
+    def b_ends(self, ids: np.ndarray, spans: np.ndarray) -> np.ndarray:
+        """Byte end of each B token, behind the added blank. A byte token's span may be empty, so its one byte tells."""
+        return self._refined(spans[:, 1] + 1, ~self.is_byte[ids], self.b_size[ids])
+
+    @staticmethod
+    def _refined(ends: np.ndarray, clean: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """``ends`` where they are clean; elsewhere the last clean end and the decoded bytes since."""
+        decoded = np.cumsum(size)
+        last = np.maximum.accumulate(np.where(clean, np.arange(len(ends)), -1))
+        base = np.where(last < 0, 0, ends[last] - decoded[last])
+        return np.where(clean, ends, base + decoded)
+
+    def _row(self, chunks: list[str]) -> Aligned | None:
+        """Both tokenizers put a blank before each chunk: A gets it written, B adds the first."""
+        joined = " ".join(chunks)
+        source = (" " + joined).encode()
+        e = self.a.encode(" " + joined, add_special_tokens=False)
+        p = self.b.encode(joined, return_type="offset_mapping", return_bytes=True)
+        if b"".join(map(self.a_bytes.__getitem__, e.ids)) != source or b"".join(map(self.b_bytes.__getitem__, p["ids"])) != source:
+            return None
+        a, b = np.array(e.ids, np.int64), np.array(p["ids"], np.int64)
+        a_end = self.a_ends(" " + joined, a, np.fromiter(chain.from_iterable(e.offsets), np.int64, 2 * len(a)).reshape(-1, 2))
+        b_end = self.b_ends(b, np.fromiter(chain.from_iterable(p["offsets"]), np.int64, 2 * len(b)).reshape(-1, 2))
+        a_start, b_start = np.concatenate([[0], a_end[:-1]]), np.concatenate([[0], b_end[:-1]])
+        # the B tokens that each A token overlaps
+        first, last = np.searchsorted(b_end, a_start, side="right"), np.searchsorted(b_start, a_end)
+        size = last - first
+        of_a = np.repeat(np.arange(len(a)), size)
+        of_b = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        # both end at the end of a chunk
+        bounds = np.cumsum([len(c) if c.isascii() else len(c.encode()) for c in chunks]) + np.arange(1, len(chunks) + 1)
+        cuts = a_end[np.isin(a_end, b_end, assume_unique=True)]
+        # tokens in the order of the groups' text, each with the sign behind it: A's of a group, then B's
+        a_group, b_group = np.searchsorted(cuts, a_end), np.searchsorted(cuts, b_end)
+        last_a, last_b = (np.concatenate([g[1:] != g[:-1], [True]]) for g in (a_group, b_group))
+        place = np.argsort(np.concatenate([2 * a_group, 2 * b_group + 1]), kind="stable")
+        written = np.concatenate([a + last_a * len(self.text), b + (2 * last_b) * len(self.text)])[place]
+        parts = list(map(self.signed.__getitem__, written.tolist()))
+        upto = {"a": np.searchsorted(a_end, bounds, side="right"), "b": np.searchsorted(b_end, bounds, side="right"), "g": np.searchsorted(cuts, bounds, side="right")}
+        n_a, n_b, n_groups = (np.diff(v, prepend=0) for v in upto.values())
+        ends = (upto["a"] + upto["b"]).tolist()
+        return Aligned(
+            n_a, n_b, n_groups, np.diff(np.concatenate([[0], np.cumsum(size)])[upto["a"]], prepend=0), np.ones(len(chunks), bool), a[of_a] << 32 | b[of_b],
+            ["".join(parts[x:y])[:-1] for x, y in zip([0, *ends], ends)])
 
 
 def tokenizer_paths() -> tuple[str, str]:
@@ -143,64 +173,88 @@ def tokenizer_paths() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 
-_NUMBERS, _LONGS = T.ArrayType(T.IntegerType()), T.ArrayType(T.LongType())
-#: A shard's rows: one with its pairs and chunks, one for each document.
+_LONGS = T.ArrayType(T.LongType())
+#: A shard's rows: one with its pairs and chunks, one for each document. Numbers that only tasks read are 32-bit integers in bytes.
 SHARDS = T.StructType([
     T.StructField("shard", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("n_a", T.LongType()),
     T.StructField("n_b", T.LongType()), T.StructField("n_groups", T.LongType()), T.StructField("n_links", T.LongType()),
-    T.StructField("groups_sha256", T.StringType()), T.StructField("chunks", _NUMBERS),
-    T.StructField("pairs", _LONGS), T.StructField("times", _LONGS), T.StructField("ends", _NUMBERS), T.StructField("pair_of", _NUMBERS)])
+    T.StructField("groups_sha256", T.StringType()), T.StructField("chunks", T.BinaryType()),
+    T.StructField("pairs", _LONGS), T.StructField("times", _LONGS), T.StructField("ends", T.BinaryType()), T.StructField("pair_of", T.BinaryType())])
 SUMS = ["n_a", "n_b", "n_groups", "n_links"]
 
 
 class Sharder:
-    """Aligns documents and sums up a shard of them at a time."""
+    """Aligns documents and sums up a shard of them at a time. What is remembered of a chunk has its number as its place."""
 
     def __init__(self, aligner: Aligner, remembered: int = REMEMBERED):
         self.aligner, self.remembered = aligner, remembered
+        self._forget()
+
+    def _forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.held: list[Aligned] = []
-        self.weight = 0
+        self.groups: list[str] = []
+        self.held = {f.name: [] for f in fields(Aligned)[:-1]}  # arrays, put together when they are read
+
+    def _column(self, name: str) -> np.ndarray:
+        self.held[name] = [np.concatenate([np.zeros(0, np.int64), *self.held[name]])]
+        return self.held[name][0]
 
-    def _ids(self, chunk_lists: list[list[str]]) -> list[list[int]]:
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        """Numbers of the chunks of each text."""
         known = self.known
-        missing = list(dict.fromkeys(c for cs in chunk_lists for c in cs if c not in known))
-        for k in range(0, len(missing), 4096):
-            part = missing[k:k + 4096]
-            known.update(zip(part, range(len(self.held), len(self.held) + len(part))))
-            self.held += self.aligner.align(part)
-            self.weight += sum(3 * len(c) + len(x.groups) + len(x.links) + 300 for c, x in zip(part, self.held[-len(part):]))
-        return [[known[c] for c in cs] for cs in chunk_lists]
+        chunks = [self.aligner.chunks(t) for t in texts]
+        found = [list(map(known.get, c)) for c in chunks]
+        open_ = [k for k, f in enumerate(found) if None in f]
+        missing = list(dict.fromkeys(c for k in open_ for c, i in zip(chunks[k], found[k]) if i is None))
+        for k in range(0, len(missing), ROW_CHUNKS):
+            part = missing[k:k + ROW_CHUNKS]
+            known.update(zip(part, range(len(self.groups), len(self.groups) + len(part))))
+            row = self.aligner.align(part)
+            self.groups += row.groups
+            for name, parts in self.held.items():
+                parts.append(getattr(row, name))
+        for k in open_:
+            found[k] = list(map(known.__getitem__, chunks[k]))
+        return [np.array(f, np.int64) for f in found]
 
     def shard(self, number: int, doc_ids: pa.Array, texts: list[str | None]) -> pa.RecordBatch:
         """The rows of one shard. Documents whose tokens don't join to their bytes have none."""
-        ids = self._ids([self.aligner.chunks(t or "") for t in texts])
-        held = self.held
-        ids = [own if all(held[c].whole for c in set(own)) else [] for own in ids]
-        used, local = np.unique(np.concatenate([np.zeros(0, np.int64), *[np.array(x, np.int64) for x in ids]]), return_inverse=True)
+        ids, group, size = [], [], 0
+        for t in texts:
+            group.append(t or "")
+            size += len(group[-1])
+            if size >= GROUP_CHARS:
+                ids += self.ids(group)
+                group, size = [], 0
+        ids += self.ids(group)
+        whole = self._column("whole").astype(bool)
+        ids = [own if whole[own].all() else own[:0] for own in ids]
+        bounds = np.cumsum([0, *map(len, ids)])
+        used, local = np.unique(np.concatenate([np.zeros(0, np.int64), *ids]), return_inverse=True)
         times = np.bincount(local, minlength=len(used))
-        each = [held[c] for c in used.tolist()]
-        links = np.frombuffer(b"".join(x.links for x in each), np.int64)
-        size = np.array([len(x.links) // 8 for x in each], np.int64)
+        size = self._column("n_links")[used]
+        end = np.cumsum(self._column("n_links"))[used]
+        links = self._column("links")[np.repeat(end - np.cumsum(size), size) + np.arange(size.sum())]
         pairs, pair_of = np.unique(links, return_inverse=True)
         count = np.bincount(pair_of, np.repeat(times, size), len(pairs)).astype(np.int64)
-        bounds = np.cumsum([0, *map(len, ids)])
         sums = {}
-        for name, per_chunk in zip(SUMS, ([x.n_a for x in each], [x.n_b for x in each], [x.n_groups for x in each], size)):
-            running = np.concatenate([[0], np.cumsum(np.array(per_chunk, np.int64)[local])]).astype(np.int64)
+        for name in SUMS:
+            running = np.concatenate([[0], np.cumsum(self._column(name)[used][local])]).astype(np.int64)
             sums[name] = running[bounds[1:]] - running[bounds[:-1]]
-        digests = [hashlib.sha256(";".join([held[c].groups for c in own]).encode()).hexdigest() if own else "" for own in ids]
-        n = len(ids)
+        groups = self.groups.__getitem__
+        digests = [hashlib.sha256(";".join(map(groups, own.tolist())).encode()).hexdigest() if len(own) else "" for own in ids]
+        n, packed = len(ids), local.astype(np.int32).tobytes()
         columns = {
             "shard": pa.array(np.full(n + 1, number)), "doc_id": pa.concat_arrays([pa.nulls(1, pa.int64()), doc_ids.cast(pa.int64())]),
             **{k: pa.concat_arrays([pa.nulls(1, pa.int64()), pa.array(v, pa.int64())]) for k, v in sums.items()},
             "groups_sha256": pa.array([None, *digests], pa.string()),
-            "chunks": pa.concat_arrays([pa.nulls(1, pa.list_(pa.int32())), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(local, pa.int32()))]),
-            **{k: pa.concat_arrays([pa.array([v], pa.list_(kind)), pa.nulls(n, pa.list_(kind))]) for k, v, kind in (
-                ("pairs", pairs, pa.int64()), ("times", count, pa.int64()), ("ends", np.cumsum(size), pa.int32()), ("pair_of", pair_of, pa.int32()))},
+            "chunks": pa.array([None, *(packed[4 * a:4 * b] for a, b in zip(bounds.tolist(), bounds[1:].tolist()))], pa.binary()),
+            **{k: pa.concat_arrays([pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v, pa.int64())), pa.nulls(n, pa.list_(pa.int64()))])
+               for k, v in (("pairs", pairs), ("times", count))},
+            **{k: pa.array([v.astype(np.int32).tobytes(), *[None] * n], pa.binary()) for k, v in (("ends", np.cumsum(size)), ("pair_of", pair_of))},
         }
-        if self.weight > self.remembered:  # between shards nothing refers to what is remembered
-            self.known, self.held, self.weight = {}, [], 0
+        if len(self.groups) > self.remembered:  # between shards nothing refers to what is remembered
+            self._forget()
         return pa.RecordBatch.from_arrays([columns[f.name] for f in SHARDS.fields], SHARDS.names)
 
 
@@ -255,7 +309,7 @@ def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b in zip(cuts, cuts[1:]):
             part = batch.slice(a, b - a)
             if a < b and kind[a] == 0:
-                ends, pair_of = (part.column(k)[0].values.to_numpy() for k in ("ends", "pair_of"))
+                ends, pair_of = (np.frombuffer(part.column(k)[0].as_py(), np.int32) for k in ("ends", "pair_of"))
                 total, best, sums = [], [], None
             elif a < b and kind[a] == 1:
                 total.append(part.column("total").to_numpy())
@@ -266,9 +320,9 @@ def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     running = [np.concatenate([[0], np.cumsum(x[pair_of].astype(np.int64))]) for x in every]
                     firsts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
                     sums = [r[ends] - r[firsts[:len(ends)]] for r in running]
-                lists = part.column("chunks")
-                at = lists.offsets.to_numpy()
-                chunk, at = lists.values.to_numpy()[at[0]:at[-1]], at - at[0]
+                chunks = part.column("chunks").to_pylist()
+                at = np.cumsum([0, *(len(c) // 4 for c in chunks)])
+                chunk = np.frombuffer(b"".join(chunks), np.int32)
                 running = [np.concatenate([[0], np.cumsum(s[chunk])]).astype(np.int64) for s in sums]
                 count_sum, n_best = (r[at[1:]] - r[at[:-1]] for r in running)
                 yield pa.RecordBatch.from_arrays([
