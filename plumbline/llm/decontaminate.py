@@ -2,7 +2,9 @@
 
 A shard is a slice of documents inside a task. Its words become ids of the benchmark's
 vocabulary, 0 for any other word, so a suffix ends at the first word that no benchmark text
-has. The suffixes are sorted, and every suffix of every benchmark text is binary-searched.
+has. The suffixes are sorted, and every suffix of every benchmark text is binary-searched. What is found
+for one suffix after the other of a text, at one place after the other of a document, is one match: the longest
+verbatim one, with its places in both.
 """
 
 from __future__ import annotations
@@ -75,18 +77,19 @@ class Benchmark:
         self.words = [b"", *joined]
         self.seen = np.zeros(1 << 20, bool)
         self.seen[(hashes >> np.uint64(44)).astype(np.int64)] = True
-        # a window for each suffix of at least window words, or of the whole of a shorter item
-        self.windows: dict[tuple[int, ...], set[str]] = {}
-        for item, ws in texts:
+        # a window for each suffix of at least window words, or of the whole of a shorter item, and the places that begin with it
+        self.windows: dict[tuple[int, ...], list[tuple[int, int]]] = {}
+        self.items = [item for item, _ in texts]
+        for t, (_, ws) in enumerate(texts):
             ids = [self.vocabulary[w] for w in ws]
             for j in range(max(1, len(ids) - window + 1) if ids else 0):
-                self.windows.setdefault(tuple(ids[j:j + window]), set()).add(item)
+                self.windows.setdefault(tuple(ids[j:j + window]), []).append((t, j))
         self.keys = sorted(self.windows)
         self.lengths = np.array([len(k) for k in self.keys], np.int64)
         self.table = np.zeros((len(self.keys), window), np.int32)
         for r, k in enumerate(self.keys):
             self.table[r, :len(k)] = k
-        self.items = [sorted(self.windows[k]) for k in self.keys]
+        self.places = [self.windows[k] for k in self.keys]
 
     def lookup(self, hashes: np.ndarray) -> np.ndarray:
         """Id of each word, 0 for words that the benchmark doesn't have."""
@@ -171,8 +174,11 @@ def search(ids: np.ndarray, array: np.ndarray, bench: Benchmark) -> tuple[np.nda
     return found[0], found[1]
 
 
-def match(texts: pa.Array, bench: Benchmark) -> Iterator[tuple[int, list[tuple[int, int]], list[str]]]:
-    """For each text its number of words, the runs of hit words, and the items with an occurring window."""
+def match(texts: pa.Array, bench: Benchmark) -> Iterator[tuple[int, list[tuple[str, int, int, int]]]]:
+    """For each text its number of words and its longest matches: (item, first word there, first word here, words), in order.
+
+    A match is as long as both texts agree, and at least a window, or the whole of a shorter item.
+    """
     data, at = raw(texts)
     # a blank behind each text, so that no word or window reaches into the next
     n = len(at) - 1
@@ -198,33 +204,53 @@ def match(texts: pa.Array, bench: Benchmark) -> Iterator[tuple[int, list[tuple[i
     order = np.lexsort((where, doc))
     cuts = np.searchsorted(doc[order], np.arange(n + 1))
     for d in range(n):
-        runs: list[tuple[int, int]] = []
-        windows: set[int] = set()
+        # matches that may still grow, by benchmark text and the distance between the two places
+        open_: dict[tuple[int, int], list[int]] = {}
+        found_: list[tuple[str, int, int, int]] = []
         for o in order[cuts[d]:cuts[d + 1]]:
             w, a = int(window[o]), int(word[o])
             b = a + int(bench.lengths[w])
             if spaced[first[a]:end[b - 1]].tobytes().split() != [bench.words[i] for i in bench.keys[w]]:
                 continue  # another word with the same hash
             a, b = a - int(bounds[d]), b - int(bounds[d])
-            windows.add(w)
-            if runs and a <= runs[-1][1]:
-                runs[-1] = (runs[-1][0], max(b, runs[-1][1]))
-            else:
-                runs.append((a, b))
-        items = sorted({i for w in windows for i in bench.items[w]})
-        yield int(bounds[d + 1] - bounds[d]), runs, items
-
-
-_MATCHED = "struct<n_words:bigint,runs:array<struct<first:bigint,end:bigint>>,items:array<string>>"
-_KIND = pa.struct([("n_words", pa.int64()), ("runs", pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string()))])
+            for t, j in bench.places[w]:
+                match_ = open_.get((t, a - j))
+                if match_ and a <= match_[2]:  # the suffix before began one word earlier
+                    match_[1], match_[2] = b, a + 1
+                else:
+                    if match_:
+                        found_.append((bench.items[t], match_[0] - (a - j), match_[0], match_[1] - match_[0]))
+                    open_[t, a - j] = [a, b, a + 1]
+        found_ += [(bench.items[t], m[0] - shift, m[0], m[1] - m[0]) for (t, shift), m in open_.items()]
+        yield int(bounds[d + 1] - bounds[d]), sorted(set(found_), key=lambda m: (m[2], -m[3], m[0], m[1]))
+
+
+def runs_of(matches: list[tuple[str, int, int, int]]) -> list[tuple[int, int]]:
+    """The words inside matches as (first, end) runs that don't touch. Matches come in order of their place."""
+    runs: list[tuple[int, int]] = []
+    for _, _, a, size in matches:
+        if runs and a <= runs[-1][1]:
+            runs[-1] = (runs[-1][0], max(a + size, runs[-1][1]))
+        else:
+            runs.append((a, a + size))
+    return runs
+
+
+_MATCHED = "struct<n_words:bigint,runs:array<struct<first:bigint,end:bigint>>,items:array<string>,matches:array<struct<item:string,item_first:bigint,first:bigint,words:bigint>>>"
+_MATCH = pa.struct([("item", pa.string()), ("item_first", pa.int64()), ("first", pa.int64()), ("words", pa.int64())])
+_KIND = pa.struct([
+    ("n_words", pa.int64()), ("runs", pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string())), ("matches", pa.list_(_MATCH))])
 
 
 def benchmark_parts(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", limit: int = BENCHMARK_BYTES) -> list[DataFrame]:
-    """The benchmark's rows with an id and a text, dealt into parts of about ``limit`` bytes."""
-    rows = picked(benchmark, item_id=item_id, text=text).filter("item_id is not null and text is not null")
+    """The benchmark's different rows with an id and a text, dealt row by row into parts of about ``limit`` bytes.
+
+    The rows of one id may lie in several parts; a part holds one row at least, so its bound is the longest text.
+    """
+    rows = picked(benchmark, item_id=item_id, text=text).filter("item_id is not null and text is not null").distinct()
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-total // limit))
-    return [rows] if parts == 1 else [rows.filter(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == p) for p in range(parts)]
+    return [rows] if parts == 1 else [rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p) for p in range(parts)]
 
 
 def _merged(results: list[DataFrame], keys: list[str]) -> DataFrame:
@@ -234,7 +260,8 @@ def _merged(results: list[DataFrame], keys: list[str]) -> DataFrame:
         every = every.unionByName(r)
     both = every.groupBy(*keys).agg(
         F.max("n_words").alias("n_words"), F.sort_array(F.flatten(F.collect_list("runs"))).alias("runs"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+        F.array_distinct(F.flatten(F.collect_list("matches"))).alias("matches"))
     grown = F.aggregate(
         "runs", F.slice("runs", 1, 0),
         lambda acc, r: F.when((F.size(acc) > 0) & (r["first"] <= F.try_element_at(acc, F.lit(-1))["end"]), F.concat(
@@ -245,7 +272,7 @@ def _merged(results: list[DataFrame], keys: list[str]) -> DataFrame:
 
 
 def matcher(part: DataFrame, window: int = WINDOW):
-    """A column function text -> (n_words, runs, items) against the rows of one bounded part."""
+    """A column function text -> (n_words, runs, items, matches) against the rows of one bounded part."""
     items = [(r.item_id, r.text.encode()) for r in part.collect()]
     items.sort(key=lambda x: (str(x[0]), x[1]))
     sent = part.sparkSession.sparkContext.broadcast(items)
@@ -256,15 +283,18 @@ def matcher(part: DataFrame, window: int = WINDOW):
         for batch in batches:
             texts = text_bytes(batch)
             rows = [x for a, b in slices(texts) for x in match(texts[a:b], bench)]
-            yield pa.array([{"n_words": n, "runs": [{"first": a, "end": b} for a, b in runs], "items": items} for n, runs, items in rows], _KIND)
+            names = _MATCH.names
+            yield pa.array([{
+                "n_words": n, "runs": [{"first": a, "end": b} for a, b in runs_of(found)], "items": sorted({m[0] for m in found}),
+                "matches": [dict(zip(names, m)) for m in found]} for n, found in rows], _KIND)
 
     return matched.asNondeterministic()
 
 
 def find(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, limit: int = BENCHMARK_BYTES) -> DataFrame:
-    """(doc_id, n_words, runs, items): runs of words (first, end) inside benchmark windows, item ids as text.
+    """(doc_id, n_words, runs, items, matches): runs of words (first, end) inside matches, item ids as text, longest matches with places.
 
-    One row per row of ``docs``. Null and empty texts have no words; items with a null id or
+    A match (item, item_first, first, words) goes as far as both texts agree word by word. One row per row of ``docs``. Null and empty texts have no words; items with a null id or
     text take no part; an item of fewer than ``window`` words is one window; repeated items
     count once by id. With an empty benchmark nothing is hit.
     """
@@ -278,15 +308,19 @@ def find(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: st
 
 
 def digests(found: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, sha256 of the joined item ids, contaminated."""
+    """doc_id, n_words, n_hit, n_items, sha256 of the joined item ids, contaminated, words of the longest match."""
     hit = F.aggregate("runs", F.lit(0).cast("bigint"), lambda n, r: n + r["end"] - r["first"])
     return found.select(
         "doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"),
-        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.size("runs") > 0).alias("contaminated"))
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.size("runs") > 0).alias("contaminated"),
+        F.coalesce(F.array_max(F.transform("matches", lambda m: m["words"])), F.lit(0)).alias("longest"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, limit: int = BENCHMARK_BYTES) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark window, columns unchanged; a larger benchmark is applied part by part."""
+    """The rows of ``docs`` that hold no benchmark window, columns unchanged; a larger benchmark is applied part by part.
+
+    Rows with a null or empty text stay, as do repeated rows; benchmark rows as in ``find``; a clash of column names does no harm.
+    """
     for part in benchmark_parts(benchmark, limit=limit):
         name = fresh(docs, "match")
         docs = docs.withColumn(name, matcher(part, window)(F.col(f"`{text}`"))).filter(F.size(f"`{name}`.runs") == 0).drop(name)

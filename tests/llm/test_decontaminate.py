@@ -16,13 +16,31 @@ word = st.sampled_from(["a", "b", "c", "dé", "X", "longer" * 9])
 sentence = st.lists(word, max_size=40).map(" ".join)
 
 
+def longest(text, items, window):
+    """Matches that can't grow to either side, by comparing every pair of places."""
+    w, out = brute.WORD.findall(text.translate(brute.LOWER)), set()
+    for i, x in items:
+        own = brute.WORD.findall(x.translate(brute.LOWER))
+        for a in range(len(w)):
+            for j in range(len(own)):
+                if w[a] == own[j] and not (a and j and w[a - 1] == own[j - 1]):
+                    n = 0
+                    while a + n < len(w) and j + n < len(own) and w[a + n] == own[j + n]:
+                        n += 1
+                    if n >= min(window, len(own)):
+                        out.add((str(i), j, a, n))
+    return out
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(sentence, min_size=1, max_size=6), st.lists(sentence, max_size=4))
 def test_matches_by_brute_force(texts, items):
-    bench = D.Benchmark([(k, t.encode()) for k, t in enumerate(items)], 4)
-    for t, (n, runs, found) in zip(texts, D.match(text_bytes(pa.array(texts)), bench)):
-        want = brute.contamination(t, list(enumerate(items)), 4)
-        assert (n, {k for a, b in runs for k in range(a, b)}, {int(i) for i in found}) == want
+    bench = D.Benchmark([(k // 2, t.encode()) for k, t in enumerate(items)], 4)
+    numbered = [(k // 2, t) for k, t in enumerate(items)]  # two texts with one id
+    for t, (n, matches) in zip(texts, D.match(text_bytes(pa.array(texts)), bench)):
+        want = brute.contamination(t, numbered, 4)
+        assert (n, {k for a, b in D.runs_of(matches) for k in range(a, b)}, {int(m[0]) for m in matches}) == want
+        assert set(matches) == longest(t, numbered, 4) and len(set(matches)) == len(matches)
 
 
 @settings(max_examples=150, deadline=None)
@@ -38,7 +56,18 @@ def test_suffix_array_order(ids):
 
 
 def rows_of(df):
-    return sorted((r.asDict() for r in D.digests(df).collect()), key=repr)
+    return sorted(((r.asDict(), sorted(m.matches)) for r, m in zip(D.digests(df.orderBy("doc_id")).collect(), df.orderBy("doc_id").collect())), key=repr)
+
+
+def test_an_id_of_very_many_rows(spark, make_docs):
+    """Every part holds some rows of the id, none all of them."""
+    bench = spark.range(100_000).selectExpr("7L as item_id", "concat('word', id % 5000, ' next', id % 5000, ' last') as text")
+    parts = D.benchmark_parts(bench, limit=20_000)
+    sizes = [p.count() for p in parts]
+    assert sum(sizes) == 5000 and max(sizes) < 3 * 5000 / len(parts)
+    docs = make_docs([(1, "a word17 next17 last b word4999 next4999 last"), (2, "word17 next18 last")])
+    out = {r.doc_id: r for r in D.digests(D.find(docs, bench, limit=60_000)).collect()}
+    assert (out[1].n_hit, out[1].n_items, out[1].longest) == (6, 1, 3) and not out[2].contaminated
 
 
 def test_query_by_brute_force(spark, root, make_docs, texts):
