@@ -69,10 +69,8 @@ def op3_token_store(spark, root):
 
 @query
 def op5_secret_scan(spark, root):
-    """Labels: what is its own proof, in the documents that aren't held out."""
-    docs = table(spark, root, "documents")
-    found = secret_scan.candidates(docs.filter(~language.held_out()))
-    return secret_scan.scan(docs, found.withColumn("label", secret_scan.evidence(found)))
+    """Learns from the documents that aren't held out; judges all."""
+    return secret_scan.scan(table(spark, root, "documents"), learn=~language.held_out())
 
 
 @query

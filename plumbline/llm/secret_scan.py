@@ -6,6 +6,7 @@ forest is grown level by level from aggregated histograms, and a grown tree is a
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -19,16 +20,15 @@ from plumbline.session import cut_lineage
 CANDIDATE = r"(?<![A-Za-z0-9_+/=.-])[A-Za-z0-9_+/=.-]{16,}+"
 BEFORE, AFTER = 48, 24
 TREES, DEPTH, BINS = 9, 4, 16
-#: Most labelled findings of each label the forest learns from.
+#: About how many labelled findings of each label the forest learns from.
 SAMPLE = 20_000
+#: Words of the corpus's dictionary: the most frequent ones by documents, of at least so many letters.
+DICTIONARY_WORDS, WORD_LETTERS = 400, 3
 
-# Frequent words and endings of English, German, French and Spanish text.
-DICTIONARY = (
-    "tion ment ing ent the and that with for this have from ist und der die das sch ung ein nicht mit auf "
-    "les des une que est dans pour par sur los las del con por para como cion ado mente able ness less "
-    "http www com org html page file line name data test user time type list code").split()
 # Names that stand before a secret.
 NAMES = "token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth|bearer|credential"
+# Lengths in hexadecimal digits of the digests that keys and tokens are made of.
+DIGEST_DIGITS = (32, 40, 48, 64, 96, 128)
 
 FEATURES = (
     "n_chars", "n_runs", "run_share", "digit_share", "upper_share", "vowel_share", "alternations",
@@ -54,15 +54,22 @@ def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     return each.withColumn("end", end).select("doc_id", (F.col("end") - F.char_length("value")).alias("first"), "end", "value", "before", "after")
 
 
-def featured(found: DataFrame) -> DataFrame:
-    """``found`` with the columns of ``FEATURES`` as doubles: length, transitions, dictionary coverage, path, neighbours."""
+def dictionary(docs: DataFrame, text: str = "text", words: int = DICTIONARY_WORDS) -> list[str]:
+    """The ``words`` most frequent words of all texts, by the number of rows that have them; ties by the word itself."""
+    every = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))
+    counted = picked(docs, text=text).filter("text is not null").select(F.explode(every).alias("word")).filter(F.char_length("word") >= WORD_LETTERS).groupBy("word").count()
+    return sorted(r.word for r in counted.orderBy(F.desc("count"), "word").limit(words).collect())
+
+
+def featured(found: DataFrame, known: list[str]) -> DataFrame:
+    """``found`` with the columns of ``FEATURES`` as doubles: length, transitions, coverage by the words ``known``, path, neighbours."""
     v = F.col("value")
     n = F.char_length(v)
     share = lambda chars: F.char_length(F.regexp_replace(v, f"[^{chars}]", "")) / n
     # each character as its class, and each run of a class as one letter
     classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(v, "[a-z]", "a"), "[A-Z]", "A"), "[0-9]", "9"), "[^aA9]", "-")
     runs = F.regexp_replace(classes, r"(.)\1*+", "$1")
-    words = F.regexp_replace(F.lower(v), "|".join(sorted(DICTIONARY, key=len, reverse=True)), "")
+    words = F.regexp_replace(F.lower(v), "|".join(sorted(known, key=lambda w: (-len(w), w))) or "(?!)", "")
     letters = F.regexp_replace(F.lower(v), "[^a-z0-9]", "")
     yes = lambda c: c.cast("double")
     values = {
@@ -133,15 +140,20 @@ def _gini_gain(w0: float, y0: float, w: float, y: float) -> float:
 def train(labelled: DataFrame, label: str = "label", trees: int = TREES, depth: int = DEPTH, bins: int = BINS, sample: int = SAMPLE) -> Forest:
     """A forest from labelled findings with features (label: 0 or 1; null labels teach nothing).
 
-    Learns from the ``sample`` findings of each label that are first by hash. For each level one
-    aggregation counts weight and secrets by tree, leaf, feature and bin; only these histograms,
-    of a size fixed by the parameters, come to the driver. A row's weight in a tree is 0, 1 or 2
-    by hash (a bootstrap), and each leaf looks at two thirds of the features, also by hash.
-    Fewer than two labels give an empty forest.
+    Learns from about ``sample`` findings of each label, those with the smallest hashes; no label's findings meet
+    in one task. For each level one aggregation counts weight and secrets by tree, leaf, feature and bin; only these
+    histograms, of a size fixed by the parameters, come to the driver. A row's weight in a tree is 0, 1 or 2
+    by hash (a bootstrap), and each leaf looks at about a third of the features, also by hash.
+    Equal rows weigh as one each. Fewer than two labels give an empty forest.
     """
-    ranked = labelled.filter(F.col(label).isNotNull()).withColumn("h", F.xxhash64("doc_id", "first", "value"))
-    ranked = ranked.withColumn("k", F.row_number().over(W.partitionBy(label).orderBy("h", "doc_id", "first"))).filter(F.col("k") <= sample)
-    rows = cut_lineage(ranked.select("h", F.col(label).cast("double").alias("label"), *FEATURES), "labelled")
+    rows = labelled.filter(F.col(label).isNotNull()).select(F.xxhash64("doc_id", "first", "value").alias("h"), F.col(label).cast("double").alias("label"), *FEATURES)
+    rows = cut_lineage(rows, "features")
+    place = (F.shiftrightunsigned("h", 11)).cast("double") / float(1 << 53)
+    counts = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
+    share = F.lit(0.0)
+    for value, n in counts.items():
+        share = F.when(F.col("label") == value, sample / n).otherwise(share)
+    rows = cut_lineage(rows.filter(place < share), "labelled")
     if rows.select("label").distinct().count() < 2:
         return Forest()
     steps = [(i + 1) / bins for i in range(bins - 1)]
@@ -175,7 +187,7 @@ def _grow(leaf: Node, hists: dict[int, dict[int, tuple[float, float]]], cuts: di
     best = (1e-9, None, 0.0)
     t, level, k = place
     for i, f in enumerate(FEATURES):
-        if not split or (t * 7 + level * 5 + k * 3 + i * (t + 2)) % 3 == 0:
+        if not split or zlib.crc32(f"{t} {level} {k} {f}".encode()) % 3:
             continue
         w0 = y0 = 0.0
         for b, cut in enumerate(cuts[f]):
@@ -188,24 +200,47 @@ def _grow(leaf: Node, hists: dict[int, dict[int, tuple[float, float]]], cuts: di
         leaf.feature, leaf.threshold, leaf.low, leaf.high = best[1], best[2], Node(leaf.share), Node(leaf.share)
 
 
-def evidence(found: DataFrame) -> Column:
-    """A label where the finding itself is proof, else null.
+def labels(found: DataFrame) -> DataFrame:
+    """``found`` with ``label``, from what the forest doesn't see: checksums, digest lengths and how many documents have the value.
 
-    1: a value of mixed letters and digits, quoted and assigned to a name of secrets. 0: a value
-    that is only letters or only digits, part of an address, or a path of words.
+    1: as long as a digest, hexadecimal of one case, and not a decimal number. 0: digits with a right check digit (Luhn), or
+    a value without such a form in at least two documents, as words, addresses and file names are. Null where neither says
+    anything: these findings are judged by the forest alone.
     """
     v = F.col("value")
-    mixed = v.rlike("[0-9]") & v.rlike("[A-Za-z]") & ~v.rlike("[./]")
-    named = F.col("before").rlike(rf"(?i)(?:{NAMES})\s*[=:]\s*[\"'`]$") & F.col("after").rlike("^[\"'`]")
-    plain = v.rlike("^[A-Za-z.-]+$") | v.rlike("^[0-9 .-]+$") | F.col("before").rlike("@[^\\s]*$") | F.col("after").rlike("^@")
-    return F.when(mixed & named, 1).when(plain & ~named, 0)
+    digits = F.transform(F.split(F.reverse(v), ""), lambda d: d.try_cast("int"))
+    doubled = F.transform(digits, lambda d, k: F.when(k % 2 == 0, d).otherwise(2 * d - F.when(d > 4, 9).otherwise(0)))
+    luhn = v.rlike("^[0-9]+$") & (F.aggregate(doubled, F.lit(0), lambda a, d: a + F.coalesce(d, F.lit(0))) % 10 == 0)
+    digest = (v.rlike("^[0-9a-f]+$") | v.rlike("^[0-9A-F]+$")) & ~v.rlike("^[0-9]+$") & F.char_length(v).isin(*DIGEST_DIGITS)
+    spread = found.groupBy(F.col("value").alias("known")).agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a <> b").select("known")
+    common = cut_lineage(spread, "common")  # one row a value, so a frequent one is split in the join like any other
+    marked = found.join(common, F.col("value") == F.col("known"), "left")
+    return marked.withColumn("label", F.when(digest, 1).when(luhn | F.col("known").isNotNull(), 0)).drop("known")
+
+
+def scored(found: DataFrame, forest: Forest, known: list[str], threshold: float = 0.5) -> DataFrame:
+    """``found`` with ``probability`` and ``is_secret``."""
+    out = featured(found, known).withColumn("probability", forest.probability()).drop(*FEATURES)
+    return out.withColumn("is_secret", F.col("probability") >= threshold)
+
+
+def quality(judged: DataFrame) -> tuple[float, float]:
+    """Precision and recall over the findings of ``scored`` that have a label; 1 where there is nothing to divide by."""
+    r = judged.agg(*[F.count_if(c).alias(k) for k, c in {
+        "hit": F.col("is_secret") & (F.col("label") == 1), "said": F.col("is_secret") & F.col("label").isNotNull(), "real": F.col("label") == 1}.items()]).first()
+    return (r.hit / r.said if r.said else 1.0), (r.hit / r.real if r.real else 1.0)
 
 
-def scan(docs: DataFrame, labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """doc_id, first, end, probability, is_secret: one row for each candidate in ``docs``.
+def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", learn: Column | None = None, threshold: float = 0.5, labelled: DataFrame | None = None) -> DataFrame:
+    """doc_id, first, end, label, probability, is_secret: one row for each candidate in ``docs``.
 
-    ``labelled``: findings (doc_id, first, value, before, after, label), as from ``candidates`` with a label.
+    Candidates are found once and written. The forest learns from those with a label in the rows that ``learn`` (an
+    expression over doc_id) names, all by default, or from ``labelled`` (findings as from ``candidates``, with a label).
+    Null and empty texts have no candidates, repeated rows each have theirs, null ids learn like others if ``learn`` is
+    true for them; an empty table gives no rows; other columns don't matter.
     """
-    forest = train(featured(labelled))
-    scored = featured(candidates(docs, doc_id, text)).withColumn("probability", forest.probability())
-    return scored.select("doc_id", "first", "end", "probability", (F.col("probability") >= threshold).alias("is_secret"))
+    known = dictionary(docs, text)
+    found = cut_lineage(labels(cut_lineage(candidates(docs, doc_id, text), "candidates")), "findings")
+    own = found if learn is None else found.filter(learn)
+    forest = train(featured(own if labelled is None else labelled, known))
+    return scored(found, forest, known, threshold).select("doc_id", "first", "end", "label", "probability", "is_secret")

@@ -22,10 +22,6 @@ def test_query_matches_sql(name, spark, root):
     assert compare.difference(QUERIES[name](spark, root), compare.connect(root), ORACLES[name]) is None
 
 
-def test_secret_query(spark, root):
-    assert QUERIES["op5_secret_scan"](spark, root).count() > 0
-
-
 def test_run_by_brute_force(spark, root, make_docs, texts):
     model = language.Classifier(language.train(make_docs(texts)))
     kept = [(i, t) for i, t, *_ in texts if language.has_letter(t) and model.predict(t)[1] >= language.MARGIN]
