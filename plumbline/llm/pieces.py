@@ -237,16 +237,20 @@ def row_key(doc_id: str = "doc_id", seed: int = SEED):
     return F.xxhash64(F.lit(seed), F.col(f"`{doc_id}`").cast("string"))
 
 
-def encode_column(model: str, theta: float = THETA):
-    """A column function (text, key) -> ids; null and empty texts have none."""
+def encode_column(model: str, theta: float = THETA, verify: bool = False):
+    """A column function (text, key) -> ids; null and empty texts have none. ``verify``: decode every row, and fail if it isn't the text."""
     @F.arrow_udf("array<int>")
     def ids_of(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         pieces = Pieces(model, theta)
         for texts, keys in batches:
             ids, counts = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
-            for _, i, n in _encoded(pieces, texts, keys):
+            for rows, i, n in _encoded(pieces, texts, keys):
                 ids.append(i)
                 counts.append(n)
+                at = np.cumsum([0, *n.tolist()]).tolist()
+                for source, a, b in zip(rows, at, at[1:]) if verify else ():
+                    if pieces.decode(i[a:b].tolist()) != source:
+                        raise ValueError(f"pieces don't decode to their text, which begins with {source[:80]!r}")
             yield pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(counts)).astype(np.int32)), pa.array(np.concatenate(ids)))
 
     return ids_of
@@ -263,9 +267,9 @@ def decode_column(model: str):
     return text_of
 
 
-def sampled(docs: DataFrame, model: str | None = None, doc_id: str = "doc_id", text: str = "text", seed: int = SEED, theta: float = THETA) -> DataFrame:
-    """``docs`` with ``piece_ids``, one sampled segmentation of each whole text (``_piece_ids`` if that name is taken)."""
-    ids = encode_column(model or model_path(), theta)
+def sampled(docs: DataFrame, model: str | None = None, doc_id: str = "doc_id", text: str = "text", seed: int = SEED, theta: float = THETA, verify: bool = False) -> DataFrame:
+    """``docs`` with ``piece_ids``, one sampled segmentation of each whole text (``_piece_ids`` if that name is taken), decoded again with ``verify``."""
+    ids = encode_column(model or model_path(), theta, verify)
     return docs.withColumn(fresh(docs, "piece_ids"), ids(F.col(f"`{text}`"), row_key(doc_id, seed)))
 
 

@@ -83,3 +83,15 @@ def test_a_model_without_byte_pieces_is_refused(monkeypatch):
     monkeypatch.setattr(sentencepiece.SentencePieceProcessor, "is_byte", lambda self, i: False)
     with pytest.raises(ValueError):
         P.Pieces(P.model_path())
+
+
+def test_a_lossy_row_fails(make_docs, monkeypatch):
+    from plumbline.llm import pieces
+
+    docs = make_docs([(1, "one two"), (2, None), (3, "")])
+    assert sorted(len(r.piece_ids) > 0 for r in pieces.sampled(docs, verify=True).collect()) == [False, False, True]
+    broken = pieces.encode_column(pieces.model_path(), verify=True).func
+    monkeypatch.setattr(pieces.Pieces, "decode", lambda self, ids: "other")
+    with pytest.raises(ValueError, match="decode"):
+        import pyarrow as pa
+        list(broken(iter([(pa.array(["one two"]), pa.array([1]))])))
