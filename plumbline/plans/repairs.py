@@ -12,6 +12,7 @@ from plumbline.operators import integrity as I
 from plumbline.operators import logs as L
 from plumbline.operators import profile as P
 from plumbline.operators import report as R
+from plumbline.operators import statistics as ST
 from plumbline.operators import storage as S
 from plumbline.operators import text as TX
 from plumbline.plans.apply import apply_plan as run_plan
@@ -23,9 +24,9 @@ from plumbline.plans.integrity import KEY_PROFILE, PAIRS, _pair_sql, key_profile
 from plumbline.plans.logs import AS_OF, event_views
 from plumbline.plans.registry import query
 from plumbline.plans.report import FINDINGS, sample_findings
-from plumbline.plans.sample_sql import profile_sql
+from plumbline.plans.sample_sql import columns_of, profile_cell, profile_sql
 from plumbline.plans.storage import LOG, file_actions, log_events
-from plumbline.session import scratch_path
+from plumbline.session import remove, scratch_path
 
 
 def store_findings(t):
@@ -118,6 +119,27 @@ def compute_stats(t):
     return X.compute_stats(t.pick(["orders", "events"]), {"orders": "o_orderdate", "events": "ts"}, "2024-01-31", 30)
 
 
+LEFT = "(SELECT * FROM lineitem WHERE l_returnflag <> 'A')"
+
+
+@query("statistics_store", f"""
+SELECT column_name, kind, 2::BIGINT AS n_files, n_rows, n_nulls, min_value, max_value, max_len, true AS distinct_within, 1 AS files_read FROM (
+{" UNION ALL ".join(profile_cell("lineitem", c, k, LEFT) for c, k in columns_of("lineitem"))})""")
+def statistics_store(t):
+    """Files by return flag: two are taken in, then a third alone is read, then one goes; the profile is a merge."""
+    data, store = scratch_path(t.spark, "flags"), ST.StatisticsStore(t.spark, scratch_path(t.spark, "statistics"))
+    for flag in "AN":
+        t.lineitem.filter(F.col("l_returnflag") == flag).coalesce(1).write.parquet(f"{data}/{flag}")
+    store.refresh(data)
+    t.lineitem.filter("l_returnflag = 'R'").coalesce(1).write.parquet(f"{data}/R")
+    read = store.refresh(data)
+    remove(t.spark, f"{data}/A")
+    exact = P.column_profile({"lineitem": t.lineitem.filter("l_returnflag <> 'A'")}).select("column_name", "n_distinct")
+    merged = store.profile(data).join(exact, "column_name")
+    within = F.abs(F.col("approx_distinct") - F.col("n_distinct")) <= 0.05 * F.col("n_distinct") + 1
+    return merged.select("column_name", "kind", "n_files", "n_rows", "n_nulls", "min_value", "max_value", "max_len", within.alias("distinct_within"), F.lit(len(read)).alias("files_read"))
+
+
 @query("add_audit_columns", """
 SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS created, strftime(o_orderdate, '%Y-%m-%d') AS updated FROM orders""")
 def add_audit_columns(t):
