@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -63,6 +64,73 @@ def compact_plan(
         F.count(F.lit(1)).alias("n_files"), F.sum("size").alias("total_bytes"))
 
 
+#: Files that are packed in one task, and how full a bin must be to be closed before the ranges meet.
+PACKED_FILES, CLOSED_SHARE = 100_000, 0.9
+
+
+def first_fit(sizes: list[int], target: int) -> list[int]:
+    """A bin for each size, largest first into the first bin that has room; a size over the target has a bin of its own.
+
+    The first bin with room is found in a tree of the bins' greatest rooms, so n sizes take n log n steps.
+    """
+    order = sorted(range(len(sizes)), key=lambda k: (-sizes[k], k))
+    width = 1
+    while width < max(1, len(sizes)):
+        width *= 2
+    room = [target] * (2 * width)  # every bin is still empty
+    bins = [0] * len(sizes)
+    for k in order:
+        node, size = 1, min(sizes[k], target)
+        while node < width:
+            node = 2 * node if room[2 * node] >= size else 2 * node + 1
+        bins[k] = node - width
+        room[node] -= size
+        while node > 1:
+            node //= 2
+            room[node] = max(room[2 * node], room[2 * node + 1])
+    return bins
+
+
+def _pack(size: str, target: int):
+    """applyInPandas function: a bin for each row of a group, from 0."""
+    def packed(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values([size, rows.columns[0]], ascending=[False, True], kind="stable")
+        return rows.assign(bin=first_fit(rows[size].tolist(), target))
+    return packed
+
+
+def compact_bins(files: DataFrame, target_bytes: int = 128 * V.MB, small_below: int = V.SMALL_FILE, in_task: int = PACKED_FILES) -> DataFrame:
+    """(table_name, path, size, bin, n_files, total_bytes): the small files of a table, each in a bin of at most ``target_bytes``.
+
+    Largest first into the first bin with room, in groups of about ``in_task`` files that hold all sizes alike. Bins that are
+    not nearly full are then packed once more, as wholes, across the groups of a table; that is a few for each group. Files
+    over the target are left out, as are bins of one file: nothing is gained by writing these again.
+    """
+    small = files.filter((F.col("size") < small_below) & (F.col("size") <= target_bytes)).select("path", "table_name", "size")
+    counted = small.groupBy("table_name").agg(F.ceil(F.count(F.lit(1)) / in_task).cast("int").alias("groups"))
+    dealt = small.join(counted, "table_name").withColumn("part", F.pmod(F.xxhash64("path"), F.col("groups")).cast("int")).select("path", "table_name", "size", "part")
+    first = dealt.groupBy("table_name", "part").applyInPandas(_pack("size", target_bytes), "path string, table_name string, size bigint, part int, bin int")
+    first = cut_lineage(first, "packed")
+    bins = first.groupBy("table_name", "part", "bin").agg(F.sum("size").alias("filled"), F.count(F.lit(1)).alias("n"))
+    label = F.concat_ws("-", F.col("part").cast("string"), F.col("bin").cast("string"))
+    open_ = bins.filter(F.col("filled") < CLOSED_SHARE * target_bytes).select(label.alias("label"), "table_name", "filled")
+    merged = open_.groupBy("table_name").applyInPandas(_pack("filled", target_bytes), "label string, table_name string, filled bigint, bin int")
+    named = merged.select("table_name", "label", F.concat(F.lit("m-"), F.col("bin").cast("string")).alias("name"))
+    placed = first.withColumn("label", label).join(named, ["table_name", "label"], "left").withColumn("bin", F.coalesce("name", "label"))
+    sizes = placed.groupBy("table_name", "bin").agg(F.count(F.lit(1)).alias("n_files"), F.sum("size").alias("total_bytes")).filter("n_files > 1")
+    return placed.select("table_name", "path", "size", "bin").join(sizes, ["table_name", "bin"])
+
+
+def compact_by_bins(rows: DataFrame, bins: DataFrame, out: str) -> None:
+    """Write the files of each bin as one file. ``rows``: a scan of the files; ``bins``: file (as scans report it) and bin.
+
+    A bin's rows go to one task, which a bin's size bounds; the files that no bin names stay where they are.
+    """
+    file = F.col("_metadata.file_path")
+    moved = rows.withColumn("_file", file).join(bins.select(F.col("file").alias("_file"), F.col("bin").alias("_bin")), "_file").drop("_file")
+    write_copy(moved.repartition("_bin"), out, ["_bin"])
+
+
 # ---- rewrites ----
 
 def write_copy(df: DataFrame, path: str, partition_by: list[str] | None = None, max_records: int | None = None) -> None:

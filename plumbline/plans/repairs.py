@@ -79,6 +79,40 @@ def compact_plan(t):
     return X.compact_plan(S.active_files(file_actions(t)), 512 * MB, 200 * MB)
 
 
+@query("compact_bins", LOG + """, small AS (SELECT * FROM live WHERE size < 209715200)
+SELECT table_name, count(*) AS n_files, CAST(sum(size) AS BIGINT) AS total_bytes, true AS none_over, true AS tight FROM small GROUP BY table_name""")
+def compact_bins(t):
+    """Every small file is in one bin; no bin is over the target, and there are few more than the bytes need."""
+    target = 512 * MB
+    files = S.active_files(file_actions(t)).filter(F.col("size") < 200 * MB)
+    bins = X.compact_bins(files, target, 200 * MB).select("table_name", "path", "bin", F.col("total_bytes").alias("filled"))
+    placed = files.join(bins, ["table_name", "path"], "left")  # a file alone in its bin has none
+    need = F.ceil(F.sum("size") / target)
+    used = F.count_distinct("bin") + F.count_if(F.col("bin").isNull())
+    return placed.groupBy("table_name").agg(
+        F.count(F.lit(1)).alias("n_files"), F.sum("size").alias("total_bytes"),
+        F.coalesce(F.max("filled") <= target, F.lit(True)).alias("none_over"), (used <= 1.25 * need + 1).alias("tight"))
+
+
+@query("compact_by_bins", """
+SELECT true AS fewer_files, true AS one_file_a_bin, count(*) AS n_rows, CAST(sum(l_orderkey) AS BIGINT) AS key_sum FROM lineitem""")
+def compact_by_bins(t):
+    """lineitem in many small files, packed and written again; the counts are of files on disk."""
+    before, after = scratch_path(t.spark, "small"), scratch_path(t.spark, "packed")
+    t.lineitem.repartition(24, "l_orderkey").write.parquet(before)
+    listed = ST.files(t.spark, before).withColumn("table_name", F.lit("lineitem"))
+    target = int(listed.agg(F.sum("size")).first()[0] / 5)
+    plan = X.compact_bins(listed.select("table_name", "path", "size"), target, target)
+    bins = listed.join(plan.select("path", "bin"), "path").select("file", "bin")
+    X.compact_by_bins(t.spark.read.parquet(before), bins, after)
+    files = ST.files(t.spark, after).agg(F.count(F.lit(1)).alias("n_after"))
+    wanted = bins.agg(F.count_distinct("bin").alias("n_bins"), F.count(F.lit(1)).alias("n_before"))
+    rows = t.spark.read.parquet(after).agg(F.count(F.lit(1)).alias("n_rows"), F.sum("l_orderkey").alias("key_sum"))
+    every = files.unionByName(wanted, allowMissingColumns=True).unionByName(rows, allowMissingColumns=True)
+    one = every.agg(*[F.max(c).alias(c) for c in ("n_after", "n_bins", "n_before", "n_rows", "key_sum")])
+    return one.select((F.col("n_after") < F.col("n_before")).alias("fewer_files"), (F.col("n_after") == F.col("n_bins")).alias("one_file_a_bin"), "n_rows", "key_sum")
+
+
 @query("compact_files", "SELECT l_returnflag, count(*) AS n_rows, CAST(sum(l_orderkey) AS BIGINT) AS key_sum, CAST(sum(l_quantity) AS BIGINT) AS quantity FROM lineitem GROUP BY 1")
 def compact_files(t):
     out = scratch_path(t.spark, "compact")
