@@ -12,6 +12,8 @@ from plumbline.functions.fixed_values import MB
 from plumbline.operators import storage as S
 from plumbline.plans.catalog import setting_rules_frame
 from plumbline.plans.registry import query
+from plumbline.session import move, names, remove, scratch_path
+from plumbline.sources import txlog as L
 
 AS_OF = "2024-01-31 00:00:00"
 
@@ -199,3 +201,74 @@ def vacuum_candidates(t):
     listing = actions.groupBy("table_name", "path").agg(F.max("size").alias("size"), F.max("modified").alias("modified"))
     return S.vacuum_candidates(listing, S.active_files(actions), AS_OF).withColumn(
         "modified", F.date_format("modified", "yyyy-MM-dd HH:mm:ss"))
+
+
+def _log_files(t, root):
+    """The sample log as files: ten commits a table, the last action on a path in each."""
+    n = t.events.agg(F.max("event_id")).first()[0] + 1
+    grouped = log_events(t).withColumns({"event": F.col("version"), "version": F.floor(F.col("version") * 10 / n).cast("bigint")})
+    last = grouped.filter("event_type <> 'click'").groupBy("table_name", "version", "path").agg(F.max_by(F.struct("event_type", "size", "ts"), "event").alias("x"))
+    millis = F.unix_millis(F.col("x.ts").cast("timestamp"))
+    add = F.to_json(F.struct(F.struct("path", F.col("x.size").alias("size"), millis.alias("modificationTime")).alias("add")))
+    gone = F.to_json(F.struct(F.struct("path", millis.alias("deletionTimestamp"), F.lit(True).alias("dataChange")).alias("remove")))
+    lines = last.select("table_name", "version", F.when(F.col("x.event_type") == "error", gone).otherwise(add).alias("line"))
+    about = grouped.select("table_name", "version").distinct().select("table_name", "version", F.to_json(F.struct(F.struct(F.lit("WRITE").alias("operation")).alias("commitInfo"))).alias("line"))
+    L.write_commits(lines.unionByName(about), root)
+
+
+REPLAYED = """WITH n AS (SELECT max(event_id) + 1 AS n FROM events), log AS (
+  SELECT 'store_' || CAST(user_id % 20 AS VARCHAR) AS table_name, event_id, CAST(floor(event_id * 10 / n) AS BIGINT) AS version,
+         'part-' || json_extract_string(props, '$.k') || '.parquet' AS path, event_type, CAST(floor(value * 4 * 1048576) AS BIGINT) AS size FROM events, n WHERE event_type <> 'click')
+SELECT table_name, path, version, size FROM (SELECT * FROM log QUALIFY row_number() OVER (PARTITION BY table_name, path ORDER BY event_id DESC) = 1) WHERE event_type <> 'error'"""
+
+
+@query("replayed_log", REPLAYED)
+def replayed_log(t):
+    """JSON commits, a checkpoint in two parts at version 6, a later one that isn't whole, and no commits up to 6."""
+    root = scratch_path(t.spark, "log")
+    _log_files(t, root)
+    for table in names(t.spark, root):
+        folder = f"{root}/{table}/_delta_log"
+        every = L.read_log(t.spark, f"{folder}/*.json")
+        L.write_checkpoint(L.state_lines(every.filter("version <= 6")), folder, 6, 2)
+        L.write_checkpoint(L.state_lines(every.filter("version <= 8")), folder, 8, 2)
+        remove(t.spark, f"{folder}/{8:020d}.checkpoint.{2:010d}.{2:010d}.parquet")
+        for k in range(7):
+            remove(t.spark, f"{folder}/{k:020d}.json")
+    return _state(t, L.replay(t.spark, root))
+
+
+def _state(t, log):
+    """Live files; a checkpoint's lines carry its version, so the commit that added a file comes from the log as it was."""
+    live = S.active_files(L.file_actions(log)).drop("version")
+    n = t.events.agg(F.max("event_id")).first()[0] + 1
+    added = file_actions(t).filter("action = 'add'").groupBy("table_name", "path").agg(F.floor(F.max("version") * 10 / n).cast("bigint").alias("version"))
+    return live.join(added, ["table_name", "path"]).select("table_name", "path", "version", "size")
+
+
+@query("snapshot_replay", REPLAYED)
+def snapshot_replay(t):
+    """The first commits are taken into a snapshot of our own; the rest is replayed on top of it."""
+    root, own = scratch_path(t.spark, "log"), scratch_path(t.spark, "snapshots")
+    _log_files(t, root)
+    for table in names(t.spark, root):
+        folder = f"{root}/{table}/_delta_log"
+        for k in range(5, 10):
+            move(t.spark, f"{folder}/{k:020d}.json", f"{root}-later/{table}/{k:020d}.json")
+        L.snapshot(t.spark, root, table, own, 2)
+        for k in range(5, 10):
+            move(t.spark, f"{root}-later/{table}/{k:020d}.json", f"{folder}/{k:020d}.json")
+        for k in range(5):
+            remove(t.spark, f"{folder}/{k:020d}.json")
+    return _state(t, L.replay(t.spark, root, own))
+
+
+@query("listed_files", """
+SELECT 'store_' || CAST(user_id % 20 AS VARCHAR) AS table_name, count(DISTINCT least(9, CAST(floor(event_id * 10 / (SELECT max(event_id) + 1 FROM events)) AS BIGINT))) AS n_files, true AS has_bytes
+FROM events GROUP BY 1""")
+def listed_files(t):
+    """The storage listing of the log's own files."""
+    root = scratch_path(t.spark, "log")
+    _log_files(t, root)
+    listed = L.list_files(t.spark, f"{root}/*/_delta_log", "*.json").withColumn("table_name", F.regexp_extract("path", r"([^/]+)/_delta_log/", 1))
+    return listed.groupBy("table_name").agg(F.count(F.lit(1)).alias("n_files"), (F.min("length") > 0).alias("has_bytes"))

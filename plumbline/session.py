@@ -93,6 +93,14 @@ def commit_small(spark: SparkSession, path: str, text: str) -> bool:
     return False
 
 
+def move(spark: SparkSession, source: str, target: str) -> None:
+    """Rename a file of our own; folders above the target are made."""
+    files, to = _file_system(spark, target)
+    files.mkdirs(to.getParent())
+    if not files.rename(_file_system(spark, source)[1], to):
+        raise OSError(f"{source} could not be renamed to {target}")
+
+
 def cut_lineage(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` to the shared folder and read it back, so a lost executor costs no recompute."""
     spark = df.sparkSession

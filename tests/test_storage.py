@@ -194,3 +194,28 @@ def test_zorder_narrows_both_columns(spark, t):
     plain = t.lineitem.repartition(16).cache()
     for column, value in (("l_partkey", 57), ("l_quantity", 13)):
         assert touched(z, column, value) <= touched(plain, column, value) * 0.7
+
+
+def test_whole_checkpoints():
+    n = "{:020d}.checkpoint".format
+    listed = [f"{n(3)}.parquet", f"{n(5)}.{1:010d}.{2:010d}.parquet", f"{n(5)}.{2:010d}.{2:010d}.parquet", f"{n(7)}.{1:010d}.{2:010d}.parquet",
+              f"{n(9)}.{1:010d}.{2:010d}.parquet", f"{n(9)}.parquet", "_last_checkpoint", f"{0:020d}.json"]
+    found = T.whole_checkpoints(listed)
+    assert sorted(found) == [3, 5, 9] and len(found[5]) == 2 and found[9] == [f"{n(9)}.parquet"]
+
+
+def test_a_gap_in_the_log_is_told(spark, tmp_path):
+    folder = tmp_path / "t" / "_delta_log"
+    folder.mkdir(parents=True)
+    for v in (0, 1, 3):
+        (folder / f"{v:020d}.json").write_text('{"add": {"path": "a%d", "size": %d}}\n' % (v, v))
+    with pytest.raises(ValueError, match="missing"):
+        T.replay(spark, str(tmp_path))
+    (folder / f"{2:020d}.json").write_text('{"remove": {"path": "a0"}}\n{"add": {"path": "a1", "size": 7}}\n')
+    assert rows(S.active_files(T.file_actions(T.replay(spark, str(tmp_path)))), "path", "size") == [("a1", 7), ("a3", 3)]
+    assert T.snapshot(spark, str(tmp_path), "t", str(tmp_path / "own")) == 3
+    for v in range(4):
+        (folder / f"{v:020d}.json").unlink()
+    (folder / f"{4:020d}.json").write_text('{"remove": {"path": "a3"}}\n')
+    assert rows(S.active_files(T.file_actions(T.replay(spark, str(tmp_path), str(tmp_path / "own")))), "path", "size") == [("a1", 7)]
+    assert T.snapshot(spark, str(tmp_path), "t", str(tmp_path / "own")) == 4
