@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.fixed_values import MB
@@ -17,7 +19,7 @@ from plumbline.operators import storage as S
 from plumbline.operators import text as TX
 from plumbline.plans.apply import apply_plan as run_plan
 from plumbline.plans.apply import transforms
-from plumbline.plans.catalog import fixes_frame
+from plumbline.plans.catalog import FIXES, fixes_frame
 from plumbline.plans.corpus import EXPRESSIONS, OVERLAP, _expression, named_parts
 from plumbline.plans.graph import FLAGGED, flagged_edges
 from plumbline.plans.integrity import KEY_PROFILE, PAIRS, _pair_sql, key_profile
@@ -448,13 +450,70 @@ def apply_plan(t):
 
 
 @query("apply_plan_summary", """
-SELECT * FROM (VALUES ('GW-010', 1, 1, 0, 0), ('WH-009', 3, 1, 1, 1)) AS s(fix_id, n_targets, n_fixed, n_failed, n_skipped)""")
+WITH targets AS (
+  SELECT 'part[p_name,p_brand,p_type]' AS target, 'GW-010' AS fix_id, 'fixed' AS outcome
+  UNION ALL SELECT 'labels[doc_id]', 'WH-009', 'fixed' UNION ALL SELECT 'labels[no_column]', 'WH-009', 'failed'
+  UNION ALL SELECT 'event ' || CAST(event_id AS VARCHAR), 'WH-009', 'skipped' FROM events WHERE event_type = 'error')
+SELECT fix_id, count(*) AS n_targets, count(*) FILTER (WHERE outcome = 'fixed') AS n_fixed, count(*) FILTER (WHERE outcome = 'failed') AS n_failed,
+       count(*) FILTER (WHERE outcome = 'skipped') AS n_skipped FROM targets GROUP BY fix_id""")
 def apply_plan_summary(t):
-    """Outcomes of a plan that was applied: one target fixed, one failed (no such column), one skipped."""
+    """Outcomes of a plan that was applied: targets fixed, one failed (no such column), findings by key skipped."""
     found = t.spark.createDataFrame(
-        [("WH-009", "labels[doc_id]"), ("WH-009", "labels[no_column]"), ("WH-009", "nowhere[x]"), ("GW-010", "part[p_name,p_brand,p_type]")],
-        "rule_id string, target string")
+        [("WH-009", "labels[doc_id]"), ("WH-009", "labels[no_column]"), ("GW-010", "part[p_name,p_brand,p_type]")], "rule_id string, target string")
+    keys = t.events.filter("event_type = 'error'").select(F.lit("WH-009").alias("rule_id"), F.concat(F.lit("event "), F.col("event_id").cast("string")).alias("target"))
+    found = found.unionByName(keys)
     plan = X.fix_plan(found, fixes_frame(t.spark))
     known = transforms(parents={"doc_id": (t.documents, "doc_id")}, order={"part": "p_partkey"})
     done = run_plan(t.spark, plan, {"labels": t.labels, "part": t.part}, scratch_path(t.spark, "fixes"), known)
     return X.fix_summary(done)
+
+
+# what each transform of the catalog is tried on, and the rows of its copy
+TRIED = {
+    "add_audit_columns": ("orders", "SELECT count(*) FROM orders"), "propose_primary_key": ("nation[n_nationkey,n_regionkey]", "SELECT 1"),
+    "compute_stats": ("orders", "SELECT 6"), "drop_orphans": ("labels[doc_id]", "SELECT count(*) FROM labels WHERE doc_id IN (SELECT doc_id FROM documents)"),
+    "mask_columns": ("customer[c_name]", "SELECT count(*) FROM customer"), "fill_defaults": ("labels", "SELECT count(*) FROM labels"),
+    "compact_files": ("lineitem", "SELECT count(*) FROM lineitem"), "partition_rewrite": ("orders", "SELECT count(*) FROM orders"),
+    "retention_filter": ("events", "SELECT count(*) FROM events WHERE ts >= TIMESTAMP '2024-01-31' - INTERVAL 10 DAY"),
+    "repair_view_source": ("views", "SELECT count(*) FROM part"), "refresh_view": ("events", "SELECT count(DISTINCT event_type) FROM events WHERE event_type IN ('view', 'error')"),
+    "rewrite_expressions": ("expressions[expression]", "SELECT count(*) FROM part"), "fill_formats": ("expressions", "SELECT count(*) FROM part"),
+    "fill_descriptions": ("expressions", "SELECT count(*) FROM part"), "clean_names": ("part[p_name]", "SELECT count(*) FROM part"),
+    "hide_columns": ("documents[text]", "SELECT count(*) FROM documents"), "drop_constant_columns": ("nation", "SELECT count(*) FROM nation"),
+    "drop_alias_records": ("part", "SELECT count(*) FROM part WHERE p_size >= 3"), "mark_date_table": ("part[p_name]", "SELECT count(*) FROM part"),
+    "mark_keys": ("relations", "SELECT count(DISTINCT o_custkey % 2) FROM orders"), "single_direction": ("edges", "SELECT count(*) FROM nation"),
+    "no_implicit_summary": ("summaries", "SELECT count(*) FROM part"),
+    "trim_members": ("customer[c_nationkey]", "SELECT count(*) FROM (SELECT row_number() OVER (PARTITION BY c_nationkey) AS k FROM customer) WHERE k <= 3"),
+    "dedup_records": ("part[p_brand]", "SELECT count(DISTINCT p_brand) FROM part"),
+}
+CATALOG = [(f, r, c.removeprefix("transform:").split(" ")[0]) for f, r, _, c in FIXES if c.startswith("transform:")]
+
+
+@query("apply_catalog", " UNION ALL ".join(
+    f"SELECT '{f}' AS fix_id, '{r}' AS rule_id, '{TRIED[n][0]}' AS target, 'fixed' AS outcome, ({TRIED[n][1]})::BIGINT AS n_rows" for f, r, n in CATALOG))
+def apply_catalog(t):
+    """Every transform of the catalog, applied to a table; rows of the copies."""
+    part = t.part.withColumns({"name": F.concat(F.lit("m"), F.col("p_partkey").cast("string")), "fmt": F.lit(None).cast("string"), "about": F.lit("")})
+    expressions = _expression(t).withColumns({"fmt": F.lit(None).cast("string"), "about": F.lit("")})
+    tables = t.pick(["orders", "nation", "labels", "customer", "lineitem", "events", "documents"]) | {
+        "part": part, "expressions": expressions,
+        "views": part.select("name", F.lit("healthy").alias("state"), F.lit("t").alias("source_table"), F.lit("t | take 1").alias("query")),
+        "relations": t.orders.select(F.concat(F.lit("orders.o_custkey -> customer.c"), (F.col("o_custkey") % 2).cast("string")).alias("pair")),
+        "edges": t.nation.select("n_nationkey", F.when(F.col("n_regionkey") == 1, "both").otherwise("single").alias("cross_filter")),
+        "summaries": t.part.select("p_partkey", F.when(F.col("p_size") > 10, "sum").otherwise("none").alias("summarize_by"))}
+    candidates = t.spark.createDataFrame([("customer", "c0", True), ("customer", "c1", False)], "table_name string, column_name string, is_unique boolean")
+    matches = part.select("name", F.lit("u").alias("new_source"), F.lit(1.0).alias("score"))
+    about = {
+        "orders": {"time": "o_orderdate", "bucket": F.year("o_orderdate")}, "labels": {"defaults": {"quality": 0}},
+        "events": {"time": "ts", "as_of": AS_OF, "days": 10, "key": "event_type", "build": lambda df: df.groupBy("event_type").agg(F.count(F.lit(1)).alias("n")),
+                   "stale": t.spark.createDataFrame([("view",), ("error",)], "event_type string")},
+        "views": {"matches": matches}, "relations": {"candidates": candidates}, "customer": {"keep": 3},
+        "expressions": {"name": "name", "format": "fmt", "description": "about", "expression": "expression"},
+        "part": {"record": "p_partkey", "aliases": t.part.filter("p_size < 3").select("p_partkey")}}
+    known = transforms({"doc_id": (t.documents, "doc_id")}, {"part": "p_partkey", "customer": "c_custkey"}, about)
+    plan = fixes_frame(t.spark).filter("command like 'transform:%'")
+    names = F.split(F.regexp_replace("command", "^transform:", ""), " ")[0]
+    plan = plan.withColumns({"target": F.create_map(*[F.lit(x) for n, (of, _) in TRIED.items() for x in (n, of)])[names], "is_transform": F.lit(True)})
+    done = run_plan(t.spark, plan, tables, scratch_path(t.spark, "catalog"), known)
+    counts = [t.spark.read.parquet(r.path).agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(r.path).alias("path"), "n_rows")
+              for r in done.filter("path is not null").collect()]
+    return done.join(reduce(DataFrame.unionByName, counts), "path", "left").select("fix_id", "rule_id", "target", "outcome", "n_rows")
