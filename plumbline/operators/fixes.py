@@ -194,6 +194,70 @@ def zorder(df: DataFrame, columns: list[str], partitions: int, bits: int = 6) ->
 
 # ---- row and column repairs ----
 
+#: Rows that are sampled for the bounds of rank buckets.
+BOUND_ROWS = 20_000
+
+
+def with_rank_buckets(df: DataFrame, columns: Mapping[str, str], bits: int, sample: int = BOUND_ROWS) -> DataFrame:
+    """Adds for each column (name: bucket) a bucket 0 .. 2^bits - 1 of about equally many rows, in the order of its values.
+
+    For any type that can be ordered. The bounds come from one bounded sample for all columns, rows being chosen by a hash of
+    their values; nulls go to bucket 0. Each row searches the bounds in ``bits`` steps.
+    """
+    n = df.count()
+    picked = df.select(*columns)
+    if n > sample:
+        picked = picked.filter(F.pmod(F.xxhash64(*df.columns), F.lit(1_000_000)) < int(1_000_000 * sample / n))
+    rows = picked.collect()  # about ``sample`` rows, whatever the table holds
+    out = df
+    for column, bucket in columns.items():
+        values = sorted(v for v in (r[column] for r in rows) if v is not None and v == v)
+        points = [values[len(values) * k // (1 << bits)] for k in range(1, 1 << bits)] if values else []
+        out = out.withColumn(bucket, F.lit(0))
+        if points:
+            bounds = F.array(*[F.lit(p).cast(df.schema[column].dataType) for p in points])
+            for b in reversed(range(bits)):
+                half = 1 << b
+                above = F.element_at(bounds, F.col(bucket) + half) <= F.col(column)
+                out = out.withColumn(bucket, F.col(bucket) + F.when(above, half).otherwise(0))
+    return out
+
+
+def with_hilbert_index(df: DataFrame, buckets: list[str], bits: int, name: str) -> DataFrame:
+    """Adds the place along a Hilbert curve of the point that the buckets name: neighbours on the curve are neighbours in every bucket.
+
+    Per bit from the top each axis is mirrored or swapped with the first, then the axes are Gray coded, and their bits taken in turn.
+    One projection a step, so the expressions stay small.
+    """
+    axes = [f"_axis{k}" for k in range(len(buckets))]
+    out = df.withColumns({a: F.col(b).cast("int") for a, b in zip(axes, buckets)})
+    for bit in reversed(range(1, bits)):
+        low = (1 << bit) - 1
+        for axis in axes:
+            first, own = F.col(axes[0]), F.col(axis)
+            is_set = F.getbit(own, F.lit(bit)) == 1
+            if axis == axes[0]:
+                out = out.withColumn(axis, F.when(is_set, own.bitwiseXOR(F.lit(low))).otherwise(own))
+                continue
+            out = out.withColumn("_swap", F.when(is_set, F.lit(0)).otherwise(first.bitwiseXOR(own).bitwiseAND(F.lit(low))))
+            out = out.withColumns({axes[0]: F.when(is_set, first.bitwiseXOR(F.lit(low))).otherwise(first.bitwiseXOR(F.col("_swap"))), axis: own.bitwiseXOR(F.col("_swap"))})
+    for before, axis in zip(axes, axes[1:]):
+        out = out.withColumn(axis, F.col(axis).bitwiseXOR(F.col(before)))
+    turn = F.lit(0)
+    for bit in range(1, bits):
+        turn = turn.bitwiseXOR(F.when(F.getbit(F.col(axes[-1]), F.lit(bit)) == 1, F.lit((1 << bit) - 1)).otherwise(F.lit(0)))
+    out = out.withColumn("_turn", turn)
+    out = out.withColumns({a: F.col(a).bitwiseXOR(F.col("_turn")) for a in axes})
+    return out.withColumn(name, interleave([F.col(a) for a in axes], bits)).drop("_swap", "_turn", *axes)
+
+
+def cluster(df: DataFrame, columns: list[str], partitions: int, bits: int = 6) -> DataFrame:
+    """Rows laid along a Hilbert curve over the ranks of ``columns``, for files that a filter on any of them can skip."""
+    buckets = {c: f"_bucket{k}" for k, c in enumerate(columns)}
+    indexed = with_hilbert_index(with_rank_buckets(df, buckets, bits), list(buckets.values()), bits, "_place")
+    return indexed.repartitionByRange(partitions, "_place").sortWithinPartitions("_place").drop("_place", *buckets.values())
+
+
 def retention_filter(df: DataFrame, ts: str, as_of: str, days: int = 365) -> DataFrame:
     return df.filter(F.col(ts) >= F.lit(as_of).cast("timestamp_ntz") - F.expr(f"interval {int(days)} days"))
 

@@ -111,3 +111,16 @@ class StatisticsStore:
 
         return merged.select("column_name", "kind", "n_files", "n_rows", "n_nulls", "approx_distinct", text("lo").alias("min_value"), text("hi").alias("max_value"), "max_len")
 
+
+
+def files_touched(spark: SparkSession, folder: str, box: dict[str, tuple]) -> DataFrame:
+    """(n_files, n_touched): files below a folder, and those whose extremes don't rule out a row with every column inside its (low, high)."""
+    facts = file_statistics(spark.read.parquet(folder))
+    meets = F.lit(True)
+    for column, (low, high) in box.items():
+        text = F.lit(low), F.lit(high)
+        number = isinstance(low, (int, float))
+        slot = ("lo_l", "hi_l") if isinstance(low, int) else ("lo_d", "hi_d") if number else ("lo_s", "hi_s")
+        meets = meets & F.when(F.col("column_name") == column, (F.col(slot[0]) <= text[1]) & (F.col(slot[1]) >= text[0])).otherwise(True)
+    by_file = facts.groupBy("file").agg(F.bool_and(F.coalesce(meets, F.lit(False))).alias("touched"))
+    return by_file.agg(F.count(F.lit(1)).alias("n_files"), F.count_if("touched").alias("n_touched"))

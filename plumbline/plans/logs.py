@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import logs as L
 from plumbline.plans.registry import query
-from plumbline.sources.querylog import log_view
+from plumbline.session import scratch_path
+from plumbline.sources.facts import pick
+from plumbline.sources.querylog import QUERY_LOG, log_view, read_query_log
 
 AS_OF = "2024-01-31 00:00:00"
 ORDERS_AS_OF = "2001-08-01"
@@ -175,3 +177,23 @@ def long_templates(t):
     rows = log(t).withColumns({
         "query_text": F.concat(F.repeat(F.lit("x"), 300), "command_type"), "elapsed_ms": (F.col("query_id") % 7) / F.lit(100000.0)})
     return L.frequent_queries(rows, k=None, slow_ms=0.00002)
+
+
+@query("query_log_scan", """
+SELECT event_type AS command_type, count(*) AS n_runs, CAST(min(event_id) AS BIGINT) AS first_query, true AS pushed FROM events WHERE ts >= TIMESTAMP '2024-01-20' GROUP BY 1""")
+def query_log_scan(t):
+    """The log as files with a declared schema, read from a moment on; the moment reaches the scan."""
+    path = scratch_path(t.spark, "query-log")
+    log(t).withColumn("row_count", F.lit(None).cast("bigint")).select(*QUERY_LOG.names).write.parquet(path)
+    recent = read_query_log(t.spark, path, since="2024-01-20")
+    pushed = "GreaterThanOrEqual(start_time" in recent._jdf.queryExecution().executedPlan().toString()
+    return recent.groupBy("command_type").agg(F.count(F.lit(1)).alias("n_runs"), F.min("query_id").alias("first_query")).withColumn("pushed", F.lit(pushed))
+
+
+@query("tolerant_pick", """
+SELECT c_custkey, c_name AS label, 'none' AS phone, c_mktsegment AS segment FROM customer""")
+def tolerant_pick(t):
+    """Columns by the first spelling that a table has, or a default."""
+    c = t.customer
+    return c.select("c_custkey", pick(c, "customer_name", "c_name").alias("label"), pick(c, "c_phone", "phone", default="none").alias("phone"),
+                    pick(c, "c_mktsegment", "segment").alias("segment"))

@@ -135,6 +135,24 @@ def zorder_rewrite(t):
     return _content(t.spark.read.parquet(out))
 
 
+@query("cluster_rewrite", """
+SELECT true AS skips_half, count(*) AS n_rows, count(*) FILTER (WHERE o_orderpriority = '2-HIGH' AND o_orderdate BETWEEN TIMESTAMP '1997-01-01' AND TIMESTAMP '1998-01-01') AS n_in_box,
+       CAST(sum(o_orderkey) AS BIGINT) AS key_sum FROM orders""")
+def cluster_rewrite(t):
+    """orders along a curve over a time and a text: files that a box on both has to read, before and after."""
+    before, after = scratch_path(t.spark, "as-is"), scratch_path(t.spark, "clustered")
+    t.orders.repartition(32).write.parquet(before)
+    X.write_copy(X.cluster(t.orders, ["o_orderdate", "o_orderpriority"], 32), after)
+    box = {"o_orderpriority": ("2-HIGH", "2-HIGH"), "o_orderdate": ("1997-01-01 00:00:00.000000", "1998-01-01 00:00:00.000000")}
+    was, now = (ST.files_touched(t.spark, p, box) for p in (before, after))
+    skips = now.select(F.col("n_touched").alias("now")).unionByName(was.select(F.col("n_touched").alias("was")), allowMissingColumns=True).agg(
+        (F.max("now") <= 0.5 * F.max("was")).alias("skips_half"))
+    inside = (F.col("o_orderpriority") == "2-HIGH") & F.col("o_orderdate").between(F.lit("1997-01-01").cast("timestamp_ntz"), F.lit("1998-01-01").cast("timestamp_ntz"))
+    rows = t.spark.read.parquet(after).agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(inside).alias("n_in_box"), F.sum("o_orderkey").alias("key_sum"))
+    both = skips.unionByName(rows, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in ("skips_half", "n_rows", "n_in_box", "key_sum")])
+
+
 @query("partition_rewrite", """
 SELECT CAST(year(l_shipdate) AS INTEGER) AS ship_year, count(*) AS n_rows, CAST(sum(l_orderkey) AS BIGINT) AS key_sum FROM lineitem GROUP BY 1""")
 def partition_rewrite(t):
