@@ -81,3 +81,43 @@ def test_odd_rows(odd_docs):
     # texts without a word are one group, its smallest id 1; a row without an id stays if its text has no copy
     assert sorted((r.doc_id for r in out.collect()), key=str) == [1, 4, 6, 7, 8, None]
     assert near_copies.distinct_documents(odd_docs.filter("false")).count() == 0
+
+
+def exact_pairs(rows, similarity=0.8):
+    """All pairs of different sets of the similarity, by an exact prefix join: such a pair shares one of its rarest shingles."""
+    sets = {}
+    for i, t in rows:
+        s = frozenset(near_copies.shingle_set((t or "").encode()).tolist())
+        if s:
+            sets.setdefault(s, i)
+    sets = list(sets.items())
+    count = {}
+    for s, _ in sets:
+        for x in s:
+            count[x] = count.get(x, 0) + 1
+    seen, out = {}, set()
+    for k, (s, _) in enumerate(sets):
+        rarest = sorted(s, key=lambda x: (count[x], x))[:len(s) - -(-4 * len(s) // 5) + 1]
+        for other in {o for x in rarest for o in seen.get(x, ())}:
+            both = len(s & sets[other][0])
+            if both >= similarity * (len(s) + len(sets[other][0]) - both):
+                out.add((sets[other][1], sets[k][1]))
+        for x in rarest:
+            seen.setdefault(x, []).append(k)
+    return out
+
+
+@pytest.mark.parametrize("scale", ["sf0.01"])
+def test_no_pair_is_lost(spark, scale):
+    """Recall of the proposals: every exact pair is among those that signatures leave to compare, and ends in one component."""
+    from plumbline.llm.components import components
+    from plumbline.session import cut_lineage
+
+    docs = spark.read.parquet(f"/root/testdata/{scale}/documents.parquet")
+    pairs = exact_pairs([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
+    each = docs.select(docs.doc_id.alias("node"), near_copies.sketch_column()("text").alias("s")).select("node", "s.*").filter("n > 0")
+    each = cut_lineage(each, "each")
+    root = {r.node: r.root for r in components(near_copies.candidates(each.dropDuplicates(["digest"]), cut_lineage)).collect()}
+    first = {r.node: r.first for r in each.select("node", "digest").join(each.dropDuplicates(["digest"]).select("digest", each.node.alias("first")), "digest").collect()}
+    lost = [p for p in pairs if root.get(first[p[0]], -1) != root.get(first[p[1]], -2)]
+    assert pairs and not lost
