@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from plumbline.functions import fixed_values as V
 from plumbline.functions import predicates as PR
-from plumbline.plans.audit import run_audit
+from plumbline.plans.audit import Inputs, run_audit
 from plumbline.plans.catalog import RULES
 from plumbline.plans.registry import query
 from plumbline.plans.sample_sql import facts_sql, profile_sql
@@ -121,3 +123,85 @@ def size_text(t):
     sums = t.events.groupBy("event_type").agg(F.sum(F.floor("value") * 1000).cast("bigint").alias("size"))
     rows = t.region.select(F.concat(F.lit("row "), "r_regionkey").alias("event_type"), (F.col("r_regionkey") * 500).cast("bigint").alias("size"))
     return sums.unionByName(rows).select("event_type", PR.whole_word_size(F.col("size")).alias("size_text"))
+
+
+# Inputs of the audit beside the tables, stated once for both engines; the sample tables play the inventories.
+INPUTS = {
+    "gateways": "SELECT CAST(s_suppkey AS STRING) AS id, CASE WHEN s_suppkey % 5 = 0 THEN 'Personal' ELSE 'Resource' END AS type, "
+                "CASE WHEN s_suppkey % 3 = 0 THEN ' ' ELSE s_name END AS display_name FROM supplier",
+    "connections": "SELECT CAST(c_custkey AS STRING) AS id, CASE WHEN c_custkey % 50 = 7 THEN NULL ELSE CAST(c_custkey % 50 AS STRING) END AS gateway_id, c_name AS display_name, "
+                   "CASE WHEN c_mktsegment = 'BUILDING' THEN NULL ELSE 'Private' END AS privacy_level, CASE WHEN c_nationkey = 3 THEN '' ELSE 'Basic' END AS credential_type FROM customer",
+    "datasources": "SELECT p_partkey AS id, CAST(p_partkey % 60 AS STRING) AS gateway_id, p_brand AS type, p_type AS details FROM part",
+    "entities": "SELECT CASE o_custkey % 5 WHEN 0 THEN 'gateway' WHEN 1 THEN 'datasource' WHEN 2 THEN 'endpoint' WHEN 3 THEN 'database' ELSE 'store' END AS kind, "
+                "'e' || CAST(o_custkey AS STRING) AS name, CASE o_orderstatus WHEN 'F' THEN 'Failed' WHEN 'P' THEN '' ELSE "
+                "CASE o_custkey % 5 WHEN 0 THEN 'Live' WHEN 1 THEN 'OK' WHEN 2 THEN 'Success' WHEN 3 THEN 'Online' ELSE 'Running' END END AS status, "
+                "CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE CAST(o_orderkey % 4000 AS STRING) || '.12.1' END AS version FROM orders",
+    "members": "SELECT c_mktsegment AS group_name, c_name AS member, CASE WHEN c_nationkey % 4 = 0 THEN 'Admin' WHEN c_nationkey % 4 = 1 THEN 'db_owner' ELSE 'Viewer' END AS role FROM customer",
+    "exports": "SELECT n_name AS name, n_regionkey <> 1 AS is_running, n_regionkey = 2 AS is_disabled FROM nation",
+    "functions": "SELECT r_name AS name FROM region",
+    "catalog": "SELECT n_name AS table_name, CASE n_regionkey WHEN 0 THEN 'delta' WHEN 1 THEN 'Delta' WHEN 2 THEN NULL ELSE 'csv' END AS format FROM nation",
+    "documented": "SELECT CASE p_size % 3 WHEN 0 THEN 'procedure' WHEN 1 THEN 'schema' ELSE 'measure' END AS kind, p_name AS name, "
+                  "CASE WHEN p_partkey % 4 = 0 THEN '' ELSE p_type END AS description FROM part",
+    "defaults": "SELECT 'part' AS table_name, p_name AS column_name, p_size % 2 = 0 AS is_nullable, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE '0' END AS default_value FROM part",
+    "dependencies": "SELECT 'v' || CAST(l_suppkey AS STRING) AS src, 't' || CAST(l_partkey % 30 AS STRING) AS dst, CASE WHEN l_suppkey % 2 = 0 THEN 'a' ELSE 'b' END AS src_schema, "
+                    "CASE WHEN l_partkey % 2 = 0 THEN 'a' ELSE 'b' END AS dst_schema FROM lineitem",
+    "volumes": "SELECT event_type AS table_name, count(*) * 5000 AS n_rows, count(*) FILTER (WHERE value > 100) * 5000 AS n_hot FROM events GROUP BY event_type",
+    "streamed": "SELECT DISTINCT event_type AS table_name FROM events WHERE event_type IN ('view', 'click')",
+    "levels": "SELECT CAST(s_nationkey AS STRING) AS hierarchy FROM supplier",
+    "failures": "SELECT 'u' || CAST(user_id AS STRING) AS entity, ts FROM events WHERE event_type = 'error'",
+    "query_log": "SELECT event_id AS query_id, 'user ' || CAST(user_id AS STRING) AS query_text, event_type AS command_type, 'main' AS database, ts AS start_time, "
+                 "value * 300 AS elapsed_ms, CASE WHEN event_type = 'error' THEN 'Failed' ELSE 'Succeeded' END AS status FROM events",
+}
+
+
+def _blank(column: str) -> str:
+    return f"trim(coalesce({column}, '')) = ''"
+
+
+def _failing(kind: str, *ok: str) -> str:
+    return f"SELECT DISTINCT name FROM entities WHERE kind = '{kind}' AND NOT {_blank('status')} AND lower(status) NOT IN ({', '.join(repr(x) for x in ok)})"
+
+
+INVENTORY_HITS = {
+    "GW-012": f"SELECT 1 FROM gateways WHERE type <> 'Personal' AND {_blank('display_name')}",
+    "GW-003": "SELECT 1 FROM gateways WHERE type <> 'Personal' AND id NOT IN (SELECT gateway_id FROM connections WHERE gateway_id IS NOT NULL)",
+    "GW-008": "SELECT 1 FROM connections WHERE gateway_id NOT IN (SELECT id FROM gateways)",
+    "GW-004": "SELECT 1 FROM datasources WHERE gateway_id NOT IN (SELECT gateway_id FROM connections WHERE gateway_id IS NOT NULL)",
+    "GW-007": f"SELECT 1 FROM connections WHERE {_blank('credential_type')}", "GW-011": f"SELECT 1 FROM connections WHERE {_blank('privacy_level')}",
+    "GW-010": "SELECT gateway_id FROM datasources GROUP BY gateway_id, type, details HAVING count(*) > 1",
+    "GW-001": _failing("gateway", "live", "online"), "GW-005": _failing("datasource", "ok"), "LH-001": _failing("endpoint", "success"),
+    "WH-031": _failing("database", "online"), "EH-001": _failing("store", "running", "active"),
+    "GW-002": f"SELECT 1 FROM entities WHERE kind = 'gateway' AND NOT {_blank('version')} AND CAST(split_part(version, '.', 1) AS INTEGER) < 3000",
+    "GW-006": "SELECT group_name FROM members WHERE role = 'Admin' GROUP BY 1 HAVING count(*) > 5",
+    "WH-020": "SELECT group_name FROM members WHERE role = 'db_owner' GROUP BY 1 HAVING count(*) > 3",
+    "EH-012": "SELECT 1 FROM exports WHERE NOT is_running OR is_disabled", "EH-020": "SELECT 1 FROM functions",
+    "LH-003": "SELECT 1 FROM catalog WHERE coalesce(lower(format) <> 'delta', true)",
+    **{rule: f"SELECT 1 FROM documented WHERE kind = '{kind}' AND {_blank('description')}" for rule, kind in (("WH-035", "procedure"), ("WH-038", "schema"), ("SM-008", "measure"))},
+    "WH-036": f"SELECT 1 FROM defaults WHERE NOT is_nullable AND {_blank('default_value')}",
+    "WH-021": "SELECT src FROM dependencies GROUP BY src HAVING count(DISTINCT dst) > 10",
+    "WH-022": "SELECT DISTINCT src, dst FROM dependencies WHERE src_schema <> dst_schema",
+    "EH-011": "SELECT 1 FROM streamed", "EH-013": "SELECT 1 FROM volumes WHERE n_rows > 0 AND n_hot < n_rows * 0.5",
+    "EH-024": "SELECT 1 FROM volumes WHERE n_rows >= 1000000 AND table_name NOT IN (SELECT table_name FROM streamed)",
+    "SM-029": "SELECT hierarchy FROM levels GROUP BY 1 HAVING count(*) <= 2",
+    "EH-010": "SELECT DISTINCT entity FROM failures WHERE ts > TIMESTAMP '2024-01-24'",
+    "WH-023": "SELECT 1 FROM query_log WHERE status = 'Succeeded' AND elapsed_ms > 60000",
+    "WH-025": "SELECT 1 FROM query_log WHERE status = 'Failed'", "EH-009": "SELECT 1 FROM query_log WHERE status = 'Failed'",
+    "LH-002": "SELECT 1",
+}
+
+
+@query("inventory_audit", "WITH " + ", ".join(f"{n} AS ({q})" for n, q in INPUTS.items()) + ", hits AS (" + " UNION ALL ".join(
+    f"SELECT '{r}' AS rule_id, count(*) AS n_issues FROM ({q})" for r, q in INVENTORY_HITS.items()) + "), rules AS (SELECT * FROM (VALUES " + ", ".join(
+    f"('{r}', '{s}', '{h}')" for r, s, h, _ in RULES) + """) r(rule_id, severity, on_hit))
+SELECT rule_id, severity, CASE WHEN n_issues = 0 THEN 'PASS' ELSE on_hit END AS status, n_issues FROM rules JOIN hits USING (rule_id)""")
+def inventory_audit(t):
+    """The same audit with inventories, logs and settings at hand: the rules that have nothing to look at in ``full_audit``."""
+    source = t.pick(["supplier", "customer", "part", "orders", "nation", "region", "lineitem", "events"])
+    frames = {}
+    for name, sql in INPUTS.items():
+        for table, df in source.items():
+            sql = re.sub(rf"\bFROM {table}\b", f"FROM {{{table}}}", sql)
+        frames[name] = t.spark.sql(sql, **{k: v for k, v in source.items() if f"{{{k}}}" in sql})
+    inputs = Inputs(**frames, store_name="no layer", as_of="2024-01-31 00:00:00")
+    results = run_audit(t.pick(["region", "nation"]), inputs=inputs)
+    return results.filter(F.col("rule_id").isin(*INVENTORY_HITS)).select("rule_id", "severity", "status", "n_issues")
