@@ -97,6 +97,40 @@ class Node:
     high: Node | None = None
 
 
+def _complete(tree: Node, depth: int) -> tuple[list[int], list[float], list[float]]:
+    """A tree as arrays of a complete one: feature number, threshold and share by place, the children of k at 2k + 1 and 2k + 2.
+
+    Below a leaf all goes to the low child, which has its share.
+    """
+    size = (1 << (depth + 1)) - 1
+    feature, threshold, share = [1] * size, [float("inf")] * size, [0.0] * size
+
+    def put(node: Node, k: int) -> None:
+        share[k] = node.share
+        if node.feature is not None:
+            feature[k], threshold[k] = FEATURES.index(node.feature) + 1, node.threshold
+            put(node.low, 2 * k + 1)
+            put(node.high, 2 * k + 2)
+        elif 2 * k + 2 < size:
+            put(node, 2 * k + 1)
+
+    put(tree, 0)
+    return feature, threshold, share
+
+
+def _place(tree: Node, depth: int) -> Column:
+    """The place in the complete tree where a row ends: a walk over arrays, so the expression stays small however the tree looks."""
+    feature, threshold, _ = _complete(tree, depth)
+    features, thresholds = F.array(*map(F.lit, feature)), F.array(*map(F.lit, threshold))
+    values = F.array(*map(F.col, FEATURES))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.lit(0), lambda k, _: F.when(
+        F.element_at(values, F.element_at(features, k + 1)) <= F.element_at(thresholds, k + 1), 2 * k + 1).otherwise(2 * k + 2)) if depth else F.lit(0)
+
+
+def _depth(tree: Node) -> int:
+    return 0 if tree.feature is None else 1 + max(_depth(tree.low), _depth(tree.high))
+
+
 @dataclass
 class Forest:
     trees: list[Node] = field(default_factory=list)
@@ -105,28 +139,28 @@ class Forest:
         """Mean of the trees' leaves; 1 for an empty forest, so that nothing is removed."""
         if not self.trees:
             return F.lit(1.0)
-
-        def walk(node: Node) -> Column:
-            if node.feature is None:
-                return F.lit(node.share)
-            return F.when(F.col(node.feature) <= node.threshold, walk(node.low)).otherwise(walk(node.high))
-
-        total = walk(self.trees[0])
-        for t in self.trees[1:]:
-            total = total + walk(t)
+        total = F.lit(0.0)
+        for tree in self.trees:
+            depth = _depth(tree)
+            total = total + F.element_at(F.array(*map(F.lit, _complete(tree, depth)[2])), _place(tree, depth) + 1)
         return total / len(self.trees)
 
 
-def _leaf_number(tree: Node) -> tuple[Column, list[Node]]:
-    leaves: list[Node] = []
+def _leaf_number(tree: Node) -> tuple[Column, dict[int, Node]]:
+    """The place of a row's leaf, and the leaves by place."""
+    depth, leaves = _depth(tree), {}
 
-    def walk(node: Node) -> Column:
-        if node.feature is None:
-            leaves.append(node)
-            return F.lit(len(leaves) - 1)
-        return F.when(F.col(node.feature) <= node.threshold, walk(node.low)).otherwise(walk(node.high))
+    def walk(node: Node, k: int, level: int) -> None:
+        if node.feature is not None:
+            walk(node.low, 2 * k + 1, level + 1)
+            walk(node.high, 2 * k + 2, level + 1)
+        elif level < depth:
+            walk(node, 2 * k + 1, level + 1)
+        else:
+            leaves[k] = node
 
-    return walk(tree), leaves
+    walk(tree, 0, 0)
+    return _place(tree, depth), leaves
 
 
 def _gini_gain(w0: float, y0: float, w: float, y: float) -> float:
@@ -175,7 +209,7 @@ def train(labelled: DataFrame, label: str = "label", trees: int = TREES, depth:
         for r in counts:
             table.setdefault((r.tree, r.leaf, r.feature), {})[r.bin] = (r.w, r.y)
         for t, (_, leaves) in enumerate(numbered):
-            for k, leaf in enumerate(leaves):
+            for k, leaf in leaves.items():
                 _grow(leaf, {i: table.get((t, k, i), {}) for i in range(len(FEATURES))}, cuts, (t, level, k), level < depth)
     return Forest(grown)
 
