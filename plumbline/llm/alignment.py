@@ -100,8 +100,22 @@ class Aligner:
             return parts  # blanks only, each a cut
         return _CUT.split(text)
 
+    @staticmethod
+    def rows(chunks: list[str], size: int) -> list[list[str]]:
+        """The chunks, reordered, in rows of at most ``size`` that are encoded as one text.
+
+        White space at the edges of a chunk must not meet white space of the next, and a blank at its end not the blank
+        between chunks: chunks that begin with white space come first, those that end with it last, the others alone.
+        """
+        alone: list[str] = []
+        if any(c[-1].isspace() or c[0].isspace() for c in chunks):
+            alone = [c for c in chunks if c[-1] == " " or c[-1].isspace() and c[0].isspace()]
+            known = set(alone)
+            chunks = sorted((c for c in chunks if c not in known), key=lambda c: c[-1].isspace() - c[0].isspace())
+        return [[c] for c in alone] + [chunks[k:k + size] for k in range(0, len(chunks), size)]
+
     def align(self, chunks: list[str]) -> Aligned:
-        """The chunks are encoded as one text. If its tokens don't join to it, one chunk is to blame, and each is encoded alone."""
+        """The chunks, a row of ``rows``, are encoded as one text. If its tokens don't join to it, one chunk is to blame, and each is encoded alone."""
         found = self._row(chunks)
         if found is None and len(chunks) == 1:
             none = np.zeros(1, np.int64)
@@ -206,8 +220,7 @@ class Sharder:
         found = [list(map(known.get, c)) for c in chunks]
         open_ = [k for k, f in enumerate(found) if None in f]
         missing = list(dict.fromkeys(c for k in open_ for c, i in zip(chunks[k], found[k]) if i is None))
-        for k in range(0, len(missing), ROW_CHUNKS):
-            part = missing[k:k + ROW_CHUNKS]
+        for part in self.aligner.rows(missing, ROW_CHUNKS):
             known.update(zip(part, range(len(self.groups), len(self.groups) + len(part))))
             row = self.aligner.align(part)
             self.groups += row.groups

@@ -164,3 +164,8 @@ def test_small_memory_gives_the_same(make_docs, aligner):
     first = sharder.shard(0, pa.array([1, 2]), ["a b a", None])
     assert not sharder.known
     assert sharder.shard(0, pa.array([1, 2]), ["a b a", None]).equals(first)
+
+
+def test_white_space_at_the_edges_of_neighbours(make_docs, plain):
+    docs = list(enumerate(["foo\n", "\nbar", "foo ", "bar", " bar", "\n", " ", "a \n", "\t b", "foo\n ", "  bar ", "é \n中", "end."]))
+    assert got(alignment.align(make_docs(docs).coalesce(1))) == wanted(plain, docs)
