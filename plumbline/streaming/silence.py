@@ -48,7 +48,7 @@ def silences(events: DataFrame, ts: str, entity: str, gap: str = "1 day", latene
     An alarm needs no later row of the entity: a timer on event time speaks as soon as the watermark, moved by any
     entity, passes the deadline. A task holds the time of an entity's last row and of those that are still within
     ``lateness``. After a silence of ``forget`` (never, if None) the entity is dropped; its return is then a first row. Null entities
-    are one entity, rows without a time are passed over.
+    are one entity, rows without a time are passed over. Times are rounded to milliseconds, half away from 1970, for rows and watermark alike.
     """
     wait, keep = milliseconds(gap), milliseconds(forget) if forget else None
 
@@ -60,20 +60,22 @@ def silences(events: DataFrame, ts: str, entity: str, gap: str = "1 day", latene
                 pending += batch["ms"].tolist()
         watermark = state.getCurrentWatermarkMs()
         last, alarmed, pending, told = advance(last, alarmed, pending, watermark, wait)
-        due = ([pending[0] + 1] if pending else []) + ([last + wait] if last is not None and not alarmed else [])
+        # a timer speaks when the watermark is past it: a row counts then, a deadline counts when the watermark is at it
+        due = ([pending[0]] if pending else []) + ([last + wait - 1] if last is not None and not alarmed else [])
         if not due and keep is not None:
             if last + wait + keep <= watermark:
                 state.remove()
             else:
-                due = [last + wait + keep]
+                due = [last + wait + keep - 1]
         if due or keep is None:
             state.update((last, alarmed, pending))
         if due:
-            state.setTimeoutTimestamp(max(min(due), watermark + 1))
+            state.setTimeoutTimestamp(max(min(due), watermark))
         yield pd.DataFrame([(key[0], s, pd.Timestamp(a, unit="ms", tz="UTC"), pd.Timestamp(b, unit="ms", tz="UTC")) for s, a, b in told],
                            columns=[entity, "state", "at", "last_seen"])
 
     kind = events.schema[entity].dataType.simpleString()
-    timed = events.filter(F.col(ts).isNotNull()).withWatermark(ts, lateness).select(entity, ts, F.unix_millis(ts).alias("ms"))
+    rounded = F.expr(f"round(unix_micros(`{ts}`), -3) div 1000")
+    timed = events.filter(F.col(ts).isNotNull()).select(entity, rounded.alias("ms")).withColumn("_at", F.timestamp_millis("ms")).withWatermark("_at", lateness)
     return timed.groupBy(entity).applyInPandasWithState(
         step, f"`{entity}` {kind}, state string, at timestamp, last_seen timestamp", STATE, "append", GroupStateTimeout.EventTimeTimeout)

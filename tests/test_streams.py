@@ -62,6 +62,18 @@ def test_silence_return_and_restart(spark, tmp_path):
             assert told(spark, folder, sink, checkpoint) == twin(so_far)
 
 
+def test_times_are_rounded_and_bounds_count(spark, tmp_path):
+    ms, end = 1 / HOUR, 100 - 1 / 6
+    # 1: its deadline is the watermark; 2: back at the last time that is final; 3: microseconds; 4: back a moment too late to be told
+    events = [(1, end - 24), (2, 0), (2, end - ms), (3, 0.9995 * ms), (3, 30 + 0.0004 * ms), (4, 50), (4, end), (5, 100 - 0.4 * ms)]
+    put(spark, str(tmp_path), 0, events)
+    found = [(u, s, round(a * HOUR), round(b * HOUR)) for u, s, a, b in told(spark, str(tmp_path), str(tmp_path / "sink"), str(tmp_path / "cp"))]
+    day, end = 24 * HOUR, 100 * HOUR - 600_000
+    assert sorted(found) == sorted([
+        (1, "silent", end, end - day), (2, "silent", day, 0), (2, "resumed", end - 1, 0),
+        (3, "silent", day + 1, 1), (3, "resumed", 30 * HOUR, 1), (3, "silent", 54 * HOUR, 30 * HOUR), (4, "silent", 74 * HOUR, 50 * HOUR)])
+
+
 def test_advance_does_not_depend_on_batches():
     r = random.Random(3)
     for _ in range(200):
