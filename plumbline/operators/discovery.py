@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from functools import reduce
 from itertools import combinations
 
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.operators.profile import _quoted
+from plumbline.session import cut_lineage
 from plumbline.sources.facts import kind_of
 
 #: Text longer than this is no key; a column that holds any takes no part in references.
@@ -87,14 +88,54 @@ def references(tables: Mapping[str, DataFrame], threshold: float = 1.0, same_ste
 
 #: Sets of columns that are sketched in one scan, and how far a sketch may be off.
 SETS_A_SCAN, SKETCH_BITS, SKETCH_ERROR = 60, 14, 0.05
+#: Of so many hash values one is looked at first; a set with equal rows there is no key.
+FIRST_PART = 64
 
+# without these, times are cut to milliseconds
+_WHOLE = {"timestampFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS", "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS"}
 
-def unique_column_sets(df: DataFrame, max_columns: int = 3, columns: list[str] | None = None) -> DataFrame:
+
+def _hash(columns: tuple[str, ...]) -> Column:
+    return F.xxhash64(*[F.col(_quoted(c)) for c in columns])
+
+
+def _digest(columns: tuple[str, ...]) -> Column:
+    return F.sha2(F.to_json(F.struct(*[F.col(_quoted(c)) for c in columns]), _WHOLE), 256)
+
+
+def _repeated(cells: DataFrame, value: str) -> set[int]:
+    """Numbers of the sets in which a value occurs twice."""
+    twice = cells.groupBy("set", value).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return {r.set for r in twice.select("set").distinct().collect()}  # one row a set
+
+
+def _without_equal_rows(df: DataFrame, sets: list[tuple[str, ...]], first: bool = False) -> list[tuple[str, ...]]:
+    """The sets whose values no two rows share, exactly; with ``first`` only the first of them.
+
+    Most sets fall over one part of their hash values. For each of the others one hash a row is shuffled, and only
+    rows with a hash that occurs twice are compared by their digests.
+    """
+    parts = [F.when(F.pmod(_hash(s), F.lit(FIRST_PART)) == 0, F.struct(F.lit(i).alias("set"), _digest(s).alias("value"))) for i, s in enumerate(sets)]
+    out = _repeated(df.select(F.inline(F.array_compact(F.array(*parts)))), "value") if sets else set()
+    unique = []
+    for s in [s for i, s in enumerate(sets) if i not in out]:
+        twice = df.groupBy(_hash(s).alias("h")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
+        twice = cut_lineage(twice, "twice")
+        if twice.isEmpty() or not _repeated(
+                df.select(F.lit(0).alias("set"), _hash(s).alias("h"), _digest(s).alias("value")).join(twice, "h", "left_semi"), "value"):
+            unique.append(s)
+            if first:
+                break
+    return unique
+
+
+def unique_column_sets(df: DataFrame, max_columns: int = 3, columns: list[str] | None = None, best: Callable[[tuple[str, ...]], tuple] | None = None) -> DataFrame:
     """(columns, n_columns, n_rows): the minimal sets of null-free columns whose values no two rows share.
 
     Level by level: a set is looked at if none of its subsets is unique. One scan a level sketches the distinct
     count of every set (and rules out sets whose columns' counts can't multiply up to the rows); only sets near
-    the row count are counted exactly, all of a level in one grouping of digests. An empty table has no keys.
+    the row count are counted exactly. With ``best``, a sort key of sets, only the first of the smallest sets is
+    given. An empty table has no keys.
     """
     spark = df.sparkSession
     fields = [f for f in df.schema.fields if kind_of(f.dataType) != "other" and (columns is None or f.name in columns)]
@@ -104,18 +145,17 @@ def unique_column_sets(df: DataFrame, max_columns: int = 3, columns: list[str] |
     estimate: dict[tuple[str, ...], float] = {}
     unique: list[tuple[str, ...]] = []
     for level in range(1, max_columns + 1):
+        if best and unique:
+            break
         sets = [s for s in combinations(free, level) if not any(set(u) <= set(s) for u in unique)]
         if level > 1:
             sets = [s for s in sets if _product(estimate[s[:-1]], estimate[s[-1:]]) >= n and _product(estimate[s[1:]], estimate[s[:1]]) >= n]
         for a in range(0, len(sets), SETS_A_SCAN):
             part = sets[a:a + SETS_A_SCAN]
-            sketched = df.agg(*[F.hll_sketch_estimate(F.hll_sketch_agg(F.xxhash64(*[F.col(_quoted(c)) for c in s]), SKETCH_BITS)).alias(f"e{i}") for i, s in enumerate(part)]).first()
+            sketched = df.agg(*[F.hll_sketch_estimate(F.hll_sketch_agg(_hash(s), SKETCH_BITS)).alias(f"e{i}") for i, s in enumerate(part)]).first()
             estimate.update({s: (1 + SKETCH_ERROR) * sketched[f"e{i}"] for i, s in enumerate(part)})
         near = [s for s in sets if estimate[s] >= n]
-        if near:
-            digests = F.array(*[F.struct(F.lit(i).alias("set"), F.sha2(F.to_json(F.struct(*[F.col(_quoted(c)) for c in s])), 256).alias("value")) for i, s in enumerate(near)])
-            most = df.select(F.inline(digests)).groupBy("set", "value").agg(F.count(F.lit(1)).alias("n")).groupBy("set").agg(F.max("n").alias("n"))
-            unique += [near[r.set] for r in most.filter("n = 1").collect()]  # one row a set
+        unique += _without_equal_rows(df, sorted(near, key=best) if best else near, first=best is not None)
         # sets that were ruled out are bounded by the product that ruled them out
         for s in combinations(free, level):
             estimate.setdefault(s, min(float(n), _product(*[estimate[(c,)] for c in s])))
@@ -134,8 +174,8 @@ def propose_keys(tables: Mapping[str, DataFrame], max_columns: int = 2, key_name
     rows = []
     for table, df in tables.items():
         place = {c: i for i, c in enumerate(df.columns)}
-        found = unique_column_sets(df, max_columns).collect()  # sized by the columns, never by rows
-        ranked = sorted(found, key=lambda r: (
-            r.n_columns, -sum(bool(key_name and re.search(key_name, c)) for c in r.columns.split(", ")), [place[c] for c in r.columns.split(", ")]))
-        rows += [(table, r.columns, r.n_columns, r.n_rows) for r in ranked[:1]]
+        # sized by the columns, never by rows
+        found = unique_column_sets(df, max_columns, best=lambda s: (
+            -sum(bool(key_name and re.search(key_name, c)) for c in s), [place[c] for c in s])).collect()
+        rows += [(table, r.columns, r.n_columns, r.n_rows) for r in found]
     return next(iter(tables.values())).sparkSession.createDataFrame(rows, "table_name string, columns string, n_columns int, n_rows bigint")

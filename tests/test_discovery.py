@@ -4,6 +4,8 @@ import itertools
 import random
 from decimal import Decimal
 
+from pyspark.sql import functions as F
+
 from plumbline.operators import discovery as D
 from plumbline.plans.estate import REFERENCES
 from plumbline.plans.integrity import fk_discovery
@@ -83,3 +85,28 @@ def test_a_pair_and_no_superset(t):
     from plumbline.plans.integrity import unique_lines
     found = {r.columns for r in D.unique_column_sets(unique_lines(t), 3, ["l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag"]).collect()}
     assert "l_orderkey, l_linenumber" in found and not any("l_orderkey" in f and "l_linenumber" in f and f.count(",") > 1 for f in found)
+
+
+def test_hashes_only_point_to_equal_rows(spark, monkeypatch):
+    r = random.Random(5)
+    data = [(k, r.randrange(40), r.randrange(40), "2024-01-01 00:00:00.00000%d" % (k % 10)) for k in range(100)]
+    df = spark.createDataFrame(data, "a int, b int, c int, t string").selectExpr("*", "cast(t as timestamp_ntz) + make_dt_interval(0, 0, 0, a div 10) as at").drop("t")
+    names, data = df.columns, [tuple(x) for x in df.collect()]
+    want = minimal(data, names, 2)
+    assert "at" in want  # times that differ in microseconds alone
+    assert sorted(x.columns for x in D.unique_column_sets(df, 2).collect()) == want
+    monkeypatch.setattr(D, "_hash", lambda columns: F.xxhash64(F.col(f"`{columns[0]}`") if columns[0] == "a" else F.lit(1)))
+    assert D._without_equal_rows(df, [("a",), ("b",), ("b", "c"), ("at",)]) == [(n,) if "," not in n else tuple(n.split(", ")) for n in ("a", "b", "b, c", "at") if len(set(map(tuple, df.select(*n.split(", ")).collect()))) == 100]
+
+
+def test_one_hash_a_row_is_shuffled(spark):
+    wide = spark.range(20_000).selectExpr("id div 2 as a", "id % 2 as b", *[f"id % 2 + {k} as c{k}" for k in range(9)], "sha2(string(id div 2), 512) as long")
+    seen = []
+    count = D._repeated
+    D._repeated = lambda cells, value: seen.append(cells.count()) or count(cells, value)
+    try:
+        found = D.unique_column_sets(wide, 2).count()
+        assert found == 2 * 10 and sum(seen) < 20_000  # digests of a part of the rows, not of each for every pair
+        assert [x.columns for x in D.propose_keys({"wide": wide}).collect()] == ["a, b"]
+    finally:
+        D._repeated = count
