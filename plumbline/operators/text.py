@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import fixed_values as V
 from plumbline.functions import predicates as P
-from plumbline.operators.spread import first_per_group, keyed_filter, top_per_group
+from plumbline.operators.spread import first_per_group, keyed_filter, sent_or_merged, top_per_group
 from plumbline.session import cut_lineage
 
 PatternRule = tuple[str, str, str | None]
@@ -132,7 +132,8 @@ def overlap_pairs(
     fill most candidates, are looked up for those pairs alone.
 
     Candidates are tokenised once: their words that occur in any text are written to
-    the shared folder and read by the three steps that need them.
+    the shared folder and read by the three steps that need them. Written words are a few
+    bits each, so their files look small enough to be sent to all tasks; they never are.
     """
     wanted = texts.select(F.col(text_id).alias("text_id"), tokens(F.col(text)).alias("_tokens"))
     text_words = wanted.select("text_id", F.size("_tokens").alias("n"), F.explode("_tokens").alias("token"))
@@ -142,20 +143,19 @@ def overlap_pairs(
     frequency = words.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     by_rarity = W.partitionBy("text_id").orderBy(F.coalesce("df", F.lit(0)), "token")
     # one text's own tokens per window group
-    ranked = (
+    ranked = cut_lineage(
         text_words.join(frequency, "token", "left")
         .withColumn("need", F.ceil(F.col("n") * F.lit(min_score) - F.lit(1e-9)))
         .withColumn("k", F.greatest(F.ceil(F.col("need") * 0.25), F.lit(1)))
         .withColumn("_rare", F.row_number().over(by_rarity) <= F.col("n") - F.col("need") + F.col("k"))
-        .select("text_id", "token", "n", "need", "k", "_rare")
-    )
+        .select("text_id", "token", "n", "need", "k", "_rare"), "ranked")
     found = (
-        ranked.filter("_rare").join(words, "token").groupBy("text_id", "candidate_id", "n", "need", "k")
+        sent_or_merged(ranked.filter("_rare"), words, ["token"]).groupBy("text_id", "candidate_id", "n", "need", "k")
         .agg(F.count(F.lit(1)).alias("hits")).filter("hits >= k").drop("k")
     )
     common = ranked.filter("not _rare").select("text_id", "token")
     more = (
-        found.join(common, "text_id").join(words, ["candidate_id", "token"])
+        sent_or_merged(common, found, ["text_id"]).join(words.hint("merge"), ["candidate_id", "token"])
         .select("text_id", "candidate_id", "n", "need", F.lit(1).cast("bigint").alias("hits"))
     )
     return (

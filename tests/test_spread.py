@@ -83,3 +83,14 @@ def test_keyed_filter(hot, spark):
     dropped = S.keyed_filter(df, members, [("k", "m")], keep=False)
     assert kept.count() == sum(r[0] in ("hot", "k1") for r in data)
     assert kept.count() + dropped.count() == len(data)
+
+
+def test_words_of_candidates_are_never_sent(t, monkeypatch):
+    from plumbline.operators import spread, text
+    pairs = text.overlap_pairs(t.benchmark, "item_id", t.documents, "doc_id")
+    plan = pairs._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin [candidate_id" in plan and "BroadcastHashJoin [candidate_id" not in plan
+    want = rows(pairs)
+    monkeypatch.setattr(spread.sent_or_merged, "__defaults__", (0,))  # and none of the texts
+    assert "Broadcast" not in (merged := text.overlap_pairs(t.benchmark, "item_id", t.documents, "doc_id"))._jdf.queryExecution().sparkPlan().toString()
+    assert rows(merged) == want
