@@ -12,6 +12,7 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from plumbline.llm.common import fresh, picked, slices, text_bytes
 
 SEED, THETA = 11, 1.0
 #: Bytes of text whose lattices are held at a time.
-LATTICE_BYTES = 1 << 20
+LATTICE_BYTES = 1 << 19
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _RUN = re.compile(" *[^ ]+| +")
 
@@ -196,10 +197,13 @@ def _utf8(codes: np.ndarray, k: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 def encode(pieces: Pieces, texts: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sampled ids of all texts one after the other, and how many each has. ``keys``: random key of each text."""
-    number: dict[str, int] = {}
     split = [chunks_of(t) for t in texts]
-    chunk = np.fromiter((number.setdefault(c, len(number)) for row in split for c in row), np.int64)
+    every = list(chain.from_iterable(split))
+    number = dict.fromkeys(every)
+    number.update(zip(number, range(len(number))))
+    chunk = np.fromiter(map(number.__getitem__, every), np.int64, len(every))
     counts = np.fromiter(map(len, split), np.int64, len(split))
+    del every, split
     if not len(chunk):
         return np.zeros(0, np.int32), counts
     place = np.arange(len(chunk)) - np.repeat(np.cumsum(counts) - counts, counts)
@@ -227,7 +231,7 @@ def model_path(name: str = "piece_bpe_32k.model") -> str:
 
 def _encoded(pieces: Pieces, texts: pa.Array, keys: pa.Array) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
     texts, key = texts.fill_null(""), keys.to_numpy(zero_copy_only=False).view(np.uint64)
-    for a, b in slices(text_bytes(texts), LATTICE_BYTES):
+    for a, b in list(slices(text_bytes(texts), LATTICE_BYTES)):  # first all, so that no second copy of the texts is held
         rows = texts[a:b].to_pylist()
         yield rows, *encode(pieces, rows, key[a:b])
 
