@@ -24,7 +24,10 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies: sets of five-word shingles of similarity 0.8 or more."""
+    """The document with the smallest id of each group of near copies: sets of five-word shingles of similarity 0.8 or more.
+
+    SimHash fingerprints in BK-trees propose pairs, MinHash bands those too far apart for the trees; all are compared exactly.
+    """
     return near_copies.distinct_documents(docs)
 
 

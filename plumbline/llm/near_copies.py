@@ -1,6 +1,8 @@
 """Near copies by similarity: documents whose sets of word shingles have a Jaccard similarity of a given value or more.
 
-MinHash bands propose: two sets of similarity s agree in a band of ``ROWS`` least hashes with probability
+Two methods propose. BK-trees over the SimHash fingerprints of the sets (``simhash.links``) find the sets whose
+fingerprints differ in few bits; these are most near copies, but pairs of 0.8 lie up to 13 bits apart, where a tree is
+visited nearly whole. MinHash bands propose the rest: two sets of similarity s agree in a band of ``ROWS`` least hashes with probability
 s ** ROWS, so at 0.8 a pair misses all ``BANDS`` bands in about 5 of a million cases, above it less often. A pair that
 shares a band is looked at by its signatures, a byte of each least hash: at 0.8 fewer than ``AGREEING`` of the 240 agree
 once in ten million cases. What is left forms groups, and only their texts are read again: inside a group all pairs of
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import fresh, picked, slices, text_bytes
 from plumbline.llm.components import components
-from plumbline.llm.simhash import SEED, shingle_hashes
+from plumbline.llm.simhash import RADIUS, SEED, links as tree_links, majorities, shingle_hashes
 from plumbline.session import Scratch, cut_lineage
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -63,15 +65,16 @@ def bands(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketch_column(size: int = SHINGLE):
-    """A column function text -> (digest of its shingle set, shingles in it, band keys, signature); a text without words has no keys."""
-    @F.arrow_udf("digest binary, n bigint, bands array<bigint>, signature binary")
+    """A column function text -> (digest of its shingle set, shingles in it, its fingerprint, band keys, signature); a text without words has no keys."""
+    @F.arrow_udf("digest binary, n bigint, fp bigint, bands array<bigint>, signature binary")
     def sketch(texts: pa.Array) -> pa.Array:
         t = text_bytes(texts)
-        digest, n, keys, signatures = [], [], [], []
+        digest, n, prints, keys, signatures = [], [], [np.zeros(0, np.uint64)], [], []
         for a, b in slices(t, HASH_BYTES):
             sets = [shingle_set(x.as_py(), size) for x in t[a:b]]
             digest += [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
             n += map(len, sets)
+            prints.append(majorities(np.concatenate(sets), list(map(len, sets))))
             full = [s for s in sets if len(s)]
             found = iter(zip(*bands(full))) if full else iter(())
             for s in sets:
@@ -79,8 +82,8 @@ def sketch_column(size: int = SHINGLE):
                 keys.append(key.view(np.int64))
                 signatures.append(signature.tobytes())
         return pa.StructArray.from_arrays(
-            [pa.array(digest, pa.binary()), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(signatures, pa.binary())],
-            ["digest", "n", "bands", "signature"])
+            [pa.array(digest, pa.binary()), pa.array(n, pa.int64()), pa.array(np.concatenate(prints).view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(signatures, pa.binary())],
+            ["digest", "n", "fp", "bands", "signature"])
 
     return sketch.asNondeterministic()
 
@@ -199,15 +202,25 @@ def candidates(each: DataFrame, cut, band_rows: int = BAND_ROWS, sent_rows: int
     return out.unionByName(star).unionByName(look(met, ["key", "own", "other"]))
 
 
+def tree_candidates(each: DataFrame, cut, radius: int = RADIUS) -> DataFrame:
+    """Links whose components are those of all pairs with fingerprints within ``radius``, found by BK-trees. ``each``: node, fp."""
+    prints = cut(each.groupBy("fp").agg(F.min("node").alias("least")), "fingerprints")
+    found = cut(tree_links(prints.select("fp"), radius, cut=cut), "trees")
+    same = each.select("node", "fp").join(prints, "fp").filter("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    one, other = (prints.select(F.col("fp").alias(k), F.col("least").alias(f"{k}_node")) for k in "ab")
+    return same.unionByName(found.join(one, "a").join(other, "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b")))
+
+
 def links(held: DataFrame, each: DataFrame, cut=cut_lineage, list_documents: int = LIST_DOCUMENTS, similarity: float = SIMILARITY, size: int = SHINGLE,
           band_rows: int = BAND_ROWS, sent_rows: int = SENT_ROWS) -> DataFrame:
     """Links (a, b) whose components are those of all candidate pairs of the similarity.
 
-    ``held``: row, text. ``each``: node, n, bands, signature; the rows to compare, no two of them with equal shingle sets.
+    ``held``: row, text. ``each``: node, n, fp, bands, signature; the rows to compare, no two of them with equal shingle sets.
     Groups over ``list_documents`` rows are cut into lists. Each list is compared alone, then the least rows of what a list
     has joined; only if a group is still in parts, its lists meet in pairs.
     """
-    groups = cut(components(candidates(each, cut, band_rows, sent_rows), cut=cut), "groups").join(each.select("node", "n"), "node")
+    proposed = tree_candidates(each, cut).unionByName(candidates(each, cut, band_rows, sent_rows))
+    groups = cut(components(proposed, cut=cut), "groups").join(each.select("node", "n"), "node")
     groups = cut(groups.select("node", "root", "n"), "groups")
     need = F.ceil(F.greatest(F.count(F.lit(1)) / list_documents, F.sum("n") / LIST_SHINGLES)).cast("int")
     sizes = cut(groups.groupBy("root").agg(need.alias("lists")), "lists")
@@ -260,10 +273,10 @@ def distinct_documents(
     own = picked(held, doc_id=doc_id, text=text, row=row, sketch=sketch)
     # equal sets are settled first, so copies cost one row each
     least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("least")
-    first = [F.first(f"sketch.{k}").alias(k) for k in ("n", "bands", "signature")]
+    first = [F.first(f"sketch.{k}").alias(k) for k in ("n", "fp", "bands", "signature")]
     each = own.groupBy(F.col("sketch.digest").alias("digest")).agg(least, *first)
-    each = scratch.cut(each.select(F.col("least.row").alias("node"), "least", "n", "bands", "signature"), "each")
-    found = links(own.select("row", "text"), each.filter("n > 0").select("node", "n", "bands", "signature"), scratch.cut, list_documents, similarity, size, band_rows, sent_rows)
+    each = scratch.cut(each.select(F.col("least.row").alias("node"), "least", "n", "fp", "bands", "signature"), "each")
+    found = links(own.select("row", "text"), each.filter("n > 0").select("node", "n", "fp", "bands", "signature"), scratch.cut, list_documents, similarity, size, band_rows, sent_rows)
     roots = scratch.cut(components(found, cut=scratch.cut), "roots")
     least_of = each.select("node", "least")
     best = least_of.join(roots, "node").groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.row").alias(row))

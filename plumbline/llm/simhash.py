@@ -50,12 +50,16 @@ def fingerprints(texts: pa.Array, size: int = SHINGLE, seed: int = SEED) -> np.n
         own = shingle_hashes(t.as_py(), size, seed)
         hashes += own
         counts.append(len(own))
+    return majorities(np.array(hashes, np.uint64), counts)
+
+
+def majorities(h: np.ndarray, counts: list[int]) -> np.ndarray:
+    """The bits that over half of the hashes of each text have; ``h``: those of all texts one after the other."""
     n = np.array(counts, np.int64)
     out = np.zeros(len(n), np.uint64)
     full = np.flatnonzero(n)
     if not len(full):
         return out
-    h = np.array(hashes, np.uint64)
     start = np.concatenate([[0], np.cumsum(n[full])[:-1]])
     # bits are counted in bytes, so in blocks of up to 255 hashes of one text
     blocks = -(-n[full] // 255)
@@ -172,7 +176,7 @@ def _without(value: Column, low: int, n: int) -> Column:
     return upper.bitwiseOR(value.bitwiseAND((1 << low) - 1)) if low else upper
 
 
-def links(values: DataFrame, radius: int = RADIUS, tree_nodes: int = TREE_NODES) -> DataFrame:
+def links(values: DataFrame, radius: int = RADIUS, tree_nodes: int = TREE_NODES, cut=cut_lineage) -> DataFrame:
     """Links (a, b) between distinct fingerprints ``fp`` whose components are those of all pairs within ``radius``.
 
     A shard with more than ``tree_nodes`` values is cut again: what differs in at most ``radius`` of the other
@@ -183,7 +187,7 @@ def links(values: DataFrame, radius: int = RADIUS, tree_nodes: int = TREE_NODES)
     first = _blocks(64, radius + 1)
     keyed = values.select("fp", F.posexplode(F.array(*[_bits(fp, *b) for b in first])).alias("block", "value"))
     # blocks times block values rows, whatever the input
-    counts = cut_lineage(keyed.groupBy("block", "value").count(), "shards")
+    counts = cut(keyed.groupBy("block", "value").count(), "shards")
     large = counts.filter(F.col("count") > tree_nodes).select("block", "value")
     whole = F.lit(0).cast("int")
     out = keyed.join(large, ["block", "value"], "left_anti").select(
@@ -196,7 +200,7 @@ def links(values: DataFrame, radius: int = RADIUS, tree_nodes: int = TREE_NODES)
             rest = F.when(F.col("block") == k, F.array(*[_bits(other, *c) for c in _blocks(64 - b[1], radius + 1)])).otherwise(rest)
         again = keyed.join(large, ["block", "value"]).select("fp", "block", "value", F.posexplode(rest).alias("block2", "value2"))
         shard = ["block", "value", "block2", "value2"]
-        sizes = cut_lineage(again.groupBy(*shard).agg(F.ceil(F.count(F.lit(1)) / tree_nodes).cast("int").alias("trees")), "shards")
+        sizes = cut(again.groupBy(*shard).agg(F.ceil(F.count(F.lit(1)) / tree_nodes).cast("int").alias("trees")), "shards")
         spread = again.join(sizes, shard).withColumn("own", F.pmod(F.xxhash64("fp", F.lit(1)), F.col("trees")).cast("int"))
         spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("trees") - 1)))
         one = F.col("trees") == 1

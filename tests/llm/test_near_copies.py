@@ -121,3 +121,18 @@ def test_no_pair_is_lost(spark, scale):
     first = {r.node: r.first for r in each.select("node", "digest").join(each.dropDuplicates(["digest"]).select("digest", each.node.alias("first")), "digest").collect()}
     lost = [p for p in pairs if root.get(first[p[0]], -1) != root.get(first[p[1]], -2)]
     assert pairs and not lost
+
+
+def test_trees_propose_by_fingerprints(make_docs):
+    from plumbline.llm.components import components
+    from plumbline.session import cut_lineage
+    from plumbline.llm.simhash import RADIUS
+    docs = make_docs(near_rows())
+    each = cut_lineage(docs.select(docs.doc_id.alias("node"), near_copies.sketch_column()("text").alias("s")).select("node", "s.*"), "each")
+    prints = [(r.node, r.fp & (1 << 64) - 1) for r in each.collect()]
+    root = {i: i for i, _ in prints}
+    for _ in prints:
+        for i, x in prints:
+            root[i] = min(root[j] for j, y in prints if (x ^ y).bit_count() <= RADIUS)
+    found = {r.node: r.root for r in components(near_copies.tree_candidates(each, cut_lineage)).collect()}
+    assert len(found) > 20 and {i: found.get(i, i) for i in root} == root
