@@ -143,6 +143,15 @@ def write_copy(df: DataFrame, path: str, partition_by: list[str] | None = None,
     writer.parquet(path)
 
 
+#: Rows of a file that one task sorts and writes.
+FILE_ROWS = 1 << 20
+
+
+def files_for(df: DataFrame, least: int, rows: int = FILE_ROWS) -> int:
+    """Number of files for the rows of ``df``: ``least``, or as many as it takes with at most about ``rows`` each."""
+    return max(least, -(-df.count() // rows))
+
+
 def compact_files(df: DataFrame, path: str, max_records: int | None = None) -> None:
     """Rewrite into evenly sized files; adaptive execution merges small and splits large partitions."""
     write_copy(df.hint("rebalance"), path, max_records=max_records)

@@ -72,3 +72,18 @@ def test_error_guards(spark):
     df = spark.createDataFrame([("IFERROR(a)",), ("IFERROR(f(x, y), IFERROR(b, c)) + d",), ("IFERROR(a, b, c)",)], "t string")
     assert rows(X.rewrite_expressions(df, "t", ["SM-FIX-IFERROR"]), "rewritten", "is_changed") == sorted([
         ("IFERROR(a)", False), ("IF(ISERROR(f(x, y)), IF(ISERROR(b), c, b), f(x, y)) + d", True), ("IFERROR(a, b, c)", False)], key=repr)
+
+
+def test_files_grow_in_number_and_not_in_size(spark, tmp_path, t, monkeypatch):
+    from plumbline.plans import QUERIES
+    from plumbline.operators import fixes as X
+    assert X.files_for(spark.range(10), 8, 100) == 8 and X.files_for(spark.range(10_001), 8, 100) == 101
+    written = {}
+    monkeypatch.setattr(X.files_for, "__defaults__", (100,))
+    for name in ("zorder_rewrite", "compact_by_bins", "statistics_store"):
+        copy, write = X.write_copy, type(t.lineitem.write).parquet
+        monkeypatch.setattr(type(t.lineitem.write), "parquet", lambda w, path, *a, **k: (written.setdefault(name, []).append(w._df.rdd.getNumPartitions()), write(w, path, *a, **k))[1])
+        QUERIES[name](spark, t.root).count()
+        monkeypatch.setattr(type(t.lineitem.write), "parquet", write)
+    few = t.lineitem.rdd.getNumPartitions()
+    assert max(written["zorder_rewrite"]) > 8 and max(written["compact_by_bins"]) > 24 and min(written["statistics_store"][:2]) >= few
