@@ -49,6 +49,11 @@ class Aligned:
     groups: list[str]
 
 
+def bare(chunks: list[str]) -> bool:
+    """Whether no chunk has white space at its edges."""
+    return list(map(str.strip, chunks)) == chunks
+
+
 def byte_level(token: str, letters: dict[str, int]) -> bytes:
     return bytes(letters[c] for c in token)
 
@@ -87,6 +92,7 @@ class Aligner:
         self.b_size, self.is_byte = np.array([len(t) for t in self.b_bytes]), np.array(self.is_byte)
         self.text = [str(i) for i in range(max(len(self.a_size), len(self.b_size)))]
         self.signed = [t + sign for sign in ",|;" for t in self.text]
+        self.signed_size = np.array(list(map(len, self.signed)))
         self.cuts = not joins  # else a piece could reach over a blank, and texts are aligned whole
 
     def chunks(self, text: str) -> list[str]:
@@ -96,8 +102,8 @@ class Aligner:
         if not self.cuts:
             return [text]
         parts = text.split(" ")
-        if "" not in parts and text.split() == parts:
-            return parts  # blanks only, each a cut
+        if "" not in parts and bare(parts):
+            return parts  # each blank is a cut
         return _CUT.split(text)
 
     @staticmethod
@@ -108,7 +114,7 @@ class Aligner:
         between chunks: chunks that begin with white space come first, those that end with it last, the others alone.
         """
         alone: list[str] = []
-        if any(c[-1].isspace() or c[0].isspace() for c in chunks):
+        if not bare(chunks):
             alone = [c for c in chunks if c[-1] == " " or c[-1].isspace() and c[0].isspace()]
             known = set(alone)
             chunks = sorted((c for c in chunks if c not in known), key=lambda c: c[-1].isspace() - c[0].isspace())
@@ -158,27 +164,30 @@ class Aligner:
         a, b = np.array(e.ids, np.int64), np.array(p["ids"], np.int64)
         a_end = self.a_ends(" " + joined, a, np.fromiter(chain.from_iterable(e.offsets), np.int64, 2 * len(a)).reshape(-1, 2))
         b_end = self.b_ends(b, np.fromiter(chain.from_iterable(p["offsets"]), np.int64, 2 * len(b)).reshape(-1, 2))
-        a_start, b_start = np.concatenate([[0], a_end[:-1]]), np.concatenate([[0], b_end[:-1]])
-        # the B tokens that each A token overlaps
-        first, last = np.searchsorted(b_end, a_start, side="right"), np.searchsorted(b_start, a_end)
+        # how many B tokens, and A tokens, end at or before each byte
+        b_upto, a_upto = (np.cumsum(np.bincount(ends, minlength=len(source) + 1)) for ends in (b_end, a_end))
+        # the B tokens that each A token overlaps: the first that ends behind its start, up to the last that starts before its end
+        first, last = b_upto[np.concatenate([[0], a_end[:-1]])], b_upto[a_end - 1] + 1
         size = last - first
         of_a = np.repeat(np.arange(len(a)), size)
         of_b = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
         # both end at the end of a chunk
         bounds = np.cumsum([len(c) if c.isascii() else len(c.encode()) for c in chunks]) + np.arange(1, len(chunks) + 1)
-        cuts = a_end[np.isin(a_end, b_end, assume_unique=True)]
+        last_a, last_b = b_upto[a_end] > b_upto[a_end - 1], a_upto[b_end] > a_upto[b_end - 1]
+        cuts = a_end[last_a]
         # tokens in the order of the groups' text, each with the sign behind it: A's of a group, then B's
-        a_group, b_group = np.searchsorted(cuts, a_end), np.searchsorted(cuts, b_end)
-        last_a, last_b = (np.concatenate([g[1:] != g[:-1], [True]]) for g in (a_group, b_group))
-        place = np.argsort(np.concatenate([2 * a_group, 2 * b_group + 1]), kind="stable")
-        written = np.concatenate([a + last_a * len(self.text), b + (2 * last_b) * len(self.text)])[place]
-        parts = list(map(self.signed.__getitem__, written.tolist()))
-        upto = {"a": np.searchsorted(a_end, bounds, side="right"), "b": np.searchsorted(b_end, bounds, side="right"), "g": np.searchsorted(cuts, bounds, side="right")}
+        a_group, b_group = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+        ends_a, ends_b = a_upto[cuts], np.concatenate([[0], b_upto[cuts]])
+        written = np.empty(len(a) + len(b), np.int64)
+        written[np.arange(len(a)) + ends_b[a_group]] = a + last_a * len(self.text)
+        written[np.arange(len(b)) + ends_a[b_group]] = b + (2 * last_b) * len(self.text)
+        text = "".join(map(self.signed.__getitem__, written.tolist()))
+        upto = {"a": a_upto[bounds], "b": b_upto[bounds], "g": np.searchsorted(cuts, bounds, side="right")}
         n_a, n_b, n_groups = (np.diff(v, prepend=0) for v in upto.values())
-        ends = (upto["a"] + upto["b"]).tolist()
+        ends = np.cumsum(self.signed_size[written])[upto["a"] + upto["b"] - 1].tolist()
         return Aligned(
             n_a, n_b, n_groups, np.diff(np.concatenate([[0], np.cumsum(size)])[upto["a"]], prepend=0), np.ones(len(chunks), bool), a[of_a] << 32 | b[of_b],
-            ["".join(parts[x:y])[:-1] for x, y in zip([0, *ends], ends)])
+            [text[x:y - 1] for x, y in zip([0, *ends], ends)])
 
 
 def tokenizer_paths() -> tuple[str, str]:
@@ -202,12 +211,27 @@ class Sharder:
 
     def __init__(self, aligner: Aligner, remembered: int = REMEMBERED):
         self.aligner, self.remembered = aligner, remembered
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known: dict[str, int] = {}  # in the order of the numbers
         self.groups: list[str] = []
         self.held = {f.name: [] for f in fields(Aligned)[:-1]}  # arrays, put together when they are read
+        self.uses = np.zeros(0, np.int64)
+
+    def _forget(self) -> None:
+        """Keeps the chunks met most often, at least twice: half of what may be remembered at most. Older uses count half."""
+        often = np.flatnonzero(self.uses > 1)
+        kept = np.sort(often[np.argsort(-self.uses[often], kind="stable")[:self.remembered // 2]])
+        links, numbers = self._links(kept), kept.tolist()
+        chunks = list(self.known)
+        self.known = {chunks[k]: n for n, k in enumerate(numbers)}
+        self.groups = [self.groups[k] for k in numbers]
+        self.held = {name: [links if name == "links" else self._column(name)[kept]] for name in self.held}
+        self.uses = self.uses[kept] // 2
+
+    def _links(self, chunks: np.ndarray) -> np.ndarray:
+        """The links of the numbered chunks, one after the other."""
+        size = self._column("n_links")[chunks]
+        end = np.cumsum(self._column("n_links"))[chunks]
+        return self._column("links")[np.repeat(end - np.cumsum(size), size) + np.arange(size.sum())]
 
     def _column(self, name: str) -> np.ndarray:
         self.held[name] = [np.concatenate([np.zeros(0, np.int64), *self.held[name]])]
@@ -217,18 +241,17 @@ class Sharder:
         """Numbers of the chunks of each text."""
         known = self.known
         chunks = [self.aligner.chunks(t) for t in texts]
-        found = [list(map(known.get, c)) for c in chunks]
-        open_ = [k for k, f in enumerate(found) if None in f]
-        missing = list(dict.fromkeys(c for k in open_ for c, i in zip(chunks[k], found[k]) if i is None))
+        every = list(chain.from_iterable(chunks))
+        missing = [c for c in dict.fromkeys(every) if c not in known]
         for part in self.aligner.rows(missing, ROW_CHUNKS):
             known.update(zip(part, range(len(self.groups), len(self.groups) + len(part))))
             row = self.aligner.align(part)
             self.groups += row.groups
             for name, parts in self.held.items():
                 parts.append(getattr(row, name))
-        for k in open_:
-            found[k] = list(map(known.__getitem__, chunks[k]))
-        return [np.array(f, np.int64) for f in found]
+        numbers = np.fromiter(map(known.__getitem__, every), np.int64, len(every))
+        at = np.cumsum([0, *map(len, chunks)])
+        return [numbers[a:b] for a, b in zip(at, at[1:])]
 
     def shard(self, number: int, doc_ids: pa.Array, texts: list[str | None]) -> pa.RecordBatch:
         """The rows of one shard. Documents whose tokens don't join to their bytes have none."""
@@ -245,9 +268,11 @@ class Sharder:
         bounds = np.cumsum([0, *map(len, ids)])
         used, local = np.unique(np.concatenate([np.zeros(0, np.int64), *ids]), return_inverse=True)
         times = np.bincount(local, minlength=len(used))
-        size = self._column("n_links")[used]
-        end = np.cumsum(self._column("n_links"))[used]
-        links = self._column("links")[np.repeat(end - np.cumsum(size), size) + np.arange(size.sum())]
+        uses = np.zeros(len(self.groups), np.int64)
+        uses[:len(self.uses)] = self.uses
+        uses[used] += times
+        self.uses = uses
+        size, links = self._column("n_links")[used], self._links(used)
         pairs, pair_of = np.unique(links, return_inverse=True)
         count = np.bincount(pair_of, np.repeat(times, size), len(pairs)).astype(np.int64)
         sums = {}

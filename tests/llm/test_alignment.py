@@ -169,3 +169,25 @@ def test_small_memory_gives_the_same(make_docs, aligner):
 def test_white_space_at_the_edges_of_neighbours(make_docs, plain):
     docs = list(enumerate(["foo\n", "\nbar", "foo ", "bar", " bar", "\n", " ", "a \n", "\t b", "foo\n ", "  bar ", "é \n中", "end."]))
     assert got(alignment.align(make_docs(docs).coalesce(1))) == wanted(plain, docs)
+
+
+def test_chunks_met_often_stay_remembered(aligner):
+    sharder, fresh = alignment.Sharder(aligner, remembered=4), alignment.Sharder(aligner)
+    ids = pa.array([1, 2])
+    sharder.shard(0, ids, ["often one often twice", "two é twice three four"])
+    assert list(sharder.known) == ["often", "twice"]
+    texts = ["twice five often\nsix  twice", "often ▁ one"]  # the second doesn't join
+    assert sharder.shard(0, ids, texts).column("groups_sha256").equals(fresh.shard(0, ids, texts).column("groups_sha256"))
+    sharder.shard(0, ids, ["seven often", "eight nine ten"])
+    want, other = sharder.shard(0, ids, texts), fresh.shard(0, ids, texts)
+    for k in ("n_a", "n_b", "n_groups", "n_links", "groups_sha256"):
+        assert want.column(k).equals(other.column(k))
+    pairs = [dict(zip(b.column("pairs")[0].as_py(), b.column("times")[0].as_py())) for b in (want, other)]
+    assert pairs[0] == pairs[1] and pairs[0]
+
+
+def test_groups_of_texts_that_end_with_the_shard(aligner, monkeypatch):
+    ids, texts = pa.array([1, 2, 3]), ["one two", None, "two three"]
+    want = alignment.Sharder(aligner).shard(0, ids, texts)
+    monkeypatch.setattr(alignment, "GROUP_CHARS", 7)
+    assert alignment.Sharder(aligner).shard(0, ids, texts).equals(want)
