@@ -24,6 +24,10 @@ from plumbline.llm.common import fresh, picked, slices, text_bytes
 SEED, THETA = 11, 1.0
 #: Bytes of text whose lattices are held at a time.
 LATTICE_BYTES = 1 << 19
+#: Characters of chunks whose lattices a task of ``digests`` remembers from one slice of text to the next.
+REMEMBERED = 1_000_000
+#: Draws and shares are whole numbers of so many bits, so a chunk's tables are the same wherever they lie.
+SHARE_BITS = 32
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _RUN = re.compile(" *[^ ]+| +")
 
@@ -134,7 +138,8 @@ class Lattice:
         weight = np.where(self.piece < pieces.size, pieces.weight[np.minimum(self.piece, pieces.size - 1)], -20.0)
         total = np.zeros(len(codes) + 1)  # the last stands for the start of a chunk: log 1
         depth = (np.arange(len(codes)) - begins)[state] if len(state) else state
-        by_depth = np.argsort(depth, kind="stable")
+        shallow = depth.max(initial=0) < 1 << 16  # short numbers are sorted in linear time
+        by_depth = np.argsort(depth.astype(np.uint16) if shallow else depth, kind="stable")
         cuts = np.searchsorted(depth[by_depth], np.arange(int(depth.max(initial=-1)) + 2))
         for a, b in zip(cuts[:-1], cuts[1:]):
             own = by_depth[a:b]
@@ -143,33 +148,97 @@ class Lattice:
             top = np.maximum.reduceat(value, heads)
             spread = np.repeat(top, np.diff(np.append(heads, len(own))))
             total[to[heads]] = top + np.log(np.add.reduceat(np.exp(value - spread), heads))
-        share = np.exp(weight + total[self.source] - total[state])
+        share = np.floor(np.exp(weight + total[self.source] - total[state]) * (1 << SHARE_BITS)).astype(np.int64)
         running = np.cumsum(share)
         heads = np.flatnonzero(np.concatenate([[True], state[1:] != state[:-1]])) if len(state) else state
         sizes = np.diff(np.append(heads, len(state)))
-        before = np.repeat((running - share)[heads], sizes) if len(state) else running
-        self.key = state + (running - before)
-        self.key[heads + sizes - 1] = state[heads] + 1.0
-        self.total = total
+        running -= np.repeat((running - share)[heads], sizes)
+        self.key = np.minimum(running, 1 << SHARE_BITS, out=running)
+        self.key += state << SHARE_BITS
+        self.key[heads + sizes - 1] = (state[heads] + 1) << SHARE_BITS
+        self.arcs_to = np.searchsorted(state, self.last, side="right")
+        self.size = len(codes)
 
     def sample(self, chunk: np.ndarray, counter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pieces of each occurrence of a chunk in order, and how many each has. ``counter``: its random key."""
-        live = np.argsort(chunk, kind="stable")  # equal chunks together: neighbouring places of the table
-        state = self.last[chunk[live]]
-        steps, count = [], np.zeros(len(chunk), np.int64)
-        while len(live):
-            u = (_mixed(counter[live] + np.uint64(len(steps))) >> np.uint64(11)).astype(np.float64) * 2.0 ** -53
-            arc = np.searchsorted(self.key, state + u, side="right")
-            steps.append((live, self.piece[arc]))
-            count[live] += 1
-            state = self.source[arc]
-            on = state >= 0
-            live, state = live[on], state[on]
-        ends = np.cumsum(count)
-        out = np.zeros(int(ends[-1]) if len(ends) else 0, np.int32)
-        for k, (rows, piece) in enumerate(steps):
-            out[ends[rows] - 1 - k] = piece
-        return out, count
+        return sample(self.key, self.source, self.piece, self.last[chunk], counter)
+
+
+def sample(key: np.ndarray, source: np.ndarray, piece: np.ndarray, last: np.ndarray, counter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces of each occurrence of a chunk in order, and how many each has. ``last``: the chunk's last place; ``counter``: the occurrence's random key."""
+    live = np.argsort(last, kind="stable")  # equal chunks together: neighbouring places of the table
+    state = last[live]
+    steps, count = [], np.zeros(len(last), np.int64)
+    while len(live):
+        u = (_mixed(counter[live] + np.uint64(len(steps))) >> np.uint64(64 - SHARE_BITS)).astype(np.int64)
+        arc = np.searchsorted(key, (state << SHARE_BITS) + u, side="right")
+        steps.append((live, piece[arc]))
+        count[live] += 1
+        state = source[arc].astype(np.int64)
+        on = state >= 0
+        live, state = live[on], state[on]
+    ends = np.cumsum(count)
+    out = np.zeros(int(ends[-1]) if len(ends) else 0, np.int32)
+    for k, (rows, ids) in enumerate(steps):
+        out[ends[rows] - 1 - k] = ids
+    return out, count
+
+
+class Remembered:
+    """Lattices of chunks by number, kept from one slice of text to the next."""
+
+    def __init__(self, pieces: Pieces, limit: int = REMEMBERED):
+        self.pieces, self.limit = pieces, limit
+        self.known: dict[str, int] = {}  # in the order of the numbers, as are the places and arcs of chunks
+        self.last, self.arcs_to, self.uses = (np.zeros(0, np.int64) for _ in range(3))
+        self.n_places = self.n_arcs = 0
+        self.key, self.source, self.piece = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+
+    def numbers(self, chunks: list[str]) -> np.ndarray:
+        """The number of each chunk; those of slices before don't hold any more."""
+        if self.n_places > self.limit:
+            self._forget()
+        new = [c for c in dict.fromkeys(chunks) if c not in self.known]
+        if new:
+            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
+            self._add(Lattice(self.pieces, new))
+        number = np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
+        self.uses += np.bincount(number, minlength=len(self.uses))
+        return number
+
+    def sample(self, chunk: np.ndarray, counter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return sample(self.key[:self.n_arcs], self.source, self.piece, self.last[chunk], counter)
+
+    def _add(self, found: Lattice) -> None:
+        a, b = self.n_arcs, self.n_arcs + len(found.key)
+        if b > len(self.key):  # with room for more, so that few slices copy what is held
+            for name in ("key", "source", "piece"):
+                held = getattr(self, name)
+                setattr(self, name, np.concatenate([held[:a], np.zeros(b - a + b // 4, held.dtype)]))
+        self.key[a:b] = found.key + (self.n_places << SHARE_BITS)
+        self.source[a:b] = np.where(found.source >= 0, found.source + self.n_places, -1)
+        self.piece[a:b] = found.piece
+        self.last = np.concatenate([self.last, found.last + self.n_places])
+        self.arcs_to = np.concatenate([self.arcs_to, found.arcs_to + a])
+        self.uses = np.concatenate([self.uses, np.zeros(len(found.last), np.int64)])
+        self.n_places, self.n_arcs = self.n_places + found.size, b
+
+    def _forget(self) -> None:
+        """Keeps the chunks met most often, at least twice: half of the limit at most. Older uses count half."""
+        places, arcs = np.diff(self.last + 1, prepend=0), np.diff(self.arcs_to, prepend=0)
+        often = np.flatnonzero(self.uses > 1)
+        often = often[np.argsort(-self.uses[often], kind="stable")]
+        kept = np.sort(often[np.cumsum(places[often]) <= self.limit // 2])
+        chunks = list(self.known)
+        self.known = {chunks[k]: n for n, k in enumerate(kept.tolist())}
+        places, arcs = places[kept], arcs[kept]
+        last, arcs_to = np.cumsum(places) - 1, np.cumsum(arcs)
+        at = np.repeat(self.arcs_to[kept] - arcs_to, arcs) + np.arange(arcs.sum())
+        down = np.repeat(self.last[kept] - last, arcs)
+        source = self.source[at]
+        self.key, self.piece = self.key[at] - (down << SHARE_BITS), self.piece[at]
+        self.source = np.where(source >= 0, source - down, -1).astype(np.int32)
+        self.last, self.arcs_to, self.uses = last, arcs_to, self.uses[kept] // 2
+        self.n_places, self.n_arcs = int(places.sum()), len(at)
 
 
 def chunks_of(text: str) -> list[str]:
@@ -195,20 +264,23 @@ def _utf8(codes: np.ndarray, k: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.where(size == 1, codes, np.where(k == 0, lead | (codes >> shift), 0x80 | ((codes >> shift) & 0x3F)))
 
 
-def encode(pieces: Pieces, texts: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def encode(pieces: Pieces, texts: list[str], keys: np.ndarray, remembered: Remembered | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Sampled ids of all texts one after the other, and how many each has. ``keys``: random key of each text."""
     split = [chunks_of(t) for t in texts]
     every = list(chain.from_iterable(split))
-    number = dict.fromkeys(every)
-    number.update(zip(number, range(len(number))))
-    chunk = np.fromiter(map(number.__getitem__, every), np.int64, len(every))
+    if remembered is None:
+        number = dict.fromkeys(every)
+        number.update(zip(number, range(len(number))))
+        chunk = np.fromiter(map(number.__getitem__, every), np.int64, len(every))
+    else:
+        chunk = remembered.numbers(every)
     counts = np.fromiter(map(len, split), np.int64, len(split))
     del every, split
     if not len(chunk):
         return np.zeros(0, np.int32), counts
     place = np.arange(len(chunk)) - np.repeat(np.cumsum(counts) - counts, counts)
     counter = _mixed(np.repeat(keys.astype(np.uint64), counts) + _mixed(place.astype(np.uint64)))
-    ids, per_chunk = Lattice(pieces, list(number)).sample(chunk, counter)
+    ids, per_chunk = (remembered or Lattice(pieces, list(number))).sample(chunk, counter)
     odd = ids >= pieces.size
     if odd.any():  # characters in bytes
         code = np.where(odd, ids.astype(np.int64) - pieces.size, 0)
@@ -229,11 +301,11 @@ def model_path(name: str = "piece_bpe_32k.model") -> str:
     return public_tokenizers.path(name)
 
 
-def _encoded(pieces: Pieces, texts: pa.Array, keys: pa.Array) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
+def _encoded(pieces: Pieces, texts: pa.Array, keys: pa.Array, remembered: Remembered | None = None) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
     texts, key = texts.fill_null(""), keys.to_numpy(zero_copy_only=False).view(np.uint64)
     for a, b in list(slices(text_bytes(texts), LATTICE_BYTES)):  # first all, so that no second copy of the texts is held
         rows = texts[a:b].to_pylist()
-        yield rows, *encode(pieces, rows, key[a:b])
+        yield rows, *encode(pieces, rows, key[a:b], remembered)
 
 
 def row_key(doc_id: str = "doc_id", seed: int = SEED):
@@ -289,9 +361,10 @@ def digests(docs: DataFrame, model: str | None = None, doc_id: str = "doc_id", t
     @F.arrow_udf("n_pieces bigint, ids_crc32 bigint, text_sha256 string, lossless boolean")
     def there_and_back(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         pieces = Pieces(path, theta)
+        remembered = Remembered(pieces)
         for texts, keys in batches:
             out = []
-            for rows, ids, counts in _encoded(pieces, texts, keys):
+            for rows, ids, counts in _encoded(pieces, texts, keys, remembered):
                 at = 0
                 for source, n in zip(rows, counts.tolist()):
                     own = ids[at:at + n]

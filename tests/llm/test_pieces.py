@@ -95,3 +95,31 @@ def test_a_lossy_row_fails(make_docs, monkeypatch):
     with pytest.raises(ValueError, match="decode"):
         import pyarrow as pa
         list(broken(iter([(pa.array(["one two"]), pa.array([1]))])))
+
+
+def test_remembered_lattices_give_the_same():
+    texts = ["often one often twice 中😀", "", "two twice three\n\n often  four é"] * 2 + ["often five 中😀 😀", "six twice", "ab" * 50 + " often"]
+    wanted = [encoded([t], [k])[0] for k, t in enumerate(texts)]
+    for limit in (0, 20, 60, 10**6):
+        kept = P.Remembered(MODEL, limit)
+        for k, t in enumerate(texts):
+            assert P.encode(MODEL, [t], np.array([k], np.uint64), kept)[0].tolist() == wanted[k]
+        assert kept.n_places == sum(map(len, kept.known)) and kept.last[-1] == kept.n_places - 1
+
+
+def test_frequent_chunks_get_one_lattice(monkeypatch):
+    built = []
+
+    class Counted(P.Lattice):
+        def __init__(self, pieces, chunks):
+            built.extend(chunks)
+            super().__init__(pieces, chunks)
+
+    monkeypatch.setattr(P, "Lattice", Counted)
+    monkeypatch.setattr(P, "LATTICE_BYTES", 40)
+    import pyarrow as pa
+
+    texts = [f"often again word{k} once{k}" for k in range(50)]
+    kept = P.Remembered(MODEL, 200)
+    list(P._encoded(MODEL, pa.array(texts), pa.array(range(50)), kept))
+    assert built.count(" often") == built.count(" again") == 1 and kept.n_places < 400
