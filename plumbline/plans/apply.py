@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -19,6 +21,8 @@ About = Mapping[str, Mapping[str, object]]
 
 OUTCOMES = "fix_id string, rule_id string, target string, outcome string, reason string, path string"
 RUNS = "fix_id string, target string, done string, problem string, path string"
+#: Copies that are planned and written at a time.
+AT_ONCE = 8
 
 
 def split_target(target: str) -> tuple[str, tuple[str, ...]]:
@@ -79,13 +83,14 @@ def transforms(parents: Mapping[str, tuple[DataFrame, str]] | None = None, order
     return out
 
 
-def apply_plan(spark: SparkSession, plan: DataFrame, tables: Mapping[str, DataFrame], root: str, known: Mapping[str, Transform]) -> DataFrame:
+def apply_plan(spark: SparkSession, plan: DataFrame, tables: Mapping[str, DataFrame], root: str, known: Mapping[str, Transform], at_once: int = AT_ONCE) -> DataFrame:
     """(fix_id, rule_id, target, outcome, reason, path): one row per row of the plan.
 
     Only the different targets that can run come to the driver: fixes times tables, however many rows the plan has, as
     findings by key name no table. ``fixed``: the repaired copy lies in ``path``, below ``root``, which must not exist yet.
     ``skipped``: the row is a command for another system, or its table or transform isn't known here. ``failed``: the transform
-    can't be planned or lacks a setting, or its copy is already there.
+    can't be planned or lacks a setting, or its copy is already there. ``at_once`` copies are written side by side, so that the
+    few tasks of one leave no cores idle; copies to the same path come one after the other.
     """
     table = F.substring_index("target", "[", 1)
     name = F.substring_index(F.regexp_replace("command", "^transform:", ""), " ", 1)
@@ -93,15 +98,24 @@ def apply_plan(spark: SparkSession, plan: DataFrame, tables: Mapping[str, DataFr
     reason = (F.when(~F.col("is_transform"), F.lit("a command for another system")).when(~has_table, F.concat(F.lit("no table "), table))
               .when(~has_transform, F.concat(F.lit("no transform "), name)))
     told = plan.withColumn("reason", reason)
-    runs = []
+    copies: dict[str, list] = {}
     for r in told.filter("reason is null").select("fix_id", "target", name.alias("name")).distinct().orderBy("fix_id", "target").collect():
         of, columns = split_target(r.target)
         path = f"{root.rstrip('/')}/{r.fix_id}/{of}" + "".join(f".{c}" for c in columns)
-        try:
-            X.write_copy(known[r.name](tables[of], of, columns), path)
-            runs.append((r.fix_id, r.target, "fixed", None, path))
-        except (AnalysisException, KeyError, IndexError) as problem:
-            runs.append((r.fix_id, r.target, "failed", f"{type(problem).__name__}: {problem}", None))
+        copies.setdefault(path, []).append((r, of, columns))
+
+    def copied(path: str) -> list[tuple]:
+        runs = []
+        for r, of, columns in copies[path]:
+            try:
+                X.write_copy(known[r.name](tables[of], of, columns), path)
+                runs.append((r.fix_id, r.target, "fixed", None, path))
+            except (AnalysisException, KeyError, IndexError) as problem:
+                runs.append((r.fix_id, r.target, "failed", f"{type(problem).__name__}: {problem}", None))
+        return runs
+
+    with ThreadPoolExecutor(at_once) as pool:
+        runs = [run for own in pool.map(inheritable_thread_target(spark)(copied), copies) for run in own]
     done = spark.createDataFrame(runs, RUNS)
     return told.join(F.broadcast(done), ["fix_id", "target"], "left").select(  # as many rows as copies were tried
         "fix_id", "rule_id", "target", F.coalesce("done", F.lit("skipped")).alias("outcome"), F.coalesce("reason", "problem").alias("reason"), "path")

@@ -87,3 +87,24 @@ def test_files_grow_in_number_and_not_in_size(spark, tmp_path, t, monkeypatch):
         monkeypatch.setattr(type(t.lineitem.write), "parquet", write)
     few = t.lineitem.rdd.getNumPartitions()
     assert max(written["zorder_rewrite"]) > 8 and max(written["compact_by_bins"]) > 24 and min(written["statistics_store"][:2]) >= few
+
+
+def test_copies_are_written_side_by_side(spark, tmp_path):
+    import threading
+
+    from plumbline.plans.apply import apply_plan
+
+    both = threading.Barrier(2, timeout=60)
+
+    def waits(df, table, cols):
+        both.wait()  # breaks, if copies come one after the other
+        return df
+
+    tables = {"a": spark.range(3), "b": spark.range(5)}
+    plan = spark.createDataFrame(
+        [("f", "r", "a", "transform:waits", True), ("f", "r", "b", "transform:waits", True), ("g", "r", "a", "transform:once", True),
+         ("g", "r", "b[x,y]", "transform:once", True), ("g", "r", "b[x, y]", "transform:once", True)],
+        "fix_id string, rule_id string, target string, command string, is_transform boolean")
+    done = apply_plan(spark, plan, tables, str(tmp_path / "out"), {"waits": waits, "once": lambda df, table, cols: df}).collect()
+    assert sorted(r.outcome for r in done) == ["failed", "fixed", "fixed", "fixed", "fixed"]  # one path can be written once
+    assert {r.path.rsplit("out/", 1)[1]: spark.read.parquet(r.path).count() for r in done if r.path} == {"f/a": 3, "f/b": 5, "g/a": 3, "g/b.x.y": 5}
