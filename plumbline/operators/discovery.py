@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,19 +45,43 @@ def name_stem(name: Column) -> Column:
     return F.regexp_replace(F.lower(name), "^[a-z]{1,2}_", "")
 
 
+_REFERENCES = ("child_table string, child_column string, parent_table string, parent_column string, "
+               "n_child_values bigint, n_contained bigint, n_parent_values bigint, containment double")
+
+
+def _class(f: T.StructField) -> str:
+    """Values of different classes are never equal."""
+    return "time" if kind_of(f.dataType) == "date" else "number" if isinstance(f.dataType, T.NumericType) else "text"
+
+
+def _shared(spark: SparkSession, fields: list[tuple[str, T.StructField]]) -> list[tuple[str, T.StructField]]:
+    """The columns whose stem and class a column of another table has too."""
+    stems = spark.range(1).select(*[name_stem(F.lit(f.name)).alias(str(k)) for k, (_, f) in enumerate(fields)]).first() if fields else ()
+    owners: dict[tuple[str, str], set[str]] = {}
+    for (table, f), stem in zip(fields, stems):
+        owners.setdefault((stem, _class(f)), set()).add(table)
+    return [(table, f) for (table, f), stem in zip(fields, stems) if len(owners[stem, _class(f)]) > 1]
+
+
 def references(tables: Mapping[str, DataFrame], threshold: float = 1.0, same_stem: bool = True) -> DataFrame:
     """Columns whose values lie in a unique column of another table: (child, parent, values, contained, containment).
 
     An inverted index from values to the sets of columns that hold them, built in one scan a table: equal cells
     collapse before they are shuffled, a value's columns become a set of bits, and equal sets are counted. Every
     containment is a sum over these counts, which are few; no pair of columns is ever joined. A parent is unique:
-    no value occurs twice. ``same_stem`` keeps pairs whose names agree but for a short prefix. Whole numbers match
+    no value occurs twice. ``same_stem`` keeps pairs whose names agree but for a short prefix; columns
+    that have no such partner are not read then. Whole numbers match
     whatever their type. Columns without a value, with fractions or with text over ``KEY_TEXT`` take no part.
     """
+    spark = next(iter(tables.values())).sparkSession
+    fields = [(table, f) for table, df in tables.items() for f in _reference_fields(df)]
+    fields = _shared(spark, fields) if same_stem else fields
+    if not fields:
+        return spark.createDataFrame([], _REFERENCES)
     labels, frames = [], []
     for table, df in tables.items():
         cells = []
-        for f in _reference_fields(df):
+        for f in [f for of, f in fields if of == table]:
             cells.append(f"named_struct('cid', {len(labels)}, {_value(f)})")
             labels.append((len(labels), table, f.name))
         if cells:
@@ -66,11 +90,12 @@ def references(tables: Mapping[str, DataFrame], threshold: float = 1.0, same_ste
     cells = reduce(DataFrame.unionByName, frames).filter("l is not null or s is not null or odd")
     each = cells.groupBy("cid", "l", "s", "odd").agg(F.count(F.lit(1)).alias("n"))
     columns = each.groupBy("cid").agg(F.count(F.lit(1)).alias("n_values"), F.max("n").alias("most"), F.max("odd").alias("odd")).filter("not odd").drop("odd")
+    columns = cut_lineage(columns, "columns")  # one row a column, read for children and for parents
     bit = [F.bit_or(F.when((F.col("cid") >= w * WORD) & (F.col("cid") < (w + 1) * WORD), F.expr(f"shiftleft(1L, cast(cid - {w * WORD} as int))")).otherwise(F.lit(0).cast("bigint"))).alias(f"w{w}") for w in words]
     held = each.filter("not odd").groupBy("l", "s").agg(*bit).groupBy(*[f"w{w}" for w in words]).agg(F.count(F.lit(1)).alias("n"))
     members = F.expr("concat(" + ", ".join(f"transform(filter(sequence(0, {WORD - 1}), k -> getbit(w{w}, k) = 1), k -> k + {w * WORD})" for w in words) + ")")
     pairs = held.withColumn("c", F.explode(members)).withColumn("p", F.explode(members)).filter("c <> p").groupBy("c", "p").agg(F.sum("n").alias("n_contained"))
-    names = next(iter(tables.values())).sparkSession.createDataFrame(labels, "cid int, table_name string, column_name string")
+    names = spark.createDataFrame(labels, "cid int, table_name string, column_name string")
 
     def side(name: str, key: str) -> DataFrame:
         return names.join(columns, "cid").select(

@@ -110,3 +110,15 @@ def test_one_hash_a_row_is_shuffled(spark):
         assert [x.columns for x in D.propose_keys({"wide": wide}).collect()] == ["a, b"]
     finally:
         D._repeated = count
+
+
+def test_columns_without_a_partner_are_not_read(spark):
+    from plumbline.operators import discovery as D
+
+    a = spark.sql("select id as a_key, cast(id as string) as a_code, cast(id as double) / 2 as a_price from range(10)")
+    b = spark.sql("select id as b_key, id as b_code, id as b_other, id as own_price from range(20)")
+    found = D.references({"a": a, "b": b})
+    assert [tuple(r) for r in found.collect()] == [("a", "a_key", "b", "b_key", 10, 10, 20, 1.0)]
+    fields = [(t, f) for t, df in (("a", a), ("b", b)) for f in D._reference_fields(df)]
+    assert [(t, f.name) for t, f in D._shared(spark, fields)] == [("a", "a_key"), ("b", "b_key")]
+    assert D.references({"a": a.select("a_price"), "b": b.select("b_other")}).schema == found.schema
